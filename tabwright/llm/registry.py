@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from tabwright.llm import bpe
+from tabwright.llm import bpe, decontaminate, sharding
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
+    "op9_sharding": sharding.op9_sharding,
+    "op10_decontamination": decontaminate.op10_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op10_decontamination": decontaminate.OP10_SQL,
+}
