@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from tabwright.llm import bpe, decontaminate, sharding
+from tabwright.llm import bpe, decontaminate, exact, sharding
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
+    "op4_exact_dedup": exact.op4_exact_dedup,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
 
 ORACLE_SQL = {
+    "op4_exact_dedup": exact.OP4_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
 }
