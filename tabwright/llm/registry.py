@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabwright.llm import bpe, decontaminate, exact, secrets, sharding
+from tabwright.llm import bpe, chat, decontaminate, exact, secrets, sharding
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op8_chat_format": chat.op8_chat_format,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontamination": decontaminate.op10_decontamination,
 }
