@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from tabwright.llm import bpe, chat, decontaminate, exact, secrets, sharding
+from tabwright.llm import bpe, chat, decontaminate, exact, near, secrets, sharding
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op6_secret_scan": secrets.op6_secret_scan,
+    "op7_minhash_near_dedup": near.op7_minhash_near_dedup,
     "op8_chat_format": chat.op8_chat_format,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontamination": decontaminate.op10_decontamination,
@@ -15,5 +16,6 @@ QUERIES = {
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact.OP4_SQL,
+    "op7_minhash_near_dedup": near.OP7_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
 }
