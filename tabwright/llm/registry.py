@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tabwright.llm import bpe, chat, decontaminate, exact, near, secrets, sharding
+from tabwright.llm import bpe, chat, decontaminate, exact, near, quality, secrets, sharding
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
     "op4_exact_dedup": exact.op4_exact_dedup,
+    "op5_quality": quality.op5_quality,
     "op6_secret_scan": secrets.op6_secret_scan,
     "op7_minhash_near_dedup": near.op7_minhash_near_dedup,
     "op8_chat_format": chat.op8_chat_format,
