@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from tabwright.llm import bpe, chat, decontaminate, exact, near, quality, secrets, sharding
+from tabwright.llm import bpe, chat, decontaminate, exact, lines, near, quality, secrets, sharding
 
 QUERIES = {
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
+    "op3_line_dedup": lines.op3_line_dedup,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
     "op6_secret_scan": secrets.op6_secret_scan,
