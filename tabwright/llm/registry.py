@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from tabwright.llm import bpe, chat, decontaminate, exact, lines, near, quality, secrets, sharding
+from tabwright.llm import bpe, chat, decontaminate, exact, lines, near, quality, secrets, sharding, token_counts
 
 QUERIES = {
+    "op1_token_counts": token_counts.op1_token_counts,
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
     "op3_line_dedup": lines.op3_line_dedup,
     "op4_exact_dedup": exact.op4_exact_dedup,
