@@ -1,0 +1,58 @@
+"""The corpus pipeline: quality, line dedup, near-dedup, decontamination, tokens.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; docs has the columns of ``documents`` (more are kept).
+All stages but the last return those columns. Their defaults for null, empty and repeated rows are the operators'.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tabwright.llm import bpe, decontaminate, lines, near, quality
+from tabwright.llm.common import shared_folder
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops the documents that the quality classifier, trained on ``docs`` itself, rejects."""
+    model, scorer = quality.train(docs)
+    return quality.classify(docs, model, scorer).filter("keep").select(*docs.columns)
+
+
+def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts lines that came before, and drops documents of which nothing is left; n_chars follows the text."""
+    cut = lines.dedup_lines(docs, drop_emptied=True)
+    return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document of each group of near copies (five words, similarity 0.8)."""
+    return near.keep_one(docs)
+
+
+def drop_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a passage of a benchmark item."""
+    return decontaminate.remove_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Adds the token ids, their byte offsets and their number."""
+    return bpe.encode(docs).withColumn("n_tokens", F.size("ids").cast("long"))
+
+
+STAGES = [("quality", keep_good), ("line_dedup", cut_lines), ("near_dedup", keep_one_of_near), ("decontaminate", drop_leaked), ("bpe", tokenise)]
+
+#: The first stages learn and compare hashes, which SQL can't express; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``, each written as Parquet to the shared checkpoint folder and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    top = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{top}/{name}")
+        docs = spark.read.parquet(f"{top}/{name}")
+    return docs
