@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import read, text_or_empty
+from tabwright.llm.common import read, saved, sized
 
 WINDOW = 10
 MAP_BITS = 18
@@ -99,11 +99,21 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
     return grouped.select(*keep, "n_words", n_hit.cast("long").alias("n_hit"), "items", "spans")
 
 
-def remove_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", most_share: float = 0.0) -> DataFrame:
-    """``docs`` without the documents of which more than ``most_share`` of the words is hit; columns as they were."""
-    marked = contamination(docs.select(F.monotonically_increasing_id().alias("_id"), text), benchmark, text)
-    bad = marked.filter(F.col("n_hit") > most_share * F.col("n_words")).select("_id")
-    return docs.withColumn("_id", F.monotonically_increasing_id()).join(bad, "_id", "left_anti").drop("_id")
+def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", most_share: float = 0.0) -> DataFrame:
+    """``docs`` without the documents of which more than ``most_share`` of the words is hit; columns as they were. Rows that repeat the key of such a document go with it; rows with a null key stay."""
+    marked = contamination(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), benchmark, "_text")
+    bad = saved(marked.filter(F.col("n_hit") > most_share * F.col("n_words")).select("_key").distinct())
+    return docs.join(sized(bad), docs[key] == F.col("_key"), "left_anti")
+
+
+def remove_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the hit words cut out: of a document with hits, the words left (lower-cased) are joined by one space; the others stay as they are."""
+    marked = contamination(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), benchmark, "_text")
+    hits = saved(marked.filter("n_hit > 0").select("_key", F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))).alias("_hits")).dropDuplicates(["_key"]))
+    found = docs.join(sized(hits), docs[key] == F.col("_key"), "left")
+    own = words(F.col(text))
+    left = F.transform(F.array_except(F.sequence(F.lit(1), F.size(own)), "_hits"), lambda i: F.get(own, i - 1))
+    return found.withColumn(text, F.when(F.col("_key").isNull(), F.col(text)).otherwise(F.array_join(left, " "))).select(*docs.columns)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
