@@ -7,8 +7,8 @@ with a chance of 3e-6. Links are then confirmed on the full sets, and documents
 
 Work per group of copies stays linear: equal sets shrink to one class before banding, every band bucket compares its
 members with one leader, and only members that are then still outside the bucket's largest component meet the
-members of other components, all of them, so no link between different sets is lost. Sets are built for classes in
-shared buckets alone.
+members of other components: all of them but those that a bound on shared shingles rules out, so no link between
+different sets is lost. Sets are built for classes in shared buckets alone.
 
 Null and empty texts have an empty set and are linked with nothing. Repeated rows are copies of each other; a
 repeated id takes part once per row. An empty table gives an empty result.
@@ -28,6 +28,8 @@ from tabwright.llm.common import chunks, flat, mix, read, saved, sized, strings
 
 PERMUTATIONS, ROWS = 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS
+#: Members of a bucket beyond which its pairs are bounded first, and how many classes may share a rare shingle there.
+CROWD, RARE = 64, 8
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20_240_601)
 _MULTIPLY = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -172,20 +174,58 @@ def link_classes(classes: DataFrame, sets_of, similarity: float) -> DataFrame:
     star = members.filter((F.col("rep") != F.col("lead")) & near(F.col("n"), F.col("lead_n"))).select(F.col("lead").alias("a"), F.col("rep").alias("b")).distinct()
     links = saved(confirmed(star))
     labels = components(links)
-    # members outside their bucket's largest component against those of its other components
     named = members.select("band", "rep", "n").join(labels.select(F.col("id").alias("rep"), "label"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
-    sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
-    largest = sizes.groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    open_ = saved(named.join(largest.select("band", "top"), "band"))
-    outside = open_.filter("label <> top").select("band", F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("label").alias("label_a"))
-    rest = outside.join(open_.select("band", F.col("rep").alias("b"), "n", "label"), "band").filter((F.col("label") != F.col("label_a")) & near(F.col("n"), F.col("n_a")))
-    pairs = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(star.select(F.col("a"), F.col("b")), ["a", "b"], "left_anti")
+    pairs = saved(_open_pairs(named, classes, sets, percent, near).join(star, ["a", "b"], "left_anti"))
     more = saved(confirmed(pairs))
     if not more.limit(1).count():
         return labels.select(F.col("id").alias("rep"), "label")
     return components(links.unionByName(more)).select(F.col("id").alias("rep"), "label")
 
 
+def _open_pairs(named: DataFrame, classes: DataFrame, sets: DataFrame, percent: int, near) -> DataFrame:
+    """(a, b): in buckets of several components, members outside the largest against members of other components, each pair once.
+
+    Crowded buckets (over CROWD members) hold families of near copies, most of which may be just too far from each
+    other. There a pair is left out if it can't be similar: shingles that at most RARE classes of such buckets have
+    are few and are matched exactly (shared); of the others a pair has at most what the poorer one has.
+    """
+    sizes = named.groupBy("band", "label").agg(F.count(F.lit(1)).alias("c"))
+    several = sizes.groupBy("band").agg(F.max_by("label", F.struct("c", "label")).alias("top"), F.sum("c").alias("crowd"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
+    bands = classes.select("rep", "bands")
+    open_ = saved(named.join(several.select("band", "top", "crowd"), "band").join(bands, "rep"))
+
+    def sides(rows: DataFrame, more: list[str]) -> tuple[DataFrame, DataFrame]:
+        own = ["rep", "n", "label", "bands", *more]
+        return rows.filter("label <> top").select("band", *[F.col(c).alias(f"{c}_a") for c in own]), rows.select("band", *[F.col(c).alias(f"{c}_b") for c in own])
+
+    # a pair counts in the first band that it shares
+    fresh = (F.col("label_a") != F.col("label_b")) & near(F.col("n_a"), F.col("n_b"))
+    first = F.get(F.array_intersect("bands_a", "bands_b"), 0)
+    ends = [F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")]
+    x, y = sides(open_.filter(F.col("crowd") <= CROWD), [])
+    calm = x.join(y.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & fresh & (first == F.col("band"))).select(*ends)
+    crowded = open_.filter(F.col("crowd") > CROWD)
+    reps = crowded.groupBy("rep").agg(F.max(F.col("label") != F.col("top")).alias("outside"), F.first("label").alias("label"), F.first("n").alias("n"))
+    shingles = saved(sets.join(reps, F.col("id") == F.col("rep")).select("rep", "outside", "label", "n", F.explode("shingles").alias("shingle")))
+    rare = shingles.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter(F.col("df") <= RARE)
+    rarely = saved(shingles.join(rare, "shingle"))
+    common = saved(rarely.groupBy("rep").agg(F.count(F.lit(1)).alias("few")))
+
+    def similar(shared):
+        return 100 * shared >= percent * (F.col("n_a") + F.col("n_b") - shared)
+
+    met = rarely.filter("df > 1")
+    left = met.filter("outside").select("shingle", F.col("rep").alias("rep_a"), F.col("label").alias("label_a"), F.col("n").alias("n_a"))
+    right = met.select("shingle", F.col("rep").alias("rep_b"), F.col("label").alias("label_b"), F.col("n").alias("n_b"))
+    few = lambda side: common.select(F.col("rep").alias(f"rep_{side}"), F.col("few").alias(f"few_{side}"))
+    rest = lambda side: F.col(f"n_{side}") - F.coalesce(f"few_{side}", F.lit(0))
+    together = left.join(right, "shingle").filter(fresh).groupBy("rep_a", "rep_b", "n_a", "n_b").agg(F.count(F.lit(1)).alias("shared"))
+    together = together.join(few("a"), "rep_a", "left").join(few("b"), "rep_b", "left").filter(similar(F.col("shared") + F.least(rest("a"), rest("b")))).select(*ends)
+    x, y = sides(crowded.join(common, "rep", "left").filter(100 * (F.col("n") - F.coalesce("few", F.lit(0))) >= percent * F.col("n")), ["few"])
+    apart = x.join(y.withColumnRenamed("band", "band_b"), (F.col("band") == F.col("band_b")) & fresh & similar(F.least(rest("a"), rest("b"))) & (first == F.col("band"))).select(*ends)
+    return calm.unionByName(together).unionByName(apart).distinct()
+
+
 def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """One row per row: key, n_shingles, component_id (smallest key reachable, itself included), kept (key = component_id)."""
     if words < 1 or not 0 < similarity <= 1:
