@@ -60,12 +60,12 @@ def compile_condition(df: DataFrame, c: Condition) -> Column:
         x = num_of(df, c.column)
         if isinstance(df.schema[c.column].dataType, T.NumericType):
             x = col(c.column)  # bare, so that the comparison reaches the scan
-        return F.coalesce(getattr(x, NUMERIC[c.operator])(F.lit(_number(c.value))), F.lit(False))
+        return getattr(x, NUMERIC[c.operator])(F.lit(_number(c.value)))
     text, value = text_of(df, c.column), c.value
     if c.operator == "regex":
         return text.rlike(java_regex(value, c.case_sensitive))
     if c.operator == "equals" and c.case_sensitive and value and isinstance(df.schema[c.column].dataType, T.StringType):
-        return F.coalesce(col(c.column) == value, F.lit(False))
+        return col(c.column) == value
     if not c.case_sensitive:
         text, value = F.lower(text), value.lower()
     if c.operator in ("equals", "notEquals"):
@@ -80,6 +80,7 @@ def compile_condition(df: DataFrame, c: Condition) -> Column:
 
 
 def compile_filter(df: DataFrame, spec: Condition | Group) -> Column:
+    """The spec as a condition; null where a comparison has nothing to compare, which a filter takes as false. There is no negation over it, and bare comparisons reach the scan."""
     if isinstance(spec, Condition):
         return compile_condition(df, spec)
     if spec.op not in ("and", "or"):

@@ -102,8 +102,11 @@ def value_labels(values: DataFrame) -> DataFrame:
     safe = F.trim(F.regexp_replace(safe, r"[. ]+\z", ""))
     safe = F.when(safe == "", "(blank)").when(F.upper(safe).isin(*RESERVED), F.concat(F.lit("_"), safe)).otherwise(safe)
     own = values.filter(F.col("value").isNotNull()).withColumn("_safe", safe)
-    rank = F.row_number().over(Window.partitionBy(F.lower("_safe")).orderBy("value"))
-    return own.withColumn("_k", rank).select("value", F.when(F.col("_k") == 1, F.col("_safe")).otherwise(F.concat("_safe", F.lit("-"), F.col("_k"))).alias("label"))
+    first = own.withColumn("_k", F.row_number().over(Window.partitionBy(F.lower("_safe")).orderBy("value")))
+    numbered = first.withColumn("_label", F.when(F.col("_k") == 1, F.col("_safe")).otherwise(F.concat("_safe", F.lit("-"), F.col("_k"))))
+    # a numbered label may be another value's own; then the value's digest tells them apart
+    again = F.row_number().over(Window.partitionBy(F.lower("_label")).orderBy("_k", "value"))
+    return numbered.withColumn("_again", again).select("value", F.when(F.col("_again") == 1, F.col("_label")).otherwise(F.concat("_label", F.lit("-"), F.substring(F.sha2("value", 256), 1, 12))).alias("label"))
 
 
 def manifest(spark: SparkSession, path: str, options: Export = Export()) -> DataFrame:
