@@ -6,7 +6,7 @@ associatively, the state before each code point comes from a blocked scan over i
 boundaries are dictionary-encoded by Arrow, so pair merging runs once per distinct slice and is cached.
 
 Nulls count as empty texts and encode to no ids. Texts of any length are worked on whole. Rows keep their other
-columns; a column that an output would clash with is an error that names it.
+columns; an output takes the place of a column of its name.
 """
 
 from __future__ import annotations
@@ -23,10 +23,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 import public_tokenizers
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.llm.common import chunks, flat, strings
+from tabwright.llm.common import chunks, flat, read, replacing, strings
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The white space of \s, and the endings that the pattern splits off after an apostrophe.
@@ -312,11 +311,9 @@ def default_ranks() -> str:
     return public_tokenizers.path(RANKS)
 
 
-def _appended(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
-    clash = {f.name.lower() for f in fields} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
-    return T.StructType([*df.schema.fields, *fields])
+def _appended(df: DataFrame, fields: list[T.StructField]) -> tuple[DataFrame, T.StructType]:
+    df = replacing(df, [f.name for f in fields])
+    return df, T.StructType([*df.schema.fields, *fields])
 
 
 def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch:
@@ -326,7 +323,7 @@ def _with(batch: pa.RecordBatch, columns: dict[str, pa.Array]) -> pa.RecordBatch
 def encode(df: DataFrame, text: str = "text", ranks: str | None = None, ids: str = "ids", offsets: str = "offsets") -> DataFrame:
     """Adds ``ids`` (token ids) and ``offsets`` (the byte in the UTF-8 text at which each token ends)."""
     path = ranks or default_ranks()
-    schema = _appended(df, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(offsets, T.ArrayType(T.LongType()))])
+    df, schema = _appended(df, [T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(offsets, T.ArrayType(T.LongType()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
@@ -355,7 +352,8 @@ def decode(df: DataFrame, ids: str = "ids", ranks: str | None = None, out: str =
             texts = own.decode(lists.flatten(), np.append(0, sizes.cumsum()).astype(np.int64))
             yield _with(batch, {out: pa.array([bytes(x) for x in texts], pa.binary())})
 
-    return df.mapInArrow(run, _appended(df, [T.StructField(out, T.BinaryType())]))
+    df, schema = _appended(df, [T.StructField(out, T.BinaryType())])
+    return df.mapInArrow(run, schema)
 
 
 def encode_digest(df: DataFrame, text: str = "text", ranks: str | None = None) -> DataFrame:
@@ -364,7 +362,7 @@ def encode_digest(df: DataFrame, text: str = "text", ranks: str | None = None) -
     Adds n_tokens long, ids_sha256 and decoded_sha256 (hex of the decimal ids joined by commas, and of the decoded bytes).
     """
     path = ranks or default_ranks()
-    schema = _appended(df, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    df, schema = _appended(df, [T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
@@ -380,6 +378,4 @@ def encode_digest(df: DataFrame, text: str = "text", ranks: str | None = None) -
 
 
 def op2_bpe_roundtrip(spark, sf_dir: str) -> DataFrame:
-    from tabwright.llm.common import read
-
     return encode_digest(read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import read
+from tabwright.llm.common import read, replacing
 
 #: A content part. width, height (pixels), seconds and pages are of images, audio and documents.
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
@@ -75,10 +75,8 @@ def visit(parts: Column) -> tuple[Column, Column]:
 
 
 def format_turns(df: DataFrame, role: str = "role", parts: str = "parts") -> DataFrame:
-    """Adds formatted (the turn's text), attachments and attachment_tokens."""
-    clash = {"formatted", "attachments", "attachment_tokens"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    """Adds formatted (the turn's text), attachments and attachment_tokens, in the place of columns of these names."""
+    df = replacing(df, ["formatted", "attachments", "attachment_tokens"])
     content, attachments = visit(F.col(parts))
     formatted = F.concat(F.lit("<s>[INST] "), escape(F.col(role)), F.lit(" [/INST]"), content, F.lit("</s>"))
     return df.withColumns({"formatted": formatted, "attachments": attachments}).withColumn("attachment_tokens", F.aggregate("attachments", F.lit(0).cast("long"), lambda s, a: s + a["tokens"]))

@@ -9,9 +9,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A table of row ids (8 to 24 bytes a row) is broadcast up to this many rows, and shuffled beyond it.
-BROADCAST_ROWS = 1 << 21
+#: A side table is broadcast if its values come to at most so many bytes, which is measured; else the join is shuffled.
+BROADCAST_BYTES = 48 << 20
 #: UTF-8 bytes that a Python task works on at a time; one longer text makes a chunk of its own.
 CHUNK_BYTES = 4 << 20
 
@@ -36,9 +37,34 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sized(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` (already saved), marked for broadcast if its row count, which is taken here, is within the bound."""
-    return F.broadcast(df) if df.count() <= most else df
+def sized(df: DataFrame, most: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` (already saved), marked for broadcast if it is within the bound; an aggregate over it measures that."""
+    total = F.count(F.lit(1)) * (16 * len(df.columns))
+    for field in df.schema.fields:
+        if isinstance(field.dataType, T.ArrayType):
+            total = total + F.coalesce(F.sum(F.greatest(F.size(field.name), F.lit(0))), F.lit(0)) * (24 if isinstance(field.dataType.elementType, T.StructType) else 8)
+        elif isinstance(field.dataType, (T.StringType, T.BinaryType)):
+            total = total + F.coalesce(F.sum(F.octet_length(field.name)), F.lit(0))
+    return F.broadcast(df) if df.agg(total).first()[0] <= most else df
+
+
+def replacing(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` without the columns whose place an operator's own output columns take."""
+    taken = {n.lower() for n in names}
+    return df.drop(*[F.col(f"`{c}`") for c in df.columns if c.lower() in taken])
+
+
+def packed(df: DataFrame, without: list[str]):
+    """All columns but some as one struct, so that their names can't meet an operator's own; ``unpacked`` gives them back."""
+    keep = [F.col(f"`{c}`") for c in df.columns if c not in without]
+    return F.struct(*keep) if keep else F.struct(F.lit(0).alias("_none"))
+
+
+def unpacked(df: DataFrame, of: DataFrame, without: list[str], made: dict) -> DataFrame:
+    """The columns of ``of`` from the struct ``_keep``, then the made ones, which take the place of columns of their names."""
+    taken = {n.lower() for n in made}
+    kept = [F.col("_keep").getField(c).alias(c) for c in of.columns if c not in without and c.lower() not in taken]
+    return df.select(*kept, *[x.alias(n) for n, x in made.items()])
 
 
 def text_or_empty(name: str = "text"):

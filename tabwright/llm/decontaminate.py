@@ -7,7 +7,7 @@ be built, a byte map over a hash of a window's first two words (first word for o
 windows at positions that pass are compared as whole strings, so hits are exact.
 
 Null and empty texts have no words and no hits; null item ids never count as items, their windows still hit.
-Each input row gives one output row, repeated rows and ids included. Benchmark items without words are ignored; an
+Each input row gives one output row, repeated rows and ids included; outputs take the place of columns of their names. Benchmark items without words are ignored; an
 empty benchmark leaves every document clean.
 """
 
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import read, saved, sized
+from tabwright.llm.common import packed, read, saved, sized, unpacked
 
 WINDOW = 10
 MAP_BITS = 18
@@ -61,15 +61,10 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", win
 
 def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
     """``docs`` without the text, plus n_words, n_hit, items (sorted), spans (array of the first and last hit word of each occurrence, 1-based)."""
-    out = {"n_words", "n_hit", "items", "spans", "_row", "_at", "gram"}
-    clash = out & {c.lower() for c in docs.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
     grams = windows(benchmark, window=window)
     shape = grams.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("length")).alias("lengths"), F.collect_set(F.when(F.col("length") > 1, F.col("place"))).alias("pairs"), F.collect_set(F.when(F.col("length") == 1, F.col("lone"))).alias("lones")).first()
     small = shape["n"] <= BROADCAST_WINDOWS
-    keep = [c for c in docs.columns if c != text]
-    base = docs.select(*keep, words(F.col(text)).alias("_words")).withColumn("_row", F.monotonically_increasing_id())
+    base = docs.select(packed(docs, [text]).alias("_keep"), words(F.col(text)).alias("_words")).withColumn("_row", F.monotonically_increasing_id())
     n = F.size("_words")
 
     def at(places: list[int], place):
@@ -89,31 +84,31 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", win
         "_found",
         F.flatten(F.transform("_spots", lambda i: F.filter(F.transform(F.array(*[F.lit(x) for x in (lengths if shape["n"] else [1])]), lambda k: F.struct(i.alias("at"), k.alias("length"), F.array_join(F.slice("_words", i, k), " ").alias("gram"))), lambda x: x["at"] + x["length"] - 1 <= F.size("_words")))),
     )
-    rows = found.select(*keep, "_row", F.size("_words").cast("long").alias("n_words"), F.explode_outer("_found").alias("_at"))
-    rows = rows.select(*keep, "_row", "n_words", F.col("_at.at").alias("_at"), F.col("_at.length").alias("_length"), F.col("_at.gram").alias("_gram"))
+    rows = found.select("_keep", "_row", F.size("_words").cast("long").alias("n_words"), F.explode_outer("_found").alias("_at"))
+    rows = rows.select("_keep", "_row", "n_words", F.col("_at.at").alias("_at"), F.col("_at.length").alias("_length"), F.col("_at.gram").alias("_gram"))
     table = grams.select(F.col("gram").alias("_gram"), F.col("length").alias("_length"), "items")
     rows = rows.join(F.broadcast(table) if small else table, ["_gram", "_length"], "left")
     hit = F.when(F.col("items").isNotNull(), F.struct(F.col("_at").alias("first"), (F.col("_at") + F.col("_length") - 1).alias("last")))
-    grouped = rows.groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.first("n_words").alias("n_words"), F.sort_array(F.collect_list(hit)).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    grouped = rows.groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("n_words").alias("n_words"), F.sort_array(F.collect_list(hit)).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
-    return grouped.select(*keep, "n_words", n_hit.cast("long").alias("n_hit"), "items", "spans")
+    return unpacked(grouped, docs, [text], {"n_words": F.col("n_words"), "n_hit": n_hit.cast("long"), "items": F.col("items"), "spans": F.col("spans")})
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", most_share: float = 0.0) -> DataFrame:
     """``docs`` without the documents of which more than ``most_share`` of the words is hit; columns as they were. Rows that repeat the key of such a document go with it; rows with a null key stay."""
-    marked = contamination(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), benchmark, "_text")
-    bad = saved(marked.filter(F.col("n_hit") > most_share * F.col("n_words")).select("_key").distinct())
-    return docs.join(sized(bad), docs[key] == F.col("_key"), "left_anti")
+    marked = contamination(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), benchmark, "__text")
+    bad = saved(marked.filter(F.col("n_hit") > most_share * F.col("n_words")).select("__key").distinct())
+    return docs.join(sized(bad), docs[key] == F.col("__key"), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the hit words cut out: of a document with hits, the words left (lower-cased) are joined by one space; the others stay as they are."""
-    marked = contamination(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), benchmark, "_text")
-    hits = saved(marked.filter("n_hit > 0").select("_key", F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))).alias("_hits")).dropDuplicates(["_key"]))
-    found = docs.join(sized(hits), docs[key] == F.col("_key"), "left")
+    marked = contamination(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), benchmark, "__text")
+    hits = saved(marked.filter("n_hit > 0").select("__key", F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))).alias("__hits")).dropDuplicates(["__key"]))
+    found = docs.join(sized(hits), docs[key] == F.col("__key"), "left")
     own = words(F.col(text))
-    left = F.transform(F.array_except(F.sequence(F.lit(1), F.size(own)), "_hits"), lambda i: F.get(own, i - 1))
-    return found.withColumn(text, F.when(F.col("_key").isNull(), F.col(text)).otherwise(F.array_join(left, " "))).select(*docs.columns)
+    left = F.transform(F.array_except(F.sequence(F.lit(1), F.size(own)), "__hits"), lambda i: F.get(own, i - 1))
+    return found.withColumn(text, F.when(F.col("__key").isNull(), F.col(text)).otherwise(F.array_join(left, " "))).select(*docs.columns)
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:

@@ -13,8 +13,6 @@ one group and are all marked kept if it is theirs. Empty tables give empty resul
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame

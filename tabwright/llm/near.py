@@ -245,8 +245,8 @@ def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", word
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``df`` with one row of each group; columns as they were."""
-    lost = near_duplicates(df, key, text, words, similarity).filter("NOT kept").select(F.col(key).alias("_lost")).distinct()
-    return df.join(sized(saved(lost)), df[key] == F.col("_lost"), "left_anti")
+    lost = near_duplicates(df, key, text, words, similarity).filter("NOT kept").select(F.col(key).alias("__lost")).distinct()
+    return df.join(sized(saved(lost)), df[key] == F.col("__lost"), "left_anti")
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.llm.common import chunks, flat, read, saved, strings
+from tabwright.llm.common import chunks, flat, read, replacing, saved, strings
 from tabwright.llm.near import word_hashes
 
 #: Rows of each class (by posterior) that train the scorer, and its hash space. They bound what reaches the driver:
@@ -271,10 +271,8 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int =
 
 
 def classify(df: DataFrame, model: LabelModel, scorer: Scorer, text: str = "text") -> DataFrame:
-    """Adds label_good (posterior of the votes), score (the scorer's chance of good) and keep."""
-    clash = {"label_good", "score", "keep"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    """Adds label_good (posterior of the votes), score (the scorer's chance of good) and keep, in the place of columns of these names."""
+    df = replacing(df, ["label_good", "score", "keep"])
     schema = T.StructType([*df.schema.fields, T.StructField("label_good", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("keep", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,8 @@ c * log2(c) are updated by the character that enters and the one that leaves, wh
 window. The stretch from the first to the last window above the class's threshold is a span, unless the candidate is
 allow-listed. Base spans always stay.
 
-Places are code points, ends exclusive. Null texts count as empty and have no spans. One output row per input row.
+Places are code points, ends exclusive. Null texts count as empty and have no spans. One output row per input row; outputs take the place of columns of
+their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import read, sha
+from tabwright.llm.common import packed, read, sha, unpacked
 
 #: The base patterns, the group whose length counts, and the least length.
 BASE = {
@@ -90,11 +91,7 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
     ``base`` holds the pattern spans alone, ``spans`` also the entropy spans.
     """
-    clash = {"base", "spans", "_row"} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
-    keep = [c for c in df.columns if c != text]
-    whole = df.withColumn("_row", F.monotonically_increasing_id()).withColumn(text, F.coalesce(F.col(text), F.lit("")))
+    whole = df.select(packed(df, [text]).alias("_keep"), F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(text), F.lit("")).alias(text))
     kinds = [*BASE, *ENTROPY]
 
     def span(kind: str):
@@ -118,8 +115,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     for kind, (pattern, window, least) in ENTROPY.items():
         found = F.filter(_some(F.col(text), pattern, _matches(F.col(text), pattern, 1)), lambda x: ~x["value"].rlike(ALLOWED))
         candidates.append(F.transform(found, candidate(kind)))
-    rows = whole.select(*keep, "_row", F.sort_array(F.concat(*base)).alias("base"), F.explode_outer(F.concat(*candidates)).alias("_c"))
-    rows = rows.select(*keep, "_row", "base", F.col("_c.kind").alias("_kind"), F.col("_c.start").alias("_start"), F.col("_c.value").alias("_value"))
+    rows = whole.select("_keep", "_row", F.sort_array(F.concat(*base)).alias("base"), F.explode_outer(F.concat(*candidates)).alias("_c"))
+    rows = rows.select("_keep", "_row", "base", F.col("_c.kind").alias("_kind"), F.col("_c.start").alias("_start"), F.col("_c.value").alias("_value"))
     hot = F.lit(None).cast("struct<first:int,last:int>")
     rows = rows.withColumn("_codes", F.transform(F.split("_value", ""), lambda c: F.ascii(c)))
     for kind, (_, window, least) in ENTROPY.items():
@@ -129,8 +126,8 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
     rank = F.when(F.col("_kind") == "entropy_hex", kinds.index("entropy_hex")).otherwise(kinds.index("entropy_base64"))
     rows = rows.withColumn("_hot", hot)
     extra = F.when(F.col("_hot.first").isNotNull(), F.struct((F.col("_start") + F.col("_hot.first")).alias("start"), rank.alias("rank"), (F.col("_start") + F.col("_hot.last")).alias("end"), F.col("_kind").alias("kind")))
-    grouped = rows.select(*keep, "_row", "base", extra.alias("_extra")).groupBy("_row").agg(*[F.first(c).alias(c) for c in keep], F.first("base").alias("base"), F.collect_list("_extra").alias("_extra"))
-    return grouped.select(*keep, "base", F.sort_array(F.concat("base", "_extra")).alias("spans"))
+    grouped = rows.select("_keep", "_row", "base", extra.alias("_extra")).groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("base").alias("base"), F.collect_list("_extra").alias("_extra"))
+    return unpacked(grouped, df, [text], {"base": F.col("base"), "spans": F.sort_array(F.concat("base", "_extra"))})
 
 
 def joined(spans: Column) -> Column:
@@ -139,7 +136,7 @@ def joined(spans: Column) -> Column:
 
 def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFrame:
     """Each span replaced by ``mark``, overlapping spans as one. Other columns stay; null texts become empty."""
-    found = scan(df.withColumn("_own", F.col(text)), text)
+    found = scan(df.withColumn("__own", F.col(text)), text)
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
     cut = F.aggregate(
         "spans",
@@ -147,12 +144,12 @@ def redact(df: DataFrame, text: str = "text", mark: str = "[secret]") -> DataFra
         lambda s, x: F.when(x["end"] <= s["at"], s).otherwise(
             F.struct(
                 x["end"].alias("at"),
-                F.when(x["start"] < s["at"], s["parts"]).otherwise(F.concat(s["parts"], F.array(F.substring(F.coalesce(F.col("_own"), F.lit("")), s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))).alias("parts"),
+                F.when(x["start"] < s["at"], s["parts"]).otherwise(F.concat(s["parts"], F.array(F.substring(F.coalesce(F.col("__own"), F.lit("")), s["at"] + 1, x["start"] - s["at"]), F.lit(mark)))).alias("parts"),
             )
         ),
-        lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.coalesce(F.col("_own"), F.lit("")), s["at"] + 1, F.lit(2**31 - 1))),
+        lambda s: F.concat(F.array_join(s["parts"], ""), F.substring(F.coalesce(F.col("__own"), F.lit("")), s["at"] + 1, F.lit(2**31 - 1))),
     )
-    return found.withColumn(text, cut).select(*df.columns)
+    return found.withColumn("__cut", cut).select(*[F.col("__cut").alias(c) if c == text else F.col(f"`{c}`") for c in df.columns if c == text or c in found.columns])
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ don't depend on what stands before, so the count is the one of encoding the whol
 
 Edits are (at, drop, put): from code point ``at`` on, ``drop`` code points go and ``put`` comes; later edits of a
 document see the text that earlier ones made. Places past the end count as the end; null fields as 0 or empty. Null
-texts count as empty; null or empty edit lists change nothing. An edit log's rows for unknown documents are ignored.
+texts count as empty; null or empty edit lists change nothing. Outputs take the place of columns of their names. An edit log's rows for unknown documents are ignored.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.llm.bpe import Tokenizer, default_ranks, pretokens, tokenizer
-from tabwright.llm.common import chunks, flat, read, strings
+from tabwright.llm.common import chunks, flat, read, replacing, strings
 
 #: Pieces of a block when a tree is built; pieces after an edit with which a boundary is first looked for.
 BLOCK, REACH = 64, 8
@@ -207,9 +207,7 @@ def count_edited(df: DataFrame, text: str = "text", edits: str = "edits", ranks:
     """
     path = ranks or default_ranks()
     fields = [T.StructField(n, t) for n, t in COUNTED] + ([T.StructField(edited, T.StringType())] if edited else [])
-    clash = {f.name.lower() for f in fields} & {c.lower() for c in df.columns}
-    if clash:
-        raise ValueError(f"columns {sorted(clash)} are there already")
+    df = replacing(df, [f.name for f in fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = tokenizer(path)
