@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.cells import any_of, blank_of, col, num_of, require, strip, text_of, unique
@@ -81,15 +81,25 @@ def aggregate(df: DataFrame, a: Aggregate, row: Column | None, approximate: bool
         return F.percentile_approx(x, 0.5) if approximate else F.percentile(x, 0.5)
     if a.function in ("first", "last"):
         return (F.min_by if a.function == "first" else F.max_by)(col(a.column), row)
-    kept = F.collect_list(F.when(~empty, F.struct(row.alias("row"), strip(text).alias("text"))))
-    said = F.transform(F.array_sort(kept), lambda v: v["text"])
+    raise AssertionError(f"{a.function} has a pass of its own")
+
+
+def _concat(rows: DataFrame, keys: list[str], a: Aggregate, df: DataFrame, row: Column, name: str) -> DataFrame:
+    """keys, ``name``: values in row order. As a result is capped, no more values than it has bytes are ever gathered: a salted rank cuts a group's parts first, so a group of any size is never in one task."""
+    require(df, [a.column])
+    most = a.max_bytes + 1
+    solid = rows.filter(~blank_of(df, a.column)).select(*keys, row.alias("_row_"), strip(text_of(df, a.column)).alias("_text_"))
     if a.function == "concatDistinct":
-        said = F.array_distinct(said)  # keeps the first of equal values
-    return capped(F.array_join(said, a.separator), a.max_bytes)
+        solid = solid.groupBy(*keys, "_text_").agg(F.min("_row_").alias("_row_"))
+    salted = solid.withColumn("_salt_", F.pmod(F.xxhash64("_row_"), F.lit(32)))
+    for by in ([*keys, "_salt_"], keys):
+        salted = salted.withColumn("_rank_", F.row_number().over(Window.partitionBy(*by).orderBy("_row_"))).filter(F.col("_rank_") <= most)
+    said = F.transform(F.array_sort(F.collect_list(F.struct("_row_", "_text_"))), lambda v: v["_text_"])
+    return salted.groupBy(*keys).agg(capped(F.array_join(said, a.separator), a.max_bytes).alias(name))
 
 
 def group_by(df: DataFrame, spec: GroupBy) -> DataFrame:
-    """One row per group: keys, then aggregates. ``concat`` gathers a group's values in one place, as its result needs."""
+    """One row per group: keys, then aggregates."""
     require(df, spec.keys)
     if not spec.keys:
         raise ValueError("a group-by needs a key")
@@ -100,15 +110,19 @@ def group_by(df: DataFrame, spec: GroupBy) -> DataFrame:
         rows = rows.filter(~any_of([blank_of(df, k) for k in spec.keys]))
     ordered = spec.normalise or spec.order == "firstSeen" or any(a.function in ORDERED for a in spec.aggregates)
     row = _row(spec) if ordered else None
-    made = [aggregate(df, a, row, spec.approximate).alias(n) for a, n in zip(spec.aggregates, _names(spec))]
-    extra = [F.count(F.lit(1)).alias("_n")] + ([F.min(row).alias("_seen")] if spec.order == "firstSeen" else [])
-    if spec.normalise:
-        groups = [F.lower(strip(text_of(df, k))).alias(f"_g{i}") for i, k in enumerate(spec.keys)]
-        shown = F.min_by(F.struct(*[text_of(df, k).alias(f"k{i}") for i, k in enumerate(spec.keys)]), row).alias("_shown")
-        out = rows.groupBy(*groups).agg(shown, *made, *extra)
-        out = out.select(*[F.col(f"_shown.k{i}").alias(k) for i, k in enumerate(spec.keys)], *[col(n) for n in _names(spec)], *[c for c in ("_n", "_seen") if c in out.columns])
-    else:
-        out = rows.groupBy(*[col(k) for k in spec.keys]).agg(*made, *extra)
+    names = _names(spec)
+    keys = [f"_g{i}" for i in range(len(spec.keys))]
+    rows = rows.withColumns({g: F.lower(strip(text_of(df, k))) if spec.normalise else col(k) for g, k in zip(keys, spec.keys)})
+    made = [aggregate(df, a, row, spec.approximate).alias(n) for a, n in zip(spec.aggregates, names) if not a.function.startswith("concat")]
+    shown = F.min_by(F.struct(*[text_of(df, k).alias(f"k{i}") for i, k in enumerate(spec.keys)]), row) if spec.normalise else F.first(F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(spec.keys)]))
+    extra = [F.count(F.lit(1)).alias("_n"), shown.alias("_shown")] + ([F.min(row).alias("_seen")] if spec.order == "firstSeen" else [])
+    out = rows.groupBy(*keys).agg(*made, *extra)
+    for a, n in zip(spec.aggregates, names):
+        if a.function.startswith("concat"):
+            own = _concat(rows, keys, a, df, row, n).select(*[F.col(g).alias(f"{g}_of") for g in keys], col(n))
+            on = [F.col(g).eqNullSafe(F.col(f"{g}_of")) for g in keys]
+            out = out.join(own, on, "left").drop(*[f"{g}_of" for g in keys]).withColumn(n, F.coalesce(col(n), F.lit("")))
+    out = out.select(*[F.col(f"_shown.k{i}").alias(k) for i, k in enumerate(spec.keys)], *[col(n) for n in names], *[c for c in ("_n", "_seen") if c in out.columns])
     by = [col(k) for k in spec.keys]
     order = {"key": by, "countDesc": [F.col("_n").desc(), *by], "firstSeen": [F.col("_seen")]}[spec.order]
     return out.orderBy(*order).drop("_n", "_seen")
