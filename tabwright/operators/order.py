@@ -6,7 +6,9 @@ summary row each, whose running totals are broadcast back.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import tempfile
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.cells import unique
@@ -23,9 +25,17 @@ def ordered_parts(df: DataFrame, order_by: list[Column | str]) -> DataFrame:
     return persisted(placed)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder, which all executors share; where none is set (tests) a local one is made."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+    return spark.sparkContext.getCheckpointDir()
+
+
 def persisted(df: DataFrame) -> DataFrame:
-    """Through the shared checkpoint folder where one is set, so that lost executors don't change the parts; else in Spark's cache."""
-    return df.checkpoint(eager=True) if df.sparkSession.sparkContext.getCheckpointDir() else df.persist()
+    """Saved in the shared folder, so that lost executors change nothing."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def running(parts: DataFrame, totals: list[Column]) -> DataFrame:

@@ -33,6 +33,13 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str], attribute: str = "
     return out.filter(~blank(col(value).cast("string"))) if omit_blanks else out
 
 
+def unpivot_preview(df: DataFrame, values: list[str]) -> DataFrame:
+    """One row: rows that an unpivot would give, and how many of them are blank."""
+    require(df, values)
+    blanks = sum((F.when(blank(col(v).cast("string")), 1).otherwise(0) for v in values), F.lit(0))
+    return df.agg((F.count(F.lit(1)) * len(values)).alias("rows"), F.coalesce(F.sum(blanks), F.lit(0)).cast("long").alias("blanks"))
+
+
 @dataclass(frozen=True)
 class Pivot:
     keys: tuple[str, ...]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +13,10 @@ from tabwright.functions.cells import class_of, date, num, strip
 from tabwright.operators import append, cluster, compare, dedup, diagnose, filters, find, grouping, joins, outlier, pii, profile, project, repair, reshape, rules, semantic, sort, transform
 from tabwright.operators.filters import Condition, Group
 from tabwright.operators.grouping import Aggregate, GroupBy
-from tabwright.operators.order import with_position, with_running_sum
-from tabwright.sources import export
+from tabwright.operators.order import shared_folder, with_position, with_running_sum
+from tabwright.plans import recipe
+from tabwright.sources import delimited, export
+from tabwright.streaming import follow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -670,3 +673,50 @@ def encoding_check(spark, d):
 @query("SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS text FROM documents")
 def strip_cells(spark, d):
     return read(spark, d, "documents").select("doc_id", strip(F.col("text")).alias("text"))
+
+
+# --- A, N, O: files, streams, recipes over tables that Spark writes out first -----------------------------------------
+
+
+def _as_files(spark, df: DataFrame, files: int, **options) -> str:
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    export.write_delimited(df.repartition(files), path, export.Export(**options))
+    return path
+
+
+@query("SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents")
+def csv_round_trip(spark, d):
+    path = _as_files(spark, read(spark, d, "documents").select("doc_id", "text", "lang"), 3)
+    return delimited.read_delimited(spark, path, delimited.Dialect(multi_line=True), width=3)
+
+
+@query("SELECT CAST(3 AS INTEGER) AS expected, count(*) + 4 AS records, CAST(0 AS BIGINT) AS ragged FROM customer")
+def ragged_report(spark, d):
+    path = _as_files(spark, read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), 4, quote="always", delimiter=";")
+    return delimited.ragged_report(spark, path, delimited.Dialect(delimiter=";"))
+
+
+@query("SELECT ';' AS delimiter, CAST(4 AS BIGINT) AS files")
+def infer_delimiters(spark, d):
+    path = _as_files(spark, read(spark, d, "part").select("p_partkey", "p_name", "p_brand"), 4, delimiter=";")
+    return delimited.infer_delimiters(spark, path).groupBy("delimiter").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events WHERE event_type <> 'view'")
+def follow_files(spark, d):
+    path = _as_files(spark, read(spark, d, "events").select("event_id", "event_type"), 5)
+    where = [f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("out", "state", "aside", "alerts")]
+    stream = follow.follow(spark, path, ["event_id", "event_type"], spec=Condition("event_type", "notEquals", "view"), max_files=2)
+    follow.start(stream, *where, available_now=True).awaitTermination()
+    return spark.read.parquet(where[0]).select("event_id", "event_type")
+
+
+@query("SELECT DISTINCT upper(p_name) AS p_name FROM part WHERE p_size > 10")
+def recipe_run(spark, d):
+    path = _as_files(spark, read(spark, d, "part").select("p_partkey", "p_name", "p_size"), 3)
+    steps = ({"kind": "filter", "filter": {"column": "p_size", "operator": "gt", "value": "10"}}, {"kind": "transform", "transform": "uppercase", "columns": ["p_name"]}, {"kind": "deduplicate", "columns": ["p_name"]}, {"kind": "selectColumns", "columns": ["p_name"]}, {"kind": "export"})
+    out = f"{shared_folder(spark)}/recipe-{uuid.uuid4().hex}"
+    report = recipe.run_recipe(spark, recipe.Recipe("names", steps), [path], out).first()
+    if report["status"] != "ok":
+        raise ValueError(report["message"])
+    return delimited.read_delimited(spark, report["output"], width=1)

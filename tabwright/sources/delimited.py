@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.cells import col, num, strip, uniquified
+from tabwright.operators.order import with_position
 
 #: Delimiters that are tried, in order of preference; windows-1252 code points 0x80 to 0x9F (blank: not used).
 DELIMITERS = (",", "\t", ";", "|")
 CP1252 = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"
 SAMPLE_LINES = 50
-ROW, FILE = "_row", "_file"
+ROW, FILE, RECORD = "_row", "_file", "_record"
 #: A text that no file holds, so that no cell is taken for null.
 NO_NULL = "\x00\x01null\x01\x00"
 
@@ -90,14 +91,20 @@ def widest(spark: SparkSession, paths: str | list[str], dialect: Dialect) -> int
     return field_counts(spark, paths, dialect).agg(F.max("fields")).first()[0] or 1
 
 
-def read_delimited(spark: SparkSession, paths: str | list[str], dialect: Dialect = Dialect(), width: int | None = None, keep_row: bool = False) -> DataFrame:
+def read_delimited(spark: SparkSession, paths: str | list[str], dialect: Dialect = Dialect(), width: int | None = None, keep_row: bool = False, record_numbers: bool = False) -> DataFrame:
     """All cells as text; short records are padded with empty cells, up to the widest record. Fully empty lines don't count.
 
     Headers come from the first file's header rows (joined, blanks skipped, made unique); without any they are
-    ``Column 1..n``. ``keep_row`` keeps _file and _row. Only header rows reach the driver.
+    ``Column 1..n``. ``keep_row`` keeps _file and _row; ``record_numbers`` adds
+    _record, the number of each record in its file (from 1, counted before any are skipped). Only header rows reach the
+    driver.
     """
     width = width or widest(spark, paths, dialect)
     rows = raw_records(spark, paths, dialect, width)
+    if record_numbers:
+        placed = with_position(rows, [ROW], "_at")
+        starts = placed.groupBy(FILE).agg(F.min("_at").alias("_from"))
+        rows = placed.join(starts, FILE).withColumn(RECORD, F.col("_at") - F.col("_from") + 1).drop("_at", "_from")
     first, last = dialect.skip_first, dialect.skip_last
     cells = [f"c{i}" for i in range(width)]
     names = [f"Column {i + 1}" for i in range(width)]
@@ -117,7 +124,7 @@ def read_delimited(spark: SparkSession, paths: str | list[str], dialect: Dialect
             found = found.join(F.broadcast(tail), FILE).filter(F.col(ROW) < F.col("_edge")).drop("_edge")
         rows = found
     out = [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in zip(cells, names)]
-    return rows.select(*out, *([FILE, ROW] if keep_row else []))
+    return rows.select(*out, *([FILE, ROW] if keep_row else []), *([RECORD] if record_numbers else []))
 
 
 def _ends(rows: DataFrame, n: int, start: bool) -> DataFrame:

@@ -27,6 +27,8 @@ def read(spark, path, rows=None, **options):
 def test_dialects(spark, tmp_path):
     p = put(tmp_path / "a.csv", "# metadata line\nExported by tool v3\nid,name\n1,ann\n2,bob\nTOTAL,2")
     assert read(spark, p, skip_first=2, skip_last=1) == (["id", "name"], [("1", "ann"), ("2", "bob")])
+    numbered = src.read_delimited(spark, p, Dialect(skip_first=2, skip_last=1), record_numbers=True)
+    assert sorted((r["id"], r["_record"]) for r in numbered.collect()) == [("1", 4), ("2", 5)]
     p = put(tmp_path / "b.csv", "Amount,Amount,Name\nNet,Gross,\n1,2,ann")
     assert read(spark, p, header_rows=2) == (["Amount Net", "Amount Gross", "Name"], [("1", "2", "ann")])
     p = put(tmp_path / "c.csv", 'id,note\n# a comment line\n1,"#not a comment"')
