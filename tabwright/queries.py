@@ -14,7 +14,7 @@ from tabwright.operators import append, cluster, compare, dedup, diagnose, filte
 from tabwright.operators.filters import Condition, Group
 from tabwright.operators.grouping import Aggregate, GroupBy
 from tabwright.operators.order import shared_folder, with_position, with_running_sum
-from tabwright.plans import recipe
+from tabwright.plans import recipe, views
 from tabwright.sources import delimited, export
 from tabwright.streaming import follow
 
@@ -720,3 +720,98 @@ def recipe_run(spark, d):
     if report["status"] != "ok":
         raise ValueError(report["message"])
     return delimited.read_delimited(spark, report["output"], width=1)
+
+
+# --- more of the same operators' options ------------------------------------------------------------------------------
+
+_TYPES = ("click", "error", "purchase", "signup", "view")
+
+
+@query(_PIVOT.format(", ".join(f"arg_min(value, event_id) FILTER (event_type = '{t}') AS \"{t}\"" for t in _TYPES)))
+def pivot_first(spark, d):
+    return reshape.pivot(read(spark, d, "events"), reshape.Pivot(("user_id",), "event_type", "value", "first", order_by=("event_id",)))
+
+
+@query(_PIVOT.format(", ".join(f"round(median(value) FILTER (event_type = '{t}'), 4) AS \"{t}\"" for t in _TYPES)))
+def pivot_median(spark, d):
+    out = reshape.pivot(read(spark, d, "events"), reshape.Pivot(("user_id",), "event_type", "value", "median"))
+    return rounded(out, *[c for c in out.columns if c != "user_id"])
+
+
+@query("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0")
+def join_folded_keys(spark, d):
+    """Keys that differ in case and in white space around them."""
+    left = read(spark, d, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", F.concat(F.lit(" CUST-"), F.col("o_custkey")).alias("k"))
+    right = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("cust-"), F.col("c_custkey"), F.lit("\t")).alias("k"))
+    return joins.join_tables(left, right, joins.JoinSpec((("k", "k"),), case_insensitive=True, right_columns=("c_custkey",))).select("o_orderkey", "c_custkey")
+
+
+@query("SELECT o.o_orderkey, x.o_orderkey AS same_day FROM orders o JOIN orders x ON date_trunc('day', o.o_orderdate) = date_trunc('day', x.o_orderdate) WHERE x.o_orderkey % 500 = 0")
+def join_on_dates(spark, d):
+    """Days that are written in two ways."""
+    orders = read(spark, d, "orders")
+    left = orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    right = orders.filter("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("same_day"), F.date_format("o_orderdate", "M/d/yyyy").alias("day"))
+    return joins.join_tables(left, right, joins.JoinSpec((("day", "day"),), date_equal=True, right_columns=("same_day",))).select("o_orderkey", "same_day")
+
+
+@query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS status, count(*) AS records FROM orders GROUP BY 1")
+def compare_equivalence(spark, d):
+    """Numbers, dates, case and white space written in two ways are equal; every fifth number isn't."""
+    k, orders = F.col("o_orderkey"), read(spark, d, "orders")
+    old = orders.select("o_orderkey", F.col("o_custkey").cast("string").alias("n"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("t"), F.col("o_orderpriority").alias("p"))
+    new = orders.select("o_orderkey", F.concat((F.col("o_custkey") + F.when(k % 5 == 0, 1).otherwise(0)).cast("string"), F.lit(".0")).alias("n"), F.date_format("o_orderdate", "MM/dd/yyyy").alias("t"), F.concat(F.lit("  "), F.lower("o_orderpriority")).alias("p"))
+    spec = compare.Compare(("o_orderkey",), ("o_orderkey",), tuple((c, c) for c in old.columns), trim=True, case_insensitive=True, numeric_equal=True, date_equal=True)
+    return compare.compare_tables(old, new, spec).summary
+
+
+@query("SELECT c_custkey, lpad(CAST(CAST(floor((sum(length(c_name) + length(CAST(c_custkey AS VARCHAR)) + 3) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) - 1) / 4096) AS INTEGER) + 1 AS VARCHAR), 3, '0') AS part FROM customer")
+def split_by_bytes(spark, d):
+    return export.split_labels(read(spark, d, "customer").select("c_custkey", "c_name"), export.Split("bytes", 4096), ["c_custkey"]).select("c_custkey", "part")
+
+
+@query("SELECT 'o_orderpriority' AS \"column\", count(*) FILTER (o_orderpriority IN ('1-URGENT', '5-LOW')) AS tokens FROM orders UNION ALL SELECT 'o_orderstatus', count(*) FILTER (o_orderstatus = 'P') FROM orders")
+def null_tokens(spark, d):
+    return delimited.null_token_counts(read(spark, d, "orders").select("o_orderpriority", "o_orderstatus"), ["1-URGENT ", "5-LOW", "P"])
+
+
+@query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 200")
+def named_view(spark, d):
+    text = '{"name": "finished", "filter": {"column": "o_orderstatus", "operator": "equals", "value": "f"}, "sort": [{"column": "o_totalprice", "descending": true}, {"column": "gone"}], "layout": {"hidden": ["o_custkey", "o_orderstatus", "o_orderdate"], "pinned": ["o_orderpriority"]}}'
+    return views.apply_view(read(spark, d, "orders"), views.load_view(text), ["o_orderkey"]).df.limit(200)
+
+
+@query("SELECT count(*) AS rows, CAST(4 AS BIGINT) AS files FROM supplier")
+def export_manifest(spark, d):
+    path = _as_files(spark, read(spark, d, "supplier"), 4)
+    listed = export.manifest(spark, path)
+    return listed.agg(F.sum("rows").alias("rows"), F.count(F.when(F.length("sha256") == 64, 1)).alias("files"))
+
+
+@query("SELECT event_id FROM events WHERE NOT (event_id % 3 = 0 AND event_id % 2 = 0)")
+def remove_blank_rows(spark, d):
+    events = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("a"), F.when(F.col("event_id") % 2 != 0, F.col("value")).alias("b"))
+    return repair.remove_blank_rows(events, ["a", "b"], 1.0).select("event_id")
+
+
+@query("SELECT 'v' AS \"column\", count(*) FILTER (event_id % 3 <> 0) AS filled, CAST(0 AS BIGINT) AS still_blank, CAST(0 AS BIGINT) AS invalid_numeric FROM events")
+def repair_report(spark, d):
+    before = _holes(spark, d)
+    return repair.repair_report(before, repair.repair(before, repair.Repair("fillMedian", ("v",))), ["v"], "event_id")
+
+
+@query("SELECT page_id, lower(url) AS url FROM pages")
+def semantic_action(spark, d):
+    pages = read(spark, d, "pages").select("page_id", F.concat(F.lit(" "), F.lower("url"), F.lit(" ")).alias("url"))
+    return semantic.semantic_action(pages, "url", "url", "normalize")
+
+
+@query("SELECT event_id FROM events WHERE event_id >= (SELECT event_id FROM events ORDER BY event_id LIMIT 1 OFFSET 7000)")
+def rows_from(spark, d):
+    return project.rows_from(read(spark, d, "events").select("event_id"), ["event_id"], 7000)
+
+
+@query("SELECT p_partkey, p_type AS kind, upper(p_type) AS loud FROM part")
+def replace_columns(spark, d):
+    part = read(spark, d, "part").select("p_partkey", "p_type", "p_brand")
+    return project.replace_columns(part, 1, 2, {"kind": F.col("p_type"), "loud": F.upper("p_type")})
