@@ -14,6 +14,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import cache, cached_property, lru_cache
@@ -25,7 +26,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tabwright.llm.common import chunks, flat, read, replacing, strings
+from tabwright.llm.common import CHUNK_BYTES, chunks, flat, read, replacing, strings, tidy
 
 RANKS = "byte_bpe_multi_50k.tiktoken"
 #: The white space of \s, and the endings that the pattern splits off after an apostrophe.
@@ -35,6 +36,8 @@ ENDINGS = ("s", "t", "re", "ve", "m", "ll", "d")
 #: The rank of a pair that makes no token.
 NONE = np.int32(2**31 - 1)
 
+_INT = struct.Struct("<i").pack
+
 LETTER, NUMBER, OTHER, ENDING1, ENDING2, INNER, PREFIX, LAST = range(8)
 FRESH, IN_LETTERS, IN_NUMBERS, IN_OTHERS, IN_SPACES, AFTER_PREFIX, ONE_MORE, TWO_MORE = range(8)
 
@@ -156,7 +159,7 @@ def pretokens(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 class Tokenizer:
     """Encodes slices by ranks; decodes ids by the same table."""
 
-    def __init__(self, path: str, most_cached: int = 400_000):
+    def __init__(self, path: str, most_cached: int = 200_000):
         with open(path, "rb") as file:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
         self.size = max(self.ranks.values()) + 1
@@ -165,7 +168,8 @@ class Tokenizer:
             table[rank] = token
         self.bytes = pa.array(table, pa.large_binary())
         self.decimals = pa.array([b"%d," % i for i in range(self.size)], pa.large_binary())
-        self.cached: dict[bytes, list[int]] = {}
+        #: What slices become: their ids as int32 bytes, which take a third of the room of lists.
+        self.cached: dict[bytes, bytes] = {}
         self.most_cached = most_cached
 
     @cached_property
@@ -181,8 +185,8 @@ class Tokenizer:
         at = np.searchsorted(keys, key)
         return np.where(keys[at] == key, ranks[at], NONE)
 
-    def pieces(self, pieces: list[bytes]) -> list[list[int]]:
-        """Ids of each piece: from the cache, or else merged, all short new pieces at once."""
+    def pieces(self, pieces: list[bytes]) -> list[bytes]:
+        """Ids (as int32 bytes) of each piece: from the cache, or else merged, all short new pieces at once."""
         out = [self.cached.get(p) for p in pieces]
         new = [i for i, got in enumerate(out) if got is None]
         if len(self.cached) + len(new) > self.most_cached:
@@ -191,9 +195,9 @@ class Tokenizer:
         for i in new:
             piece = pieces[i]
             if (whole := self.ranks.get(piece)) is not None:
-                out[i] = [whole]
+                out[i] = _INT(whole)
             elif len(piece) > 64:
-                out[i] = self._merged_long(piece)
+                out[i] = np.array(self._merged_long(piece), np.int32).tobytes()
             else:
                 short.setdefault(-(-len(piece) // 4), []).append(i)
         for rows in short.values():
@@ -202,7 +206,7 @@ class Tokenizer:
         self.cached.update((pieces[i], out[i]) for i in new)
         return out
 
-    def _merged(self, pieces: list[bytes]) -> list[list[int]]:
+    def _merged(self, pieces: list[bytes]) -> list[bytes]:
         """In each round, every piece that still has one makes its pair of lowest rank, the leftmost of ties."""
         sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
         width = int(sizes.max())
@@ -210,13 +214,15 @@ class Tokenizer:
         ids = np.full((len(pieces), width), -1, np.int32)
         ids[np.arange(width) < sizes[:, None]] = singles[np.frombuffer(b"".join(pieces), np.uint8)]
         ranks = self._pair_ranks(ids[:, :-1], ids[:, 1:])
-        rows, out = np.arange(len(pieces)), [[]] * len(pieces)
+        rows, out = np.arange(len(pieces)), [b""] * len(pieces)
         while len(rows):
             at = ranks.argmin(1) if ranks.shape[1] else np.zeros(len(rows), np.int64)
             best = ranks[np.arange(len(rows)), at] if ranks.shape[1] else np.full(len(rows), NONE)
             done = best == NONE
-            for row, left in zip(rows[done].tolist(), ids[done].tolist()):
-                out[row] = [x for x in left if x >= 0]
+            some = ids[done]
+            data, ends = some[some >= 0].tobytes(), (4 * (some >= 0).sum(1)).cumsum().tolist()
+            for row, a, b in zip(rows[done].tolist(), [0, *ends], ends):
+                out[row] = data[a:b]
             go = ~done
             rows, ids, ranks, at, best = rows[go], ids[go], ranks[go], at[go], best[go]
             if not len(rows):
@@ -272,8 +278,8 @@ class Tokenizer:
         slices = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data))])
         coded = slices.dictionary_encode()
         lists = self.pieces(coded.dictionary.to_pylist())
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        values = np.fromiter((x for one in lists for x in one), np.int32, int(sizes.sum()))
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // 4
+        values = np.frombuffer(b"".join(lists), np.int32)
         table = pa.LargeListArray.from_arrays(pa.array(np.append(0, sizes.cumsum())), pa.array(values))
         ids = table.take(coded.indices).flatten()
         counts = sizes[coded.indices.to_numpy()]
@@ -329,7 +335,7 @@ def encode(df: DataFrame, text: str = "text", ranks: str | None = None, ids: str
         own = tokenizer(path)
         for batch in batches:
             column = strings(batch.column(text))
-            for a, b in chunks(column):
+            for a, b in chunks(column, 2 * CHUNK_BYTES):
                 got, at, _, _ = own.encode(*flat(column.slice(a, b - a)))
                 ends = own.token_ends(got)
                 base = np.append(0, ends)[at[:-1]]
@@ -337,7 +343,7 @@ def encode(df: DataFrame, text: str = "text", ranks: str | None = None, ids: str
                 lists = pa.array(at.astype(np.int32))
                 yield _with(batch.slice(a, b - a), {ids: pa.ListArray.from_arrays(lists, got.cast(pa.int32())), offsets: pa.ListArray.from_arrays(lists, pa.array(ends, pa.int64()))})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, ids: str = "ids", ranks: str | None = None, out: str = "decoded") -> DataFrame:
@@ -353,7 +359,7 @@ def decode(df: DataFrame, ids: str = "ids", ranks: str | None = None, out: str =
             yield _with(batch, {out: pa.array([bytes(x) for x in texts], pa.binary())})
 
     df, schema = _appended(df, [T.StructField(out, T.BinaryType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def encode_digest(df: DataFrame, text: str = "text", ranks: str | None = None) -> DataFrame:
@@ -368,13 +374,13 @@ def encode_digest(df: DataFrame, text: str = "text", ranks: str | None = None) -
         own = tokenizer(path)
         for batch in batches:
             column = strings(batch.column(text))
-            for a, b in chunks(column):
+            for a, b in chunks(column, 2 * CHUNK_BYTES):
                 ids, at, _, _ = own.encode(*flat(column.slice(a, b - a)))
                 digests = [hashlib.sha256(x[:-1]).hexdigest() for x in own.decimal(ids, at)]
                 decoded = [hashlib.sha256(x).hexdigest() for x in own.decode(ids, at)]
                 yield _with(batch.slice(a, b - a), {"n_tokens": pa.array(np.diff(at), pa.int64()), "ids_sha256": pa.array(digests, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def op2_bpe_roundtrip(spark, sf_dir: str) -> DataFrame:

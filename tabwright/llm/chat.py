@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import read, replacing
+from tabwright.llm.common import read, replacing, tidy
 
 #: A content part. width, height (pixels), seconds and pages are of images, audio and documents.
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
@@ -135,7 +135,7 @@ def summarise(turns: DataFrame, conversation: str = "conv_id", order: tuple[str,
             yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((key, *reader.row(), tokens), kinds, strict=True)], names=names)
 
     dealt = turns.repartition(conversation).sortWithinPartitions(conversation, *order)
-    return dealt.select(conversation, "formatted", "attachment_tokens").mapInArrow(fold, f"`{conversation}` {kind}, {SUMMARY}")
+    return dealt.select(conversation, "formatted", "attachment_tokens").mapInArrow(tidy(fold), f"`{conversation}` {kind}, {SUMMARY}")
 
 
 def conversations_text(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import sys
 import tempfile
 from collections.abc import Iterator
 
@@ -14,7 +17,7 @@ from pyspark.sql import types as T
 #: A side table is broadcast if its values come to at most so many bytes, which is measured; else the join is shuffled.
 BROADCAST_BYTES = 48 << 20
 #: UTF-8 bytes that a Python task works on at a time; one longer text makes a chunk of its own.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -82,6 +85,21 @@ def sha(column):
     return F.sha2(F.encode(column, "UTF-8"), 256)
 
 
+def tidy(run):
+    """Wraps a function for mapInArrow: when its partition is done, freed memory goes back to the system. Python workers live on from stage to stage, and would otherwise keep the most that any of them took."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            if sys.platform == "linux":
+                with contextlib.suppress(OSError, AttributeError):  # a libc without malloc_trim
+                    ctypes.CDLL(None).malloc_trim(0)
+
+    return whole
+
+
 def chunks(array: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of a string array with at most ``most`` bytes each (or one row)."""
     ends = np.frombuffer(array.buffers()[1], dtype=np.int32)[array.offset : array.offset + len(array) + 1].astype(np.int64)

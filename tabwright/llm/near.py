@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import chunks, flat, mix, read, saved, sized, strings
+from tabwright.llm.common import chunks, flat, mix, read, saved, sized, strings, tidy
 
 PERMUTATIONS, ROWS = 80, 5
 BANDS = 2 * PERMUTATIONS // ROWS
@@ -122,7 +122,7 @@ def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists], names=[key, "n_shingles", "set_key", "bands"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, n_shingles long, set_key binary, bands array<long>")
+    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, n_shingles long, set_key binary, bands array<long>")
 
 
 def _full_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
@@ -136,7 +136,7 @@ def _full_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
                 ends = np.append(0, np.fromiter(map(len, sets), np.int64, len(sets)).cumsum()).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "shingles"])
 
-    return df.select(key, text).mapInArrow(run, f"id {kind}, shingles array<long>")
+    return df.select(key, text).mapInArrow(tidy(run), f"id {kind}, shingles array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tabwright.llm.common import chunks, flat, read, replacing, saved, strings
+from tabwright.llm.common import chunks, flat, read, replacing, saved, strings, tidy
 from tabwright.llm.near import word_hashes
 
 #: Rows of each class (by posterior) that train the scorer, and its hash space. They bound what reaches the driver:
@@ -129,7 +129,7 @@ def vote_patterns(df: DataFrame, key: str, text: str) -> DataFrame:
             for a, b in chunks(column):
                 yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), pa.array(_pattern(votes_of(*flat(column.slice(a, b - a)))), pa.int64())], names=[key, "pattern"])
 
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, pattern long")
+    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, pattern long")
 
 
 @dataclass
@@ -256,7 +256,7 @@ def _sample(df: DataFrame, voted: DataFrame, patterns: np.ndarray, key: str, tex
     for sure in (patterns[chance > 0.9], patterns[chance < 0.1]):
         own = voted.filter(F.col("pattern").isin(sure.tolist())).orderBy(F.xxhash64(key), key).limit(size).select(F.col(key).alias("_key"))
         picked = own if picked is None else picked.unionByName(own)
-    rows = texts.join(F.broadcast(picked.distinct()), texts[key] == F.col("_key"), "left_semi").mapInArrow(run, f"`{key}` {kind}, good double, index array<int>, value array<float>").orderBy(F.xxhash64(key), key).limit(4 * size).collect()
+    rows = texts.join(F.broadcast(picked.distinct()), texts[key] == F.col("_key"), "left_semi").mapInArrow(tidy(run), f"`{key}` {kind}, good double, index array<int>, value array<float>").orderBy(F.xxhash64(key), key).limit(4 * size).collect()
     return [(r["index"], r["value"]) for r in rows], np.array([r["good"] for r in rows])
 
 
@@ -288,7 +288,7 @@ def classify(df: DataFrame, model: LabelModel, scorer: Scorer, text: str = "text
                 columns = [pa.array(model.posterior(_pattern(_votes(found)))), pa.array(score), pa.array(keep)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "label_good", "score", "keep"])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:

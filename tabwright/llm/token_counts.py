@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.llm.bpe import Tokenizer, default_ranks, pretokens, tokenizer
-from tabwright.llm.common import chunks, flat, read, replacing, strings
+from tabwright.llm.common import CHUNK_BYTES, chunks, flat, read, replacing, strings, tidy
 
 #: Pieces of a block when a tree is built; pieces after an edit with which a boundary is first looked for.
 BLOCK, REACH = 64, 8
@@ -182,7 +182,7 @@ def apply_edits(own: Tokenizer, edits: list[tuple[Document, int, int, str]]) ->
                 again.append(c)
         open_ = again
     pieces = [c.pieces() for c in changes]
-    counts = np.fromiter((len(x) for x in own.pieces([p for one in pieces for p in one])), np.int64)
+    counts = np.fromiter((len(x) // 4 for x in own.pieces([p for one in pieces for p in one])), np.int64)
     ends = np.cumsum([len(p) for p in pieces])
     for c, p, end in zip(changes, pieces, ends.tolist()):
         c.done(counts[end - len(p) : end])
@@ -213,7 +213,7 @@ def count_edited(df: DataFrame, text: str = "text", edits: str = "edits", ranks:
         own = tokenizer(path)
         for batch in batches:
             column = strings(batch.column(text))
-            for a, b in chunks(column):
+            for a, b in chunks(column, 2 * CHUNK_BYTES):
                 docs = documents(own, column.slice(a, b - a))
                 n_pieces, before = [sum(map(len, d.tree.sizes)) for d in docs], [d.tree.n_tokens for d in docs]
                 wanted = [one or [] for one in batch.column(edits).slice(a, b - a).to_pylist()]
@@ -230,7 +230,7 @@ def count_edited(df: DataFrame, text: str = "text", edits: str = "edits", ranks:
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *(f.name for f in fields)])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, *fields]))
 
 
 def with_edit_log(df: DataFrame, log: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:
