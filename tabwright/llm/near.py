@@ -66,9 +66,10 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
     hashes, at = word_hashes(data, offsets)
-    rolled = np.zeros(max(len(hashes) - words + 1, 0), np.uint64)
+    n_rolled = max(len(hashes) - words + 1, 0)
+    rolled = np.zeros(n_rolled, np.uint64)
     for i in range(words):
-        rolled = rolled * _ODD + hashes[i : len(hashes) - words + 1 + i]
+        rolled = rolled * _ODD + hashes[i : i + n_rolled]
     rolled = mix(rolled + np.uint64(words))
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):

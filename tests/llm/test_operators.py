@@ -363,6 +363,16 @@ def test_shingles():
     assert len(set(names.values())) == len(names)
 
 
+@pytest.mark.parametrize("words", [4, 5])
+def test_few_words_alone_in_a_partition(spark, words):
+    few = [(n, " ".join(f"w{n}{i}" for i in range(n))) for n in range(7)]
+    for n, text in few:
+        (only,) = near.shingle_sets(*flat(strings(pa.array([text]))), words)
+        assert len(only) == (max(n - words + 1, 1) if n else 0)
+    df = spark.createDataFrame(spark.sparkContext.parallelize(few, len(few)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in near.keep_one(df, words=words).collect()) == list(range(7))
+
+
 @pytest.mark.parametrize("crowd", [2, 64])
 def test_near_duplicates(spark, monkeypatch, crowd):
     monkeypatch.setattr(near, "CROWD", crowd)
