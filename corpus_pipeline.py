@@ -22,8 +22,8 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts lines that came before, and drops documents of which nothing is left; n_chars follows the text."""
-    cut = lines.dedup_lines(docs, drop_emptied=True)
+    """Cuts lines that came before, equal or near by length bands, and drops documents of which nothing is left; n_chars follows the text."""
+    cut = lines.dedup_lines(docs, drop_emptied=True, bands=lines.BANDS)
     return cut.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else cut
 
 

@@ -1,20 +1,19 @@
 """Line dedup by a segment-partition edit join.
 
-Lines (texts split at ``\\n``, ASCII white space at both ends cut off) are the same if equal, and near if one edit
-apart. With threshold 1 a line is cut into two segments, of which one edit leaves one whole; so near lines of equal
-length share a half in place, and a line one longer finds the shorter one's halves at its start or end. Both probe an
-index on (length of the shorter, side, hash of the half). What shares a half goes on to windows of 16 code points: a
-line is indexed by all of it but one window. What shares that goes on to deletion variants of the window, which
-coincide exactly for lines that are one edit apart. Every step is one grouping on a key that the step before has
-thinned out: no pairs of a bucket are formed, however many lines share a half. Links found are checked by banded
-bit-parallel edit distance on the lines themselves.
+Lines (texts split at ``\\n``, ASCII white space at both ends cut off) are the same if equal, and near if they are at
+most so many edits apart as the shorter one's length allows (``bands``). For k edits a line is cut into k + 1
+segments, k // 2 + 1 counted from its start and the others from its end; one part has fewer edits than segments, so
+its segment i, for some i, is whole and no more than i places off in a line that is near. Segments of distinct lines
+are indexed by (length class, segment, hash), and every line probes the places at which it may hold the segments of
+lines up to k shorter. Lines that meet are compared where they meet, those of crowded keys in blocks that are dealt
+out by key and block; a pair counts at the first segment it shares, and a task gives one row per line and block, never
+one per pair. A comparison follows the furthest place on each diagonal, with one edit more at a time.
 
 Ids name documents: rows that repeat an id should be equal, and then count as one document's lines twice over but
 share every decision. An empty table gives an empty result.
 
 A line is dropped if it, or a line near it, came earlier (by document id, then line number): a line near to several
-is judged by the first places of all. Blank lines are never dropped, lines under MIN_CHARS code points only as exact
-copies. Null texts have no lines; a text that loses no line stays as it was, byte for byte.
+is judged by the first places of all. Blank lines are never dropped, lines under the first band only as exact copies. Null texts have no lines; a text that loses no line stays as it was, byte for byte.
 """
 
 from __future__ import annotations
@@ -22,20 +21,19 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import chunks, flat, mix, read, saved, sha, sized, strings, tidy
 
-#: One edit: the number of segments is the threshold plus one.
-MAX_EDITS = 1
-SEGMENTS = MAX_EDITS + 1
 #: Lines with fewer code points have no near lines.
-MIN_CHARS, WINDOW = 32, 16
-#: Hashes of lines that a task remembers (about 100 bytes each).
-SEEN = 1_000_000
+MIN_CHARS = 32
+#: Edits that are allowed from so many code points of the shorter line on: one only, or one in about twenty, at most five.
+ONE_EDIT = ((MIN_CHARS, 1),)
+BANDS = ((MIN_CHARS, 1), (40, 2), (60, 3), (80, 4), (100, 5))
+#: Lines indexed by a crowded key that one block compares with the others.
+BLOCK = 256
 #: Places of a line beyond which it is looked up apart from the others.
 HOT = 1_000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -104,53 +102,58 @@ def _fold(*parts: np.ndarray) -> np.ndarray:
 
 
 def _line_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line (number from 0), hash (null for a blank line), halves (keys of the two segments and of the probes).
-
-    Of equal lines in a task only the first brings its halves, as far as SEEN hashes tell, so a line that is
-    everywhere doesn't crowd its halves' buckets.
-    """
+    """key, line (number from 0), hash (null for a blank line), size (code points)."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
         for batch in batches:
             column = strings(batch.column(text))
             for a, b in chunks(column):
-                if len(seen) > SEEN:
-                    seen.clear()
                 points, begin, stop, owner = _split(*flat(column.slice(a, b - a)))
-                hashes = _Hashes(points)
                 n = stop - begin
-                own = hashes(begin, stop)
+                own = _Hashes(points)(begin, stop)
                 number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                long = np.flatnonzero(n >= MIN_CHARS)
-                fresh = np.zeros(len(long), bool)
-                fresh[np.unique(own[long], return_index=True)[1]] = True
-                fresh &= np.fromiter((x not in seen for x in own[long].tolist()), bool, len(long))
-                long = long[fresh]
-                seen.update(own[long].tolist())
-                i, j, size = begin[long], stop[long], n[long]
-                keys = []
-                for shorter in (size, size - 1):  # as it is indexed, and as it probes for lines one shorter
-                    half = shorter // SEGMENTS
-                    keys += [_fold(shorter, np.zeros(len(i)), hashes(i, i + half)), _fold(shorter, np.ones(len(i)), hashes(j - (shorter - half), j))]
-                lists = np.zeros(len(owner) + 1, np.int32)
-                lists[long + 1] = 2 * SEGMENTS
-                halves = pa.ListArray.from_arrays(pa.array(lists.cumsum(dtype=np.int32)), pa.array(np.stack(keys, 1).ravel().view(np.int64) if len(long) else np.zeros(0, np.int64)))
                 keyed = batch.column(key).slice(a, b - a).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([keyed, pa.array(number, pa.int32()), pa.array(own.view(np.int64), mask=n == 0), halves], names=[key, "line", "hash", "halves"])
+                yield pa.RecordBatch.from_arrays([keyed, pa.array(number, pa.int32()), pa.array(own.view(np.int64), mask=n == 0), pa.array(n, pa.int32())], names=[key, "line", "hash", "size"])
 
-    return df.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, line int, hash long, halves array<long>")
+    return df.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, line int, hash long, size int")
 
 
-def _window_rows(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """hash, line text, window keys of the lines whose place (key, line) is wanted: one row per line and window, as indexed and as a probe.
+def allowed(size, bands):
+    """Edits that a pair may have whose shorter line has so many code points."""
+    starts, edits = zip(*bands)
+    return np.append(0, edits)[np.searchsorted(starts, size, side="right")]
+
+
+def _length_class(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last size of the class of each size: eight classes from each power of two (8 at least) to the next."""
+    step = np.left_shift(1, np.maximum(np.frexp(size.astype(np.float64))[1] - 4, 0)).astype(np.int64)
+    first = size // step * step
+    return first, first + step - 1
+
+
+def _segments(first, last, bands) -> tuple:
+    """Of a length class: segments counted from the start, from the end, and their width."""
+    k = allowed(last, bands)
+    return k // 2 + 1, (k + 1) // 2, first // (k + 1)
 
-    Columns: hash, longer (whether it probes as the longer line), bucket (all but the window, and where it is), window (its text).
-    """
-    kind = df.schema[key].dataType.simpleString()
-    asked = wanted.groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("_lines")).select(F.col(key).alias("_asked"), "_lines")
-    texts = df.select(key, text).join(sized(saved(asked)), F.col(key) == F.col("_asked")).select(key, text, "_lines")
+
+def _probes(hashes: _Hashes, begin: np.ndarray, stop: np.ndarray, first: np.ndarray, last: np.ndarray, bands, shifts: str) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(lines, keys) of the places in lines at which they may hold segments of lines of a length class. shifts: "none" (segments of the lines' own, in order), "some" (the places but those) or "all"."""
+    fore, back, width = _segments(first, last, bands)
+    for side, count in ((0, fore), (1, back)):
+        for i in range(int(count.max(initial=0))):
+            for shift in range(-i, i + 1):
+                if shifts == ("none" if shift else "some"):
+                    continue
+                left = begin + i * width + shift if side == 0 else stop - (i + 1) * width + shift
+                some = np.flatnonzero((i < count) & (left >= begin) & (left + width <= stop))
+                at = left[some]
+                yield some, _fold(first[some], np.full(len(some), 64 * side + i), hashes(at, at + width[some]))
+
+
+def _key_rows(df: DataFrame, places: DataFrame, key: str, text: str, bands) -> DataFrame:
+    """hash, n_own, spots (the keys of the line's n_own segments, in order, then the other keys at which it looks) of the lines at the places (key, line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -159,69 +162,139 @@ def _window_rows(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataF
             for a, b in chunks(column):
                 points, begin, stop, owner = _split(*flat(column.slice(a, b - a)))
                 hashes = _Hashes(points)
-                first = np.searchsorted(owner, np.arange(b - a))
-                sizes = np.diff(lists.slice(a, b - a).offsets.to_numpy())
-                at = np.repeat(first, sizes) + lists.slice(a, b - a).flatten().to_numpy()
+                mine = lists.slice(a, b - a)
+                at = np.repeat(np.searchsorted(owner, np.arange(b - a)), np.diff(mine.offsets.to_numpy())) + mine.flatten().to_numpy()
                 i, j = begin[at], stop[at]
-                own = hashes(i, j)
-                for longer in (False, True):
-                    size = (j - i) - longer  # of the shorter line, which the windows are of
-                    count = -(-size // WINDOW)
-                    line = np.repeat(np.arange(len(at)), count)
-                    w = np.arange(len(line)) - np.repeat(np.append(0, count.cumsum()[:-1]), count)
-                    left = i[line] + w * WINDOW
-                    right = j[line] - (size[line] - np.minimum((w + 1) * WINDOW, size[line]))
-                    bucket = _fold(size[line], w, hashes(i[line], left), hashes(right, j[line]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(own[line].view(np.int64)), pa.array(np.full(len(line), longer)), pa.array(bucket.view(np.int64)), _cut(points, left, right)], names=["hash", "longer", "bucket", "window"]
-                    )
+                size = j - i
+                first, last = _length_class(size)
+                keys = [*_probes(hashes, i, j, first, last, bands, "none"), *_probes(hashes, i, j, first, last, bands, "some")]
+                # lines up to k shorter are of the same class or of the one before
+                low = np.maximum(size - allowed(size, bands), bands[0][0])
+                other, end = _length_class(low)
+                across = np.flatnonzero(other < first)
+                keys += [(across[x], more) for x, more in _probes(hashes, i[across], j[across], other[across], end[across], bands, "all")]
+                yield pa.RecordBatch.from_arrays([pa.array(hashes(i, j).view(np.int64)), pa.array(allowed(last, bands) + 1, pa.int32()), _lists(keys, len(at))], names=["hash", "n_own", "spots"])
 
-    return texts.mapInArrow(tidy(run), "hash long, longer boolean, bucket long, window string")
+    return _asked(df, places, key, text).mapInArrow(tidy(run), "hash long, n_own int, spots array<long>")
 
 
-def _cut(points: np.ndarray, left: np.ndarray, right: np.ndarray) -> pa.Array:
-    """Short substrings of code points as strings."""
-    whole = points.tobytes().decode("utf-32-le", "surrogatepass")
-    return pa.array([whole[a:b] for a, b in zip(left.tolist(), right.tolist())], pa.string())
+def _lists(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
+    lines = np.concatenate([x for x, _ in parts]) if parts else np.zeros(0, np.int64)
+    keys = np.concatenate([x for _, x in parts]) if parts else np.zeros(0, np.uint64)
+    order = np.argsort(lines, kind="stable")
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.bincount(lines, minlength=n).cumsum()), pa.int32()), pa.array(keys[order].view(np.int64)))
 
 
-def _variants(rows: DataFrame) -> DataFrame:
-    """hash, longer, spot: keys that coincide for lines one edit apart and no others.
+def _asked(df: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame:
+    asked = saved(places.groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("_lines")).select(F.col(key).alias("_asked"), "_lines"))
+    return df.select(key, text).join(sized(asked), F.col(key) == F.col("_asked")).select(key, text, "_lines")
 
-    Lines of equal length: their bucket, a place in the window, and the window without it. A longer line: its window
-    without one code point is the shorter line's window.
-    """
-    n = F.char_length("window")
-    without = lambda k: F.concat(F.substring("window", F.lit(1), k - 1), F.substring("window", k + 1, F.lit(WINDOW + 1)))
-    cut = F.transform(F.sequence(F.lit(1), n), lambda k: F.xxhash64("bucket", F.when(F.col("longer"), 0).otherwise(k), without(k)))
-    whole = F.array(F.xxhash64("bucket", F.lit(0), "window"))
-    return rows.select("hash", "longer", F.explode(F.when(F.col("longer"), F.array_distinct(cut)).otherwise(F.concat(cut, whole))).alias("spot"))
+
+def within(first: str, second: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``: the furthest place on each diagonal with one edit more at a time."""
+    m, n = len(first), len(second)
+    if abs(n - m) > most:
+        return False
+    before: dict[int, int] = {}
+    for edits in range(most + 1):
+        now = {}
+        for diagonal in range(-edits, edits + 1):
+            i = 0 if not edits else max(before.get(diagonal, -2) + 1, before.get(diagonal - 1, -2), before.get(diagonal + 1, -2) + 1)
+            i = min(i, m, n - diagonal)
+            if i < 0 or i + diagonal < 0:
+                continue
+            now[diagonal] = i = i + _common(first, i, second, i + diagonal)
+            if i == m and i + diagonal == n:
+                return True
+        before = now
+    return False
+
+
+def _common(first: str, i: int, second: str, j: int) -> int:
+    """Code points that are the same from two places on."""
+    start, step, most = i, 8, min(len(first) - i, len(second) - j)
+    end = i + most
+    while i < end and first[i] == second[j]:
+        if first[i : i + step] == second[j : j + step]:
+            i, j, step = min(i + step, end), j + step, step * 2
+        elif step > 1:
+            step //= 2
+            if step < 8:
+                while i < end and first[i] == second[j]:
+                    i, j = i + 1, j + 1
+                break
+    return i - start
 
 
 def one_edit(first: str, second: str) -> bool:
-    """Whether the edit distance is at most one, by a banded bit-parallel automaton.
+    """Whether the edit distance is at most one."""
+    return within(first, second, 1)
 
-    Each of the two state words holds, for a diagonal band of three, what prefixes of ``first`` have been matched with
-    no edit and with one; a step takes a character of ``second`` and the band's slice of the pattern.
-    """
-    if abs(len(first) - len(second)) > MAX_EDITS:
-        return False
-    band = (1 << (2 * MAX_EDITS + 1)) - 1
-    # bit d of a word: the prefix of ``first`` of length j + d - MAX_EDITS, after j characters of ``second``
-    exact, edited = 1 << MAX_EDITS, 1 << (MAX_EDITS + 1)
-    for j, c in enumerate(second):
-        equal = 0
-        for d in range(2 * MAX_EDITS + 1):
-            at = j + d - MAX_EDITS
-            if 0 <= at < len(first) and first[at] == c:
-                equal |= 1 << d
-        now = exact & equal
-        edited = (edited & equal) | exact | (exact >> 1) | (now << 1)
-        exact, edited = now & band, edited & band
-        if not exact | edited:
-            return False
-    place = len(first) - len(second) + MAX_EDITS
-    return bool((exact | edited) >> place & 1)
+
+def _shares_before(short: str, long: str, segment: int, shape: tuple[int, int, int]) -> bool:
+    """Whether the pair meets at a segment before this one, too."""
+    fore, _, width = shape
+    n = len(long)
+    for s in range(segment):
+        i = s if s < fore else s - fore
+        at = i * width if s < fore else len(short) - (i + 1) * width
+        part = short[at : at + width]
+        base = i * width if s < fore else n - (i + 1) * width
+        for left in range(base - i, base + i + 1):
+            if left >= 0 and left + width <= n and long.startswith(part, left):
+                return True
+    return False
+
+
+def _compare(bands):
+    """For mapInArrow over members that are sorted by spot, block, and the indexed ones first: hash, key and line of the earliest first place of lines near it, n of them in this block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        edits = lambda n: int(allowed(n, bands))
+        at, shape, indexed, found = None, None, [], {}
+        order = lambda x: (x[2] is not None, x[2], x[3])
+
+        def link(a, b):
+            old = found.get(a[0])
+            found[a[0]] = (b if old is None or order(b) < order(old[0]) else old[0], 1 + (old[1] if old else 0))
+
+        for batch in batches:
+            kind = batch.schema.field("key").type
+            rows = zip(*(batch.column(c).to_pylist() for c in ("spot", "block", "segment", "hash", "said", "key", "line")))
+            out = []
+            for spot, block, segment, *member in rows:
+                if (spot, block) != at:
+                    out += [(h, x[2], x[3], n) for h, (x, n) in found.items()]
+                    at, shape, indexed, found = (spot, block), None, [], {}
+                said = member[1]
+                for other, its in indexed:
+                    a, b = other[1], said
+                    if other[0] == member[0]:
+                        continue
+                    swap = len(a) > len(b) or (len(a) == len(b) and other[0] > member[0])
+                    if swap:
+                        if segment is None:  # it is indexed in a block of its own, where the pair counts
+                            continue
+                        a, b = b, a
+                    k = edits(len(a))
+                    if len(b) - len(a) <= k and not _shares_before(a, b, its, shape) and within(a, b, k):
+                        link(other, member)
+                        link(member, other)
+                if segment is not None:
+                    if shape is None:
+                        first, last = _length_class(np.array([len(said)]))
+                        shape = tuple(int(x[0]) for x in _segments(first, last, bands))
+                    indexed.append((member, segment))
+            if out:
+                yield _links(out, kind)
+        if found:
+            yield _links([(h, x[2], x[3], n) for h, (x, n) in found.items()], kind)
+
+    return tidy(run)
+
+
+def _links(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), kind, pa.int32(), pa.int64()))], names=["hash", "key", "line", "n"])
 
 
 def _texts(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
@@ -231,52 +304,32 @@ def _texts(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
     return texts.select(F.col("_one.hash").alias("hash"), F.btrim(F.get("_all", F.col("_one.line")), F.lit(" \t\n\x0b\x0c\r")).alias("said")).dropDuplicates(["hash"])
 
 
-def _checked(first: pd.Series, second: pd.Series) -> pd.Series:
-    return pd.Series([one_edit(a, b) for a, b in zip(first, second)], dtype=bool)
-
-
-def near_lines(df: DataFrame, rows: DataFrame, firsts: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+def near_lines(df: DataFrame, firsts: DataFrame, key: str, text: str, bands) -> tuple[DataFrame, DataFrame]:
     """(hash, near_first: the earliest first place of lines near it) and (hash, n_links: how many other lines are near it)."""
-    spread = rows.select("hash", F.explode("halves").alias("half"))
-    shared = spread.groupBy("half").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).filter("low < high").select("half")
-    halved = spread.join(shared, "half", "left_semi").select("hash").distinct()
-    places = saved(firsts.join(halved, "hash").select("hash", "first", F.col(f"first.{key}").alias(key), F.col("first.line").alias("line")))
-    windows = saved(_window_rows(df, places, key, text))
-    shared = windows.groupBy("bucket").agg(F.min("hash").alias("low"), F.max("hash").alias("high")).filter("low < high").select("bucket")
-    spots = _variants(windows.join(shared, "bucket", "left_semi")).join(places.select("hash", "first"), "hash")
-    spots = spots.select("spot", "hash", "longer", "first")
-    met = spots.groupBy("spot").agg(
-        F.min(F.struct("first", "hash")).alias("lead"),
-        F.count(F.lit(1)).alias("c"),
-        F.max("longer").alias("longer"),
-        F.max(F.when(~F.col("longer"), F.struct("first", "hash"))).alias("short"),
-    ).filter((F.col("c") > 1) & F.col("short").isNotNull())
-    members = saved(spots.select("spot", "hash", "first", F.col("longer").alias("own")).join(met, "spot"))
-    # a spot with longer lines has one shorter line, to which each of them is a link; one without is lines that are all near each other
-    inserted = members.filter("longer AND own").select(F.col("hash").alias("a"), "first", F.col("short.hash").alias("b"), F.col("short.first").alias("b_first")).distinct()
-    replaced = members.filter("NOT longer")
-    star = replaced.filter(F.col("hash") != F.col("lead.hash")).select(F.col("hash").alias("a"), "first", F.col("lead.hash").alias("b"), F.col("lead.first").alias("b_first")).distinct()
-    pairs = saved(inserted.unionByName(star).distinct())
-    ends = pairs.select(F.col("a").alias("hash")).unionByName(pairs.select(F.col("b").alias("hash"))).distinct()
-    said = saved(_texts(df, places.join(ends, "hash").select("hash", key, "line"), key, text))
-    sure = pairs.join(said.select(F.col("hash").alias("a"), F.col("said").alias("x")), "a").join(said.select(F.col("hash").alias("b"), F.col("said").alias("y")), "b").filter(F.pandas_udf(_checked, "boolean")("x", "y"))
-    sure = saved(sure.select("a", "first", "b", "b_first"))
-    ways = sure.select(F.col("a").alias("hash"), F.col("b_first").alias("near_first")).unionByName(sure.select(F.col("b").alias("hash"), F.col("first").alias("near_first")))
-    links = (
-        replaced.select("hash", (F.col("c") - 1).alias("n"))
-        .unionByName(inserted.select(F.col("a").alias("hash"), F.lit(1).cast("long").alias("n")))
-        .unionByName(inserted.select(F.col("b").alias("hash"), F.lit(1).cast("long").alias("n")))
-    )
-    return ways.groupBy("hash").agg(F.min("near_first").alias("near_first")), links.groupBy("hash").agg(F.sum("n").alias("n_links"))
+    places = firsts.filter(F.col("size") >= bands[0][0]).select("hash", F.col(f"first.{key}").alias(key), F.col("first.line").alias("line"))
+    # keys are many times the lines: they are made twice instead of stored, and the first time go out as bare counts (indexed ones in the upper half)
+    rows = _key_rows(df, places, key, text, bands).select("hash", "n_own", F.posexplode("spots").alias("at", "spot"))
+    met = rows.groupBy("spot").agg(F.sum(F.when(F.col("at") < F.col("n_own"), (1 << 32) + 1).otherwise(1)).alias("c")).select("spot", F.shiftright("c", 32).alias("n_own"), F.col("c").bitwiseAND((1 << 32) - 1).alias("n"))
+    met = sized(saved(met.filter("n > 1 AND n_own > 0").select("spot", F.ceil(F.col("n_own") / BLOCK).cast("int").alias("blocks"))))
+    members = rows.join(met, "spot").groupBy("spot", "hash").agg(F.min(F.when(F.col("at") < F.col("n_own"), F.col("at"))).alias("segment"), F.first("blocks").alias("blocks"))
+    members = saved(members)
+    said = saved(_texts(df, places.join(members.select("hash").distinct(), "hash"), key, text))
+    home = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
+    dealt = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("segment", F.when(F.col("block") == home, F.col("segment")))
+    dealt = dealt.join(said.join(places, "hash"), "hash").select("spot", "block", "segment", "hash", "said", F.col(key).alias("key"), "line")
+    dealt = dealt.repartition("spot", "block").sortWithinPartitions("spot", "block", F.col("segment").asc_nulls_last())
+    kind = df.schema[key].dataType.simpleString()
+    ways = saved(dealt.mapInArrow(_compare(bands), f"hash long, key {kind}, line int, n long"))
+    near = ways.groupBy("hash").agg(F.min(F.struct(F.col("key").alias(key), "line")).alias("near_first"), F.sum("n").alias("n_links"))
+    return near.select("hash", "near_first"), near.select("hash", "n_links")
 
 
-def line_decisions(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def line_decisions(df: DataFrame, key: str = "doc_id", text: str = "text", bands=ONE_EDIT) -> DataFrame:
     """One row per document with lines: key, n_lines, n_exact and n_near (dropped as copies and as near lines), n_links, dropped (line numbers), firsts (by line: the key of the document with the earliest line that is equal or near, its own if it stays)."""
     rows = saved(_line_rows(df, key, text))
     solid = rows.filter(F.col("hash").isNotNull())
-    counted = saved(solid.groupBy("hash").agg(F.min(F.struct(key, "line")).alias("first"), F.count(F.lit(1)).alias("n")))
-    firsts = counted.select("hash", "first")
-    near, links = near_lines(df, rows, firsts, key, text)
+    counted = saved(solid.groupBy("hash").agg(F.min(F.struct(key, "line")).alias("first"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    near, links = near_lines(df, counted, key, text, bands)
     judged = counted.join(saved(near), "hash", "left").join(saved(links), "hash", "left")
     judged = saved(judged.select("hash", "n", "first", F.when(F.col("near_first") < F.col("first"), F.col("near_first")).alias("near_first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
     # lines that are everywhere would crowd one task of a join by hash; there are few of them, and they go to the rows
@@ -303,19 +356,19 @@ def without_lines(text, dropped):
     return F.when(F.size(dropped) > 0, F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")).otherwise(text)
 
 
-def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", drop_emptied: bool = False) -> DataFrame:
+def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", drop_emptied: bool = False, bands=ONE_EDIT) -> DataFrame:
     """``df`` with repeated lines cut from the texts; columns as they were. ``drop_emptied``: without the documents that keep no line but blank ones."""
-    cut = saved(line_decisions(df, key, text).filter(F.size("dropped") > 0).select(F.col(key).alias("__key"), F.col("dropped").alias("__dropped")))
+    cut = saved(line_decisions(df, key, text, bands).filter(F.size("dropped") > 0).select(F.col(key).alias("__key"), F.col("dropped").alias("__dropped")))
     found = df.join(sized(cut), df[key] == F.col("__key"), "left").withColumn(text, F.when(F.col("__key").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("__dropped"))))
     if drop_emptied:
         found = found.filter(F.col("__key").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
     return found.select(*[F.col(f"`{c}`") for c in df.columns])
 
 
-def op3_line_dedup(spark, sf_dir: str) -> DataFrame:
+def op3_line_dedup(spark, sf_dir: str, bands=ONE_EDIT) -> DataFrame:
     """Counts, the documents that lines came from first, and the digest of the text that is left, per document."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = saved(line_decisions(docs))
+    found = saved(line_decisions(docs, bands=bands))
     # only what is dropped goes to the texts, and only their digests come back
     cut = saved(found.filter(F.size("dropped") > 0).select(F.col("doc_id").alias("_key"), "dropped"))
     kept = without_lines(F.coalesce("text", F.lit("")), F.coalesce("dropped", F.array().cast("array<int>")))

@@ -4,10 +4,15 @@ from __future__ import annotations
 
 from tabwright.llm import bpe, chat, decontaminate, exact, lines, near, quality, secrets, sharding, token_counts
 
+
+def op3_line_dedup(spark, sf_dir):
+    return lines.op3_line_dedup(spark, sf_dir, lines.BANDS)
+
+
 QUERIES = {
     "op1_token_counts": token_counts.op1_token_counts,
     "op2_bpe_roundtrip": bpe.op2_bpe_roundtrip,
-    "op3_line_dedup": lines.op3_line_dedup,
+    "op3_line_dedup": op3_line_dedup,
     "op4_exact_dedup": exact.op4_exact_dedup,
     "op5_quality": quality.op5_quality,
     "op6_secret_scan": secrets.op6_secret_scan,

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tabwright.llm import bpe, chat, decontaminate, exact, lines, near, quality, secrets, sharding, token_counts
+from tabwright.llm import bpe, chat, decontaminate, exact, lines, near, quality, registry, secrets, sharding, token_counts
 from tabwright.llm.common import flat, strings
 
 SF = "/root/testdata/sf0.001"
@@ -205,6 +205,53 @@ def test_op3(spark, monkeypatch):
     assert lines.dedup_lines(df.limit(0)).count() == 0
 
 
+def test_within():
+    rng = random.Random(4)
+    for _ in range(5000):
+        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(14))) for _ in range(2))
+        for k in range(6):
+            assert lines.within(a, b, k) == (lev(a, b) <= k)
+    long = "".join(rng.choice("abcd") for _ in range(300))
+    assert lines.within(long, long[3:100] + "xy" + long[100:], 5) and not lines.within(long, long[4:100] + "xy" + long[100:], 5)
+
+
+@pytest.mark.parametrize("block", [lines.BLOCK, 3])
+def test_op3_bands(spark, monkeypatch, block):
+    """Changed words and other edits up to and past what each length allows, as the registered query and the pipeline use them."""
+    monkeypatch.setattr(lines, "BLOCK", block)
+    rng = random.Random(6)
+    edits = lambda n: max((k for start, k in lines.BANDS if n >= start), default=0)
+    base = ["".join(rng.choice("abcdefé ") for _ in range(n)) for n in (31, 33, 39, 41, 58, 62, 79, 84, 101, 104, 127, 130, 250)] + ["ab" * 60]
+    docs_ = []
+    for d in range(80):
+        own = []
+        for _ in range(rng.randrange(1, 5)):
+            b = list(rng.choice(base))
+            for _ in range(rng.randrange(5)):
+                k, kind = rng.randrange(len(b)), rng.random()
+                b[k : k + (kind > 0.3)] = [rng.choice("xyab")] * (kind < 0.7)
+            own.append("".join(b).strip(WS))
+        docs_.append((d, "\n".join(own)))
+    first, near_ = {}, collections.defaultdict(set)
+    for d, t in docs_:
+        for i, x in enumerate(t.split("\n")):
+            first.setdefault(x, (d, i))
+    for a in first:
+        for b in first:
+            if a != b and len(a) <= len(b) and lev(a, b) <= edits(len(a)):
+                near_[a].add(b)
+                near_[b].add(a)
+    want = {}
+    for d, t in docs_:
+        all_lines = list(enumerate(t.split("\n")))
+        left = [x for i, x in all_lines if first[x] == (d, i) and not any(first[y] < (d, i) for y in near_[x])]
+        want[d] = (sum(len(near_[x]) for _, x in all_lines), sha("\n".join(left)))
+    df = spark.createDataFrame(docs_, "doc_id long, text string").repartition(5)
+    monkeypatch.setattr(lines, "read", lambda *_: df)
+    got = {r["doc_id"]: (r["n_links"], r["text_sha256"]) for r in registry.QUERIES["op3_line_dedup"](spark, "").collect()}
+    assert got == want and sum(x[0] for x in want.values()) > 100
+
+
 # --- 4: exact dedup -------------------------------------------------------------------------------------------------
 
 
