@@ -28,9 +28,10 @@ BASE = {
     "hex": (r"([0-9a-f]{32,})", 1, 32),
 }
 #: Per character class: candidates, window length, least bits a character in a window.
+#: A hex value may follow a name or path and one of "=/_-".
 #: A hex window of 24 has at most 4 bits (16 characters), a base64 window of 24 at most log2(24) = 4.58.
 ENTROPY = {
-    "entropy_hex": (r"(?<![A-Za-z0-9+/_=-])([0-9A-Fa-f]{24,})(?![A-Za-z0-9+/_=-])", 24, 3.0),
+    "entropy_hex": (r"(?<![A-Za-z0-9+])([0-9A-Fa-f]{24,})(?![A-Za-z0-9+/_=-])", 24, 3.0),
     "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{24,})", 24, 3.9),
 }
 #: Candidates that are no secrets: digits only, UUIDs, paths of plain words, one short unit again and again, placeholders.

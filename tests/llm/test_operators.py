@@ -365,6 +365,15 @@ def test_secret_entropy(frame):
     assert hits > 20 and not any(s["kind"].startswith("entropy") for i in (121, 122, 123) for s in out[i])
 
 
+def test_secret_hex_after_a_name(frame):
+    value = "9F86D081884C7D659A2FEAA0C55AD015"
+    heads = ["SIGNING_KEY=", "keys/", "sk_", "sk-", "key: "]
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(*[h + value for h in heads], "A" + value, "+" + value)).collect()}
+    for i, h in enumerate(heads):
+        assert ("entropy_hex", len(h), len(h) + len(value)) in {(s["kind"], s["start"], s["end"]) for s in out[i]}
+    assert any(s["kind"] == "entropy_hex" and s["start"] == 0 for s in out[5]) and not any(s["kind"] == "entropy_hex" for s in out[6])
+
+
 def test_redact_secrets(frame):
     out = secrets.redact(frame("my token=abcdefgh1 ok", None, "clean", spans="own"))
     assert {r["doc_id"]: r["text"] for r in out.collect()} == {0: "my [secret] ok", 1: "", 2: "clean"}
