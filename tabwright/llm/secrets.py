@@ -3,13 +3,16 @@
 Base spans come from three patterns (an assignment to a secret-like name, an access key, a long hex run), leftmost
 and without overlaps per kind. Spark returns matches but not their places, so places are running sums of the gaps
 (split by the same pattern) and the matches. The entropy spans are added to them: in every candidate string, a run of
-one character class, a window slides over the characters; counts of the characters in the window and the sum of
-c * log2(c) are updated by the character that enters and the one that leaves, which gives the Shannon entropy of each
-window. The stretch from the first to the last window above the class's threshold is a span, unless the candidate is
-allow-listed. Base spans always stay.
-
-Places are code points, ends exclusive. Null texts count as empty and have no spans. One output row per input row; outputs take the place of columns of
-their names.
+one character class, a window slides over the characters. Its state is a count per character, one byte each, and the
+sum of c * log2(c) in integers; the character that enters and the one that leaves change two counts and the sum, which
+gives the Shannon entropy of each window. The stretch from the first to the last window that reaches the class's
+threshold is a span, unless the allow-list knows the candidate's shape or the stretch holds placeholder words, one in
+48 characters at least. Base spans always stay.
+
+Places are code points, ends exclusive. Null texts count as empty and have no spans. Texts and candidates of any
+length take time in proportion to it: no pattern recurses or goes back over what it matched. One output row per input
+row, repeated rows and ids included; an empty table gives an empty result. Of spans with equal places the kind listed
+first comes first. Outputs take the place of columns of their names, and other columns stay.
 """
 
 from __future__ import annotations
@@ -27,15 +30,23 @@ BASE = {
     "access": (r"(AKIA[A-Z0-9]+)", 1, 16),
     "hex": (r"([0-9a-f]{32,})", 1, 32),
 }
-#: Per character class: candidates, window length, least bits a character in a window.
-#: A hex value may follow a name or path and one of "=/_-".
-#: A hex window of 24 has at most 4 bits (16 characters), a base64 window of 24 at most log2(24) = 4.58.
+#: Characters of a window; a candidate has at least as many.
+WINDOW = 24
+#: Per character class: candidates and least bits a character in a window. A value may follow a name or path and one of
+#: "=/_-", which don't belong to it. 24 characters have at most 4 bits if they are hex digits, else log2(24) = 4.58.
 ENTROPY = {
-    "entropy_hex": (r"(?<![A-Za-z0-9+])([0-9A-Fa-f]{24,})(?![A-Za-z0-9+/_=-])", 24, 3.0),
-    "entropy_base64": (r"(?<![A-Za-z0-9+/_=-])((?=[A-Za-z+/_=-]*[0-9])(?=[A-Z0-9+/_=-]*[a-z])[A-Za-z0-9+/_=-]{24,})", 24, 3.9),
+    "entropy_hex": (r"(?<![A-Za-z0-9+])([0-9A-Fa-f]{24,})(?![A-Za-z0-9+/_=-])", 3.0),
+    "entropy_upper": (r"(?<![A-Za-z0-9])((?=[A-F0-9]*[G-Z])(?=[A-Z]*[0-9])[A-Z0-9]{24,})(?![A-Za-z0-9])", 3.6),
+    "entropy_letters": (r"(?<![A-Za-z0-9])([A-Za-z]{24,})(?![A-Za-z0-9])", 4.0),
+    "entropy_base64": (r"(?<![A-Za-z0-9+/_-])((?=[A-Za-z+/_-]*[0-9])(?=[A-Z0-9+/_-]*[a-z])[A-Za-z0-9+/_-]{24,})", 3.9),
 }
-#: Candidates that are no secrets: digits only, UUIDs, paths of plain words, one short unit again and again, placeholders.
-ALLOWED = r"^([0-9]+|[0-9a-fA-F]{8}(-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|/?([A-Za-z]{2,}[/_-])+[A-Za-z]+[0-9]{0,4}|(.{1,8}?)\4{2,}.{0,7}|.*(?i:example|placeholder|changeme|xxxx).*)$"
+#: Candidates that are no secrets: digits only, UUIDs, paths of plain words, one short unit again and again. Possessive
+#: quantifiers make each of them one pass.
+ALLOWED = r"^(?:[0-9]++|[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}|/?(?:[A-Za-z]{2,}+[/_-])++[A-Za-z]++[0-9]{0,4}|(.{1,8}?)\1{2,}+.{0,7})$"
+#: Words of values that are made up, and the most characters of a stretch for each of them.
+PLACEHOLDER, PER_WORD = r"(?i)example|placeholder|changeme|xxxx", 48
+#: c * log2(c) is counted in these units, so that sums over any number of windows stay exact.
+UNIT = 1 << 40
 
 
 def _matches(text: Column, pattern: str, group: int) -> Column:
@@ -62,29 +73,53 @@ def _some(text: Column, pattern: str, value: Column) -> Column:
     return F.when(text.rlike(pattern), value).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
-def _windows(window: int, least: float):
-    """The initial state and the step of the fold over ``_codes`` that finds the windows whose entropy reaches ``least``.
+def _byte(value: Column, i: Column) -> Column:
+    """The code of character i (from 0) of an ASCII string given as bytes."""
+    return F.ascii(F.substring(value, i + 1, F.lit(1)).cast("string"))
+
+
+def hot_part(value: Column, most: Column) -> Column:
+    """struct<first, last>: the first and last place at which a window's sum of c * log2(c) (in units) is at most ``most``; nulls if none is.
 
-    The entropy of a window is log2(w) - s / w, with s the sum of c * log2(c). State: counts per character code, s,
-    and the starts of the first and last such window (null: none).
+    The entropy of a window is log2(w) - sum / w. State of the fold: the counts (a string whose character k is the
+    count of character code k), the sum, and the places.
     """
-    # value * log2(value) for counts 0..window, as a lookup table
-    table = F.array(*[F.lit(0.0 if c < 2 else c * math.log2(c)) for c in range(window + 1)])
-    most = (math.log2(window) - least) * window + 1e-9
-    zero = F.struct(F.array_repeat(F.lit(0), 128).alias("n"), F.lit(0.0).alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+    table = F.array(*[F.lit(0 if c < 2 else round(c * math.log2(c) * UNIT)) for c in range(WINDOW + 1)])
+    zero = F.struct(F.lit("\0" * 128).alias("n"), F.lit(0).cast("long").alias("s"), F.lit(None).cast("int").alias("first"), F.lit(None).cast("int").alias("last"))
+
+    def count(counts: Column, code: Column) -> Column:
+        return F.ascii(F.substring(counts, code + 1, F.lit(1)))
+
+    def put(counts: Column, code: Column, n: Column) -> Column:
+        return F.overlay(counts, F.chr(n), code + 1, F.lit(1))
+
+    def enter(state: Column, x: Column) -> Column:
+        """The character at x["i"] enters."""
+        n = count(state["n"], x["into"])
+        return F.struct(put(state["n"], x["into"], n + 1).alias("n"), (state["s"] + F.get(table, n + 1) - F.get(table, n)).alias("s"), state["first"].alias("first"), state["last"].alias("last"))
 
-    def move(state: Column, i: Column) -> Column:
-        into = F.get(F.col("_codes"), i)
-        out = F.when(i >= window, F.get(F.col("_codes"), i - window)).otherwise(F.lit(-1))
-        same = into == out
-        n, m = F.get(state["n"], into), F.get(state["n"], out)
-        s = F.when(same, state["s"]).otherwise(state["s"] + F.get(table, n + 1) - F.get(table, n) + F.when(out >= 0, F.get(table, m - 1) - F.get(table, m)).otherwise(0.0))
-        counts = F.when(same, state["n"]).otherwise(F.transform(state["n"], lambda v, k: v + F.when(k == into, 1).when(k == out, -1).otherwise(0)))
-        hot = (i >= window - 1) & (s <= most)
-        start = i - (window - 1)
-        return F.struct(counts.alias("n"), s.alias("s"), F.coalesce(state["first"], F.when(hot, start)).alias("first"), F.when(hot, start).otherwise(state["last"]).alias("last"))
+    def move(state: Column, x: Column) -> Column:
+        """One character leaves (from a full window on), one enters; none of the counts changes if they are the same."""
+        m = count(state["n"], x["out"])
+        left = F.struct(put(state["n"], x["out"], m - 1).alias("n"), (state["s"] + F.get(table, m - 1) - F.get(table, m)).alias("s"), state["first"].alias("first"), state["last"].alias("last"))
+        changed = F.get(F.transform(F.array(F.when(x["out"] >= 0, left).otherwise(state)), lambda y: enter(y, x)), F.lit(0))
+        return F.when(x["out"] == x["into"], state).otherwise(changed)
 
-    return zero, move
+    def step(state: Column, i: Column, own: Column) -> Column:
+        pair = F.struct(_byte(own, i).alias("into"), F.when(i >= WINDOW, _byte(own, i - WINDOW)).otherwise(F.lit(-1)).alias("out"))
+        start = i - (WINDOW - 1)
+
+        def note(s: Column) -> Column:
+            hot = (start >= 0) & (s["s"] <= most)
+            return F.struct(s["n"].alias("n"), s["s"].alias("s"), F.coalesce(s["first"], F.when(hot, start)).alias("first"), F.when(hot, start).otherwise(s["last"]).alias("last"))
+
+        return F.get(F.transform(F.transform(F.array(pair), lambda x: move(state, x)), note), F.lit(0))
+
+    def fold(own: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.octet_length(own) - 1), zero, lambda s, i: step(s, i, own), lambda s: F.struct(s["first"].alias("first"), s["last"].alias("last")))
+
+    # a variable holds the bytes, whereas a column would copy them at every step
+    return F.get(F.transform(F.array(value), fold), F.lit(0))
 
 
 def scan(df: DataFrame, text: str = "text") -> DataFrame:
@@ -92,43 +127,33 @@ def scan(df: DataFrame, text: str = "text") -> DataFrame:
 
     ``base`` holds the pattern spans alone, ``spans`` also the entropy spans.
     """
-    whole = df.select(packed(df, [text]).alias("_keep"), F.monotonically_increasing_id().alias("_row"), F.coalesce(F.col(text), F.lit("")).alias(text))
+    whole = df.select(packed(df, [text]).alias("_keep"), F.coalesce(F.col(text), F.lit("")).alias(text))
     kinds = [*BASE, *ENTROPY]
 
-    def span(kind: str):
-        return lambda x: F.struct(x["start"].alias("start"), F.lit(kinds.index(kind)).alias("rank"), x["end"].alias("end"), F.lit(kind).alias("kind"))
+    def span(start: Column, end: Column, rank: Column) -> Column:
+        kind = F.element_at(F.array(*[F.lit(k) for k in kinds]), rank + 1)
+        return F.struct(start.alias("start"), rank.alias("rank"), end.alias("end"), kind.alias("kind"))
 
-    def long_enough(least: int):
-        return lambda x: F.char_length(x["value"]) >= least
+    def base_of(kind: str) -> Column:
+        pattern, group, least = BASE[kind]
+        found = F.filter(_some(F.col(text), pattern, _matches(F.col(text), pattern, group)), lambda x: F.char_length(x["value"]) >= least)
+        return F.transform(found, lambda x: span(x["start"], x["end"], F.lit(kinds.index(kind))))
 
-    def candidate(kind: str):
-        return lambda x: F.struct(F.lit(kind).alias("kind"), x["start"].alias("start"), x["value"].alias("value"))
+    def candidates(kind: str) -> Column:
+        pattern, least = ENTROPY[kind]
+        most = math.floor(((math.log2(WINDOW) - least) * WINDOW + 1e-9 * WINDOW) * UNIT)
+        found = F.filter(_some(F.col(text), pattern, _matches(F.col(text), pattern, 1)), lambda x: ~x["value"].rlike(ALLOWED))
+        return F.transform(found, lambda x: F.struct(F.lit(kinds.index(kind)).alias("rank"), x["start"].alias("start"), x["value"].cast("binary").alias("value"), F.lit(most).cast("long").alias("most")))
 
-    def hot_part(window: int):
-        return lambda s: F.struct(s["first"].alias("first"), (s["last"] + window).alias("last"))
+    def cut(x: Column) -> Column:
+        """The hot stretch of a candidate with its text."""
+        return F.transform(F.array(hot_part(x["value"], x["most"])), lambda h: F.struct(x["rank"].alias("rank"), (x["start"] + h["first"]).alias("start"), (x["start"] + h["last"] + WINDOW).alias("end"), F.substring(x["value"], h["first"] + 1, h["last"] - h["first"] + WINDOW).cast("string").alias("value")))
 
-    base = []
-    for kind, (pattern, group, least) in BASE.items():
-        found = F.filter(_some(F.col(text), pattern, _matches(F.col(text), pattern, group)), long_enough(least))
-        base.append(F.transform(found, span(kind)))
-    # one pass: entropy candidates are exploded in place and come back by the row's number
-    candidates = []
-    for kind, (pattern, window, least) in ENTROPY.items():
-        found = F.filter(_some(F.col(text), pattern, _matches(F.col(text), pattern, 1)), lambda x: ~x["value"].rlike(ALLOWED))
-        candidates.append(F.transform(found, candidate(kind)))
-    rows = whole.select("_keep", "_row", F.sort_array(F.concat(*base)).alias("base"), F.explode_outer(F.concat(*candidates)).alias("_c"))
-    rows = rows.select("_keep", "_row", "base", F.col("_c.kind").alias("_kind"), F.col("_c.start").alias("_start"), F.col("_c.value").alias("_value"))
-    hot = F.lit(None).cast("struct<first:int,last:int>")
-    rows = rows.withColumn("_codes", F.transform(F.split("_value", ""), lambda c: F.ascii(c)))
-    for kind, (_, window, least) in ENTROPY.items():
-        zero, move = _windows(window, least)
-        end = F.aggregate(F.sequence(F.lit(0), F.size("_codes") - 1), zero, move, hot_part(window))
-        hot = F.when(F.col("_kind") == kind, end).otherwise(hot)
-    rank = F.when(F.col("_kind") == "entropy_hex", kinds.index("entropy_hex")).otherwise(kinds.index("entropy_base64"))
-    rows = rows.withColumn("_hot", hot)
-    extra = F.when(F.col("_hot.first").isNotNull(), F.struct((F.col("_start") + F.col("_hot.first")).alias("start"), rank.alias("rank"), (F.col("_start") + F.col("_hot.last")).alias("end"), F.col("_kind").alias("kind")))
-    grouped = rows.select("_keep", "_row", "base", extra.alias("_extra")).groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("base").alias("base"), F.collect_list("_extra").alias("_extra"))
-    return unpacked(grouped, df, [text], {"base": F.col("base"), "spans": F.sort_array(F.concat("base", "_extra"))})
+    found = whole.select("_keep", F.sort_array(F.concat(*map(base_of, BASE))).alias("base"), F.concat(*map(candidates, ENTROPY)).alias("_candidates"))
+    made_up = lambda value: F.size(F.regexp_extract_all(value, F.lit(PLACEHOLDER), 0)) * PER_WORD >= F.char_length(value)
+    hot = F.filter(F.flatten(F.transform("_candidates", cut)), lambda x: x["start"].isNotNull() & ~made_up(x["value"]))
+    extra = F.transform(hot, lambda x: span(x["start"], x["end"], x["rank"]))
+    return unpacked(found, df, [text], {"base": F.col("base"), "spans": F.sort_array(F.concat("base", extra))})
 
 
 def joined(spans: Column) -> Column:

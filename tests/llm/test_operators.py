@@ -342,27 +342,62 @@ def test_secrets_base(frame):
     assert secrets.scan(frame("x").limit(0)).count() == 0
 
 
-def test_secret_entropy(frame):
+def brute_spans(x):
+    """All spans: base ones, and by class the stretch of the windows whose entropy, counted anew for each, is high enough."""
     import math
 
-    alphabet = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-="
+    out, kinds = base_spans(x), [*secrets.BASE, *secrets.ENTROPY]
+    allowed = re.compile(secrets.ALLOWED)
+    for kind, (pattern, least) in secrets.ENTROPY.items():
+        for m in re.finditer(pattern, x):
+            if allowed.match(m[1]):
+                continue
+            w = secrets.WINDOW
+            hot = [s for s in range(len(m[1]) - w + 1) if -sum(c / w * math.log2(c / w) for c in collections.Counter(m[1][s : s + w]).values()) >= least - 1e-9]
+            if hot:
+                found = m[1][hot[0] : hot[-1] + w]
+                if len(re.findall(secrets.PLACEHOLDER, found)) * secrets.PER_WORD < len(found):
+                    out.append((m.start() + hot[0], kinds.index(kind), m.start() + hot[-1] + w, kind))
+    return sorted(out)
+
+
+def test_secret_entropy(frame):
+    alphabets = ["0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-", "aB1="]
     rng = random.Random(6)
-    texts_ = ["".join(rng.choice(alphabet[: rng.choice([4, 20, 66])]) for _ in range(rng.randrange(20, 70))) for _ in range(120)] + ["a" * 60 + "1B", "123e4567-e89b-12d3-a456-426614174000", "1" * 40, "exampleKey0aB1cD2eF3gH4iJ5kL6"]
+    texts_ = [rng.choice(["", "KEY=", "é/", "a b "]) + "".join(rng.choice(a) for _ in range(rng.randrange(20, 70))) + rng.choice(["", "=", " z"]) for a in alphabets for _ in range(60)]
+    texts_ += ["a" * 60 + "1B", "123e4567-e89b-12d3-a456-426614174000", "1" * 40, "exampleKey0aB1cD2eF3gH4iJ5kL6", "JBSWY3DPEHPK3PXPGEZDGNBVGY3TQOJQ", "docs/example/some/Zx81kLqP04mNvT73aYwE"]
     out = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(*texts_)).collect()}
-    allowed, hits = re.compile(secrets.ALLOWED.replace("(?i:", "(?i:")), 0
+    hits = collections.Counter()
     for i, x in enumerate(texts_):
-        want = []
-        for kind, (pattern, w, least) in secrets.ENTROPY.items():
-            for m in re.finditer(pattern, x):
-                if allowed.match(m[1]):
-                    continue
-                hot = [s for s in range(len(m[1]) - w + 1) if -sum(c / w * math.log2(c / w) for c in collections.Counter(m[1][s : s + w]).values()) >= least - 1e-9]
-                if hot:
-                    want.append((kind, m.start() + hot[0], m.start() + hot[-1] + w))
-        got = sorted((s["kind"], s["start"], s["end"]) for s in out[i] if s["kind"].startswith("entropy"))
-        assert got == sorted(want), x
-        hits += len(want)
-    assert hits > 20 and not any(s["kind"].startswith("entropy") for i in (121, 122, 123) for s in out[i])
+        assert [tuple(s) for s in out[i]] == brute_spans(x), x
+        hits.update(s["kind"] for s in out[i])
+    assert all(hits[k] > 10 for k in secrets.ENTROPY)
+    assert not any(s["kind"].startswith("entropy") for i in (301, 302, 303) for s in out[i]) and out[304]
+
+
+def test_secrets_of_very_long_candidates(frame):
+    """A million characters of every branch of the allow-list, and near misses, end in time and without deep recursion."""
+    rng = random.Random(7)
+    hot = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/") for _ in range(50_000))
+    long = ["1" * 1_000_000, "ab-" * 330_000 + "c1", "/" + "ab/" * 330_000 + "c", "abcdefg1" * 125_000, "x" * 200_000 + "-1", "ab-" * 60_000 + "c1x!", hot]
+    out = {r["doc_id"]: r["spans"] for r in secrets.scan(frame(*long)).collect()}
+    assert not any(s["kind"].startswith("entropy") for i in range(6) for s in out[i])
+    assert [tuple(s) for s in out[6]] == brute_spans(hot)
+
+
+def test_op6(spark, monkeypatch):
+    rng = random.Random(8)
+    bits = ["password=", "token: ", "AKIA", "ABCD1234EFGH5678", "0123456789abcdef", "é ", "\n", "9f86d081884c7d659a2feaa0c55ad015", "Zx81kLqP04mNvT73aYwE", "/", "=", "x"]
+    texts_ = ["".join(rng.choice(bits) for _ in range(rng.randrange(12))) for _ in range(200)] + [None, ""]
+    rows = [(i, t) for i, t in enumerate(texts_)] + [(3, texts_[3]), (None, "token=abcdefgh1")]
+    monkeypatch.setattr(secrets, "read", lambda *_: spark.createDataFrame(rows, "doc_id long, text string").repartition(3))
+    got = sorted((tuple(r) for r in secrets.op6_secret_scan(spark, "").collect()), key=repr)
+    want = []
+    for i, t in rows:
+        base, spans = base_spans(t or ""), brute_spans(t or "")
+        text_of = lambda found: ",".join(f"{k}:{a}:{b}" for a, _, b, k in found)
+        want.append((i, *(sum(s[3] == k for s in base) for k in ("assign", "access", "hex")), sha(text_of(base)), text_of(spans)))
+    assert got == sorted(want, key=repr) and sum("entropy" in w[5] for w in want) > 50
 
 
 def test_secret_hex_after_a_name(frame):
