@@ -1,21 +1,26 @@
 """Exact dedup of a new batch against an immutable snapshot.
 
 Texts are equal when their copies without ``[\\x20\\x09-\\x0D]`` are. Per snapshot a static binary-fuse filter (8-bit
-fingerprints, about 9 bits a key) is built for every bucket of the digest space; incoming digests that their
-bucket's filter rules out are new, the rest join the snapshot's groups exactly and are confirmed byte by byte.
-Copies inside the incoming batch are grouped by digest on their own first, so neither side meets a key twice and a
-group of any size shrinks to one row before the shuffle.
-
-Of equal texts the row with the most code points in the original text stays, then the smallest id. Null texts count
-as empty, so they equal texts of white space. Ids should be unique; rows that repeat an id with equal text fall in
-one group and are all marked kept if it is theirs. Empty tables give empty results.
+fingerprints, about 9 bits a key) is built for every bucket of the digest space, once: a snapshot's groups and filters
+can be written and read again for every later batch. Incoming digests that their bucket's filter rules out are new, the
+rest join the snapshot's groups exactly and are confirmed byte by byte. Copies inside the incoming batch are grouped by
+digest on their own first, so neither side meets a key twice and a group of any size shrinks to one row before the
+shuffle.
+
+Of equal texts the row with the most code points in the original text stays, then the smallest id (null ids last); of
+rows that also share the id, one, which is marked kept alone. Rows are told apart by numbers of their own, never by
+their ids, so null ids and ids that repeat, with equal or other texts and of any type, count row by row. Null texts
+count as empty, so they equal texts of white space. Texts may be of any length; columns besides the key and the text
+are left out. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.llm.common import mix, read, saved, sha, sized, stripped, text_or_empty
@@ -24,10 +29,10 @@ from tabwright.llm.common import mix, read, saved, sha, sized, stripped, text_or
 KEYS_PER_FILTER = 65_536
 
 
-def digests(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, digest (SHA-256, binary), n_chars (code points of the original text), from one scan."""
+def digests(df: DataFrame, key: str = "doc_id", text: str = "text", *more: str) -> DataFrame:
+    """_id, _row (a number of the row), digest (SHA-256, binary), n_chars (code points of the original text) and columns of ``df``, from one scan."""
     whole = text_or_empty(text)
-    return df.select(F.col(key), F.unhex(sha(stripped(whole))).alias("digest"), F.char_length(whole).cast("long").alias("n_chars"))
+    return df.select(F.col(key).alias("_id"), F.monotonically_increasing_id().alias("_row"), F.unhex(sha(stripped(whole))).alias("digest"), F.char_length(whole).cast("long").alias("n_chars"), *more)
 
 
 def _keys(digests: pd.Series) -> np.ndarray:
@@ -125,42 +130,91 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
     return own.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, own.schema)
 
 
-def _groups(of: DataFrame, key: str) -> DataFrame:
-    best = F.max_by(F.struct(F.col("n_chars"), F.col(key).alias("id")), F.struct("n_chars", (-F.col(key)).alias("low")))
-    return of.groupBy("digest").agg(best.alias("best"), F.count(F.lit(1)).alias("n"))
+def _best() -> Column:
+    """Of rows the one that stays has the least of these."""
+    return F.struct((-F.col("n_chars")).alias("less"), F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_row").alias("row"))
+
+
+def _groups(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("digest").agg(F.min(_best()).alias("best"), F.count(F.lit(1)).alias("n"))
+
+
+@dataclass(frozen=True)
+class Snapshot:
+    """groups: digest, best, n. filters: see ``build_filters``. source: the rows (key, text) whose bytes confirm a match."""
+
+    groups: DataFrame
+    filters: DataFrame
+    buckets: int
+    source: DataFrame
+
+    def write(self, path: str) -> None:
+        """Writes groups and filters; the source is the caller's own table."""
+        self.groups.write.parquet(f"{path}/groups")
+        self.filters.withColumn("buckets", F.lit(self.buckets)).write.parquet(f"{path}/filters")
+
+
+def read_snapshot(spark: SparkSession, path: str, source: DataFrame) -> Snapshot:
+    """A written snapshot; its filters are not built again. ``source`` is the table it was built of."""
+    filters = spark.read.parquet(f"{path}/filters")
+    buckets = filters.agg(F.max("buckets")).first()[0]
+    return Snapshot(spark.read.parquet(f"{path}/groups"), filters.drop("buckets"), buckets or 1, source)
+
+
+def build_snapshot(df: DataFrame, key: str = "doc_id", text: str = "text", keys_per_filter: int = KEYS_PER_FILTER) -> Snapshot:
+    return _snapshot(saved(digests(df, key, text)), df, keys_per_filter)
+
+
+def _snapshot(rows: DataFrame, source: DataFrame, keys_per_filter: int) -> Snapshot:
+    groups = saved(_groups(rows))
+    buckets = max(1, -(-groups.count() // keys_per_filter))
+    return Snapshot(groups, saved(build_filters(groups, buckets)), buckets, source)
+
+
+def _sample_texts(df: DataFrame, wanted: DataFrame, text: str, name: str) -> DataFrame:
+    """digest and a normalised text that has it, for the wanted digests."""
+    own = df.select(stripped(text_or_empty(text)).alias(name)).withColumn("digest", F.unhex(sha(F.col(name))))
+    return own.join(sized(wanted), "digest", "left_semi").groupBy("digest").agg(F.min(name).alias(name))
+
+
+def match(new: DataFrame, batch: DataFrame, snapshot: Snapshot, text: str = "text") -> DataFrame:
+    """digest, was, n_was: of the batch's groups those whose text is in the snapshot, byte for byte, with the snapshot's best row and number of rows."""
+    met = saved(screen(new.select("digest"), snapshot.filters, snapshot.buckets).select("digest"))
+    exact = saved(met.join(snapshot.groups.select("digest", F.col("best").alias("was"), F.col("n").alias("n_was")), "digest"))
+    wanted = exact.select("digest")
+    texts = _sample_texts(snapshot.source, wanted, text, "_old").join(_sample_texts(batch, wanted, text, "_new"), "digest")
+    return exact.join(texts.filter(F.col("_old") == F.col("_new")).select("digest"), "digest")
 
 
-def _confirmed(pairs: DataFrame, df: DataFrame, key: str, text: str) -> DataFrame:
-    """The pairs (digest, old, new: ids) whose normalised texts are equal byte for byte."""
-    ids = pairs.select(F.explode(F.array("old", "new")).alias("_id")).distinct()
-    texts = df.join(sized(saved(ids)), df[key] == F.col("_id"), "left_semi").select(F.col(key).alias("_id"), stripped(text_or_empty(text)).alias("_text")).dropDuplicates(["_id"])
-    old = texts.select(F.col("_id").alias("old"), F.col("_text").alias("_old"))
-    new = texts.select(F.col("_id").alias("new"), F.col("_text").alias("_new"))
-    return pairs.join(old, "old").join(new, "new").filter(F.col("_old") == F.col("_new")).select("digest")
+def ingest_batch(batch: DataFrame, snapshot: Snapshot, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of the batch: key, kept (the first of its text, which the snapshot doesn't have), met (whether the snapshot has it), keep_id (of the batch or the snapshot), group_size (in both)."""
+    rows = saved(digests(batch, key, text))
+    new = saved(_groups(rows))
+    found = new.join(match(new, batch, snapshot, text), "digest", "left").withColumn("met", F.col("was").isNotNull())
+    stays = F.when(F.col("met"), F.col("was.id")).otherwise(F.col("best.id"))
+    found = found.select("digest", F.col("best.row").alias("_first"), "met", stays.alias("keep_id"), (F.col("n") + F.coalesce("n_was", F.lit(0))).alias("group_size"))
+    return rows.join(found, "digest").select(F.col("_id").alias(key), (~F.col("met") & (F.col("_row") == F.col("_first"))).alias("kept"), "met", "keep_id", "group_size")
 
 
-def ingest(df: DataFrame, in_snapshot, key: str = "doc_id", text: str = "text", keys_per_filter: int = KEYS_PER_FILTER) -> DataFrame:
-    """Dedups the rows of ``df`` outside ``in_snapshot`` (a boolean Column over its key) against those inside and each other.
+def ingest(df: DataFrame, in_snapshot: Column, key: str = "doc_id", text: str = "text", keys_per_filter: int = KEYS_PER_FILTER) -> DataFrame:
+    """Dedups the rows of ``df`` outside ``in_snapshot`` (a boolean Column over its columns) against those inside and each other, and those inside against all.
 
     Returns one row per row: key, keep_id, group_size, kept, digest, met (whether an incoming row's text was in the snapshot).
     """
-    if not df.columns or key not in df.columns:
+    if key not in df.columns:
         raise ValueError(f"no column {key}")
-    buckets = max(1, -(-df.count() // keys_per_filter))
-    rows = saved(digests(df, key, text).withColumn("_old", F.coalesce(in_snapshot, F.lit(False))))
-    old = _groups(rows.filter("_old"), key)
-    new = saved(_groups(rows.filter("NOT _old"), key))
-    filters = build_filters(old, buckets)
-    met = screen(new.select("digest"), filters, buckets).select("digest")
-    was = old.select("digest", F.col("best").alias("_was"), F.col("n").alias("_n"))
-    exact = saved(new.join(met, "digest").join(was, "digest"))
-    sure = _confirmed(exact.select("digest", F.col("_was.id").alias("old"), F.col("best.id").alias("new")), df, key, text)
-    both = exact.join(sure, "digest").select("digest", "_was", "best", (F.col("n") + F.col("_n")).alias("n"))
-    one = lambda c: F.struct(c["n_chars"], (-c["id"]).alias("low"))
-    both = both.select("digest", F.when(one(F.col("_was")) >= one(F.col("best")), F.col("_was")).otherwise(F.col("best")).alias("best"), "n", F.lit(True).alias("met"))
-    alone = old.unionByName(new).join(both.select("digest"), "digest", "left_anti").withColumn("met", F.lit(False))
-    groups = alone.unionByName(both).select("digest", F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), F.col("met"))
-    return rows.join(groups, "digest").select(key, "keep_id", "group_size", (F.col(key) == F.col("keep_id")).alias("kept"), "digest", (F.col("met") & ~F.col("_old")).alias("met"))
+    marked = df.select(F.col(key).alias("_key"), F.col(text).alias("_text"), F.coalesce(in_snapshot, F.lit(False)).alias("_old"))
+    rows = saved(digests(marked, "_key", "_text", "_old"))
+    snapshot = _snapshot(rows.filter("_old"), marked.filter("_old"), keys_per_filter)
+    new = saved(_groups(rows.filter("NOT _old")))
+    shared = saved(match(new, marked.filter("NOT _old"), snapshot, "_text"))
+    # a digest that both sides have without the same bytes stays two groups: groups go by digest and side
+    both = new.join(shared, "digest").select("digest", F.least("best", "was").alias("best"), (F.col("n") + F.col("n_was")).alias("n"))
+    sides = lambda groups, old: groups.withColumn("_old", F.lit(old))
+    alone = sides(snapshot.groups, True).unionByName(sides(new, False)).join(shared.select("digest"), "digest", "left_anti").withColumn("met", F.lit(False))
+    groups = alone.unionByName(both.select("digest", "best", "n", F.explode(F.array(F.lit(True), F.lit(False))).alias("_old"), F.lit(True).alias("met")).select(*alone.columns))
+    found = rows.join(groups, ["digest", "_old"])
+    return found.select(F.col("_id").alias(key), F.col("best.id").alias("keep_id"), F.col("n").alias("group_size"), (F.col("_row") == F.col("best.row")).alias("kept"), "digest", (F.col("met") & ~F.col("_old")).alias("met"))
 
 
 def op4_exact_dedup(spark, sf_dir: str) -> DataFrame:
