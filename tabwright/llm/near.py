@@ -10,8 +10,13 @@ members with one leader, and only members that are then still outside the bucket
 members of other components: all of them but those that a bound on shared shingles rules out, so no link between
 different sets is lost. Sets are built for classes in shared buckets alone.
 
-Null and empty texts have an empty set and are linked with nothing. Repeated rows are copies of each other; a
-repeated id takes part once per row. An empty table gives an empty result.
+Sets are told apart by a 128-bit digest of their 64-bit shingle hashes, and a link is confirmed on those hashes.
+
+Null and empty texts have an empty set and are linked with nothing. Repeated rows are copies of each other. Classes
+have numbers of their own, so rows take part whatever their ids: an id that repeats, with equal or other texts, takes
+part once per row, and a null id is larger than all others (a group of null ids alone has none). Texts may be of any
+length; columns besides the key and the text stay with ``keep_one`` and are left out otherwise. An empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -109,35 +114,40 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     return keys
 
 
+def _digest(shingles: np.ndarray) -> bytes | None:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def signatures(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    """key, n_shingles, set_key (digest of the set; null if empty), bands."""
+    """_k (the key), _t (a hash of the text), n_shingles, set_key (digest of the set; null if empty), bands."""
     kind = df.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = strings(batch.column(text))
+            column = strings(batch.column("_text"))
             for a, b in chunks(column):
                 sets = shingle_sets(*flat(column.slice(a, b - a)), words)
                 bands = band_keys(sets).view(np.int64)
-                digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * BANDS, BANDS, dtype=np.int32)), pa.array(bands.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), lists], names=[key, "n_shingles", "set_key", "bands"])
+                columns = [batch.column(c).slice(a, b - a) for c in ("_k", "_t")] + [pa.array([len(s) for s in sets], pa.int64()), pa.array([_digest(s) for s in sets], pa.binary()), lists]
+                yield pa.RecordBatch.from_arrays(columns, names=["_k", "_t", "n_shingles", "set_key", "bands"])
 
-    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, n_shingles long, set_key binary, bands array<long>")
+    named = df.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
+    return named.mapInArrow(tidy(run), f"_k {kind}, _t long, n_shingles long, set_key binary, bands array<long>")
 
 
-def _full_sets(df: DataFrame, key: str, text: str, words: int) -> DataFrame:
-    kind = df.schema[key].dataType.simpleString()
+def _full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """set_key, shingles of the texts in the column _text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = strings(batch.column(text))
+            column = strings(batch.column("_text"))
             for a, b in chunks(column):
                 sets = shingle_sets(*flat(column.slice(a, b - a)), words)
                 ends = np.append(0, np.fromiter(map(len, sets), np.int64, len(sets)).cumsum()).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["id", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["set_key", "shingles"])
 
-    return df.select(key, text).mapInArrow(tidy(run), f"id {kind}, shingles array<long>")
+    return texts.select("_text").mapInArrow(tidy(run), "set_key binary, shingles array<long>")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -227,27 +237,55 @@ def _open_pairs(named: DataFrame, classes: DataFrame, sets: DataFrame, percent:
     return calm.unionByName(together).unionByName(apart).distinct()
 
 
-def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """One row per row: key, n_shingles, component_id (smallest key reachable, itself included), kept (key = component_id)."""
+def _row_order():
+    """Rows of a group in order: by id (nulls last), then by a hash of the text."""
+    return F.struct(F.col("_k").isNull().alias("none"), F.col("_k").alias("k"), F.col("_t").alias("t"))
+
+
+def _grouped(df: DataFrame, key: str, text: str, words: int, similarity: float) -> DataFrame:
+    """_k, _t, n_shingles and first (the row order of the group's first row) of every row."""
     if words < 1 or not 0 < similarity <= 1:
         raise ValueError("words must be at least 1 and similarity in (0, 1]")
     signed = saved(signatures(df, key, text, words))
-    classes = saved(signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min(key).alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands")))
+    classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min(_row_order()).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
+    # saved before it is used, so that the numbers stay
+    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()))
 
     def sets_of(reps: DataFrame) -> DataFrame:
-        chosen = df.join(sized(reps.withColumnRenamed("rep", "_rep")), df[key] == F.col("_rep"), "left_semi")
-        return _full_sets(chosen, key, text, words).dropDuplicates(["id"])
+        wanted = saved(reps.join(classes.select("rep", "set_key", F.col("first.k").alias("_k"), F.col("first.t").alias("_t")), "rep"))
+        rows = saved(wanted.select(F.col("_k").alias("_k2"), F.col("_t").alias("_t2")).distinct())
+        texts = df.select(F.col(key).alias("_k"), F.xxhash64(text).alias("_t"), F.col(text).alias("_text"))
+        chosen = texts.join(sized(rows), texts["_k"].eqNullSafe(rows["_k2"]) & (texts["_t"] == rows["_t2"]), "left_semi")
+        return _full_sets(chosen, words).join(sized(wanted.select("set_key", F.col("rep").alias("id"))), "set_key").drop("set_key").dropDuplicates(["id"])
+
+    labels = link_classes(classes.select("rep", "n_shingles", "bands"), sets_of, similarity)
+    named = saved(classes.select("set_key", "rep", "first").join(labels, "rep", "left").select("set_key", "first", F.coalesce("label", "rep").alias("label")))
+    groups = named.groupBy("label").agg(F.min("first").alias("_first"))
+    firsts = named.select("set_key", "label").join(groups, "label").select("set_key", "_first")
+    own = signed.select("_k", "_t", "n_shingles", "set_key").join(firsts, "set_key", "left")
+    return own.select("_k", "_t", "n_shingles", F.coalesce("_first", _row_order()).alias("first"))
 
-    labels = link_classes(classes.drop("set_key"), sets_of, similarity)
-    named = classes.select("set_key", "rep").join(labels, "rep", "left").select("set_key", F.coalesce("label", "rep").alias("_label"))
-    out = signed.select(key, "n_shingles", "set_key").join(named, "set_key", "left").withColumn("component_id", F.coalesce("_label", key))
-    return out.select(key, "n_shingles", "component_id", (F.col(key) == F.col("component_id")).alias("kept"))
+
+def near_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """One row per row: key, n_shingles, component_id (smallest key reachable, itself included), kept (whether the row is its group's first; rows that repeat both its key and its text are, too)."""
+    found = _grouped(df, key, text, words, similarity)
+    return found.select(F.col("_k").alias(key), "n_shingles", F.col("first.k").alias("component_id"), (_row_order() == F.col("first")).alias("kept"))
 
 
 def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text", words: int = 5, similarity: float = 0.8) -> DataFrame:
-    """``df`` with one row of each group; columns as they were."""
-    lost = near_duplicates(df, key, text, words, similarity).filter("NOT kept").select(F.col(key).alias("__lost")).distinct()
-    return df.join(sized(saved(lost)), df[key] == F.col("__lost"), "left_anti")
+    """``df`` with one row of each group, and every row without words; columns as they were."""
+    found = saved(_grouped(df, key, text, words, similarity).withColumn("kept", _row_order() == F.col("first")))
+    lost = saved(found.filter("NOT kept").select(F.col("_k").alias("__k"), F.col("_t").alias("__t")).distinct())
+    same = df[key].eqNullSafe(lost["__k"]) & (F.xxhash64(df[text]) == lost["__t"])
+    left = df.join(sized(lost), same, "left_anti")
+    # rows that repeat both key and text: of those with words one stays
+    again = found.filter("kept AND n_shingles > 0").groupBy(F.col("_k").alias("__k"), F.col("_t").alias("__t")).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    again = saved(again)
+    if not again.limit(1).count():
+        return left
+    same = left[key].eqNullSafe(again["__k"]) & (F.xxhash64(left[text]) == again["__t"])
+    once = left.join(sized(again), same, "left_semi").groupBy(F.col(key), F.xxhash64(text)).agg(F.any_value(F.struct(*[F.col(f"`{c}`") for c in left.columns])).alias("_row"))
+    return left.join(sized(again), same, "left_anti").unionByName(once.select(*[F.col("_row").getField(c).alias(c) for c in left.columns]))
 
 
 def op7_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:
