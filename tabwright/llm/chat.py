@@ -5,12 +5,15 @@ text, an image, audio or document part into a numbered placeholder, for which it
 and how many tokens the placeholder expands to. A formatted turn is ``<s>[INST] role [/INST]content</s>``.
 
 Escaping is reversible and leaves no control string in texts or roles: a backslash becomes two, and the first
-character of a control string becomes ``\\l`` (for ``<``) or ``\\b`` (for ``[``).
+character of a control string becomes ``\\l`` (for ``<``) or ``\\b`` (for ``[``). That of a control string's beginning at
+the end of a text does, too, since the next part may go on with it.
 
 Null texts, roles and part lists count as empty; an unknown part type is an error that names it. Turns are ordered by
-turn (nulls first), then role and text, so repeated turns have a place. Rows with a null conversation id form one
-conversation. Formatting works row by row; only the fold over a conversation's turns needs them together, and it
-streams over sorted partitions, so no conversation is ever held in memory.
+turn (nulls first), then role and text, so repeated turns have a place. A row with a null conversation id is a
+conversation of its own. Formatting works row by row and takes texts of any length; only the fold over a
+conversation's turns needs them together, and it streams over sorted partitions, so no conversation is ever held in
+memory. Columns of the outputs' names are replaced, others stay with ``format_turns``. An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -29,8 +32,8 @@ from tabwright.llm.common import read, replacing, tidy
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 #: Tokens: an image takes one per patch, audio so many a second, a document so many a page; unknown sizes take the default.
 PATCH, AUDIO_RATE, PAGE_TOKENS, DEFAULT_TOKENS = 28, 25, 512, 256
-CONTROL_ANGLE = r"<(?=/?s>|\|)"
-CONTROL_BRACKET = r"\[(?=/?INST\])"
+CONTROL_ANGLE = r"<(?=/?s>|\||/?s?\z)"
+CONTROL_BRACKET = r"\[(?=/?INST\]|/?(?:I(?:N(?:ST?)?)?)?\z)"
 TURN = re.compile(r"<s>\[INST\] (.*?) \[/INST\](.*?)</s>", re.DOTALL)
 _ESCAPED = re.compile(r"\\(.)", re.DOTALL)
 _PLAIN = {"\\": "\\", "l": "<", "b": "["}
@@ -115,27 +118,28 @@ SUMMARY = "n_turns long, turns_sha256 string, loss_chars long, loss_sha256 strin
 def summarise(turns: DataFrame, conversation: str = "conv_id", order: tuple[str, ...] = ("turn", "role", "formatted")) -> DataFrame:
     """One row per conversation, read back from its formatted turns: counts and digests of all turns and of the text under the loss mask."""
     kind = turns.schema[conversation].dataType.simpleString()
+    solo = F.when(F.col(conversation).isNull(), F.monotonically_increasing_id())
     names = [conversation, *(x.split()[0] for x in SUMMARY.split(", "))]
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, reader, tokens, rows = None, None, 0, []
         for batch in batches:
             kinds = [batch.schema.field(0).type, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.int64()]
-            for own, piece, more in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                if reader is None or own != key:
+            for own, piece, more, alone in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                if reader is None or (own, alone) != key:
                     if reader is not None:
-                        rows.append((key, *reader.row(), tokens))
-                    key, reader, tokens = own, Reader(), 0
+                        rows.append((key[0], *reader.row(), tokens))
+                    key, reader, tokens = (own, alone), Reader(), 0
                 reader.feed(piece)
                 tokens += more
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
                 rows = []
         if reader is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((key, *reader.row(), tokens), kinds, strict=True)], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip((key[0], *reader.row(), tokens), kinds, strict=True)], names=names)
 
-    dealt = turns.repartition(conversation).sortWithinPartitions(conversation, *order)
-    return dealt.select(conversation, "formatted", "attachment_tokens").mapInArrow(tidy(fold), f"`{conversation}` {kind}, {SUMMARY}")
+    dealt = turns.withColumn("_solo", solo).repartition(conversation, "_solo").sortWithinPartitions(conversation, "_solo", *order)
+    return dealt.select(conversation, "formatted", "attachment_tokens", "_solo").mapInArrow(tidy(fold), f"`{conversation}` {kind}, {SUMMARY}")
 
 
 def conversations_text(turns: DataFrame, conversation: str = "conv_id", turn: str = "turn") -> DataFrame:
