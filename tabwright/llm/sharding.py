@@ -4,11 +4,15 @@ Law ``rows``: every shard's bound is its exact share (floor(n / shards), and one
 counts are at most one apart. The ring has ``1 << ring_bits`` slots; each shard owns ``virtual`` of them, and a key
 belongs to the first virtual node at or after its hash. Keys past a shard's bound go on clockwise.
 
-Only the number of keys of each arc (shards * virtual rows, whatever the input) reaches the driver, where arcs are
-cut into ranges of ranks; each row then finds its own range through a broadcast join of that bounded table.
-
-Null texts have no bytes (size is the overhead alone, CRC 0). Rows with a null id share the hash of null and are
-ordered by the text's CRC; repeated rows each get their own slot. An empty table gives an empty result.
+The keys of an arc are dealt to cells by the CRC of their texts. Only the number of keys of each cell (shards * virtual
+* CELLS rows, whatever the input) reaches the driver, where arcs are cut into ranges of ranks; ranks are counted cell by
+cell, and each row then finds its own range through a broadcast join of that bounded table. So rows that share an id,
+or have none, spread over the cells of one arc; a cell with many times its share, which rows that repeat id and text
+make, is cut further by the number of the row.
+
+Null texts have no bytes (size is the overhead alone, CRC 0). Rows with a null id share the hash of null; repeated rows
+each get their own slot. Texts may be of any length; columns besides the key and the text are left out. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -22,6 +26,9 @@ from pyspark.sql import functions as F
 from tabwright.llm.common import read, saved
 
 SHARDS, VIRTUAL, RING_BITS, OVERHEAD = 40, 64, 16, 16
+#: Cells of an arc, the parts that a crowded cell is cut into, and how many times the mean makes one crowded (and at
+#: least so many rows). At most one cell in CROWD can be.
+CELLS, PARTS, CROWD, CROWD_ROWS = 16, 64, 16, 50_000
 
 
 def ring(shards: int, virtual: int, ring_bits: int) -> list[tuple[int, int]]:
@@ -72,7 +79,7 @@ def ranges(counts: dict[int, int], owners: list[int], shards: int) -> list[tuple
     return out
 
 
-def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, virtual: int = VIRTUAL, ring_bits: int = RING_BITS) -> DataFrame:
+def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: int = SHARDS, virtual: int = VIRTUAL, ring_bits: int = RING_BITS, crowd_rows: int = CROWD_ROWS) -> DataFrame:
     """One row per row: the key, size (UTF-8 bytes + overhead), text_crc32, law, shard, slot (0.. in the shard), grown_shard (null)."""
     spark = df.sparkSession
     nodes = ring(shards, virtual, ring_bits)
@@ -81,17 +88,34 @@ def shard_rows(df: DataFrame, key: str = "doc_id", text: str = "text", shards: i
     binary = F.encode(F.coalesce(F.col(text), F.lit("")), "UTF-8")
     arc_of = F.broadcast(spark.createDataFrame(list(enumerate(arcs)), "_place int, _arc int"))
     keyed = df.select(
-        F.col(key),
+        F.col(key).alias("_key"),
         (F.octet_length(binary) + OVERHEAD).cast("long").alias("size"),
         F.crc32(binary).alias("text_crc32"),
         F.xxhash64(key).alias("_hash"),
+        F.monotonically_increasing_id().alias("_row"),
     ).withColumn("_place", F.shiftrightunsigned("_hash", 64 - ring_bits).cast("int"))
-    keyed = saved(keyed.join(arc_of, "_place").drop("_place"))
-    counts = {r["_arc"]: r["n"] for r in keyed.groupBy("_arc").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cell = (F.pmod("text_crc32", F.lit(CELLS)) * PARTS).cast("int").alias("_cell")
+    keyed = saved(keyed.join(arc_of, "_place").select("_key", "size", "text_crc32", "_hash", "_row", "_arc", cell))
+    cells = {(r["_arc"], r["_cell"]): r["n"] for r in keyed.groupBy("_arc", "_cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    crowded = [c for c, n in cells.items() if n > max(crowd_rows, CROWD * sum(cells.values()) / (len(nodes) * CELLS))]
+    if crowded:
+        marked = F.broadcast(spark.createDataFrame(crowded, "_arc int, _cell int").withColumn("_crowded", F.lit(True)))
+        keyed = keyed.join(marked, ["_arc", "_cell"], "left").withColumn("_cell", F.when(F.col("_crowded"), F.col("_cell") + F.pmod("_row", F.lit(PARTS)).cast("int")).otherwise(F.col("_cell"))).drop("_crowded")
+        more = keyed.filter(F.col("_cell") % PARTS != 0).groupBy("_arc", "_cell").agg(F.count(F.lit(1)).alias("n")).collect()
+        for r in more:
+            cells[r["_arc"], r["_cell"]] = r["n"]
+            cells[r["_arc"], r["_cell"] // PARTS * PARTS] -= r["n"]
+    counts: dict[int, int] = {}
+    before = []
+    for (arc, c), n in sorted(cells.items()):
+        before.append((arc, c, counts.get(arc, 0)))
+        counts[arc] = counts.get(arc, 0) + n
     cut = spark.createDataFrame(ranges(counts, owners, shards), "_of int, _from long, _to long, shard int, _slot long")
-    ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("_arc").orderBy("_hash", key, "text_crc32", "size")).cast("long") - 1)
+    starts = F.broadcast(spark.createDataFrame(before, "_arc int, _cell int, _before long"))
+    rank = F.row_number().over(Window.partitionBy("_arc", "_cell").orderBy("_hash", "_key", "text_crc32", "size", "_row")).cast("long")
+    ranked = keyed.withColumn("_own", rank).join(starts, ["_arc", "_cell"]).withColumn("_rank", F.col("_before") + F.col("_own") - 1)
     found = ranked.join(F.broadcast(cut), (F.col("_arc") == F.col("_of")) & (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to")))
-    return found.select(key, "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    return found.select(F.col("_key").alias(key), "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("_slot") + F.col("_rank") - F.col("_from")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
 def op9_sharding(spark, sf_dir: str) -> DataFrame:
