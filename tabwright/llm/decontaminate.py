@@ -2,13 +2,15 @@
 
 Words are the runs of ``[a-z0-9]`` and non-ASCII characters after lower-casing A-Z. A window is 10 consecutive words
 of a benchmark item (an item of fewer words, but not none, is one window). The set of windows is a broadcast hash
-table behind a check of its size; beyond the bound the same join is shuffled. So that not every text window has to
-be built, a byte map over a hash of a window's first two words (first word for one-word windows) screens positions;
-windows at positions that pass are compared as whole strings, so hits are exact.
-
-Null and empty texts have no words and no hits; null item ids never count as items, their windows still hit.
-Each input row gives one output row, repeated rows and ids included; outputs take the place of columns of their names. Benchmark items without words are ignored; an
-empty benchmark leaves every document clean.
+table behind a check of its bytes; beyond the bound the same windows are shuffled, without the other columns. So that
+not every text window has to be built, a byte map over a hash of a window's first two words (first word for one-word
+windows) screens positions, whatever the number of windows; windows at positions that pass are compared as whole
+strings, so hits are exact.
+
+Null and empty texts have no words and no hits; null item ids never count as items, their windows still hit. Texts and
+words may be of any length. Each input row gives one output row, repeated rows, ids and null ids included; outputs take
+the place of columns of their names, other columns stay. Benchmark items without words are ignored; an empty benchmark
+leaves every document clean.
 """
 
 from __future__ import annotations
@@ -16,12 +18,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.llm import common
 from tabwright.llm.common import packed, read, saved, sized, unpacked
 
 WINDOW = 10
-MAP_BITS = 18
-#: Windows up to which the set is broadcast (about 200 bytes each), and up to which the byte map screens.
-BROADCAST_WINDOWS = 500_000
+#: The byte map has 16 places a window, between these sizes.
+LEAST_BITS, MOST_BITS = 18, 22
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII that is no part of a word. Case doesn't matter for where words end, so splitting needs no lower-casing.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -36,17 +38,21 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lowered(F.coalesce(text, F.lit(""))), BREAK, -1), "")
 
 
-def _place(array: Column, at: Column, length: Column | None = None) -> Column:
-    """Where the first two words from ``at`` (1-based) fall in the byte map, 1-based. A lone last word pairs with null, which hashes as if absent."""
-    return F.xxhash64(F.get(array, at - 1), F.get(array, at)).bitwiseAND((1 << MAP_BITS) - 1).cast("int") + 1
+def _place(array: Column, at: Column) -> Column:
+    """A hash of the first two words from ``at`` (1-based). A lone last word pairs with null, which hashes as if absent."""
+    return F.xxhash64(F.get(array, at - 1), F.get(array, at))
 
 
 def _lone(array: Column, at: Column) -> Column:
-    return F.xxhash64(F.get(array, at - 1)).bitwiseAND((1 << MAP_BITS) - 1).cast("int") + 1
+    return F.xxhash64(F.get(array, at - 1))
+
+
+def _in_map(hash_: Column, bits: int) -> Column:
+    return hash_.bitwiseAND((1 << bits) - 1).cast("int")
 
 
 def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", window: int = WINDOW) -> DataFrame:
-    """gram (words joined by one space), length, items (distinct item ids), place and lone (of the byte map)."""
+    """gram (words joined by one space), length, items (distinct item ids), place and lone (hashes of its first words)."""
     of = benchmark.select(F.col(item).cast("string").alias("_item"), words(F.col(text)).alias("_words")).filter(F.size("_words") > 0)
     n = F.size("_words")
     starts = F.sequence(F.lit(1), F.greatest(n - window + 1, F.lit(1)))
@@ -59,56 +65,84 @@ def windows(benchmark: DataFrame, item: str = "item_id", text: str = "text", win
     )
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
-    """``docs`` without the text, plus n_words, n_hit, items (sorted), spans (array of the first and last hit word of each occurrence, 1-based)."""
-    grams = windows(benchmark, window=window)
-    shape = grams.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_set("length")).alias("lengths"), F.collect_set(F.when(F.col("length") > 1, F.col("place"))).alias("pairs"), F.collect_set(F.when(F.col("length") == 1, F.col("lone"))).alias("lones")).first()
-    small = shape["n"] <= BROADCAST_WINDOWS
+def _marked(grams: DataFrame, n: int) -> tuple[list[int], list[tuple[bytes, object, int]]]:
+    """The windows' lengths, and for windows of several words and of one the byte map with its hash and bits. At most 2 * 2 ** MOST_BITS places come to the driver."""
+    bits = min(max(LEAST_BITS, (16 * n - 1).bit_length()), MOST_BITS)
+    lengths = sorted(int(r[0]) for r in grams.select("length").distinct().collect())
+    maps = []
+    for name, own, hash_ in (("place", F.col("length") > 1, _place), ("lone", F.col("length") == 1, _lone)):
+        marks = bytearray(1 << bits)
+        for r in grams.filter(own).select(_in_map(F.col(name), bits)).distinct().toLocalIterator():
+            marks[r[0]] = 1
+        if any(marks):
+            maps.append((bytes(marks), hash_, bits))
+    return lengths, maps
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", window: int = WINDOW, most_bytes: int | None = None) -> DataFrame:
+    """``docs`` without the text, plus n_words, n_hit, items (sorted), spans (array of the first and last hit word of each occurrence, 1-based). The windows are broadcast up to ``most_bytes``."""
+    grams = saved(windows(benchmark, window=window))
+    size = F.octet_length("gram") + 64 + F.aggregate("items", F.lit(0), lambda s, x: s + F.octet_length(x) + 16)
+    n, n_bytes = grams.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    small = n_bytes <= (common.BROADCAST_BYTES if most_bytes is None else most_bytes)
     base = docs.select(packed(docs, [text]).alias("_keep"), words(F.col(text)).alias("_words")).withColumn("_row", F.monotonically_increasing_id())
-    n = F.size("_words")
-
-    def at(places: list[int], place):
-        marks = bytearray(1 << MAP_BITS)
-        for i in places:
-            marks[i - 1] = 1
-        return lambda i: F.substring(F.lit(bytes(marks)), place(F.col("_words"), i), 1) == F.lit(b"\x01")
-
-    if not shape["n"]:
-        spots = F.array().cast("array<int>")
-    else:
-        lengths = [int(x) for x in shape["lengths"]]
-        tests = ([at(shape["pairs"], _place)] if shape["pairs"] else []) + ([at(shape["lones"], _lone)] if shape["lones"] else [])
-        full = F.when(n >= min(lengths), F.sequence(F.lit(1), n - (min(lengths) - 1))).otherwise(F.array().cast("array<int>"))
-        spots = full if not small else F.filter(full, lambda i: tests[0](i) if len(tests) == 1 else tests[0](i) | tests[1](i))
-    found = base.withColumn("_spots", spots).withColumn(
-        "_found",
-        F.flatten(F.transform("_spots", lambda i: F.filter(F.transform(F.array(*[F.lit(x) for x in (lengths if shape["n"] else [1])]), lambda k: F.struct(i.alias("at"), k.alias("length"), F.array_join(F.slice("_words", i, k), " ").alias("gram"))), lambda x: x["at"] + x["length"] - 1 <= F.size("_words")))),
-    )
-    rows = found.select("_keep", "_row", F.size("_words").cast("long").alias("n_words"), F.explode_outer("_found").alias("_at"))
-    rows = rows.select("_keep", "_row", "n_words", F.col("_at.at").alias("_at"), F.col("_at.length").alias("_length"), F.col("_at.gram").alias("_gram"))
+    made = lambda got: unpacked(got, docs, [text], {"n_words": F.col("n_words"), "n_hit": F.col("n_hit"), "items": F.col("items"), "spans": F.col("spans")})
+    if not n:
+        none = {"items": F.array().cast("array<string>"), "spans": F.array().cast("array<struct<first:int,last:int>>")}
+        return made(base.withColumns({"n_words": F.size("_words").cast("long"), "n_hit": F.lit(0).cast("long"), **none}))
+    lengths, maps = _marked(grams, n)
+
+    def passes(i: Column) -> Column:
+        tests = [F.substring(F.lit(marks), _in_map(hash_(F.col("_words"), i), bits) + 1, 1) == F.lit(b"\x01") for marks, hash_, bits in maps]
+        return tests[0] if len(tests) == 1 else tests[0] | tests[1]
+
+    full = F.when(F.size("_words") >= lengths[0], F.sequence(F.lit(1), F.size("_words") - (lengths[0] - 1))).otherwise(F.array().cast("array<int>"))
+    sizes = F.array(*[F.lit(x) for x in lengths])
+    at = lambda i: F.filter(F.transform(sizes, lambda k: F.struct(i.alias("at"), k.alias("length"), F.array_join(F.slice("_words", i, k), " ").alias("gram"))), lambda x: x["at"] + x["length"] - 1 <= F.size("_words"))
+    found = base.withColumn("_spots", F.filter(full, passes)).withColumn("_found", F.flatten(F.transform("_spots", at)))
+    found = found.select("_keep", "_row", F.size("_words").cast("long").alias("n_words"), "_found")
     table = grams.select(F.col("gram").alias("_gram"), F.col("length").alias("_length"), "items")
-    rows = rows.join(F.broadcast(table) if small else table, ["_gram", "_length"], "left")
+    spot = [F.col("_at.at").alias("_at"), F.col("_at.length").alias("_length"), F.col("_at.gram").alias("_gram")]
     hit = F.when(F.col("items").isNotNull(), F.struct(F.col("_at").alias("first"), (F.col("_at") + F.col("_length") - 1).alias("last")))
-    grouped = rows.groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("n_words").alias("n_words"), F.sort_array(F.collect_list(hit)).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    hits = [F.sort_array(F.collect_list(hit)).alias("spans"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")]
+    if small:
+        rows = found.select("_keep", "_row", "n_words", F.explode_outer("_found").alias("_at")).select("_keep", "_row", "n_words", *spot)
+        rows = rows.join(F.broadcast(table), ["_gram", "_length"], "left")
+        grouped = rows.groupBy("_row").agg(F.first("_keep").alias("_keep"), F.first("n_words").alias("n_words"), *hits)
+    else:
+        # saved, so that row numbers stay; only places and windows that pass the screen are shuffled
+        found = saved(found)
+        rows = found.select("_row", F.explode("_found").alias("_at")).select("_row", *spot).join(table, ["_gram", "_length"])
+        grouped = found.drop("_found").join(rows.groupBy("_row").agg(*hits), "_row", "left")
+        grouped = grouped.withColumns({"spans": F.coalesce("spans", F.array().cast("array<struct<first:int,last:int>>")), "items": F.coalesce("items", F.array().cast("array<string>"))})
     n_hit = F.size(F.array_distinct(F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"])))))
-    return unpacked(grouped, docs, [text], {"n_words": F.col("n_words"), "n_hit": n_hit.cast("long"), "items": F.col("items"), "spans": F.col("spans")})
+    return made(grouped.withColumn("n_hit", n_hit.cast("long")))
+
+
+def _named(docs: DataFrame, key: str, text: str) -> DataFrame:
+    return docs.select(F.col(key).alias("__key"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text"))
+
+
+def _same(docs: DataFrame, key: str, text: str, other: DataFrame) -> Column:
+    return docs[key].eqNullSafe(other["__key"]) & (F.xxhash64(docs[text]) == other["__hash"])
 
 
 def remove_contaminated(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text", most_share: float = 0.0) -> DataFrame:
-    """``docs`` without the documents of which more than ``most_share`` of the words is hit; columns as they were. Rows that repeat the key of such a document go with it; rows with a null key stay."""
-    marked = contamination(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), benchmark, "__text")
-    bad = saved(marked.filter(F.col("n_hit") > most_share * F.col("n_words")).select("__key").distinct())
-    return docs.join(sized(bad), docs[key] == F.col("__key"), "left_anti")
+    """``docs`` without the documents of which more than ``most_share`` of the words is hit; columns as they were. A document is a key (null ones, too) with a text."""
+    marked = contamination(_named(docs, key, text), benchmark, "__text")
+    bad = saved(marked.filter(F.col("n_hit") > most_share * F.col("n_words")).select("__key", "__hash").distinct())
+    return docs.join(sized(bad), _same(docs, key, text, bad), "left_anti")
 
 
 def remove_spans(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the hit words cut out: of a document with hits, the words left (lower-cased) are joined by one space; the others stay as they are."""
-    marked = contamination(docs.select(F.col(key).alias("__key"), F.col(text).alias("__text")), benchmark, "__text")
-    hits = saved(marked.filter("n_hit > 0").select("__key", F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))).alias("__hits")).dropDuplicates(["__key"]))
-    found = docs.join(sized(hits), docs[key] == F.col("__key"), "left")
-    own = words(F.col(text))
-    left = F.transform(F.array_except(F.sequence(F.lit(1), F.size(own)), "__hits"), lambda i: F.get(own, i - 1))
-    return found.withColumn(text, F.when(F.col("__key").isNull(), F.col(text)).otherwise(F.array_join(left, " "))).select(*docs.columns)
+    marked = contamination(_named(docs, key, text), benchmark, "__text")
+    hits = saved(marked.filter("n_hit > 0").select("__key", "__hash", F.flatten(F.transform("spans", lambda s: F.sequence(s["first"], s["last"]))).alias("__hits")).dropDuplicates(["__key", "__hash"]))
+    found = docs.join(sized(hits), _same(docs, key, text, hits), "left")
+    # a variable holds the words, which are split once
+    rest = lambda own: F.array_join(F.transform(F.array_except(F.sequence(F.lit(1), F.size(own)), "__hits"), lambda i: F.get(own, i - 1)), " ")
+    left = F.get(F.transform(F.array(words(F.col(text))), rest), F.lit(0))
+    return found.withColumn(text, F.when(F.col("__hits").isNull(), F.col(text)).otherwise(left)).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
