@@ -7,25 +7,33 @@ its segment i, for some i, is whole and no more than i places off in a line that
 are indexed by (length class, segment, hash), and every line probes the places at which it may hold the segments of
 lines up to k shorter. Lines that meet are compared where they meet, those of crowded keys in blocks that are dealt
 out by key and block; a pair counts at the first segment it shares, and a task gives one row per line and block, never
-one per pair. A comparison follows the furthest place on each diagonal, with one edit more at a time.
-
-Ids name documents: rows that repeat an id should be equal, and then count as one document's lines twice over but
-share every decision. An empty table gives an empty result.
+one per pair. Pairs are verified by a banded bit-parallel edit distance: one word per number of edits holds the
+diagonals that are alive, and all pairs of a batch step through their lines at once.
 
 A line is dropped if it, or a line near it, came earlier (by document id, then line number): a line near to several
-is judged by the first places of all. Blank lines are never dropped, lines under the first band only as exact copies. Null texts have no lines; a text that loses no line stays as it was, byte for byte.
+is judged by the first places of all. Blank lines are never dropped, lines under the first band only as exact copies.
+A text that loses no line stays as it was, byte for byte.
+
+Null texts have no lines and stay null; empty texts have one blank line. A document is an id with a text: rows that
+repeat an id with another text are documents of their own (ordered by a hash of the text), null ids come after all
+others, and rows that repeat both are one document and share every decision. Texts and lines may be of any length.
+Columns besides the key and the text, whatever their names, stay. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tabwright.llm.common import chunks, flat, mix, read, saved, sha, sized, strings, tidy
+from tabwright.llm.common import CHUNK_BYTES, chunks, flat, mix, read, saved, sized, strings, tidy
 
 #: Lines with fewer code points have no near lines.
 MIN_CHARS = 32
@@ -36,62 +44,75 @@ BANDS = ((MIN_CHARS, 1), (40, 2), (60, 3), (80, 4), (100, 5))
 BLOCK = 256
 #: Places of a line beyond which it is looked up apart from the others.
 HOT = 1_000
+#: Pairs, and code points of their lines, that are verified at a time.
+PAIRS, PAIR_POINTS = 1 << 15, 1 << 22
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE_BITS = 64
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_VALUES = mix(np.arange(1, 1 << 16, dtype=np.uint64))
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_STRIP = b" \t\n\x0b\x0c\r"
+_powers_kept: list[np.ndarray] = []
+
+
+def _powers(n: int) -> list[np.ndarray]:
+    """Powers of the base and of its inverse, 0..n at least; those for usual chunks are kept."""
+    if _powers_kept and len(_powers_kept[0]) > n:
+        return _powers_kept
+    size = max(n, CHUNK_BYTES) + 1
+    made = []
+    for factor in (_BASE, _INVERSE):
+        x = np.full(size, factor, np.uint64)
+        x[0] = 1
+        made.append(np.multiply.accumulate(x))
+    if size == CHUNK_BYTES + 1:
+        _powers_kept[:] = made
+    return made
 
 
 class _Hashes:
-    """Hashes of any substrings of lines that lie side by side, from prefix sums of a polynomial hash."""
+    """Hashes of any substrings of a row of characters, from prefix sums of a polynomial hash."""
 
-    def __init__(self, points: np.ndarray):
-        n = len(points)
-        powers = np.full(n + 1, _BASE, np.uint64)
-        powers[0] = 1
-        self.powers = np.multiply.accumulate(powers)
-        # sum of code * base ** place; a difference is moved to a common place by the power that is missing
-        self.sums = np.append(np.uint64(0), np.cumsum(mix(points.astype(np.uint64) + np.uint64(1)) * self.powers[:-1], dtype=np.uint64))
+    def __init__(self, characters: np.ndarray):
+        n = len(characters)
+        powers, self.inverse = _powers(n)
+        values = _VALUES[characters] if not n or characters.dtype == np.uint8 or characters.max() < len(_VALUES) else mix(characters.astype(np.uint64) + np.uint64(1))
+        # sum of value * base ** place; a difference is moved to a common place by the power that is missing
+        self.sums = np.append(np.uint64(0), np.cumsum(values * powers[:n], dtype=np.uint64))
 
     def __call__(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        inverse = self.inverse_powers(start)
-        return mix((self.sums[end] - self.sums[start]) * inverse + (end - start).astype(np.uint64) * _BASE)
-
-    def inverse_powers(self, at: np.ndarray) -> np.ndarray:
-        if not hasattr(self, "_inverse"):
-            inverse = np.full(len(self.powers), np.uint64(pow(int(_BASE), -1, 1 << _INVERSE_BITS)), np.uint64)
-            inverse[0] = 1
-            self._inverse = np.multiply.accumulate(inverse)
-        return self._inverse[at]
-
-
-def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Lines of texts: code points, first and end of each stripped line in them, and the text's number of each line."""
-    lead = np.flatnonzero((data & 0xC0) != 0x80)
-    points = np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
-    at = np.searchsorted(lead, offsets)
-    breaks = np.flatnonzero(points == 10)
-    starts = np.sort(np.concatenate([at[:-1], breaks + 1]))
-    owner = np.searchsorted(at[1:], starts, side="right")
-    # a break at a text's end begins an empty line that stands at the next text's start; order keeps both apart
-    order = np.concatenate([np.zeros(len(at) - 1, np.int64), np.ones(len(breaks), np.int64)])
-    text_of_break = np.searchsorted(at, breaks, side="right") - 1
-    owners = np.concatenate([np.arange(len(at) - 1), text_of_break])
-    first = np.concatenate([at[:-1], breaks + 1])
-    rank = np.lexsort((first, order, owners))
-    owner, first = owners[rank], first[rank]
-    end = np.append(first[1:] - 1, 0)
-    last = np.append(owner[1:] != owner[:-1], True)
-    end[last] = at[1:][owner[last]]
-    solid = np.append(0, np.cumsum(~_is_space(points)))
-    where = np.flatnonzero(~_is_space(points))
-    has = solid[end] > solid[first]
-    begin, stop = first.copy(), first.copy()
-    begin[has] = where[solid[first[has]]]
-    stop[has] = where[solid[end[has]] - 1] + 1
-    return points, begin, stop, owner
-
-
-def _is_space(points: np.ndarray) -> np.ndarray:
-    return (points == 32) | ((points >= 9) & (points <= 13))
+        return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _BASE)
+
+
+def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lines of texts that lie side by side: first and end byte of each stripped line, and the number of its text."""
+    breaks = np.flatnonzero(data == 10)
+    counts = np.bincount(np.searchsorted(offsets, breaks, side="right") - 1, minlength=len(offsets) - 1) + 1
+    last = np.cumsum(counts) - 1
+    begin, end = np.empty(counts.sum(), np.int64), np.empty(counts.sum(), np.int64)
+    inner = np.ones(len(begin), bool)
+    inner[last - counts + 1] = False
+    begin[last - counts + 1], begin[inner] = offsets[:-1], breaks + 1
+    inner[:] = True
+    inner[last] = False
+    end[last], end[inner] = offsets[1:], breaks
+    solid = np.flatnonzero(~_SPACE[data])
+    low, high = np.searchsorted(solid, begin), np.searchsorted(solid, end)
+    has = high > low
+    stop = begin.copy()
+    begin[has], stop[has] = solid[low[has]], solid[high[has] - 1] + 1
+    return begin, stop, np.repeat(np.arange(len(counts)), counts)
+
+
+def _points(data: np.ndarray) -> np.ndarray:
+    """Code points of UTF-8 bytes."""
+    if not len(data) or data.max() < 128:
+        return data
+    return np.frombuffer(data.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _leads(data: np.ndarray) -> np.ndarray:
+    """How many code points begin before each byte (and before the end)."""
+    return np.append(0, np.cumsum((data & 0xC0) != 0x80))
 
 
 def _fold(*parts: np.ndarray) -> np.ndarray:
@@ -101,22 +122,41 @@ def _fold(*parts: np.ndarray) -> np.ndarray:
     return h
 
 
-def _line_rows(df: DataFrame, key: str, text: str) -> DataFrame:
-    """key, line (number from 0), hash (null for a blank line), size (code points)."""
-    kind = df.schema[key].dataType.simpleString()
+def _named(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, text and _t, a hash of the text; key and _t together name a document."""
+    return df.select(F.col(key).alias("_k"), F.col(text).alias("_text"), F.xxhash64(text).alias("_t"))
+
+
+def _same(left: DataFrame, right: DataFrame):
+    return left["_k"].eqNullSafe(right["_k2"]) & (left["_t"] == right["_t2"])
+
+
+def _other(df: DataFrame) -> DataFrame:
+    return df.withColumnRenamed("_k", "_k2").withColumnRenamed("_t", "_t2")
+
+
+def _place():
+    """Places in order: document (null ids last), then line."""
+    return F.struct(F.col("_k").isNull().alias("none"), F.col("_k").alias("k"), F.col("_t").alias("t"), F.col("line").alias("line"))
+
+
+def _line_rows(named: DataFrame) -> DataFrame:
+    """_k, _t, line (number from 0), hash (null for a blank line), size (code points)."""
+    kind = named.schema["_k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = strings(batch.column(text))
+            column = strings(batch.column("_text"))
             for a, b in chunks(column):
-                points, begin, stop, owner = _split(*flat(column.slice(a, b - a)))
-                n = stop - begin
-                own = _Hashes(points)(begin, stop)
+                data, offsets = flat(column.slice(a, b - a))
+                begin, stop, owner = _split(data, offsets)
+                leads = _leads(data)
                 number = np.arange(len(owner)) - np.searchsorted(owner, owner)
-                keyed = batch.column(key).slice(a, b - a).take(pa.array(owner))
-                yield pa.RecordBatch.from_arrays([keyed, pa.array(number, pa.int32()), pa.array(own.view(np.int64), mask=n == 0), pa.array(n, pa.int32())], names=[key, "line", "hash", "size"])
+                take = lambda name: batch.column(name).slice(a, b - a).take(pa.array(owner))  # noqa: B023, E731
+                hashes = pa.array(_Hashes(data)(begin, stop).view(np.int64), mask=stop == begin)
+                yield pa.RecordBatch.from_arrays([take("_k"), take("_t"), pa.array(number, pa.int32()), hashes, pa.array(leads[stop] - leads[begin], pa.int32())], names=["_k", "_t", "line", "hash", "size"])
 
-    return df.filter(F.col(text).isNotNull()).select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, line int, hash long, size int")
+    return named.filter("_text IS NOT NULL").mapInArrow(tidy(run), f"_k {kind}, _t long, line int, hash long, size int")
 
 
 def allowed(size, bands):
@@ -152,20 +192,24 @@ def _probes(hashes: _Hashes, begin: np.ndarray, stop: np.ndarray, first: np.ndar
                 yield some, _fold(first[some], np.full(len(some), 64 * side + i), hashes(at, at + width[some]))
 
 
-def _key_rows(df: DataFrame, places: DataFrame, key: str, text: str, bands) -> DataFrame:
-    """hash, n_own, spots (the keys of the line's n_own segments, in order, then the other keys at which it looks) of the lines at the places (key, line)."""
+def _key_rows(named: DataFrame, places: DataFrame, bands) -> DataFrame:
+    """hash, n_own, spots (the keys of the line's n_own segments, in order, then the other keys at which it looks) of the lines at the places (_k, _t, line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = strings(batch.column(text))
+            column = strings(batch.column("_text"))
             lists = batch.column("_lines")
             for a, b in chunks(column):
-                points, begin, stop, owner = _split(*flat(column.slice(a, b - a)))
-                hashes = _Hashes(points)
-                mine = lists.slice(a, b - a)
-                at = np.repeat(np.searchsorted(owner, np.arange(b - a)), np.diff(mine.offsets.to_numpy())) + mine.flatten().to_numpy()
-                i, j = begin[at], stop[at]
-                size = j - i
+                raw = []
+                for data, numbers in zip(column.slice(a, b - a).cast(pa.binary()).to_pylist(), lists.slice(a, b - a).to_pylist()):
+                    parts = data.split(b"\n")
+                    raw += [parts[n].strip(_STRIP) for n in numbers]
+                data = np.frombuffer(b"".join(raw), np.uint8)
+                ends = np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
+                own = _Hashes(data)(ends[:-1], ends[1:])
+                at = _leads(data)[ends]
+                i, j = at[:-1], at[1:]
+                size, hashes = j - i, _Hashes(_points(data))
                 first, last = _length_class(size)
                 keys = [*_probes(hashes, i, j, first, last, bands, "none"), *_probes(hashes, i, j, first, last, bands, "some")]
                 # lines up to k shorter are of the same class or of the one before
@@ -173,9 +217,11 @@ def _key_rows(df: DataFrame, places: DataFrame, key: str, text: str, bands) -> D
                 other, end = _length_class(low)
                 across = np.flatnonzero(other < first)
                 keys += [(across[x], more) for x, more in _probes(hashes, i[across], j[across], other[across], end[across], bands, "all")]
-                yield pa.RecordBatch.from_arrays([pa.array(hashes(i, j).view(np.int64)), pa.array(allowed(last, bands) + 1, pa.int32()), _lists(keys, len(at))], names=["hash", "n_own", "spots"])
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(allowed(last, bands) + 1, pa.int32()), _lists(keys, len(raw))], names=["hash", "n_own", "spots"])
 
-    return _asked(df, places, key, text).mapInArrow(tidy(run), "hash long, n_own int, spots array<long>")
+    asked = saved(_other(places.groupBy("_k", "_t").agg(F.sort_array(F.collect_list("line")).alias("_lines"))))
+    chosen = named.join(sized(asked), _same(named, asked)).select("_text", "_lines")
+    return chosen.mapInArrow(tidy(run), "hash long, n_own int, spots array<long>")
 
 
 def _lists(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
@@ -185,50 +231,82 @@ def _lists(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.bincount(lines, minlength=n).cumsum()), pa.int32()), pa.array(keys[order].view(np.int64)))
 
 
-def _asked(df: DataFrame, places: DataFrame, key: str, text: str) -> DataFrame:
-    asked = saved(places.groupBy(key).agg(F.sort_array(F.collect_list("line")).alias("_lines")).select(F.col(key).alias("_asked"), "_lines"))
-    return df.select(key, text).join(sized(asked), F.col(key) == F.col("_asked")).select(key, text, "_lines")
-
-
-def within(first: str, second: str, most: int) -> bool:
-    """Whether the edit distance is at most ``most``: the furthest place on each diagonal with one edit more at a time."""
-    m, n = len(first), len(second)
-    if abs(n - m) > most:
-        return False
-    before: dict[int, int] = {}
-    for edits in range(most + 1):
-        now = {}
-        for diagonal in range(-edits, edits + 1):
-            i = 0 if not edits else max(before.get(diagonal, -2) + 1, before.get(diagonal - 1, -2), before.get(diagonal + 1, -2) + 1)
-            i = min(i, m, n - diagonal)
-            if i < 0 or i + diagonal < 0:
-                continue
-            now[diagonal] = i = i + _common(first, i, second, i + diagonal)
-            if i == m and i + diagonal == n:
-                return True
-        before = now
-    return False
-
-
-def _common(first: str, i: int, second: str, j: int) -> int:
-    """Code points that are the same from two places on."""
-    start, step, most = i, 8, min(len(first) - i, len(second) - j)
-    end = i + most
-    while i < end and first[i] == second[j]:
-        if first[i : i + step] == second[j : j + step]:
-            i, j, step = min(i + step, end), j + step, step * 2
-        elif step > 1:
-            step //= 2
-            if step < 8:
-                while i < end and first[i] == second[j]:
-                    i, j = i + 1, j + 1
-                break
-    return i - start
-
-
-def one_edit(first: str, second: str) -> bool:
-    """Whether the edit distance is at most one."""
-    return within(first, second, 1)
+def _shared(points: np.ndarray, x: np.ndarray, y: np.ndarray, most: np.ndarray, way: int) -> np.ndarray:
+    """How many code points are the same from places x and y on (or back from them), at most ``most``."""
+    out, open_, step = np.zeros(len(x), np.int64), np.arange(len(x)), np.arange(32)
+    while len(open_):
+        at = (out[open_, None] + step) * way
+        same = (points[(x[open_, None] + at) % len(points)] == points[(y[open_, None] + at) % len(points)]) & (out[open_, None] + step < most[open_, None])
+        run = np.where(same.all(1), 32, np.argmin(same, 1))
+        out[open_] += run
+        open_ = open_[run == 32]
+    return out
+
+
+def within(points: np.ndarray, at: np.ndarray, sizes: np.ndarray, short: np.ndarray, long: np.ndarray, most: int) -> np.ndarray:
+    """Whether the edit distance of each pair of lines is at most ``most``.
+
+    ``points`` holds the lines with ``most`` or more other values before and 64 and as many after each; line x begins at
+    ``at[x]``, and ``short`` and ``long`` name the lines of the pairs. What pairs share at both ends is left out. Bit o
+    of word d: the first i = j + o - most code points of the one become the first j of the other by d edits or fewer. A
+    step reads code point j.
+    """
+    columns = 16 if 2 * most + 1 <= 16 else 64
+    kind = np.uint16 if columns == 16 else np.uint64
+    full = kind((1 << (2 * most + 1)) - 1)
+    found = np.zeros(len(short), bool)
+    which = np.flatnonzero(np.abs(sizes[long] - sizes[short]) <= most)
+    x, y, m, n = at[short[which]], at[long[which]], sizes[short[which]], sizes[long[which]]
+    head = _shared(points, x, y, np.minimum(m, n), 1)
+    tail = _shared(points, x + m - 1, y + n - 1, np.minimum(m, n) - head, -1)
+    x, y, m, ends = x + head - most, y + head, m - head - tail, n - head - tail
+    goal = (kind(1) << (m - ends + most).astype(kind)).astype(kind)
+    words = [np.full(len(which), sum(1 << (most + i) for i in range(d + 1)) & int(full), kind) for d in range(most + 1)]
+    band = np.arange(columns)
+    for j in range(int(ends.max(initial=-1)) + 1):
+        over = ends == j
+        if over.any():
+            found[which[over]] = (words[most][over] & goal[over]) != 0
+        if j % 8 == 0 or over.any():
+            alive = (ends > j) & (words[most] != 0)
+            if not alive.all():
+                which, x, y, ends, goal = (v[alive] for v in (which, x, y, ends, goal))
+                words = [w[alive] for w in words]
+        if not len(which):
+            break
+        same = np.packbits(points[(x + j)[:, None] + band] == points[y + j][:, None], axis=1, bitorder="little").view(kind)[:, 0]
+        before, now = words[0], words[0] & same
+        words[0] = now
+        for d in range(1, most + 1):
+            own = words[d]
+            now = (own & same) | before | (before >> kind(1)) | ((now << kind(1)) & full)
+            before, words[d] = own, now
+    return found
+
+
+def _padded(said: pa.Array, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The arguments points, at and sizes of ``within`` for lines."""
+    data, offsets = flat(said)
+    leads = _leads(data)[offsets]
+    sizes = np.diff(leads)
+    gap = 2 * most + 64
+    at = leads[:-1] + gap * np.arange(len(sizes)) + most
+    points = np.full(int(sizes.sum()) + gap * (len(sizes) + 1), 0xFFFFFFFF, np.uint32)
+    points[np.arange(int(sizes.sum())) + np.repeat(at - leads[:-1], sizes)] = _points(data)
+    return points, at, sizes
+
+
+def _verified(said: pa.Array, sizes: np.ndarray, short: np.ndarray, long: np.ndarray, edits: np.ndarray) -> np.ndarray:
+    """Whether each pair of lines is at most ``edits`` apart, a bounded number of code points at a time."""
+    found = np.zeros(len(short), bool)
+    for most in np.unique(edits).tolist():
+        own = np.flatnonzero(edits == most)
+        weight = np.cumsum(sizes[short[own]] + sizes[long[own]])
+        for part in np.split(own, np.searchsorted(weight, np.arange(PAIR_POINTS, int(weight[-1]), PAIR_POINTS))):
+            if len(part):
+                lines, names = np.unique(np.concatenate([short[part], long[part]]), return_inverse=True)
+                found[part] = within(*_padded(said.take(pa.array(lines)), most), names[: len(part)], names[len(part) :], most)
+    return found
 
 
 def _shares_before(short: str, long: str, segment: int, shape: tuple[int, int, int]) -> bool:
@@ -247,131 +325,182 @@ def _shares_before(short: str, long: str, segment: int, shape: tuple[int, int, i
 
 
 def _compare(bands):
-    """For mapInArrow over members that are sorted by spot, block, and the indexed ones first: hash, key and line of the earliest first place of lines near it, n of them in this block."""
+    """For mapInArrow over members that are sorted by spot, block, and the indexed ones first: hash, place of the earliest first place of lines near it, n of them met here."""
+
+    def pairs_of(rows: pa.Table, done: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of an indexed row and a later one of its spot and block; rows before ``done`` have met already."""
+        spot, block, segment = (rows[c].fill_null(-1).to_numpy() for c in ("spot", "block", "segment"))
+        n = np.arange(len(spot))
+        fresh = np.append(True, (spot[1:] != spot[:-1]) | (block[1:] != block[:-1]))
+        start = np.maximum.accumulate(np.where(fresh, n, 0))
+        indexed = np.append(0, np.cumsum(segment >= 0))
+        count = np.where(n >= done, indexed[n] - indexed[start], 0)
+        ends = np.cumsum(count)
+        low = 0
+        while low < len(n):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, side="right")))
+            own = count[low:high]
+            second = np.repeat(n[low:high], own)
+            yield np.repeat(start[low:high], own) + np.arange(len(second)) - np.repeat(np.cumsum(own) - own, own), second
+            low = high
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        edits = lambda n: int(allowed(n, bands))
-        at, shape, indexed, found = None, None, [], {}
-        order = lambda x: (x[2] is not None, x[2], x[3])
-
-        def link(a, b):
-            old = found.get(a[0])
-            found[a[0]] = (b if old is None or order(b) < order(old[0]) else old[0], 1 + (old[1] if old else 0))
-
+        kept = None
         for batch in batches:
-            kind = batch.schema.field("key").type
-            rows = zip(*(batch.column(c).to_pylist() for c in ("spot", "block", "segment", "hash", "said", "key", "line")))
-            out = []
-            for spot, block, segment, *member in rows:
-                if (spot, block) != at:
-                    out += [(h, x[2], x[3], n) for h, (x, n) in found.items()]
-                    at, shape, indexed, found = (spot, block), None, [], {}
-                said = member[1]
-                for other, its in indexed:
-                    a, b = other[1], said
-                    if other[0] == member[0]:
-                        continue
-                    swap = len(a) > len(b) or (len(a) == len(b) and other[0] > member[0])
-                    if swap:
-                        if segment is None:  # it is indexed in a block of its own, where the pair counts
-                            continue
-                        a, b = b, a
-                    k = edits(len(a))
-                    if len(b) - len(a) <= k and not _shares_before(a, b, its, shape) and within(a, b, k):
-                        link(other, member)
-                        link(member, other)
-                if segment is not None:
-                    if shape is None:
-                        first, last = _length_class(np.array([len(said)]))
-                        shape = tuple(int(x[0]) for x in _segments(first, last, bands))
-                    indexed.append((member, segment))
-            if out:
-                yield _links(out, kind)
-        if found:
-            yield _links([(h, x[2], x[3], n) for h, (x, n) in found.items()], kind)
+            rows = pa.Table.from_batches([batch])
+            done = 0 if kept is None else kept.num_rows
+            rows = rows if kept is None else pa.concat_tables([kept, rows])
+            said = strings(rows["said"])
+            sizes, hashes = pc.utf8_length(said).to_numpy(), rows["hash"].to_numpy()
+            segment = rows["segment"].fill_null(-1).to_numpy()
+            rank = np.empty(rows.num_rows, np.int64)
+            rank[pc.sort_indices(rows, [("_k", "ascending"), ("_t", "ascending"), ("line", "ascending")], null_placement="at_end").to_numpy()] = np.arange(rows.num_rows)
+            at_rank = np.argsort(rank)
+            for i, j in pairs_of(rows, done):
+                swap = (sizes[i] > sizes[j]) | ((sizes[i] == sizes[j]) & (hashes[i] > hashes[j]))
+                # a longer line that only looks here is indexed in a block of its own, where the pair counts
+                some = (hashes[i] != hashes[j]) & ~(swap & (segment[j] < 0))
+                i, j, swap = i[some], j[some], swap[some]
+                short, long = np.where(swap, j, i), np.where(swap, i, j)
+                edits = allowed(sizes[short], bands)
+                some = sizes[long] - sizes[short] <= edits
+                i, short, long, edits = i[some], short[some], long[some], edits[some]
+                if not len(i):
+                    continue
+                some = np.flatnonzero(_verified(said, sizes, short, long, edits))
+                if not len(some):
+                    continue
+                first, last = _length_class(sizes[i[some]])
+                shapes = zip(*(np.broadcast_to(x, len(some)).tolist() for x in _segments(first, last, bands)))
+                words = zip(said.take(pa.array(short[some])).to_pylist(), said.take(pa.array(long[some])).to_pylist(), segment[i[some]].tolist(), shapes)
+                some = some[np.fromiter((not _shares_before(*w) for w in words), bool, len(some))]
+                near, n = np.full(rows.num_rows, rows.num_rows, np.int64), np.zeros(rows.num_rows, np.int64)
+                for a, b in ((short[some], long[some]), (long[some], short[some])):
+                    np.minimum.at(near, a, rank[b])
+                    np.add.at(n, a, 1)
+                met = np.flatnonzero(n)
+                place = rows.take(pa.array(at_rank[near[met]])).combine_chunks()
+                columns = [pa.array(hashes[met]), *(place[c].combine_chunks() if isinstance(place[c], pa.ChunkedArray) else place[c] for c in ("_k", "_t", "line")), pa.array(n[met])]
+                yield pa.RecordBatch.from_arrays(columns, names=["hash", "_k", "_t", "line", "n"])
+            # the indexed rows of the last spot and block may meet rows of the next batch
+            spot, block = rows["spot"].to_numpy(), rows["block"].to_numpy()
+            open_ = np.flatnonzero((spot == spot[-1]) & (block == block[-1]) & (segment >= 0)) if len(spot) else np.zeros(0, np.int64)
+            kept = rows.take(pa.array(open_)).combine_chunks()
 
     return tidy(run)
 
 
-def _links(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), (pa.int64(), kind, pa.int32(), pa.int64()))], names=["hash", "key", "line", "n"])
+def _texts(named: DataFrame, wanted: DataFrame) -> DataFrame:
+    """hash, said (the stripped line) and place of lines; wanted: hash, _k, _t, line."""
+    asked = saved(_other(wanted.groupBy("_k", "_t").agg(F.collect_list(F.struct("line", "hash")).alias("_lines"))))
+    texts = named.join(sized(asked), _same(named, asked)).select("_k", "_t", F.split("_text", "\n", -1).alias("_all"), F.explode("_lines").alias("_one"))
+    said = F.btrim(F.get("_all", F.col("_one.line")), F.lit(" \t\n\x0b\x0c\r"))
+    return texts.select(F.col("_one.hash").alias("hash"), said.alias("said"), "_k", "_t", F.col("_one.line").alias("line")).dropDuplicates(["hash"])
 
 
-def _texts(df: DataFrame, wanted: DataFrame, key: str, text: str) -> DataFrame:
-    """hash, said (the stripped line) of lines by their place; wanted: hash, key, line."""
-    asked = wanted.groupBy(key).agg(F.collect_list(F.struct("line", "hash")).alias("_lines")).select(F.col(key).alias("_asked"), "_lines")
-    texts = df.select(key, text).join(sized(saved(asked)), F.col(key) == F.col("_asked")).select(F.split(text, "\n", -1).alias("_all"), F.explode("_lines").alias("_one"))
-    return texts.select(F.col("_one.hash").alias("hash"), F.btrim(F.get("_all", F.col("_one.line")), F.lit(" \t\n\x0b\x0c\r")).alias("said")).dropDuplicates(["hash"])
-
-
-def near_lines(df: DataFrame, firsts: DataFrame, key: str, text: str, bands) -> tuple[DataFrame, DataFrame]:
-    """(hash, near_first: the earliest first place of lines near it) and (hash, n_links: how many other lines are near it)."""
-    places = firsts.filter(F.col("size") >= bands[0][0]).select("hash", F.col(f"first.{key}").alias(key), F.col("first.line").alias("line"))
+def near_lines(named: DataFrame, firsts: DataFrame, bands) -> DataFrame:
+    """hash, near_first (the earliest first place of lines near it), n_links (how many other lines are near it)."""
+    places = firsts.filter(F.col("size") >= bands[0][0]).select("hash", F.col("first.k").alias("_k"), F.col("first.t").alias("_t"), F.col("first.line").alias("line"))
     # keys are many times the lines: they are made twice instead of stored, and the first time go out as bare counts (indexed ones in the upper half)
-    rows = _key_rows(df, places, key, text, bands).select("hash", "n_own", F.posexplode("spots").alias("at", "spot"))
+    rows = _key_rows(named, places, bands).select("hash", "n_own", F.posexplode("spots").alias("at", "spot"))
     met = rows.groupBy("spot").agg(F.sum(F.when(F.col("at") < F.col("n_own"), (1 << 32) + 1).otherwise(1)).alias("c")).select("spot", F.shiftright("c", 32).alias("n_own"), F.col("c").bitwiseAND((1 << 32) - 1).alias("n"))
     met = sized(saved(met.filter("n > 1 AND n_own > 0").select("spot", F.ceil(F.col("n_own") / BLOCK).cast("int").alias("blocks"))))
     members = rows.join(met, "spot").groupBy("spot", "hash").agg(F.min(F.when(F.col("at") < F.col("n_own"), F.col("at"))).alias("segment"), F.first("blocks").alias("blocks"))
     members = saved(members)
-    said = saved(_texts(df, places.join(members.select("hash").distinct(), "hash"), key, text))
+    said = saved(_texts(named, places.join(sized(saved(members.select("hash").distinct())), "hash", "left_semi")))
     home = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("segment", F.when(F.col("block") == home, F.col("segment")))
-    dealt = dealt.join(said.join(places, "hash"), "hash").select("spot", "block", "segment", "hash", "said", F.col(key).alias("key"), "line")
+    dealt = dealt.join(said, "hash").select("spot", "block", "segment", "hash", "said", "_k", "_t", "line")
     dealt = dealt.repartition("spot", "block").sortWithinPartitions("spot", "block", F.col("segment").asc_nulls_last())
-    kind = df.schema[key].dataType.simpleString()
-    ways = saved(dealt.mapInArrow(_compare(bands), f"hash long, key {kind}, line int, n long"))
-    near = ways.groupBy("hash").agg(F.min(F.struct(F.col("key").alias(key), "line")).alias("near_first"), F.sum("n").alias("n_links"))
-    return near.select("hash", "near_first"), near.select("hash", "n_links")
+    kind = named.schema["_k"].dataType.simpleString()
+    ways = saved(dealt.mapInArrow(_compare(bands), f"hash long, _k {kind}, _t long, line int, n long"))
+    return ways.groupBy("hash").agg(F.min(_place()).alias("near_first"), F.sum("n").alias("n_links"))
 
 
-def line_decisions(df: DataFrame, key: str = "doc_id", text: str = "text", bands=ONE_EDIT) -> DataFrame:
-    """One row per document with lines: key, n_lines, n_exact and n_near (dropped as copies and as near lines), n_links, dropped (line numbers), firsts (by line: the key of the document with the earliest line that is equal or near, its own if it stays)."""
-    rows = saved(_line_rows(df, key, text))
+def _decided(named: DataFrame, bands) -> DataFrame:
+    """One row per document with lines: _k, _t, n_lines, n_exact and n_near (dropped as copies and as near lines), n_links, dropped (line numbers), firsts (by line: the key of the document with the earliest line that is equal or near, its own if it stays)."""
+    rows = saved(_line_rows(named))
     solid = rows.filter(F.col("hash").isNotNull())
-    counted = saved(solid.groupBy("hash").agg(F.min(F.struct(key, "line")).alias("first"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
-    near, links = near_lines(df, counted, key, text, bands)
-    judged = counted.join(saved(near), "hash", "left").join(saved(links), "hash", "left")
+    counted = saved(solid.groupBy("hash").agg(F.min(_place()).alias("first"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    # lines that come once and have no near ones, most of all, are judged by that alone
+    judged = counted.join(sized(saved(near_lines(named, counted, bands))), "hash", "left").filter("n > 1 OR near_first IS NOT NULL")
     judged = saved(judged.select("hash", "n", "first", F.when(F.col("near_first") < F.col("first"), F.col("near_first")).alias("near_first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
     # lines that are everywhere would crowd one task of a join by hash; there are few of them, and they go to the rows
-    hot = sized(judged.filter(F.col("n") > HOT))
-    placed = rows.select(key, "line", "hash")
-    each = placed.join(hot, "hash").unionByName(placed.join(hot.select("hash"), "hash", "left_anti").join(judged.filter(F.col("n") <= HOT), "hash", "left"))
-    exact = F.col("first").isNotNull() & (F.struct(F.col(key), F.col("line")) != F.col("first"))
-    near_only = ~exact & F.col("near_first").isNotNull()
+    hot, others = sized(judged.filter(F.col("n") > HOT)), sized(judged.filter(F.col("n") <= HOT))
+    placed = rows.select("_k", "_t", "line", "hash")
+    each = placed.join(hot, "hash").unionByName(placed.join(hot.select("hash"), "hash", "left_anti").join(others, "hash", "left"))
+    exact = F.col("first").isNotNull() & (_place() != F.col("first"))
     gone = exact | F.col("near_first").isNotNull()
-    to = F.coalesce(F.col(f"near_first.{key}"), F.col(f"first.{key}"), F.col(key))
-    return each.groupBy(key).agg(
-        F.count(F.lit(1)).alias("n_lines"),
-        F.count(F.when(exact, 1)).alias("n_exact"),
-        F.count(F.when(near_only, 1)).alias("n_near"),
-        F.coalesce(F.sum("n_links"), F.lit(0)).alias("n_links"),
-        F.sort_array(F.collect_list(F.when(gone, F.col("line")))).alias("dropped"),
-        F.transform(F.sort_array(F.collect_list(F.struct(F.col("line"), to.alias("to")))), lambda x: x["to"]).alias("firsts"),
+    near_only = ~exact & F.col("near_first").isNotNull()
+    to = F.when(F.col("near_first").isNotNull(), F.col("near_first.k")).when(F.col("first").isNotNull(), F.col("first.k")).otherwise(F.col("_k"))
+    # rows that repeat a document brought its lines as often
+    copies = F.count(F.lit(1)) / (F.max("line") + 1)
+    once = lambda n: F.coalesce((n / copies).cast("long"), F.lit(0).cast("long"))
+    return each.groupBy("_k", "_t").agg(
+        (F.max("line") + 1).cast("long").alias("n_lines"),
+        once(F.count(F.when(exact, 1))).alias("n_exact"),
+        once(F.count(F.when(near_only, 1))).alias("n_near"),
+        once(F.sum("n_links")).alias("n_links"),
+        F.sort_array(F.array_distinct(F.collect_list(F.when(gone, F.col("line"))))).alias("dropped"),
+        F.transform(F.sort_array(F.collect_set(F.struct(F.col("line"), to.alias("to")))), lambda x: x["to"]).alias("firsts"),
     )
 
 
-def without_lines(text, dropped):
-    lines = F.split(text, "\n", -1)
-    left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), dropped)
-    return F.when(F.size(dropped) > 0, F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n")).otherwise(text)
+def line_decisions(df: DataFrame, key: str = "doc_id", text: str = "text", bands=ONE_EDIT) -> DataFrame:
+    """One row per document with lines: key, n_lines, n_exact, n_near, n_links, dropped (line numbers), firsts (by line: the key of the document with the earliest line that is equal or near)."""
+    return _decided(_named(df, key, text), bands).drop("_t").withColumnRenamed("_k", key)
+
+
+def _left(text: bytes, dropped: list[int] | None) -> bytes:
+    if not dropped:
+        return text
+    parts = text.split(b"\n")
+    keep = bytearray(b"\x01") * len(parts)
+    for n in dropped:
+        keep[n] = 0
+    return b"\n".join(compress(parts, keep))
 
 
 def dedup_lines(df: DataFrame, key: str = "doc_id", text: str = "text", drop_emptied: bool = False, bands=ONE_EDIT) -> DataFrame:
     """``df`` with repeated lines cut from the texts; columns as they were. ``drop_emptied``: without the documents that keep no line but blank ones."""
-    cut = saved(line_decisions(df, key, text, bands).filter(F.size("dropped") > 0).select(F.col(key).alias("__key"), F.col("dropped").alias("__dropped")))
-    found = df.join(sized(cut), df[key] == F.col("__key"), "left").withColumn(text, F.when(F.col("__key").isNull(), F.col(text)).otherwise(without_lines(F.col(text), F.col("__dropped"))))
-    if drop_emptied:
-        found = found.filter(F.col("__key").isNull() | F.col(text).rlike(r"[^\x20\x09-\x0D]"))
-    return found.select(*[F.col(f"`{c}`") for c in df.columns])
+    cut = saved(_other(_decided(_named(df, key, text), bands).filter(F.size("dropped") > 0).select("_k", "_t", F.col("dropped").alias("__dropped"))))
+    names, at = df.columns, df.columns.index(text)
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("__row"), F.col(key).alias("_k"), F.xxhash64(text).alias("_t"))
+    found = own.join(sized(cut), _same(own, cut), "left").select(*[F.col("__row").getField(c).alias(c) for c in names], F.col("__dropped"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column, lists = batch.column(at).cast(pa.string()), batch.column(len(names))
+            for a, b in chunks(strings(column)):
+                texts = column.slice(a, b - a)
+                new = [x if x is None else _left(x, n) for x, n in zip(texts.cast(pa.binary()).to_pylist(), lists.slice(a, b - a).to_pylist())]
+                columns = [c.slice(a, b - a) for c in batch.columns[:-1]]
+                columns[at] = pa.array(new, pa.binary()).cast(pa.string())
+                out = pa.RecordBatch.from_arrays(columns, names=names)
+                if drop_emptied:
+                    emptied = [bool(n) and not x.strip(_STRIP) for x, n in zip(new, lists.slice(a, b - a).to_pylist())]
+                    out = out.filter(pa.array([not e for e in emptied], pa.bool_()))
+                yield out
+
+    return found.mapInArrow(tidy(run), df.schema)
 
 
 def op3_line_dedup(spark, sf_dir: str, bands=ONE_EDIT) -> DataFrame:
     """Counts, the documents that lines came from first, and the digest of the text that is left, per document."""
-    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    found = saved(line_decisions(docs, bands=bands))
+    docs = _named(read(spark, sf_dir, "documents"), "doc_id", "text")
+    found = saved(_other(_decided(docs, bands)))
     # only what is dropped goes to the texts, and only their digests come back
-    cut = saved(found.filter(F.size("dropped") > 0).select(F.col("doc_id").alias("_key"), "dropped"))
-    kept = without_lines(F.coalesce("text", F.lit("")), F.coalesce("dropped", F.array().cast("array<int>")))
-    digests = docs.join(sized(cut), F.col("doc_id") == F.col("_key"), "left").select("doc_id", sha(kept).alias("text_sha256"))
+    cut = saved(found.filter(F.size("dropped") > 0).select("_k2", "_t2", "dropped"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, lists = strings(batch.column("_text")), batch.column("dropped")
+            for a, b in chunks(texts):
+                left = [hashlib.sha256(_left(x, n)).hexdigest() for x, n in zip(texts.slice(a, b - a).cast(pa.binary()).to_pylist(), lists.slice(a, b - a).to_pylist())]
+                yield pa.RecordBatch.from_arrays([batch.column("_k").slice(a, b - a), batch.column("_t").slice(a, b - a), pa.array(left)], names=["_k", "_t", "text_sha256"])
+
+    kind = docs.schema["_k"].dataType
+    schema = T.StructType([T.StructField("_k", kind), T.StructField("_t", T.LongType()), T.StructField("text_sha256", T.StringType())])
+    digests = docs.join(sized(cut), _same(docs, cut), "left").select("_k", "_t", "_text", "dropped").mapInArrow(tidy(run), schema)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c)
-    return digests.join(found, "doc_id", "left").select("doc_id", zero("n_lines"), zero("n_exact"), zero("n_near"), zero("n_links"), "firsts", "text_sha256")
+    return digests.join(found, _same(digests, found), "left").select(F.col("_k").alias("doc_id"), zero("n_lines"), zero("n_exact"), zero("n_near"), zero("n_links"), "firsts", "text_sha256")

@@ -12,7 +12,7 @@ import tiktoken
 from pyspark.sql import functions as F
 
 import public_tokenizers
-from tabwright.llm import bpe, chat, decontaminate, exact, lines, near, quality, registry, secrets, sharding, token_counts
+from tabwright.llm import bpe, chat, common, decontaminate, exact, lines, near, quality, registry, secrets, sharding, token_counts
 from tabwright.llm.common import flat, strings
 
 SF = "/root/testdata/sf0.001"
@@ -134,11 +134,9 @@ def lev(a, b):
     return row[-1]
 
 
-def test_one_edit():
-    rng = random.Random(3)
-    for _ in range(5000):
-        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(7))) for _ in range(2))
-        assert lines.one_edit(a, b) == (lev(a, b) <= 1)
+def one_edit(a, b):
+    i = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    return a[i + 1 :] == b[i + 1 :] or a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :]
 
 
 def brute_lines(docs_):
@@ -150,7 +148,7 @@ def brute_lines(docs_):
     long = [x for x in first if len(x) >= lines.MIN_CHARS]
     for i, a in enumerate(long):
         for b in long[:i]:
-            if abs(len(a) - len(b)) <= 1 and lines.one_edit(a, b):
+            if one_edit(a, b):
                 near_[a].add(b)
                 near_[b].add(a)
     out = {}
@@ -207,12 +205,32 @@ def test_op3(spark, monkeypatch):
 
 def test_within():
     rng = random.Random(4)
-    for _ in range(5000):
-        a, b = ("".join(rng.choice("ab") for _ in range(rng.randrange(14))) for _ in range(2))
-        for k in range(6):
-            assert lines.within(a, b, k) == (lev(a, b) <= k)
+    pairs = [tuple("".join(rng.choice("abé") for _ in range(rng.randrange(14))) for _ in range(2)) for _ in range(3000)]
     long = "".join(rng.choice("abcd") for _ in range(300))
-    assert lines.within(long, long[3:100] + "xy" + long[100:], 5) and not lines.within(long, long[4:100] + "xy" + long[100:], 5)
+    pairs += [(long, long[3:100] + "xy" + long[100:]), (long, long[4:100] + "xy" + long[100:]), ("", ""), ("é" * 70_000, "é" * 69_999)]
+    said = pa.array([x for p in pairs for x in p])
+    want = [lev(a, b) if len(a) < 1000 else 1 for a, b in pairs]
+    for k in (1, 2, 3, 4, 5, 9):
+        got = lines.within(*lines._padded(said, k), np.arange(0, len(said), 2), np.arange(1, len(said), 2), k)
+        assert got.tolist() == [d <= k for d in want], k
+
+
+def test_lines_of_odd_rows(spark):
+    """Null ids, ids that repeat with other texts, rows that repeat, string ids, empty and very long texts, clashing names."""
+    a, b = "the quick brown fox jumps over the lazy dog", "a line of other words that is long enough, too"
+    rows = [(None, a), (2, a + "x"), (3, b), (3, b + "\n" + a + "y"), (3, b + "!"), (5, None), (6, ""), (7, "\n\n"), (8, "z" * 300_000), (9, "z" * 300_000 + "q"), (9, "z" * 300_000 + "q")]
+    for kind in ("long", "string"):
+        df = spark.createDataFrame([(k if k is None else {"long": int, "string": str}[kind](k), t, "own") for k, t in rows], f"doc_id {kind}, text string, `dropped` string").repartition(3)
+        got = collections.Counter((None if r["doc_id"] is None else int(r["doc_id"]), r["text"], r["dropped"]) for r in lines.dedup_lines(df).collect())
+        # which of the three texts of id 3 comes first is the order of their hashes: one line near b stays, and b itself is near it or equal
+        assert sum(got.values()) == len(rows)
+        texts_ = collections.defaultdict(list)
+        for (k, t, own), n in got.items():
+            assert own == "own"
+            texts_[k] += [t] * n
+        assert texts_[None] == [""] and texts_[2] == [a + "x"] and texts_[5] == [None] and texts_[6] == [""] and texts_[7] == ["\n\n"]
+        assert sorted("\n".join(texts_[3]).replace("\n", " ").split()) in (sorted(b.split()), sorted((b + "!").split()))
+        assert texts_[8] == ["z" * 300_000] and texts_[9] == ["", ""]
 
 
 @pytest.mark.parametrize("block", [lines.BLOCK, 3])
@@ -281,6 +299,32 @@ def test_ingest(frame):
     assert exact.ingest(df.limit(0), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_ingest_of_odd_ids(spark, kind):
+    """Null ids, ids that repeat with equal and with other texts: as many rows as came in, one of each text kept."""
+    to = {"long": int, "string": str}[kind]
+    rows = [(None, "a b c"), (1, "abc"), (None, "abc"), (2, "x"), (2, "y"), (2, "x"), (3, "y "), (None, None), (4, ""), (None, "solo")]
+    df = spark.createDataFrame([(k if k is None else to(k), t) for k, t in rows], f"doc_id {kind}, text string").repartition(3)
+    for old in (F.lit(False), F.lit(True), F.length("text") < 2, F.col("doc_id").isNull()):
+        out = exact.ingest(df, old).collect()
+        assert collections.Counter(None if r["doc_id"] is None else int(r["doc_id"]) for r in out) == collections.Counter(k for k, _ in rows)
+        assert sorted((r["digest"].hex(), r["group_size"]) for r in out if r["kept"]) == sorted((sha(t), n) for t, n in (("abc", 3), ("x", 2), ("y", 2), ("", 2), ("solo", 1)))
+        keep = {r["digest"].hex(): r["keep_id"] for r in out}
+        assert keep == {sha(t): k if k is None else to(k) for t, k in (("abc", None), ("x", 2), ("y", 3), ("", 4), ("solo", None))}
+
+
+def test_snapshot_is_stored_and_read(spark, frame, tmp_path, monkeypatch):
+    old = frame("a b", "c", "c ", None)
+    exact.build_snapshot(old, keys_per_filter=1).write(str(tmp_path / "snapshot"))
+    monkeypatch.setattr(exact, "build_filters", None)  # none is built again
+    snapshot = exact.read_snapshot(spark, str(tmp_path / "snapshot"), old)
+    for _ in range(2):
+        batch = spark.createDataFrame([(10, "ab"), (11, "new"), (12, "ne w"), (13, " ")], "doc_id long, text string")
+        out = {r["doc_id"]: (r["kept"], r["met"], r["keep_id"], r["group_size"]) for r in exact.ingest_batch(batch, snapshot).collect()}
+        assert out == {10: (False, True, 0, 2), 11: (False, False, 12, 2), 12: (True, False, 12, 2), 13: (False, True, 3, 2)}
+    assert exact.ingest_batch(batch.limit(0), snapshot).count() == 0
+
+
 # --- 5: quality -----------------------------------------------------------------------------------------------------
 
 
@@ -485,6 +529,20 @@ def test_near_duplicates(spark, monkeypatch, crowd):
     assert near.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("kind", ["long", "string"])
+def test_near_duplicates_of_odd_ids(spark, kind):
+    """Null ids and ids that repeat with other texts lose no link; one row of each group stays."""
+    to = {"long": int, "string": str}[kind]
+    words = [f"w{i}" for i in range(60)]
+    a, a2, z, z2 = " ".join(words), " ".join(words[:-2]), " ".join(words[::-1]), " ".join(words[::-1][:-2])
+    rows = [(1, a), (1, z), (2, a2), (3, z2), (None, a2), (None, z2 + " more"), (None, None), (4, ""), (4, ""), (5, "one two"), (5, "one two"), (None, "seul"), (6, "x " * 150_000)]
+    df = spark.createDataFrame([(k if k is None else to(k), t, "own") for k, t in rows], f"doc_id {kind}, text string, kept string").repartition(3)
+    got = collections.Counter((r["doc_id"] and int(r["doc_id"]), r["n_shingles"] > 0, r["component_id"] and int(r["component_id"])) for r in near.near_duplicates(df, words=4).collect())
+    assert got == collections.Counter({(1, True, 1): 2, (2, True, 1): 1, (3, True, 1): 1, (None, True, 1): 2, (None, False, None): 1, (4, False, 4): 2, (5, True, 5): 2, (None, True, None): 1, (6, True, 6): 1})
+    left = sorted(((r["doc_id"] and int(r["doc_id"]), r["text"], r["kept"]) for r in near.keep_one(df, words=4).collect()), key=repr)
+    assert left == sorted([(1, a, "own"), (1, z, "own"), (None, None, "own"), (4, "", "own"), (4, "", "own"), (5, "one two", "own"), (None, "seul", "own"), (6, "x " * 150_000, "own")], key=repr)
+
+
 def test_min_max_signature_is_unbiased():
     rng = np.random.default_rng(9)
     common, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (800, 100, 100))
@@ -529,6 +587,36 @@ def test_chat_parts_and_escapes(spark):
     assert chat.summarise(chat.format_turns(df.limit(0))).count() == 0
 
 
+def test_control_strings_split_over_parts(spark):
+    part = lambda text: ("text", text, None, None, None, None, None)
+    whole = ["</s>", "<s>", "[INST]", "[/INST]", "<|image:1|>", "\\\\l<", "a[", "<"]
+    rows, want = [], {}
+    for i, text in enumerate(whole):
+        for cut in range(len(text) + 1):
+            key = 100 * i + cut
+            rows.append((key, 0, "<s" if cut % 2 else "[/", [part(text[:cut]), part(None), part(text[cut:])]))
+            rows.append((key, 1, "assistant", [part(c) for c in text]))
+            want[key] = ("".join(f"{r}\n{text}\n" for r in (rows[-2][2], "assistant")), text)
+    df = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{chat.PART}>").repartition(3)
+    turns = chat.format_turns(df)
+    assert all(r["formatted"].count("</s>") == r["formatted"].count("[INST]") == r["formatted"].count("<s>") == 1 for r in turns.collect())
+    got = {r["conv_id"]: (r["turns_sha256"], r["loss_sha256"], r["formatted_chars"]) for r in chat.summarise(turns).collect()}
+    sizes = collections.Counter()
+    for r in turns.collect():
+        sizes[r["conv_id"]] += len(r["formatted"])
+    assert got == {k: (sha(a), sha(b), sizes[k]) for k, (a, b) in want.items()}
+
+
+def test_chat_without_ids_and_long_conversations(spark):
+    rows = [(None, i, "assistant", f"text {i}") for i in range(50)] + [(1, i, "user", "x" * 300) for i in range(3000)] + [(2, None, None, None)] * 2
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    out = chat.summarise(chat.format_turns(df.withColumn("parts", chat.text_part(F.col("text"))))).collect()
+    alone = [r for r in out if r["conv_id"] is None]
+    assert sorted(r["loss_sha256"] for r in alone) == sorted(sha(f"text {i}") for i in range(50)) and {r["n_turns"] for r in alone} == {1}
+    rest = {r["conv_id"]: r for r in out if r["conv_id"] is not None}
+    assert rest[1]["turns_sha256"] == sha(("user\n" + "x" * 300 + "\n") * 3000) and rest[2]["n_turns"] == 2 and len(rest) == 2
+
+
 # --- 9: sharding ----------------------------------------------------------------------------------------------------
 
 
@@ -557,6 +645,61 @@ def test_ring_moves_little():
     assert sum(b - a for _, a, b, _, _ in taken) == 25 * len(owners) and own / (25 * len(owners)) > 0.9
 
 
+def brute_shards(rows, shards, virtual, ring_bits):
+    """The shard of each key (id, text): keys in ring order take their arc's shard as far as its share goes, then overflow clockwise, arc by arc."""
+    import zlib
+
+    nodes = sharding.ring(shards, virtual, ring_bits)
+    keys = collections.defaultdict(list)
+    for (key, text), h in rows:
+        place = (h % (1 << 64)) >> (64 - ring_bits)
+        arc = next((i for i, (slot, _) in enumerate(nodes) if slot >= place), 0)
+        crc = zlib.crc32((text or "").encode())
+        keys[arc].append((crc % sharding.CELLS, h, key, crc))
+    free = [len(rows) // shards + (s < len(rows) % shards) for s in range(shards)]
+    out, over = {}, []
+    for arc, (_, shard) in enumerate(nodes):
+        for k in sorted(keys[arc]):
+            if free[shard]:
+                free[shard] -= 1
+                out[k[2]] = shard
+            else:
+                over.append((arc, k[2]))
+    for arc, key in over:
+        shard = next(s for s in (nodes[(arc + step) % len(nodes)][1] for step in range(1, len(nodes))) if free[s])
+        free[shard] -= 1
+        out[key] = shard
+    return out
+
+
+def test_shards_equal_a_plain_ring(spark):
+    df = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id") % 700).alias("text")).repartition(3)
+    hashes = [((r["doc_id"], r["text"]), r["h"]) for r in df.select("doc_id", "text", F.xxhash64("doc_id").alias("h")).collect()]
+    got = {r["doc_id"]: r["shard"] for r in sharding.shard_rows(df, shards=7, virtual=16, ring_bits=10).collect()}
+    assert got == brute_shards(hashes, 7, 16, 10)
+
+
+@pytest.mark.parametrize("crowd_rows", [20, sharding.CROWD_ROWS])
+def test_shards_of_hot_keys(spark, crowd_rows):
+    """A third of the rows has no id, a third repeats one row: counts stay one apart, slots without gaps, and hot cells are cut."""
+    rows = [(None, f"t{i}") for i in range(600)] + [(5, "same")] * 600 + [(i, None) for i in range(600)] + [(-1, "x" * 500_000)]
+    out = sharding.shard_rows(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), crowd_rows=crowd_rows).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter(k for k, _ in rows)
+    slots = collections.defaultdict(list)
+    for r in out:
+        slots[r["shard"]].append(r["slot"])
+    assert len(slots) == 40 and {len(v) for v in slots.values()} <= {45, 46} and all(sorted(v) == list(range(len(v))) for v in slots.values())
+
+
+def test_one_more_shard_moves_little(spark):
+    """From 40 to 41 shards a plain ring moves one key in 41; bounded loads may move as many again, not more."""
+    df = spark.range(40_000).select(F.col("id").alias("doc_id"), F.col("id").cast("string").alias("text"))
+    a, b = (sharding.shard_rows(df, shards=n).select("doc_id", F.col("shard").alias(f"s{n}")) for n in (40, 41))
+    both = a.join(b, "doc_id")
+    moved, between = both.agg(F.avg((F.col("s40") != F.col("s41")).cast("int")), F.avg(((F.col("s40") != F.col("s41")) & (F.col("s41") != 40)).cast("int"))).first()
+    assert 1 / 41 * 0.9 < moved < 0.08 and between < 0.055
+
+
 # --- 10: decontamination --------------------------------------------------------------------------------------------
 
 
@@ -579,9 +722,9 @@ def brute_leaks(docs_, items):
     return out
 
 
-@pytest.mark.parametrize("most", [0, 500_000])
+@pytest.mark.parametrize("most", [0, 48 << 20])
 def test_decontamination(spark, frame, monkeypatch, most):
-    monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", most)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", most)
     rng = random.Random(10)
     some = lambda n: " ".join(rng.choice(["A", "b", "É", "é", "c-d", "7", "x,"]) for _ in range(n))
     items = [(i, some(rng.choice([1, 2, 5, 9, 10, 12, 30]))) for i in range(1, 12)] + [(20, None), (21, "?!"), (None, some(11)), (22, "solo")]
@@ -598,6 +741,19 @@ def test_decontamination(spark, frame, monkeypatch, most):
     assert decontaminate.contamination(frame("a").limit(0), bench).count() == 0
 
 
+def test_decontamination_of_odd_rows(spark):
+    """Null and repeated ids are judged by their own texts; very long words and texts are whole."""
+    item = " ".join(["w" * 200_000, *(f"b{i}" for i in range(11))])
+    rows = [(None, "x " + item), (None, "clean"), (1, item), (1, "clean too"), (2, "word " * 100_000 + item + " tail"), (3, None), (3, None)]
+    df = spark.createDataFrame([(k, t, "own") for k, t in rows], "doc_id long, text string, spans string").repartition(3)
+    bench = spark.createDataFrame([("a", item)], "item_id string, text string")
+    assert sorted((r["doc_id"], r["n_words"], r["n_hit"]) for r in decontaminate.contamination(df, bench).filter("doc_id IS NOT NULL").collect()) == [(1, 2, 0), (1, 12, 12), (2, 100_013, 12), (3, 0, 0), (3, 0, 0)]
+    left = sorted(((r["doc_id"], r["text"], r["spans"]) for r in decontaminate.remove_contaminated(df, bench).collect()), key=repr)
+    assert left == sorted([(None, "clean", "own"), (1, "clean too", "own"), (3, None, "own"), (3, None, "own")], key=repr)
+    cut = sorted(((r["doc_id"], r["text"] and r["text"][-9:]) for r in decontaminate.remove_spans(df, bench).collect()), key=repr)
+    assert cut == sorted([(None, "x"), (None, "clean"), (1, ""), (1, "clean too"), (2, "word tail"), (3, None), (3, None)], key=repr)
+
+
 # --- the native operators' plans --------------------------------------------------------------------------------------
 
 
