@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import text as fn
 from tabwright.functions.cells import blank_of, col, require, text_of
+from tabwright.operators.graph import components
 from tabwright.operators.order import persisted
 
 METHODS = ("fingerprint", "ngram", "levenshtein", "jaroWinkler")
@@ -50,23 +51,23 @@ def cluster_members(df: DataFrame, spec: Cluster) -> DataFrame:
         raise ValueError(f"unknown method {spec.method!r}")
     values = persisted(values.withColumn("norm", fn.normalise(F.col("value"), **spec.normalise)))
     links = persisted(_links(values, spec))
-    labels = components(values.select(F.col("value").alias("id")), links)
-    return values.join(labels, F.col("value") == F.col("id")).select(F.col("label").alias("cluster"), "value", "count")
+    labels = components(links)
+    return values.join(labels, F.col("value") == F.col("id"), "left").select(F.coalesce("label", "value").alias("cluster"), "value", "count")
 
 
 def _links(values: DataFrame, spec: Cluster) -> DataFrame:
     """Pairs within the threshold, from blocks instead of a cross join.
 
     Edits: of ``threshold`` + 1 pieces of a value, one is untouched by the edits and found in the other value near its
-    place, so values meet on (piece, place) keys. Jaro-Winkler: pairs must share a character pair or the first character.
+    place, so values meet on (piece, place) keys. Jaro-Winkler: the similarity bounds from below how many characters two
+    values share, so the first few of their characters, in one order for all, must meet (``_first_characters``).
     Length bands of a quarter of the longer value plus 3 bound both.
     """
     if spec.method == "levenshtein":
         k = int(spec.threshold)
         keys = _pieces(k)
     else:
-        grams = F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("norm") - 1, F.lit(1))), lambda i: F.substring("norm", i, F.lit(2)))
-        keys = F.array_distinct(F.concat(grams, F.array(F.substring("norm", 1, 1))))
+        keys = _first_characters(spec.threshold)
     blocked = persisted(values.select("value", "norm", F.explode(keys).alias("key")).distinct())
     pairs = blocked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()[0]
     if pairs > spec.max_pairs:
@@ -80,6 +81,28 @@ def _links(values: DataFrame, spec: Cluster) -> DataFrame:
     return both.withColumn("s", fn.jaro_winkler(F.col("x"), F.col("y"))).filter(F.col("s") >= spec.threshold).select("a", "b")
 
 
+def _first_characters(threshold: float) -> Column:
+    """Keys of which any two values that are similar enough, and close enough in length, share one.
+
+    At most 0.4 of what the Jaro similarity lacks comes from a common prefix, so it is at least (t - 0.4) / 0.6; with m
+    matches in values of lengths p and q it is at most (m / p + m / q + 1) / 3. That asks for m of at least
+    s * p * q / (p + q), where s is three times that similarity less one. Characters are numbered by their occurrence; if
+    two sets share m of them, their first p - m + 1 and q - m + 1 in any fixed order meet. Here that order is from the
+    highest character down, since frequent ones mostly have low codes.
+    """
+    least = 3 * (threshold - 0.4) / 0.6 - 1
+    norm, n = F.col("norm"), F.char_length("norm")
+    if least <= 0:
+        return F.array(F.lit(""))  # nothing need be shared
+    shorter = F.greatest(n - F.floor(n / 4) - 3, F.lit(1))
+    m = F.greatest(F.ceil(least * n * shorter / (n + shorter) - 1e-9), F.lit(1))
+    chars = F.split(norm, "")
+    numbered = F.transform(chars, lambda c, i: F.struct(c.alias("c"), F.size(F.filter(F.slice(chars, F.lit(1), i + 1), lambda x: x == c)).alias("k")))
+    first = F.slice(F.sort_array(numbered, asc=False), F.lit(1), F.greatest(n - m + 1, F.lit(0)).cast("int"))
+    # two empty values are equal, and so are one value each
+    return F.when(n > 0, F.transform(first, lambda x: F.concat(x["c"], x["k"].cast("string")))).otherwise(F.array(F.lit("empty")))
+
+
 def _pieces(k: int) -> Column:
     """Keys that values within k edits share: each piece of a value with its number, and each substring that may be a piece of a value up to k longer or shorter. Values of at most k characters meet each other by a common key."""
     norm, n = F.col("norm"), F.char_length("norm")
@@ -101,19 +124,6 @@ def _pieces(k: int) -> Column:
     return F.filter(F.array_distinct(F.array(*keys, short)), lambda x: x.isNotNull())
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """id, label (the smallest id reachable): labels pass along links until none changes."""
-    both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = nodes.select("id", F.col("id").alias("label"))
-    while True:
-        heard = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("m"))
-        new = persisted(labels.join(heard, "id", "left").select("id", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label")))
-        changed = new.filter("label <> was").limit(1).count()
-        labels = new.select("id", "label")
-        if not changed:
-            return labels
-
-
 def cluster_values(df: DataFrame, spec: Cluster) -> DataFrame:
     return _suggest(cluster_members(df, spec))
 

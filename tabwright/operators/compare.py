@@ -15,7 +15,7 @@ STATUSES = ("unchanged", "changed", "added", "removed", "conflict")
 
 @dataclass(frozen=True)
 class Compare:
-    """keys: left columns of the key (empty: by position). mapping: pairs (left, right); default: columns of one name."""
+    """keys: left columns of the key (empty: by position). mapping: pairs (left, right); default: columns of one place, as far as both tables go."""
 
     order_by: tuple[str, ...]
     keys: tuple[str, ...] = ()
@@ -53,7 +53,7 @@ def _canonical(df: DataFrame, name: str, spec: Compare) -> Column:
 
 
 def _pairs(left: DataFrame, right: DataFrame, spec: Compare) -> list[tuple[str, str]]:
-    pairs = list(spec.mapping) or [(c, c) for c in left.columns if c in right.columns and c not in spec.order_by]
+    pairs = list(spec.mapping) or list(zip(left.columns, right.columns))
     require(left, [a for a, _ in pairs])
     require(right, [b for _, b in pairs])
     missing = [k for k in spec.keys if k not in [a for a, _ in pairs]]

@@ -16,20 +16,31 @@ from tabwright.functions.cells import unique
 PART, PLACE = "_part", "_place"
 
 
-def ordered_parts(df: DataFrame, order_by: list[Column | str]) -> DataFrame:
-    """``df`` with ``_part`` (ascending with the order key) and ``_place`` (1.. inside the part); checkpointed, since both passes over it must see the same parts."""
+def ordered_parts(df: DataFrame, order_by: list[Column | str], parts: int | None = None) -> DataFrame:
+    """``df`` with ``_part`` (ascending with the order key) and ``_place`` (1.. inside the part); checkpointed, since all passes over it must see the same parts.
+
+    One exchange deals the rows by range into ``parts`` (the session's shuffle partitions); each range is then sorted
+    where it is, and rows are numbered by how many their task has given out before.
+    """
     if not order_by:
         raise ValueError("an order is needed")
-    ranged = df.repartitionByRange(*[F.col(c) if isinstance(c, str) else c for c in order_by]).withColumn(PART, F.spark_partition_id())
-    placed = ranged.withColumn(PLACE, F.row_number().over(Window.partitionBy(PART).orderBy(*order_by)).cast("long"))
-    return persisted(placed)
+    keys = [F.col(c) if isinstance(c, str) else c for c in order_by]
+    n = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = df.repartitionByRange(n, *keys).sortWithinPartitions(*keys)
+    # the number of a row is its task's number in the upper bits, and in the lower 33 its place
+    number = F.monotonically_increasing_id()
+    return persisted(ranged.withColumns({PART: F.shiftright(number, 33).cast("int"), PLACE: number.bitwiseAND((1 << 33) - 1) + 1}))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder, which all executors share; where none is set (tests) a local one is made."""
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-    return spark.sparkContext.getCheckpointDir()
+    """The checkpoint folder, which all executors share; where none is set a local one is made, which serves a local master alone."""
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        own = context.getConf().get("spark.checkpoint.dir")
+        if own is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-"))
+    return context.getCheckpointDir()
 
 
 def persisted(df: DataFrame) -> DataFrame:

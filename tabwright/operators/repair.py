@@ -117,11 +117,12 @@ def _interpolate(df: DataFrame, spec: Repair, order_by: list[str], scope: Column
     parts = running(ordered_parts(rows, list(order_by)), [F.count(F.lit(1)).alias("_before")]).withColumn("_pos", F.col("_before") + F.col(PLACE))
     n = range(len(spec.columns))
     spot = lambda i: F.when(F.col(f"_x{i}").isNotNull(), F.struct(F.col("_pos").alias("p"), F.col(f"_x{i}").alias("x")))
+    # what comes next is the last one seen on the way back: a window that only grows costs one step a row
     back = Window.partitionBy(PART).orderBy(PLACE).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy(PART).orderBy(PLACE).rowsBetween(0, Window.unboundedFollowing)
-    parts = parts.withColumns({f"_l{i}": F.last(spot(i), ignorenulls=True).over(back) for i in n} | {f"_n{i}": F.first(spot(i), ignorenulls=True).over(ahead) for i in n})
+    ahead = Window.partitionBy(PART).orderBy(F.desc(PLACE)).rowsBetween(Window.unboundedPreceding, 0)
+    parts = parts.withColumns({f"_l{i}": F.last(spot(i), ignorenulls=True).over(back) for i in n} | {f"_n{i}": F.last(spot(i), ignorenulls=True).over(ahead) for i in n})
     summary = parts.groupBy(PART).agg(*[F.max(spot(i)).alias(f"_last{i}") for i in n], *[F.min(spot(i)).alias(f"_first{i}") for i in n])
-    before, after = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(PART).rowsBetween(1, Window.unboundedFollowing)
+    before, after = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1), Window.orderBy(F.desc(PART)).rowsBetween(Window.unboundedPreceding, -1)
     ends = summary.select(PART, *[F.max(f"_last{i}").over(before).alias(f"_pl{i}") for i in n], *[F.min(f"_first{i}").over(after).alias(f"_pn{i}") for i in n])
     done = parts.join(F.broadcast(ends), PART)
 

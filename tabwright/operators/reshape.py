@@ -14,7 +14,7 @@ PIVOTS = ("none", "count", "countNonblank", "sum", "mean", "median", "min", "max
 
 
 def unpivot(df: DataFrame, ids: list[str], values: list[str], attribute: str = "attribute", value: str = "value", omit_blanks: bool = False, source_row: list[str] | None = None) -> DataFrame:
-    """One row per row and value column. ``source_row``: order columns, for the 0-based number of the source row."""
+    """One row per row and value column. ``source_row``: order columns, for the number of the source row, from 1."""
     require(df, [*ids, *values])
     if not values:
         raise ValueError("nothing to unpivot")
@@ -24,7 +24,7 @@ def unpivot(df: DataFrame, ids: list[str], values: list[str], attribute: str = "
     rows, more = df, []
     if source_row:
         rows = with_position(df, source_row, "_pos")
-        more = [F.col("_pos").alias(unique("source_row", [*taken, attribute, value]))]
+        more = [(F.col("_pos") + 1).alias(unique("source_row", [*taken, attribute, value]))]
     same = len({df.schema[v].dataType for v in values}) == 1
     cell = (lambda v: col(v)) if same else (lambda v: text_of(df, v))
     parts = F.array(*[F.struct(F.lit(v).alias("a"), cell(v).alias("v")) for v in values])

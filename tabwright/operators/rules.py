@@ -5,10 +5,10 @@ from __future__ import annotations
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tabwright.functions.cells import all_of, any_of, blank_of, date_of, num_of, require, strip, text_of
+from tabwright.functions.cells import all_of, any_of, blank_of, col, date_of, num_of, require, strip, text_of
 
 COMPARE = {"<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__", "=": "__eq__", "!=": "__ne__"}
 
@@ -78,6 +78,8 @@ def violating_rows(df: DataFrame, rules: list[Rule]) -> DataFrame:
 
 
 def rule_samples(df: DataFrame, rules: list[Rule], key: str, n: int = 100) -> DataFrame:
-    """rule, key: the first ``n`` rows by key of each rule."""
-    parts = [df.filter(broken(df, r)).select(F.lit(r.name).alias("rule"), key).orderBy(key).limit(n) for r in rules]
-    return reduce(DataFrame.unionByName, parts)
+    """rule, key, cells (what the rule looks at, by column): the first ``n`` rows by key of each rule, from one pass."""
+    looked = [F.struct(F.lit(r.name).alias("rule"), F.map_from_arrays(F.array(*map(F.lit, dict.fromkeys(r.columns))), F.array(*[text_of(df, c) for c in dict.fromkeys(r.columns)])).alias("cells")) for r in rules]
+    hits = F.filter(F.array(*[F.when(broken(df, r), x) for r, x in zip(rules, looked)]), lambda x: x.isNotNull())
+    ranked = df.select(col(key).alias("key"), F.inline(hits)).withColumn("_k", F.row_number().over(Window.partitionBy("rule").orderBy("key")))
+    return ranked.filter(F.col("_k") <= n).select("rule", F.col("key").alias(key), "cells")

@@ -14,27 +14,25 @@ TYPES = tuple(fn.PATTERNS)
 
 
 def semantic_scan(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
-    """column, detected (null: none), best, matching, nonblank: one row per column, from one pass over all rows."""
+    """column, detected (null: none), best, matching, nonblank: one row per column, over all rows.
+
+    Cells become (column, value) pairs with counts first, so each distinct value is looked at once, whatever its number
+    of rows, and its types are told after the shuffle.
+    """
     columns = list(columns or df.columns)
     require(df, columns)
-    made = []
-    cells = df.select(*[F.when(~blank_of(df, c), strip(text_of(df, c))).alias(f"_v{i}") for i, c in enumerate(columns)])
-    kinds = cells.select(*[x for i in range(len(columns)) for x in (F.col(f"_v{i}"), *(fn.matches(F.col(f"_v{i}"), t).alias(f"_{t}{i}") for t in TYPES))])
-    for i in range(len(columns)):
-        made += [F.count(F.when(F.col(f"_{t}{i}"), 1)).alias(f"{t}{i}") for t in TYPES]
-        made += [F.count(f"_v{i}").alias(f"n{i}"), F.countDistinct(f"_v{i}").alias(f"d{i}")]
-    flat = kinds.agg(*made)
-    out = []
-    for i, c in enumerate(columns):
-        best, n, total = F.lit(None).cast("string"), F.lit(0).cast("long"), F.col(f"n{i}")
-        for t in TYPES:
-            more = F.col(f"{t}{i}") > n
-            best, n = F.when(more, t).otherwise(best), F.when(more, F.col(f"{t}{i}")).otherwise(n)
-        enough = total >= MIN_CELLS
-        typed = enough & (n >= SHARE * total)
-        few = enough & ~typed & (F.col(f"d{i}") <= CATEGORIES) & (F.col(f"d{i}") <= CATEGORY_SHARE * total)
-        out.append(F.struct(F.lit(c).alias("column"), F.when(typed, best).when(few, "categorical").alias("detected"), F.when(few, "categorical").otherwise(best).alias("best"), F.when(few, total).otherwise(n).alias("matching"), total.alias("nonblank")))
-    return flat.select(F.inline(F.array(*out)))
+    cells = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.when(~blank_of(df, c), strip(text_of(df, c))).alias("v")) for i, c in enumerate(columns)])))
+    values = cells.filter("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
+    told = values.select("i", "n", *[fn.matches(F.col("v"), t).alias(t) for t in TYPES])
+    counts = told.groupBy("i").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("values"), *[F.coalesce(F.sum(F.when(F.col(t), F.col("n"))), F.lit(0)).alias(t) for t in TYPES])
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, column string")
+    found = names.join(counts, "i", "left").fillna(0)
+    # of equal counts the type that is listed first
+    best = F.array_max(F.array(*[F.struct(F.col(t).alias("n"), F.lit(-k).alias("k"), F.lit(t).alias("t")) for k, t in enumerate(TYPES)]))
+    found = found.withColumn("_best", best).withColumn("_n", F.col("_best.n")).withColumn("_t", F.when(F.col("_n") > 0, F.col("_best.t")))
+    typed = (F.col("total") >= MIN_CELLS) & (F.col("_n") >= SHARE * F.col("total"))
+    few = (F.col("total") >= MIN_CELLS) & ~typed & (F.col("values") <= CATEGORIES) & (F.col("values") <= CATEGORY_SHARE * F.col("total"))
+    return found.select("column", F.when(typed, F.col("_t")).when(few, "categorical").alias("detected"), F.when(few, "categorical").otherwise(F.col("_t")).alias("best"), F.when(few, F.col("total")).otherwise(F.col("_n")).alias("matching"), F.col("total").alias("nonblank"))
 
 
 def semantic_filter(df: DataFrame, column: str, kind: str, valid: bool = True) -> DataFrame:

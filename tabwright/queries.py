@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabwright.functions import text as fn
-from tabwright.functions.cells import class_of, date, num, strip
+from tabwright.functions.cells import class_of, date, num, rendered, strip
 from tabwright.operators import append, cluster, compare, dedup, diagnose, filters, find, grouping, joins, outlier, pii, profile, project, repair, reshape, rules, semantic, sort, transform
 from tabwright.operators.filters import Condition, Group
 from tabwright.operators.grouping import Aggregate, GroupBy
@@ -162,9 +162,12 @@ def groupby_normalized(spark, d):
     return grouping.group_by(customers, GroupBy(("seg",), (Aggregate("count", name="n"),), normalise=True, order="firstSeen", order_by=("c_custkey",)))
 
 
-@query("SELECT CAST(5 AS BIGINT) AS group_count, count(*) AS scanned_rows, CAST(0 AS BIGINT) AS blank_key_rows, CAST(count(*) AS BIGINT) AS invalid_numeric FROM events WHERE (SELECT count(DISTINCT event_type) FROM events) = 5")
+@query("""SELECT count(DISTINCT t) AS group_count, count(t) AS scanned_rows, count(*) FILTER (t IS NULL) AS blank_key_rows, count(*) FILTER (t IS NOT NULL AND v = 'none') AS invalid_numeric
+FROM (SELECT CASE WHEN event_id % 7 <> 0 THEN event_type END AS t, CASE WHEN event_id % 3 = 0 THEN 'none' WHEN event_id % 3 = 1 THEN CAST(value AS VARCHAR) END AS v FROM events)""")
 def groupby_report(spark, d):
-    return grouping.group_report(read(spark, d, "events"), GroupBy(("event_type",), (Aggregate("sum", "props"), Aggregate("mean", "value"))))
+    k = F.col("event_id")
+    events = read(spark, d, "events").select(F.when(k % 7 != 0, F.col("event_type")).alias("t"), F.when(k % 3 == 0, "none").when(k % 3 == 1, F.col("value").cast("string")).alias("v"))
+    return grouping.group_report(events, GroupBy(("t",), (Aggregate("sum", "v"), Aggregate("count")), blank_keys="exclude"))
 
 
 @query("SELECT count(*) * 2 AS cells, count(*) * 2 AS nonblank, count(*) * 2 AS numbers, round(sum(l_quantity) + sum(l_discount), 2) AS total, round((sum(l_quantity) + sum(l_discount)) / (2 * count(*)), 4) AS mean, least(min(l_quantity), min(l_discount)) AS low, greatest(max(l_quantity), max(l_discount)) AS high FROM lineitem")
@@ -174,58 +177,59 @@ def selection_statistics(spark, d):
 
 # --- D: joins -------------------------------------------------------------------------------------------------------
 
-_ODD_KEYS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_orderkey % 3 = 0 THEN ' ' || CAST(o_custkey AS VARCHAR) || ' ' ELSE CAST(o_custkey AS VARCHAR) || '.0' END AS k FROM orders)"
+_ODD_KEYS = "(SELECT o_orderkey, CASE WHEN o_orderkey % 11 = 0 THEN '' WHEN o_custkey % 2 = 1 THEN '-' || CAST(o_custkey AS VARCHAR) WHEN o_orderkey % 3 = 0 THEN ' ' || CAST(o_custkey AS VARCHAR) || ' ' ELSE CAST(o_custkey AS VARCHAR) || '.0' END AS k FROM orders)"
 _ON = "CASE WHEN trim(o.k) = '' THEN NULL ELSE CAST(trim(o.k) AS DOUBLE) END = CAST(c.c_custkey AS DOUBLE)"
-_FEW = "(SELECT c_custkey, c_name FROM customer WHERE c_custkey % 2 = 0)"
+_RIGHT = "(SELECT c_custkey, c_name FROM customer)"
 
 
 def _odd_orders(spark, d):
-    key = F.when(F.col("o_orderkey") % 11 == 0, "").when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), F.col("o_custkey"), F.lit(" "))).otherwise(F.concat("o_custkey", F.lit(".0")))
+    """Orders with keys written in several ways; the odd ones match no customer."""
+    key = F.when(F.col("o_orderkey") % 11 == 0, "").when(F.col("o_custkey") % 2 == 1, F.concat(F.lit("-"), F.col("o_custkey"))).when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit(" "), F.col("o_custkey"), F.lit(" "))).otherwise(F.concat("o_custkey", F.lit(".0")))
     return read(spark, d, "orders").select("o_orderkey", key.alias("k"))
 
 
 def _join(spark, d, kind):
-    few = read(spark, d, "customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    return joins.join_tables(_odd_orders(spark, d), few, joins.JoinSpec((("k", "c_custkey"),), kind, numeric_equal=True))
+    customers = read(spark, d, "customer").select("c_custkey", "c_name")
+    return joins.join_tables(_odd_orders(spark, d), customers, joins.JoinSpec((("k", "c_custkey"),), kind, numeric_equal=True))
 
 
-@query(f"SELECT o.o_orderkey, o.k, c.c_custkey, c.c_name FROM {_ODD_KEYS} o JOIN {_FEW} c ON {_ON}")
+@query(f"SELECT o.o_orderkey, o.k, c.c_custkey, c.c_name FROM {_ODD_KEYS} o JOIN {_RIGHT} c ON {_ON}")
 def join_inner(spark, d):
     return _join(spark, d, "inner")
 
 
-@query(f"SELECT o.o_orderkey, o.k, c.c_custkey, c.c_name FROM {_ODD_KEYS} o LEFT JOIN {_FEW} c ON {_ON}")
+@query(f"SELECT o.o_orderkey, o.k, c.c_custkey, c.c_name FROM {_ODD_KEYS} o LEFT JOIN {_RIGHT} c ON {_ON}")
 def join_left(spark, d):
     return _join(spark, d, "left")
 
 
-@query(f"SELECT o.o_orderkey, o.k, c.c_custkey, c.c_name FROM {_ODD_KEYS} o RIGHT JOIN {_FEW} c ON {_ON}")
+@query(f"SELECT o.o_orderkey, o.k, c.c_custkey, c.c_name FROM {_ODD_KEYS} o RIGHT JOIN {_RIGHT} c ON {_ON}")
 def join_right(spark, d):
     return _join(spark, d, "right")
 
 
-@query(f"SELECT o.o_orderkey, o.k, c.c_custkey, c.c_name FROM {_ODD_KEYS} o FULL JOIN {_FEW} c ON {_ON}")
+@query(f"SELECT o.o_orderkey, o.k, c.c_custkey, c.c_name FROM {_ODD_KEYS} o FULL JOIN {_RIGHT} c ON {_ON}")
 def join_full(spark, d):
     return _join(spark, d, "full")
 
 
-@query(f"SELECT o.o_orderkey, o.k, CAST(NULL AS BIGINT) AS c_custkey, CAST(NULL AS VARCHAR) AS c_name FROM {_ODD_KEYS} o LEFT JOIN {_FEW} c ON {_ON} WHERE c.c_custkey IS NULL")
+@query(f"SELECT o.o_orderkey, o.k, CAST(NULL AS BIGINT) AS c_custkey, CAST(NULL AS VARCHAR) AS c_name FROM {_ODD_KEYS} o LEFT JOIN {_RIGHT} c ON {_ON} WHERE c.c_custkey IS NULL")
 def join_left_anti(spark, d):
     return _join(spark, d, "leftAnti")
 
 
-@query(f"SELECT CAST(NULL AS BIGINT) AS o_orderkey, CAST(NULL AS VARCHAR) AS k, c.c_custkey, c.c_name FROM {_ODD_KEYS} o RIGHT JOIN {_FEW} c ON {_ON} WHERE o.o_orderkey IS NULL")
+@query(f"SELECT CAST(NULL AS BIGINT) AS o_orderkey, CAST(NULL AS VARCHAR) AS k, c.c_custkey, c.c_name FROM {_ODD_KEYS} o RIGHT JOIN {_RIGHT} c ON {_ON} WHERE o.o_orderkey IS NULL")
 def join_right_anti(spark, d):
     return _join(spark, d, "rightAnti")
 
 
 @query(f"""SELECT count(*) FILTER (o_orderkey IS NOT NULL AND c_custkey IS NOT NULL) AS matched_pairs, count(*) FILTER (c_custkey IS NULL) AS left_unmatched, count(*) FILTER (o_orderkey IS NULL) AS right_unmatched,
   (SELECT count(*) FROM (SELECT CAST(trim(k) AS DOUBLE) AS x FROM {_ODD_KEYS} WHERE trim(k) <> '' GROUP BY 1 HAVING count(*) > 1)) AS left_duplicate_keys, CAST(0 AS BIGINT) AS right_duplicate_keys,
-  count(*) AS output_rows, count(*) FILTER (o_orderkey IS NOT NULL AND c_custkey IS NOT NULL) > greatest((SELECT count(*) FROM orders), (SELECT count(*) FROM {_FEW})) AS expands
-FROM (SELECT o.o_orderkey, c.c_custkey FROM {_ODD_KEYS} o FULL JOIN {_FEW} c ON {_ON})""")
+  count(*) AS output_rows, count(*) FILTER (o_orderkey IS NOT NULL AND c_custkey IS NOT NULL) > greatest((SELECT count(*) FROM orders), (SELECT count(*) FROM {_RIGHT})) AS expands
+FROM (SELECT o.o_orderkey, c.c_custkey FROM {_ODD_KEYS} o FULL JOIN {_RIGHT} c ON {_ON})""")
 def join_preview(spark, d):
-    few = read(spark, d, "customer").filter("c_custkey % 2 = 0").select("c_custkey", "c_name")
-    return joins.join_preview(_odd_orders(spark, d), few, joins.JoinSpec((("k", "c_custkey"),), "full", numeric_equal=True))
+    customers = read(spark, d, "customer").select("c_custkey", "c_name")
+    return joins.join_preview(_odd_orders(spark, d), customers, joins.JoinSpec((("k", "c_custkey"),), "full", numeric_equal=True))
 
 
 @query("SELECT s_suppkey, s_name, n_name, r_name FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey")
@@ -300,9 +304,12 @@ def duplicate_rows(spark, d):
 # --- K: reshape -----------------------------------------------------------------------------------------------------
 
 
-@query("SELECT p_partkey, 'p_name' AS attribute, p_name AS value FROM part UNION ALL SELECT p_partkey, 'p_brand', p_brand FROM part UNION ALL SELECT p_partkey, 'p_type', p_type FROM part")
+_NUMBERED = "(SELECT *, row_number() OVER (ORDER BY p_partkey) AS source_row FROM part)"
+
+
+@query(f"SELECT p_partkey, source_row, 'p_name' AS attribute, p_name AS value FROM {_NUMBERED} UNION ALL SELECT p_partkey, source_row, 'p_brand', p_brand FROM {_NUMBERED} UNION ALL SELECT p_partkey, source_row, 'p_type', p_type FROM {_NUMBERED}")
 def unpivot(spark, d):
-    return reshape.unpivot(read(spark, d, "part"), ["p_partkey"], ["p_name", "p_brand", "p_type"])
+    return reshape.unpivot(read(spark, d, "part"), ["p_partkey"], ["p_name", "p_brand", "p_type"], source_row=["p_partkey"])
 
 
 _PIVOT = "SELECT user_id, {0} FROM events GROUP BY user_id"
@@ -604,7 +611,10 @@ def redact_mask(spark, d):
     return pii.redact(masked, pii.Detector("ssn"), "ssn", pii.Redaction("fixed"))
 
 
-@query()
+_PADS = fn.hmac_pads("a secret", "00ff")
+
+
+@query(f"SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'pii_' || left(sha256(from_hex('{_PADS[1].hex()}') || from_hex(sha256(from_hex('{_PADS[0].hex()}') || encode(lower(replace(c_name, '#', '.')) || '@example.com')))), 16) ELSE 'none' END AS mail FROM customer")
 def pseudonymize(spark, d):
     return pii.redact(_people(spark, d), pii.Detector("email"), "mail", pii.Redaction("pseudonymize", secret="a secret", salt="00ff")).select("c_custkey", "mail")
 
@@ -640,9 +650,9 @@ def compare_positional(spark, d):
     return compare.compare_tables(events, events.filter("event_id % 1000 <> 7"), compare.Compare(("event_id",), mapping=(("event_type", "event_type"),))).summary
 
 
-@query("SELECT CASE WHEN n > 1 OR m > 1 THEN 'conflict' ELSE 'other' END AS status, CAST(sum(CASE WHEN n > 1 OR m > 1 THEN n + greatest(m - (CASE WHEN n > 0 THEN 1 ELSE 0 END), 0) ELSE 1 END) AS BIGINT) AS records FROM (SELECT user_id, count(*) FILTER (event_id % 2 = 0) AS n, count(*) FILTER (event_id % 2 = 1) AS m FROM events WHERE event_id < 2000 GROUP BY 1) GROUP BY 1")
+@query("SELECT CASE WHEN n > 1 OR m > 1 THEN 'conflict' ELSE 'other' END AS status, CAST(sum(CASE WHEN n > 1 OR m > 1 THEN n + greatest(m - (CASE WHEN n > 0 THEN 1 ELSE 0 END), 0) ELSE 1 END) AS BIGINT) AS records FROM (SELECT user_id, count(*) FILTER (event_id % 2 = 0) AS n, count(*) FILTER (event_id % 2 = 1) AS m FROM events GROUP BY 1) GROUP BY 1")
 def compare_conflicts(spark, d):
-    events = read(spark, d, "events").filter("event_id < 2000").select("event_id", "user_id")
+    events = read(spark, d, "events").select("event_id", "user_id")
     found = compare.compare_tables(events.filter("event_id % 2 = 0"), events.filter("event_id % 2 = 1"), compare.Compare(("event_id",), ("user_id",), (("user_id", "user_id"),)))
     return found.summary.groupBy(F.when(F.col("status") == "conflict", "conflict").otherwise("other").alias("status")).agg(F.sum("records").alias("records"))
 
@@ -650,9 +660,10 @@ def compare_conflicts(spark, d):
 # --- B: what sinks compute ------------------------------------------------------------------------------------------
 
 
-@query("SELECT event_id, lpad(CAST(CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 1500) AS INTEGER) + 1 AS VARCHAR), 3, '0') AS part FROM events")
+@query("SELECT event_id, lpad(CAST(CAST(floor((row_number() OVER (ORDER BY event_id) - 1) / 3) AS INTEGER) + 1 AS VARCHAR), CAST(greatest(3, (SELECT length(CAST(CAST(ceil(count(*) / 3) AS INTEGER) AS VARCHAR)) FROM events)) AS INTEGER), '0') AS part FROM events")
 def split_by_rows(spark, d):
-    return export.split_labels(read(spark, d, "events").select("event_id", "event_type"), export.Split("rows", 1500), ["event_id"]).select("event_id", "part")
+    """Thousands of parts, whose labels are as wide as the last one needs."""
+    return export.split_labels(read(spark, d, "events").select("event_id", "event_type"), export.Split("rows", 3), ["event_id"]).select("event_id", "part")
 
 
 @query("SELECT c_custkey, replace(c_mktsegment, '/', '_') AS part FROM customer")
@@ -690,16 +701,49 @@ def csv_round_trip(spark, d):
     return delimited.read_delimited(spark, path, delimited.Dialect(multi_line=True), width=3)
 
 
-@query("SELECT CAST(3 AS INTEGER) AS expected, count(*) + 4 AS records, CAST(0 AS BIGINT) AS ragged FROM customer")
+def _as_lines(spark, lines, files: int, **options) -> str:
+    """Writes ready-made records (a text column), as they are."""
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    lines.repartition(files).write.options(**options).text(path)
+    return path
+
+
+_RAGGED = "(SELECT CASE WHEN c_custkey % 10 = 0 THEN 2 WHEN c_custkey % 10 = 1 THEN 4 ELSE 3 END AS n, c_custkey FROM customer)"
+
+
+def _ragged(spark, d):
+    """Every tenth record is short, every tenth long; delimiters and line ends in quotes don't count."""
+    k = F.col("c_custkey")
+    tail = F.when(k % 10 == 0, "").when(k % 10 == 1, ";more;even more").otherwise(';"a;b"')
+    return _as_lines(spark, read(spark, d, "customer").select(F.concat(k.cast("string"), F.lit(';"x'), F.when(k % 3 == 0, "\n").otherwise(";"), F.lit('y"'), tail)), 4)
+
+
+@query(f"SELECT CAST(3 AS INTEGER) AS expected, count(*) AS records, count(*) FILTER (n <> 3) AS ragged FROM {_RAGGED}")
 def ragged_report(spark, d):
-    path = _as_files(spark, read(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment"), 4, quote="always", delimiter=";")
-    return delimited.ragged_report(spark, path, delimited.Dialect(delimiter=";"))
+    return delimited.ragged_report(spark, _ragged(spark, d), delimited.Dialect(delimiter=";", multi_line=True))
+
+
+@query(f"SELECT CAST(c_custkey AS VARCHAR) AS c0, CASE WHEN c_custkey % 3 = 0 THEN 'x' || chr(10) || 'y' ELSE 'x;y' END AS c1, CASE n WHEN 2 THEN '' WHEN 4 THEN 'more' ELSE 'a;b' END AS c2, CASE n WHEN 4 THEN 'even more' ELSE '' END AS c3 FROM {_RAGGED}")
+def ragged_padding(spark, d):
+    """The widest record sets the width; no line end in quotes makes a record."""
+    return delimited.read_delimited(spark, _ragged(spark, d), delimited.Dialect(delimiter=";", multi_line=True, header_rows=0)).toDF("c0", "c1", "c2", "c3")
+
 
+@query(f"SELECT CAST(n AS INTEGER) AS fields, count(*) AS records FROM {_RAGGED} WHERE n <> 3 GROUP BY 1")
+def ragged_sample(spark, d):
+    found = delimited.ragged_sample(spark, _ragged(spark, d), delimited.Dialect(delimiter=";", multi_line=True), n=read(spark, d, "customer").count())
+    return found.groupBy("fields").agg(F.count(F.lit(1)).alias("records"))
 
-@query("SELECT ';' AS delimiter, CAST(4 AS BIGINT) AS files")
+
+@query("SELECT CASE WHEN p_partkey % 2 = 0 THEN ';' ELSE '|' END AS delimiter, count(*) AS parts FROM part GROUP BY 1")
 def infer_delimiters(spark, d):
-    path = _as_files(spark, read(spark, d, "part").select("p_partkey", "p_name", "p_brand"), 4, delimiter=";")
-    return delimited.infer_delimiters(spark, path).groupBy("delimiter").agg(F.count(F.lit(1)).alias("files"))
+    """Two kinds of files in one folder; every record goes by its own file's delimiter."""
+    part, top = read(spark, d, "part").select("p_partkey", "p_name", "p_brand"), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    for i, delimiter in enumerate(";|"):
+        export.write_delimited(part.filter(F.col("p_partkey") % 2 == i).repartition(2), f"{top}/{i}", export.Export(delimiter=delimiter, header=False))
+    found = delimited.infer_delimiters(spark, [f"{top}/0", f"{top}/1"])
+    lines = spark.read.text([f"{top}/0", f"{top}/1"]).select(F.col("_metadata.file_path").alias("_file"))
+    return lines.join(found, "_file").groupBy("delimiter").agg(F.count(F.lit(1)).alias("parts"))
 
 
 @query("SELECT CAST(event_id AS VARCHAR) AS event_id, event_type FROM events WHERE event_type <> 'view'")
@@ -738,21 +782,21 @@ def pivot_median(spark, d):
     return rounded(out, *[c for c in out.columns if c != "user_id"])
 
 
-@query("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderkey % 3 = 0")
+@query("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON o_custkey = c_custkey")
 def join_folded_keys(spark, d):
     """Keys that differ in case and in white space around them."""
-    left = read(spark, d, "orders").filter("o_orderkey % 3 = 0").select("o_orderkey", F.concat(F.lit(" CUST-"), F.col("o_custkey")).alias("k"))
+    left = read(spark, d, "orders").select("o_orderkey", F.concat(F.lit(" CUST-"), F.col("o_custkey")).alias("k"))
     right = read(spark, d, "customer").select("c_custkey", F.concat(F.lit("cust-"), F.col("c_custkey"), F.lit("\t")).alias("k"))
     return joins.join_tables(left, right, joins.JoinSpec((("k", "k"),), case_insensitive=True, right_columns=("c_custkey",))).select("o_orderkey", "c_custkey")
 
 
-@query("SELECT o.o_orderkey, x.o_orderkey AS same_day FROM orders o JOIN orders x ON date_trunc('day', o.o_orderdate) = date_trunc('day', x.o_orderdate) WHERE x.o_orderkey % 500 = 0")
+@query("SELECT o_orderkey, min(o_orderkey) OVER (PARTITION BY date_trunc('day', o_orderdate)) AS first_of_day FROM orders")
 def join_on_dates(spark, d):
-    """Days that are written in two ways."""
+    """Days that are written in two ways; the right table has one row for each day of all orders."""
     orders = read(spark, d, "orders")
     left = orders.select("o_orderkey", F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
-    right = orders.filter("o_orderkey % 500 = 0").select(F.col("o_orderkey").alias("same_day"), F.date_format("o_orderdate", "M/d/yyyy").alias("day"))
-    return joins.join_tables(left, right, joins.JoinSpec((("day", "day"),), date_equal=True, right_columns=("same_day",))).select("o_orderkey", "same_day")
+    right = orders.groupBy(F.date_format("o_orderdate", "M/d/yyyy").alias("day")).agg(F.min("o_orderkey").alias("first_of_day"))
+    return joins.join_tables(left, right, joins.JoinSpec((("day", "day"),), date_equal=True, right_columns=("first_of_day",))).select("o_orderkey", "first_of_day")
 
 
 @query("SELECT CASE WHEN o_orderkey % 5 = 0 THEN 'changed' ELSE 'unchanged' END AS status, count(*) AS records FROM orders GROUP BY 1")
@@ -765,9 +809,10 @@ def compare_equivalence(spark, d):
     return compare.compare_tables(old, new, spec).summary
 
 
-@query("SELECT c_custkey, lpad(CAST(CAST(floor((sum(length(c_name) + length(CAST(c_custkey AS VARCHAR)) + 3) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) - 1) / 4096) AS INTEGER) + 1 AS VARCHAR), 3, '0') AS part FROM customer")
+@query("""WITH t AS (SELECT c_custkey, CAST(floor((sum(length(c_name) + length(CAST(c_custkey AS VARCHAR)) + 3) OVER (ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) - 1) / 30) AS INTEGER) + 1 AS n FROM customer)
+SELECT c_custkey, lpad(CAST(n AS VARCHAR), CAST(greatest(3, (SELECT length(CAST(max(n) AS VARCHAR)) FROM t)) AS INTEGER), '0') AS part FROM t""")
 def split_by_bytes(spark, d):
-    return export.split_labels(read(spark, d, "customer").select("c_custkey", "c_name"), export.Split("bytes", 4096), ["c_custkey"]).select("c_custkey", "part")
+    return export.split_labels(read(spark, d, "customer").select("c_custkey", "c_name"), export.Split("bytes", 30), ["c_custkey"]).select("c_custkey", "part")
 
 
 @query("SELECT 'o_orderpriority' AS \"column\", count(*) FILTER (o_orderpriority IN ('1-URGENT', '5-LOW')) AS tokens FROM orders UNION ALL SELECT 'o_orderstatus', count(*) FILTER (o_orderstatus = 'P') FROM orders")
@@ -775,17 +820,21 @@ def null_tokens(spark, d):
     return delimited.null_token_counts(read(spark, d, "orders").select("o_orderpriority", "o_orderstatus"), ["1-URGENT ", "5-LOW", "P"])
 
 
-@query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' ORDER BY o_totalprice DESC, o_orderkey LIMIT 200")
+@query("SELECT o_orderpriority, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F'")
 def named_view(spark, d):
     text = '{"name": "finished", "filter": {"column": "o_orderstatus", "operator": "equals", "value": "f"}, "sort": [{"column": "o_totalprice", "descending": true}, {"column": "gone"}], "layout": {"hidden": ["o_custkey", "o_orderstatus", "o_orderdate"], "pinned": ["o_orderpriority"]}}'
-    return views.apply_view(read(spark, d, "orders"), views.load_view(text), ["o_orderkey"]).df.limit(200)
+    return views.apply_view(read(spark, d, "orders"), views.load_view(text), ["o_orderkey"]).df
 
 
-@query("SELECT count(*) AS rows, CAST(4 AS BIGINT) AS files FROM supplier")
+@query("SELECT c_mktsegment AS segment, count(*) AS rows, CAST(sum(length(CAST(c_custkey AS VARCHAR)) + length(c_name) + 2) AS BIGINT) + 17 AS bytes, sha256('c_custkey,c_name' || chr(10) || string_agg(CAST(c_custkey AS VARCHAR) || ',' || c_name || chr(10), '' ORDER BY c_custkey)) AS sha256 FROM customer GROUP BY 1")
 def export_manifest(spark, d):
-    path = _as_files(spark, read(spark, d, "supplier"), 4)
-    listed = export.manifest(spark, path)
-    return listed.agg(F.sum("rows").alias("rows"), F.count(F.when(F.length("sha256") == 64, 1)).alias("files"))
+    """One file for each segment; the SQL makes each file's text and digests it."""
+    customers, top = read(spark, d, "customer"), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    for r in customers.select("c_mktsegment").distinct().collect():
+        own = customers.filter(F.col("c_mktsegment") == r[0]).select("c_custkey", "c_name").coalesce(1).sortWithinPartitions("c_custkey")
+        export.write_delimited(own, f"{top}/{r[0]}")
+    listed = export.manifest(spark, f"{top}/*")
+    return listed.select(F.regexp_extract("path", "([^/]*)/[^/]*$", 1).alias("segment"), "rows", "bytes", "sha256")
 
 
 @query("SELECT event_id FROM events WHERE NOT (event_id % 3 = 0 AND event_id % 2 = 0)")
@@ -815,3 +864,245 @@ def rows_from(spark, d):
 def replace_columns(spark, d):
     part = read(spark, d, "part").select("p_partkey", "p_type", "p_brand")
     return project.replace_columns(part, 1, 2, {"kind": F.col("p_type"), "loud": F.upper("p_type")})
+
+
+@query("SELECT o_orderkey, c_custkey FROM orders JOIN customer ON CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END = CASE WHEN c_custkey = 1 THEN '' ELSE CAST(c_custkey AS VARCHAR) END")
+def join_blank_keys(spark, d):
+    """Blank keys match each other here; one customer has one."""
+    left = read(spark, d, "orders").select("o_orderkey", F.when(F.col("o_orderkey") % 11 != 0, F.col("o_custkey")).alias("k"))
+    right = read(spark, d, "customer").select("c_custkey", F.when(F.col("c_custkey") != 1, F.col("c_custkey")).alias("k"))
+    return joins.join_tables(left, right, joins.JoinSpec((("k", "k"),), blank_equal=True, right_columns=("c_custkey",))).select("o_orderkey", "c_custkey")
+
+
+@query("SELECT a.p_partkey, a.p_name, b.p_name AS \"p_name (right)\", b.p_brand FROM part a JOIN part b USING (p_partkey)")
+def join_suffix(spark, d):
+    part = read(spark, d, "part")
+    spec = joins.JoinSpec((("p_partkey", "p_partkey"),), right_columns=("p_name", "p_brand"), max_output_rows=10**12)
+    return joins.join_tables(part.select("p_partkey", "p_name"), part, spec)
+
+
+@query("SELECT event_type, count(*) AS \"count(*)\", round(sum(value), 4) AS \"sum(value)\", max(value) AS \"max(value)\", count(DISTINCT user_id) AS \"countDistinct(user_id)\" FROM events GROUP BY 1")
+def groupby_default_names(spark, d):
+    spec = GroupBy(("event_type",), (Aggregate("count"), Aggregate("sum", "value"), Aggregate("max", "value"), Aggregate("countDistinct", "user_id")))
+    return rounded(grouping.group_by(read(spark, d, "events"), spec), "sum(value)")
+
+
+@query("SELECT 'day' AS \"column\", strftime(min(o_orderdate), '%-m/%-d/%Y') AS earliest, strftime(max(o_orderdate), '%-m/%-d/%Y') AS latest, count(*) AS rows, count(*) AS dates, CAST(min(length(strftime(o_orderdate, '%-m/%-d/%Y'))) AS INTEGER) AS shortest, CAST(max(length(strftime(o_orderdate, '%-m/%-d/%Y'))) AS INTEGER) AS longest, round(avg(length(strftime(o_orderdate, '%-m/%-d/%Y'))), 4) AS mean_length FROM orders WHERE o_orderstatus = 'F'")
+def profile_dates(spark, d):
+    """Dates as text, of the rows in scope alone."""
+    orders = read(spark, d, "orders").select(F.date_format("o_orderdate", "M/d/yyyy").alias("day"), "o_orderstatus")
+    found = profile.profile_columns(orders, ["day"], scope=F.col("o_orderstatus") == "F")
+    return rounded(found.select("column", "earliest", "latest", "rows", "dates", "shortest", "longest", "mean_length"), "mean_length")
+
+
+@query("SELECT p_partkey, regexp_replace(p_name, '\\s+', ' ', 'g') AS a, regexp_replace(p_brand, '^Brand#(\\d)(\\d)$', '\\2-\\1') AS b, CASE WHEN p_partkey % 4 = 0 THEN 'none' ELSE p_type END AS c, p_type || ';' AS e FROM part")
+def transform_more(spark, d):
+    part = read(spark, d, "part").select("p_partkey", F.concat(F.lit(" "), F.replace("p_name", F.lit(" "), F.lit("  ")), F.lit(" ")).alias("a"), F.col("p_brand").alias("b"), F.when(F.col("p_partkey") % 4 != 0, F.col("p_type")).alias("c"), F.col("p_type").alias("e"))
+    out = transform.transform(part, transform.Transform("collapseWhitespace"), ["a"])
+    out = transform.transform(out, transform.Transform("replaceRegex", {"pattern": r"^Brand#(\d)(\d)$", "replace": "$2-$1"}), ["b"])
+    out = transform.transform(out, transform.Transform("fillBlank", {"value": "none"}), ["c"])
+    return transform.transform(out, transform.Transform("addSuffix", {"value": ";"}), ["e"])
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN (o_orderkey % 250) / 200.0 END AS share, CAST(o_orderkey AS VARCHAR) AS whole, CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_orderkey % 1000 + 0.5 AS VARCHAR) ELSE CAST(o_orderkey % 1000 AS VARCHAR) END AS shown FROM orders")
+def numbers_as_text(spark, d):
+    """Percentages as shares, whole numbers without a point."""
+    k = F.col("o_orderkey")
+    orders = read(spark, d, "orders").select("o_orderkey", F.when(k % 2 == 0, F.concat(((k % 250) / 2).cast("string"), F.lit("%"))).otherwise((k % 250).cast("string")).alias("p"))
+    return orders.select("o_orderkey", fn.percent_to_decimal(F.col("p")).alias("share"), rendered(k.cast("double")).alias("whole"), rendered(k % 1000 + F.when(k % 2 == 0, 0.5).otherwise(0.0)).alias("shown"))
+
+
+@query("SELECT p_partkey, array_to_string(list_sort(string_split(lower(replace(p_name, 'e', 'e')), ' ')), ' ') AS sorted FROM part")
+def similarity_normal_form(spark, d):
+    odd = F.concat(F.lit(" "), F.upper(F.translate("p_name", "eo", "éö")), F.lit("!! "))
+    return read(spark, d, "part").select("p_partkey", fn.normalise(odd, sort_words=True).alias("sorted"))
+
+
+@query("SELECT c_custkey, length(c_name) > 0 AND ((c_custkey % 10) + CASE WHEN 2 * (c_custkey // 10 % 10) > 9 THEN 2 * (c_custkey // 10 % 10) - 9 ELSE 2 * (c_custkey // 10 % 10) END) % 10 = 0 AS card, c_custkey % 3 = 0 AS code FROM customer")
+def card_numbers(spark, d):
+    """Sixteen digits, of which two aren't 0, pass the check of payment cards or not; a custom pattern beside it."""
+    k = F.col("c_custkey")
+    card = F.concat(F.lit("0000 0000 0000 00"), F.lpad((k % 100).cast("string"), 2, "0"))
+    code = F.concat(F.when(k % 3 == 0, "ACC-").otherwise("ACK-"), F.lpad((k % 100_000).cast("string"), 5, "0"))
+    return read(spark, d, "customer").select("c_custkey", fn.matches_pii(card, "paymentCard").alias("card"), fn.matches_pii(code, "custom", r"ACC-\d{5}").alias("code"))
+
+
+@query("SELECT 'email' AS detector, 'mail' AS \"column\", 'fullMask' AS action, count(*) FILTER (c_custkey % 2 = 0) AS cells FROM customer")
+def redaction_audit(spark, d):
+    return pii.redaction_audit(_people(spark, d), pii.Detector("email"), "mail", pii.Redaction("fullMask"))
+
+
+@query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 899 + 1 <> 666 THEN repeat('•', 11) WHEN c_custkey % 3 = 0 THEN '666-12-3456' ELSE '-' END AS ssn FROM customer WHERE c_custkey % 2 <> 0")
+def redact_rows(spark, d):
+    """Rows with a mail go, numbers are masked in full."""
+    people = pii.redact(_people(spark, d).drop("host"), pii.Detector("email"), "mail", pii.Redaction("removeRows"))
+    return pii.redact(people, pii.Detector("ssn"), "ssn", pii.Redaction("fullMask")).select("c_custkey", "ssn")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey % 9 = 0 AND o_orderkey % 4 <> 0")
+def mixed_type_rows(spark, d):
+    k = F.col("o_orderkey")
+    odd = read(spark, d, "orders").select("o_orderkey", F.when(k % 4 == 0, "").when(k % 9 == 0, "n/a").otherwise(k.cast("string")).alias("x"))
+    return diagnose.issue_rows(odd, "mixedTypes", "x").select("o_orderkey")
+
+
+@query("""SELECT 'needs' AS rule, count(*) FILTER (event_type = 'purchase' AND event_id % 3 = 0) AS violations FROM events UNION ALL SELECT 'one', count(*) FILTER ((event_id % 3 <> 0) = (event_id % 2 <> 0)) FROM events
+UNION ALL SELECT 'some', count(*) FILTER (event_id % 6 = 0) FROM events UNION ALL SELECT 'most', count(*) FILTER (event_id % 3 <> 0 AND event_id % 2 <> 0) FROM events""")
+def rules_of_presence(spark, d):
+    k, rule = F.col("event_id"), rules.Rule
+    events = read(spark, d, "events").select("event_type", F.when(k % 3 != 0, "x").alias("a"), F.when(k % 2 != 0, "y").alias("b"))
+    return rules.check_rules(events, [rule("needs", "conditionalRequired", ("event_type", "a"), (("when", "equals"), ("value", "purchase"))), rule("one", "exactlyOne", ("a", "b")), rule("some", "atLeastOne", ("a", "b")), rule("most", "atMostOne", ("a", "b"))])
+
+
+@query("SELECT 'dear' AS rule, o_orderkey, CAST(o_custkey AS VARCHAR) AS cell FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_custkey > 10) WHERE k <= 50 UNION ALL SELECT 'same', o_orderkey, o_orderstatus FROM (SELECT *, row_number() OVER (ORDER BY o_orderkey) AS k FROM orders WHERE o_orderstatus <> 'F') WHERE k <= 50")
+def rule_samples(spark, d):
+    orders = read(spark, d, "orders").withColumns({"ten": F.lit(10), "f": F.lit("F")})
+    found = rules.rule_samples(orders, [rules.Rule("dear", "numericCompare", ("o_custkey", "ten")), rules.Rule("same", "columnsEqual", ("o_orderstatus", "f"))], "o_orderkey", 50)
+    return found.select("rule", "o_orderkey", F.coalesce(F.try_element_at("cells", F.lit("o_custkey")), F.try_element_at("cells", F.lit("o_orderstatus"))).alias("cell"))
+
+
+@query("SELECT o_orderkey, o_orderstatus NOT IN ('F', 'O') AS other, NOT regexp_matches(o_orderpriority, '^[1-3]-[A-Z]+$') AS shape FROM orders")
+def outlier_categories(spark, d):
+    orders = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    one = outlier.flag_outliers(orders, outlier.Outlier("o_orderstatus", "unexpectedCategory", allowed=("F", "O")), "other")
+    return outlier.flag_outliers(one, outlier.Outlier("o_orderpriority", "patternMismatch", pattern="[1-3]-[A-Z]+"), "shape").select("o_orderkey", "other", "shape")
+
+
+@query("SELECT CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS before, 'Z' AS after FROM orders WHERE o_orderkey % 17 = 0 AND o_orderstatus <> 'Z'")
+def change_report(spark, d):
+    """Columns are compared by their place: the right table names them otherwise, and has one more."""
+    old = read(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_custkey")
+    new = old.select(F.col("o_orderkey").alias("o_orderkey"), F.when(F.col("o_orderkey") % 17 == 0, "Z").otherwise(F.col("o_orderstatus")).alias("state"), F.col("o_custkey").alias("who"), F.lit("more").alias("more"))
+    cells = compare.change_report(old, new, compare.Compare(("o_orderkey",), ("o_orderkey",)))
+    return cells.filter("column = 'o_orderstatus'").select(F.replace(F.get("key", F.lit(0)), F.lit("t:"), F.lit("")).alias("key"), "before", "after")
+
+
+@query("SELECT o_orderkey, 'changed' AS status FROM (SELECT o_orderkey FROM orders WHERE o_orderkey % 17 = 0 AND o_orderstatus <> 'Z' ORDER BY o_orderkey LIMIT 100 OFFSET 50)")
+def compare_page(spark, d):
+    """The second page of changed records."""
+    old = read(spark, d, "orders").select("o_orderkey", "o_orderstatus")
+    new = old.withColumn("o_orderstatus", F.when(F.col("o_orderkey") % 17 == 0, "Z").otherwise(F.col("o_orderstatus")))
+    found = compare.compare_tables(old, new, compare.Compare(("o_orderkey",), ("o_orderkey",)))
+    return compare.results_page(found, 50, 100, ["changed"]).select(F.col("left_key.o_orderkey").alias("o_orderkey"), "status")
+
+
+@query("SELECT CAST(count(*) AS BIGINT) AS considered, count(*) FILTER (n > 1) AS groups FROM (SELECT count(*) AS n FROM events WHERE event_id % 4 <> 0 GROUP BY user_id)")
+def dedup_blank_keys(spark, d):
+    """Blank keys are left out; the report counts groups of the others."""
+    events = read(spark, d, "events").select("event_id", F.when(F.col("event_id") % 4 != 0, F.col("user_id")).alias("u"))
+    found = dedup.duplicate_report(events, dedup.Dedup(("u",), exclude_blank_keys=True), ["event_id"])
+    return found.select(F.col("remaining").alias("considered"), "groups")
+
+
+@query("SELECT 'customers' AS input, 'ok' AS status, count(*) AS rows FROM customer UNION ALL SELECT 'suppliers', 'ok', count(*) FROM supplier")
+def append_report(spark, d):
+    return append.append_report(_parties(spark, d), append.Append("nameInsensitive")).select("input", "status", "rows")
+
+
+@query("SELECT c_custkey AS key, c_name AS \"Name\", c_mktsegment AS segment FROM customer UNION ALL SELECT s_suppkey, s_name, NULL FROM supplier")
+def append_primary(spark, d):
+    return append.append_tables(_parties(spark, d), append.Append("nameInsensitive", "primary"))
+
+
+@query(_PIVOT.format(", ".join(f"round(avg(value) FILTER (event_type = '{t}'), 4) AS \"{t}\"" for t in _TYPES)))
+def pivot_mean(spark, d):
+    out = reshape.pivot(read(spark, d, "events"), reshape.Pivot(("user_id",), "event_type", "value", "mean"))
+    return rounded(out, *[c for c in out.columns if c != "user_id"])
+
+
+@query(_PIVOT.format(", ".join(f"max(value) FILTER (event_type = '{t}') AS \"{t}\"" for t in _TYPES)))
+def pivot_max(spark, d):
+    return reshape.pivot(read(spark, d, "events"), reshape.Pivot(("user_id",), "event_type", "value", "max"))
+
+
+@query("SELECT 'extraColumn' AS issue, 'o_comment' AS \"column\", CAST(1 AS BIGINT) AS count UNION ALL SELECT 'typeMismatch', 'o_custkey', count(*) FILTER (o_orderkey % 5 = 0) FROM orders")
+def profile_extra_column(spark, d):
+    k, rule = F.col("o_orderkey"), diagnose.ColumnRule
+    orders = read(spark, d, "orders").select("o_orderkey", F.when(k % 5 == 0, "x").otherwise(F.col("o_custkey").cast("string")).alias("o_custkey"), F.lit("c").alias("o_comment"))
+    return diagnose.validate_profile(orders, diagnose.FileProfile((rule("o_orderkey", unique=True), rule("o_custkey", kind="number")), allow_extra=False))
+
+
+@query("SELECT event_id, event_type FROM events")
+def json_lines_round_trip(spark, d):
+    path = f"{shared_folder(spark)}/json-{uuid.uuid4().hex}"
+    export.write_json_lines(read(spark, d, "events").select("event_id", "event_type"), path)
+    return spark.read.schema("event_id long, event_type string").json(path)
+
+
+@query("SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, p_name || 'é€' AS p_name FROM part WHERE p_size > 20")
+def encoded_round_trip(spark, d):
+    """Scoped rows and chosen columns, in windows-1252, always quoted, with semicolons, compressed, and read again."""
+    part, path = read(spark, d, "part").withColumn("p_name", F.concat("p_name", F.lit("é€"))), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    export.write_delimited(part, path, export.Export(delimiter=";", quote="always", encoding="windows-1252", gzip=True), scope=F.col("p_size") > 20, columns=["p_partkey", "p_name"])
+    return delimited.read_delimited(spark, path, delimited.Dialect(delimiter=";", encoding="windows-1252"))
+
+
+@query("SELECT CAST(s_suppkey AS VARCHAR) AS \"Key\", s_name AS \"Name First\", CAST(row_number() OVER (ORDER BY s_suppkey) + 4 AS BIGINT) AS number FROM supplier")
+def skipped_and_stacked_headers(spark, d):
+    """Two records before the header, which is two rows, and a total after the data; records keep their numbers."""
+    text = read(spark, d, "supplier").select(F.col("s_suppkey").alias("at"), F.concat_ws(",", F.col("s_suppkey"), F.col("s_name")).alias("value"))
+    edge = spark.createDataFrame([(-4, "made by hand,x"), (-3, "on a day,y"), (-2, "Key,Name"), (-1, ",First"), (10**15, "TOTAL,1")], "at long, value string")
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    text.unionByName(edge).coalesce(1).sortWithinPartitions("at").select("value").write.text(path)
+    found = delimited.read_delimited(spark, path, delimited.Dialect(skip_first=2, skip_last=1, header_rows=2), record_numbers=True)
+    return found.withColumnRenamed("_record", "number")
+
+
+@query("SELECT c_mktsegment AS segment, true AS header FROM customer GROUP BY 1")
+def header_detection(spark, d):
+    customers, top = read(spark, d, "customer"), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    export.write_delimited(customers.select("c_custkey", "c_name", "c_mktsegment"), top, split=export.Split("column", column="c_mktsegment"))
+    found = delimited.has_header(spark, top)
+    return found.groupBy(F.regexp_extract("_file", "part=([^/]*)/", 1).alias("segment")).agg(F.every("header").alias("header"))
+
+
+@query("SELECT 'delimiter' AS what, ',' AS a, ';' AS b UNION ALL SELECT 'header', 's_suppkey' || chr(31) || 's_name', 's_suppkey,s_name' UNION ALL SELECT 'columns', '2', '1' FROM (SELECT count(*) AS n FROM supplier) WHERE n > 0")
+def reading_differences(spark, d):
+    path = _as_files(spark, read(spark, d, "supplier").select("s_suppkey", "s_name"), 2)
+    return delimited.reading_differences(spark, path, delimited.Dialect(), delimited.Dialect(delimiter=";"))
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'docs' WHEN page_id % 3 = 1 THEN 'tables' ELSE 'logs' END AS profile FROM pages")
+def match_profiles(spark, d):
+    """Of the profiles that match a path the most exact kind wins."""
+    k = F.col("page_id")
+    files = read(spark, d, "pages").select("page_id", F.concat(F.lit("/data/"), F.when(k % 3 == 0, "docs/").otherwise(""), F.lit("f-"), k, F.when(k % 3 == 1, ".csv").otherwise(".log")).alias("path"))
+    profiles = spark.createDataFrame([("docs", "directory", "/data/docs"), ("tables", "extension", "csv"), ("logs", "glob", "f-*.log"), ("all", "extension", "log")], "profile string, kind string, pattern string")
+    return files.join(delimited.match_profiles(files, profiles), "path").select("page_id", "profile")
+
+
+@query("SELECT count(*) FILTER (event_id % 10 = 0) AS damaged, count(*) FILTER (event_id % 10 <> 0) AS sound FROM events")
+def damaged_cells(spark, d):
+    """Bytes that are no UTF-8 become replacement characters when they are read."""
+    text = F.when(F.col("event_id") % 10 == 0, F.concat(F.col("event_type"), F.lit("é"))).otherwise(F.col("event_type"))
+    path = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    export.write_delimited(read(spark, d, "events").select(text.alias("t")), path, export.Export(encoding="iso-8859-1"))
+    got = delimited.read_delimited(spark, path)
+    return delimited.damaged_cells(got).select("damaged", (F.lit(got.count()) - F.col("damaged")).alias("sound"))
+
+
+@query("SELECT 'widthChanged' AS alert, count(*) AS records FROM events WHERE event_id % 8 = 0 UNION ALL SELECT 'encodingChanged', count(*) FROM events WHERE event_id % 8 = 1")
+def follow_alerts(spark, d):
+    """Records of another width and damaged ones are set aside and told; the stream is started twice on one checkpoint."""
+    k = F.col("event_id") % 8
+    path = _as_lines(spark, read(spark, d, "events").select(F.concat_ws(",", F.col("event_id"), F.when(k == 1, "\ufffd").otherwise("a"), F.when(k == 0, "more"))), 4)
+    where = [f"{shared_folder(spark)}/{kind}-{uuid.uuid4().hex}" for kind in ("out", "state", "aside", "alerts")]
+    for _ in range(2):
+        stream = follow.follow(spark, path, ["a", "b"], delimited.Dialect(header_rows=0), max_files=2)
+        follow.start(stream, *where, available_now=True).awaitTermination()
+    return spark.read.json(where[3]).groupBy("alert").agg(F.sum("records").alias("records"))
+
+
+@query("SELECT p_brand, CAST(p_partkey AS VARCHAR) AS p_partkey FROM part")
+def recipe_over_files(spark, d):
+    """One recipe over a folder for each brand: every input gives its own output, sorted, and a row of the report."""
+    part, top = read(spark, d, "part").select("p_partkey", "p_brand", "p_size"), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    export.write_delimited(part.withColumn("brand", F.replace("p_brand", F.lit("#"), F.lit(""))), top, split=export.Split("column", column="brand"))
+    inputs = [f"{top}/part={r[0]}" for r in part.select(F.replace("p_brand", F.lit("#"), F.lit(""))).distinct().collect()]
+    steps = ({"kind": "sort", "keys": [{"column": "p_size", "descending": True}]}, {"kind": "validateProfile", "profile": "p"}, {"kind": "selectColumns", "columns": ["p_brand", "p_partkey"]}, {"kind": "export", "name": "{name}-done"})
+    profiles = {"p": diagnose.FileProfile((diagnose.ColumnRule("p_partkey", required=True, kind="number"),))}
+    out = f"{top}-out"
+    report = recipe.run_recipe(spark, recipe.Recipe("brands", steps), inputs, out, profiles)
+    if report.filter("status <> 'ok' OR issues <> 0 OR rows_in <> rows_out").count():
+        raise ValueError("a recipe failed")
+    return delimited.read_delimited(spark, [r["output"] for r in report.select("output").collect()], width=2)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.cells import col, num, strip, uniquified
-from tabwright.operators.order import with_position
+from tabwright.operators.order import persisted, with_position
 
 #: Delimiters that are tried, in order of preference; windows-1252 code points 0x80 to 0x9F (blank: not used).
 DELIMITERS = (",", "\t", ";", "|")
@@ -55,6 +55,17 @@ def _decoded(c: Column, d: Dialect) -> Column:
     return F.translate(c, "".join(a for a, _ in used), "".join(b for _, b in used))
 
 
+def with_bom(spark: SparkSession, paths: str | list[str], d: Dialect) -> Dialect:
+    """The dialect with the encoding that the files' byte order mark names, if they have one; files of several encodings are refused. Only the first bytes of each file count."""
+    head = F.substring("content", 1, 3)
+    bom = F.when(F.startswith(head, F.lit(b"\xef\xbb\xbf")), "utf-8").when(F.startswith(head, F.lit(b"\xff\xfe")), "utf-16le").when(F.startswith(head, F.lit(b"\xfe\xff")), "utf-16be")
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(bom.alias("e")).distinct().limit(4).collect()
+    named = {r["e"] for r in found if r["e"]}
+    if len(named) > 1 or (named - {"utf-8"} and any(r["e"] is None for r in found)):
+        raise ValueError("the files have byte order marks of several encodings")
+    return replace(d, encoding=named.pop()) if named else d
+
+
 def raw_records(spark: SparkSession, paths: str | list[str], dialect: Dialect, width: int) -> DataFrame:
     """c0.. (null where a record is short), _file, and _row: an order key that follows the files' own order."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
@@ -63,19 +74,25 @@ def raw_records(spark: SparkSession, paths: str | list[str], dialect: Dialect, w
     return read.select(*[_decoded(F.col(f"c{i}"), dialect).alias(f"c{i}") for i in range(width)], F.col("_metadata.file_path").alias(FILE), row.alias(ROW))
 
 
-def field_counts(spark: SparkSession, paths: str | list[str], dialect: Dialect) -> DataFrame:
-    """fields, records: how many records have how many fields. Quoted delimiters don't count; records are lines here."""
-    lines = spark.read.option("encoding", csv_options(dialect)["encoding"]).text(paths) if dialect.encoding.lower().startswith("utf-8") else _lines(spark, paths, dialect)
-    lines = lines.filter(strip(F.col("value")) != "")
-    if dialect.comment:
-        lines = lines.filter(~F.col("value").startswith(dialect.comment))
-    return lines.groupBy(_fields(F.col("value"), dialect).alias("fields")).agg(F.count(F.lit(1)).alias("records"))
+def _texts_of_records(spark: SparkSession, paths: str | list[str], d: Dialect) -> DataFrame:
+    """value (the record as it stands, null for one of a single field), _file, _at (an order key). Records are the reader's own: a quoted line end is none of theirs, empty lines and comments are left out."""
+    schema = T.StructType([T.StructField("c0", T.StringType()), T.StructField("_whole", T.StringType())])
+    # a record wider than the schema is kept whole in the column for corrupt records
+    read = spark.read.options(**csv_options(d)).option("columnNameOfCorruptRecord", "_whole").option("enforceSchema", "true").schema(schema).csv(paths)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
+    return read.select("c0", _decoded(F.col("_whole"), d).alias("value"), F.col("_metadata.file_path").alias(FILE), at.alias("_at"))
+
 
+def _record_widths(spark: SparkSession, paths: str | list[str], d: Dialect) -> DataFrame:
+    """_file, _at, fields of every record."""
+    # the reader gives the column of whole records only beside another, which is why c0 is asked
+    fields = F.coalesce(_fields(F.col("value"), d), F.when(F.col("c0") == NO_NULL, F.lit(0)), F.lit(1))
+    return _texts_of_records(spark, paths, d).select(FILE, "_at", fields.alias("fields"))
 
-def _lines(spark: SparkSession, paths: str | list[str], dialect: Dialect) -> DataFrame:
-    """Lines of files in other encodings, through the CSV reader with a separator that no file holds."""
-    own = Dialect(delimiter="\x01", quote=None, escape=None, encoding=dialect.encoding)
-    return raw_records(spark, paths, own, 1).select(F.col("c0").alias("value"))
+
+def field_counts(spark: SparkSession, paths: str | list[str], dialect: Dialect) -> DataFrame:
+    """fields, records: how many records have how many fields. Quoted delimiters and line ends don't count."""
+    return _record_widths(spark, paths, dialect).groupBy("fields").agg(F.count(F.lit(1)).alias("records"))
 
 
 def _fields(line: Column, d: Dialect) -> Column:
@@ -159,6 +176,16 @@ def ragged_report(spark: SparkSession, paths: str | list[str], dialect: Dialect
     return counts.agg(F.max_by("fields", F.struct("records", "fields")).alias("expected"), F.sum("records").alias("records"), F.max("records").alias("_mode")).select("expected", "records", (F.col("records") - F.col("_mode")).alias("ragged"))
 
 
+def ragged_sample(spark: SparkSession, paths: str | list[str], dialect: Dialect = Dialect(), n: int = 100) -> DataFrame:
+    """_file, record (its number in the file, from 1), fields, expected: the first ``n`` records that have another number of fields than most."""
+    widths = persisted(_record_widths(spark, paths, dialect))
+    expected = widths.groupBy("fields").agg(F.count(F.lit(1)).alias("c")).agg(F.max_by("fields", F.struct("c", "fields"))).first()[0]
+    odd = with_position(widths, ["_at"], "_pos")
+    starts = odd.groupBy(FILE).agg(F.min("_pos").alias("_from"))
+    found = odd.filter(F.col("fields") != expected).orderBy("_at").limit(n)
+    return found.join(starts, FILE).select(FILE, (F.col("_pos") - F.col("_from") + 1).alias("record"), "fields", F.lit(expected).alias("expected")).orderBy(FILE, "record")
+
+
 def infer_delimiters(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """_file, delimiter: by the first 50 lines that aren't blank of each file; most lines with the modal count win, then the larger count. A comma where nothing tells."""
     lines = spark.read.text(paths).select(F.col("_metadata.file_path").alias(FILE), F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_at"), "value")

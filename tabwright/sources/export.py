@@ -77,7 +77,7 @@ def write_delimited(df: DataFrame, path: str, options: Export = Export(), split:
 
 
 def split_labels(df: DataFrame, split: Split, order_by: list[str] | None = None) -> DataFrame:
-    """Adds ``part``: 001, 002... for splits by rows or bytes, a safe unique file label for splits by a column's value."""
+    """Adds ``part``: 001, 002... (as wide as the last part's number needs) for splits by rows or bytes, a safe unique file label for splits by a column's value."""
     if split.kind == "column":
         labels = value_labels(df.select(text_of(df, split.column).alias("value")).distinct())
         joined = df.withColumn("_own", text_of(df, split.column)).join(labels.withColumnRenamed("value", "_value"), F.col("_own") == F.col("_value"))
@@ -93,11 +93,14 @@ def split_labels(df: DataFrame, split: Split, order_by: list[str] | None = None)
         at = F.floor((F.col("_at") - 1) / split.n)
     else:
         raise ValueError(f"unknown split {split.kind!r}")
-    return placed.select(*map(col, df.columns), F.lpad((at + 1).cast("string"), 3, "0").alias("part"))
+    numbered = placed.withColumn("_part_", (at + 1).cast("string"))
+    width = numbered.agg(F.max(F.char_length("_part_"))).first()[0] or 0
+    return numbered.select(*map(col, df.columns), F.lpad("_part_", max(width, 3), "0").alias("part"))
 
 
 def value_labels(values: DataFrame) -> DataFrame:
     """value, label: file labels without characters that file systems refuse; values that would share one get -2, -3..."""
+    # fixed values: the characters and the length
     safe = F.substring(F.regexp_replace(F.col("value"), r'[\x00-\x1f\x7f<>:"/\\|?*]', "_"), 1, 64)
     safe = F.trim(F.regexp_replace(safe, r"[. ]+\z", ""))
     safe = F.when(safe == "", "(blank)").when(F.upper(safe).isin(*RESERVED), F.concat(F.lit("_"), safe)).otherwise(safe)

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.operators.filters import Condition
+from tabwright.operators import order as order_module
 from tabwright.operators.order import with_position
 from tabwright.plans import recipe, views
 from tabwright.sources import delimited as src
@@ -100,6 +101,34 @@ def test_renderers(table, rows):
     assert rows(counts) == [("a", 1)] and rows(sample, "_row", "value") == [(2, "漢")]
 
 
+def test_records_with_line_ends(spark, tmp_path):
+    """Quoted line ends make no columns and no ragged records; a byte order mark names the encoding."""
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_text('a,b\n1,"x\ny,z"\n2,"p ""q"" r"\n\n3\n4,5,6\n')
+    d = Dialect(multi_line=True)
+    assert src.read_delimited(spark, str(tmp_path / "a"), d).columns == ["a", "b", "Column 3"]
+    assert tuple(src.ragged_report(spark, str(tmp_path / "a"), d).first()) == (2, 5, 2)
+    assert [tuple(r)[1:] for r in src.ragged_sample(spark, str(tmp_path / "a"), d).collect()] == [(4, 1, 2), (5, 3, 2)]
+    (tmp_path / "b").mkdir()
+    for kind in ("utf-16-le", "utf-16-be", "utf-8"):
+        (tmp_path / "b" / "x.csv").write_bytes("\ufeffa,b\n1,é漢\n".encode(kind))
+        found = src.read_delimited(spark, str(tmp_path / "b"), src.with_bom(spark, str(tmp_path / "b"), Dialect()))
+        assert [tuple(r) for r in found.collect()] == [("1", "é漢")]
+
+
+def test_ordered_parts_have_one_exchange(spark):
+    df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k"))
+    made = []
+    keep, order_module.persisted = order_module.persisted, lambda d: made.append(d) or keep(d)
+    try:
+        parts = order_module.ordered_parts(df, ["k"], parts=5)
+    finally:
+        order_module.persisted = keep
+    assert made[0]._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange ") == 1
+    rows = sorted((r["_part"], r["_place"], r["k"]) for r in parts.collect())
+    assert [k for *_, k in rows] == list(range(1000)) and len({p for p, *_ in rows}) > 3 and rows[0][1] == 1
+
+
 def test_positions_keep_order(spark):
     df = spark.range(5000).withColumn("k", F.xxhash64("id")).repartition(9)
     got = [r["_pos"] for r in with_position(df, ["k", "id"]).orderBy("k", "id").collect()]

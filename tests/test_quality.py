@@ -1,14 +1,17 @@
 """Profiles, diagnostics, rules, outliers, repair, comparison, clusters, personal data, scalars."""
+# The small tables and results of FIXTURES.md, each of which pins a rule that has to be met exactly.
+
 
 import hashlib
 import hmac
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabwright.functions import cells
 from tabwright.functions import text as fn
-from tabwright.operators import cluster, compare, diagnose, outlier, pii, profile, repair, rules, semantic, transform
+from tabwright.operators import cluster, compare, diagnose, graph, order, outlier, pii, profile, repair, rules, semantic, transform
 
 
 def values(spark, f, *inputs):
@@ -193,6 +196,43 @@ def test_levenshtein_clusters_lose_no_pair(spark):
         assert got == want
 
 
+@pytest.mark.parametrize("threshold", [0.55, 0.7, 0.8, 0.9])
+def test_jaro_winkler_clusters_lose_no_pair(spark, threshold):
+    """Against all pairs within the length band, anagrams and values that share no pair of characters among them."""
+    rng = random.Random(3)
+    values = {"".join(rng.choice("abcdef") for _ in range(rng.randrange(1, 12))) for _ in range(110)} | {"badcfe", "abcdef", "é", "zé"}
+    values = sorted(values)
+    parent = {v: v for v in values}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for i, a in enumerate(values):
+        for b in values[:i]:
+            x, y = (v.replace("é", "e") for v in (a, b))
+            if abs(len(x) - len(y)) <= max(len(x), len(y)) // 4 + 3 and fn.jaro_winkler_of(x, y) >= threshold:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    df = spark.createDataFrame([(v,) for v in values], "name string").repartition(3)
+    got = {r["value"]: r["cluster"] for r in cluster.cluster_members(df, cluster.Cluster("name", "jaroWinkler", threshold=threshold)).collect()}
+    assert got == {v: root(v) for v in values}
+
+
+def test_components_of_a_long_chain(spark, monkeypatch):
+    """A chain of 300 ends after a number of rounds that grows with its logarithm."""
+    saved = []
+    monkeypatch.setattr(graph, "persisted", lambda df: saved.append(1) or order.persisted(df))
+    links = spark.range(300).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    assert {r["label"] for r in graph.components(links).collect()} == {0} and len(saved) < 25
+
+
+def test_rule_samples(table):
+    t = table("a,b\n1,2\n5,2\n7,2\n9,1")
+    found = rules.rule_samples(t, [rules.Rule("less", "numericCompare", ("a", "b")), rules.Rule("same", "columnsEqual", ("b", "b"), (("negate", True),))], "_row", 2).collect()
+    assert sorted((r["rule"], r["_row"], tuple(sorted(r["cells"].items()))) for r in found) == [("less", 1, (("a", "5"), ("b", "2"))), ("less", 2, (("a", "7"), ("b", "2"))), ("same", 0, (("b", "2"),)), ("same", 1, (("b", "2"),))]
+
+
 def test_similarity(spark):
     for a, b, want in (("martha", "marhta", 0.9611), ("dwayne", "duane", 0.84), ("same", "same", 1.0), ("", "x", 0.0)):
         assert abs(fn.jaro_winkler_of(a, b) - want) < 0.011
