@@ -27,10 +27,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the session's ``spark.checkpoint.dir``; only where none is set (tests) is a local one made."""
+    """The checkpoint folder: the session's ``spark.checkpoint.dir``; where none is set a local one is made, which serves a local master alone."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="spark-"))
+        own = context.getConf().get("spark.checkpoint.dir")
+        if own is None and not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-"))
     return context.getCheckpointDir()
 
 
