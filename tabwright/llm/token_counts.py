@@ -6,9 +6,17 @@ far as the pattern looks ahead), cuts the changed stretch into pre-tokens anew u
 a boundary again, encodes only that stretch, and updates the sums above its blocks. From a boundary on, pre-tokens
 don't depend on what stands before, so the count is the one of encoding the whole new text.
 
+``build_trees`` makes the trees of a table once, as columns (bytes and tokens of each pre-token) that are stored beside
+the texts. ``edit_trees`` takes such a table and edits, encodes nothing but what they touch, and gives the next table
+to store, for any number of batches. ``count_edited`` does both for a single batch. A block that grows past four times
+its size has its tree laid out anew, so a place that is edited again and again stays cheap.
+
 Edits are (at, drop, put): from code point ``at`` on, ``drop`` code points go and ``put`` comes; later edits of a
 document see the text that earlier ones made. Places past the end count as the end; null fields as 0 or empty. Null
-texts count as empty; null or empty edit lists change nothing. Outputs take the place of columns of their names. An edit log's rows for unknown documents are ignored.
+texts count as empty; null or empty edit lists change nothing. Texts may be of any length, one at a time is held. Rows are
+edited one by one, so repeated rows and ids are edited alike. Outputs take the place of columns of their names, other
+columns stay. Of an edit log, rows for unknown or null documents are ignored, and rows that tie in their order are
+ordered by what they do. Empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -26,6 +34,8 @@ from tabwright.llm.common import CHUNK_BYTES, chunks, flat, read, replacing, str
 
 #: Pieces of a block when a tree is built; pieces after an edit with which a boundary is first looked for.
 BLOCK, REACH = 64, 8
+#: Pieces of a block beyond which its tree is laid out anew.
+CROWDED = 4 * BLOCK
 #: Code points that the pattern looks ahead, at most, with the one it looks from.
 CONTEXT = 3
 EDIT = "struct<at:int,drop:int,put:string>"
@@ -70,8 +80,11 @@ class Tree:
         return min(node - self.leaves, len(self.sizes) - 1), start
 
     def replace(self, first: int, last: int, sizes: np.ndarray, tokens: np.ndarray) -> None:
-        """Puts pieces in the place of those of the blocks first..last; the sums above follow."""
+        """Puts pieces in the place of those of the blocks first..last; the sums above follow. A tree with a crowded block is laid out anew."""
         share = -(-len(sizes) // (last - first + 1))
+        if share > CROWDED:
+            self.__init__(*(np.concatenate([*old[:first], new, *old[last + 1 :]]) for old, new in ((self.sizes, sizes), (self.tokens, tokens))))
+            return
         for k, block in enumerate(range(first, last + 1)):
             self.sizes[block], self.tokens[block] = sizes[k * share : (k + 1) * share], tokens[k * share : (k + 1) * share]
             node = self.leaves + block
@@ -197,40 +210,89 @@ def documents(own: Tokenizer, column: pa.Array) -> list[Document]:
     return [Document(whole[offsets[i] : offsets[i + 1]], sizes[a:b], counts[a:b]) for i, (a, b) in enumerate(zip(at[:-1].tolist(), at[1:].tolist()))]
 
 
+def stored(texts: pa.Array, sizes: pa.Array, tokens: pa.Array) -> list[Document]:
+    """Documents from their texts and stored trees; nothing is encoded."""
+    return [Document(data, np.array(a or [], np.int64), np.array(b or [], np.int64)) for data, a, b in zip(texts.cast(pa.binary()).to_pylist(), sizes.to_pylist(), tokens.to_pylist())]
+
+
+def _apply_lists(own: Tokenizer, docs: list[Document], wanted: list[list | None]) -> list[int]:
+    """Applies the k-th edits of all documents together, for k from the first on. Returns the number of pieces encoded for each."""
+    encoded = [0] * len(docs)
+    wanted = [one or [] for one in wanted]
+    for k in range(max(map(len, wanted), default=0)):
+        rows = [i for i, one in enumerate(wanted) if len(one) > k]
+        todo = [(docs[i], e["at"] or 0, e["drop"] or 0, e["put"] or "") if (e := wanted[i][k]) else (docs[i], 0, 0, "") for i in rows]
+        for i, n in zip(rows, apply_edits(own, todo)):
+            encoded[i] += n
+    return encoded
+
+
+def _leaves(docs: list[Document]) -> list[pa.Array]:
+    """Sizes and tokens of the documents' pieces, for storing."""
+    return [pa.array([np.concatenate(x) for x in parts], pa.list_(pa.int32())) for parts in ([d.tree.sizes for d in docs], [d.tree.tokens for d in docs])]
+
+
+TREE = [("sizes", T.ArrayType(T.IntegerType())), ("tokens", T.ArrayType(T.IntegerType())), ("n_tokens", T.LongType())]
 COUNTED = [("n_pieces", T.LongType()), ("n_tokens", T.LongType()), ("n_tokens_edited", T.LongType()), ("pieces_encoded", T.LongType()), ("tree_tokens", T.ArrayType(T.LongType()))]
 
 
+def _with(df: DataFrame, text: str, named: list[tuple[str, T.DataType]], make) -> DataFrame:
+    """``df`` with columns that ``make(batch, texts)`` gives for a bounded part of a batch."""
+    fields = [T.StructField(n, t) for n, t in named]
+    names = [f.name for f in fields]
+    kept = [f for f in df.schema.fields if f.name not in names]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = strings(batch.column(text))
+            for a, b in chunks(column, 2 * CHUNK_BYTES):
+                part = batch.slice(a, b - a)
+                yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), *make(part, column.slice(a, b - a))], names=[*(f.name for f in kept), *names])
+
+    return df.mapInArrow(tidy(run), T.StructType([*kept, *fields]))
+
+
+def build_trees(df: DataFrame, text: str = "text", ranks: str | None = None) -> DataFrame:
+    """Adds sizes and tokens (bytes and tokens of each pre-token) and n_tokens, in the place of columns of these names."""
+    path = ranks or default_ranks()
+
+    def make(part: pa.RecordBatch, texts: pa.Array) -> list[pa.Array]:
+        docs = documents(tokenizer(path), texts)
+        return [*_leaves(docs), pa.array([d.tree.n_tokens for d in docs], pa.int64())]
+
+    return _with(replacing(df, [n for n, _ in TREE]), text, TREE, make)
+
+
+def edit_trees(trees: DataFrame, text: str = "text", edits: str = "edits", ranks: str | None = None) -> DataFrame:
+    """A table of ``build_trees`` or of this function, with an edits column: the edited texts with their trees and n_tokens, and pieces_encoded. Only the stretches that edits touch are encoded."""
+    path = ranks or default_ranks()
+
+    def make(part: pa.RecordBatch, texts: pa.Array) -> list[pa.Array]:
+        docs = stored(texts, part.column("sizes"), part.column("tokens"))
+        encoded = _apply_lists(tokenizer(path), docs, part.column(edits).to_pylist())
+        return [pa.array([d.data.decode("utf-8", "surrogatepass") for d in docs], pa.string()), *_leaves(docs), pa.array([d.tree.n_tokens for d in docs], pa.int64()), pa.array(encoded, pa.int64())]
+
+    return _with(trees, text, [(text, T.StringType()), *TREE, ("pieces_encoded", T.LongType())], make)
+
+
 def count_edited(df: DataFrame, text: str = "text", edits: str = "edits", ranks: str | None = None, edited: str | None = None) -> DataFrame:
     """Adds n_pieces and n_tokens of the text, n_tokens_edited after the edits, pieces_encoded for them, and tree_tokens (the tree's token sums after the edits, by node).
 
     ``edited`` names a column for the edited text, if it is wanted.
     """
     path = ranks or default_ranks()
-    fields = [T.StructField(n, t) for n, t in COUNTED] + ([T.StructField(edited, T.StringType())] if edited else [])
-    df = replacing(df, [f.name for f in fields])
+    named = COUNTED + ([(edited, T.StringType())] if edited else [])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def make(part: pa.RecordBatch, texts: pa.Array) -> list[pa.Array]:
         own = tokenizer(path)
-        for batch in batches:
-            column = strings(batch.column(text))
-            for a, b in chunks(column, 2 * CHUNK_BYTES):
-                docs = documents(own, column.slice(a, b - a))
-                n_pieces, before = [sum(map(len, d.tree.sizes)) for d in docs], [d.tree.n_tokens for d in docs]
-                wanted = [one or [] for one in batch.column(edits).slice(a, b - a).to_pylist()]
-                encoded = [0] * len(docs)
-                for k in range(max(map(len, wanted), default=0)):
-                    rows = [i for i, one in enumerate(wanted) if len(one) > k]
-                    todo = [(docs[i], e["at"] or 0, e["drop"] or 0, e["put"] or "") if (e := wanted[i][k]) else (docs[i], 0, 0, "") for i in rows]
-                    for i, n in zip(rows, apply_edits(own, todo)):
-                        encoded[i] += n
-                after = [d.tree.n_tokens for d in docs]
-                columns = [pa.array(x, pa.int64()) for x in (n_pieces, before, after, encoded)] + [pa.array([d.tree.tokens_under for d in docs], pa.list_(pa.int64()))]
-                if edited:
-                    columns.append(pa.array([d.data.decode("utf-8", "surrogatepass") for d in docs], pa.string()))
-                part = batch.slice(a, b - a)
-                yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, *(f.name for f in fields)])
-
-    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, *fields]))
+        docs = documents(own, texts)
+        before = [(sum(map(len, d.tree.sizes)), d.tree.n_tokens) for d in docs]
+        encoded = _apply_lists(own, docs, part.column(edits).to_pylist())
+        counts = [(p, n, d.tree.n_tokens, e) for (p, n), d, e in zip(before, docs, encoded)]
+        columns = [pa.array([c[k] for c in counts], pa.int64()) for k in range(4)] + [pa.array([d.tree.tokens_under for d in docs], pa.list_(pa.int64()))]
+        return columns + ([pa.array([d.data.decode("utf-8", "surrogatepass") for d in docs], pa.string())] if edited else [])
+
+    return _with(replacing(df, [n for n, _ in named]), text, named, make)
 
 
 def with_edit_log(df: DataFrame, log: DataFrame, key: str = "doc_id", order: str = "seq") -> DataFrame:
