@@ -5,9 +5,12 @@ counts of vote patterns (all documents; at most 3 ** labellers patterns, whateve
 labeller votes what on good and on bad documents, without any given labels. Posteriors of a bounded sample then train
 a hashed linear scorer, which judges every document by its whole text.
 
-Texts under MIN_WORDS words, null and empty ones among them, give no evidence: they get no votes, score as the prior
-and are kept. The sample is ordered by the key's hash, then the key. An empty table trains nothing and gives an empty
-result.
+In texts under MIN_WORDS words repetition says nothing, and shares are of a text of some length at least, so that one
+mark in a few words is none of much; such a text is rejected only if the votes and the scorer agree. Texts without
+words, null and empty ones among them, give no evidence: they get no votes, score as the prior and are kept. Texts may
+be of any length. Rows are judged one by one, so repeated rows and ids, null ids too, get equal results; the sample is
+ordered by the key's hash, then the key, and of rows that tie any may be in it. Outputs take the place of columns of
+their names, other columns stay. An empty table trains nothing and gives an empty result.
 """
 
 from __future__ import annotations
@@ -44,9 +47,10 @@ class Labeller:
     good: float | None
 
 
-#: Shares of characters or words; texts under MIN_WORDS words get no votes. Each kind of junk is the matter of two or
-#: more labellers; a labeller of one kind has nothing to say about the others, so only the last two ever vote GOOD.
-MIN_WORDS = 20
+#: Shares of characters or words; words below which repetition doesn't count, and the least words, characters that aren't
+#: space, and ASCII letters that shares are taken of. Each kind of junk is the matter of two or more labellers; a
+#: labeller of one kind has nothing to say about the others, so only the last two ever vote GOOD.
+MIN_WORDS, LEAST_WORDS, LEAST_SOLID, LEAST_LETTERS = 20, 10, 50, 20
 LABELLERS = (
     Labeller("symbols", "symbol_share", 0.10, None),
     Labeller("shouting", "upper_share", 0.50, None),
@@ -64,9 +68,10 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     n = len(offsets) - 1
     sums = lambda mask: np.diff(np.append(0, np.cumsum(mask))[offsets])
     classes = _BYTE_CLASS[data]
-    solid = np.maximum(sums(classes != _SPACE), 1)
+    solid = np.maximum(sums(classes != _SPACE), LEAST_SOLID)
     hashes, at = word_hashes(data, offsets)
-    words = np.maximum(np.diff(at), 1)
+    own = np.diff(at)
+    words = np.maximum(own, LEAST_WORDS)
     same = np.zeros(len(hashes), bool)
     same[1:] = hashes[1:] == hashes[:-1]
     same[at[:-1][at[:-1] < len(hashes)]] = False
@@ -79,15 +84,15 @@ def _measure(data: np.ndarray, offsets: np.ndarray) -> dict[str, np.ndarray]:
     out = {
         "mark_share": marks,
         "symbol_share": sums(classes == _SYMBOL) / solid,
-        "upper_share": upper / np.maximum(upper + lower, 1),
+        "upper_share": upper / np.maximum(upper + lower, LEAST_LETTERS),
         "bang_share": sums(data == 33) / words,
         "pipe_share": sums(data == 124) / words,
-        "repeat_share": np.clip(1 - distinct / expected, 0, 1),
-        "adjacent_share": word_sums(same) / words,
+        "repeat_share": np.where(own < MIN_WORDS, 0, np.clip(1 - distinct / expected, 0, 1)),
+        "adjacent_share": word_sums(same) / np.maximum(own, MIN_WORDS),
     }
     # how far the text is along towards the nearest bad end: 1 is there
     out["oddness"] = np.max([out[x.measure] / x.bad for x in LABELLERS if x.measure in out], axis=0)
-    return out | {"words": np.diff(at)}
+    return out | {"words": own}
 
 
 _SPACE, _SYMBOL, _UPPER, _LOWER, _REST = range(5)
@@ -111,7 +116,7 @@ def _votes(found: dict[str, np.ndarray]) -> np.ndarray:
             out[x < one.good, i] = GOOD
         if one.bad is not None:
             out[x >= one.bad, i] = BAD
-    out[found["words"] < MIN_WORDS] = NONE
+    out[found["words"] == 0] = NONE
     return out
 
 
@@ -282,10 +287,11 @@ def classify(df: DataFrame, model: LabelModel, scorer: Scorer, text: str = "text
                 data, offsets = flat(column.slice(a, b - a))
                 part = batch.slice(a, b - a)
                 found = _measure(data, offsets)
-                score, short = scorer.chance(data, offsets, found), found["words"] < MIN_WORDS
-                score[short] = model.good
-                keep = short | (score > 1 - REJECT_AT)
-                columns = [pa.array(model.posterior(_pattern(_votes(found)))), pa.array(score), pa.array(keep)]
+                score, voted = scorer.chance(data, offsets, found), model.posterior(_pattern(_votes(found)))
+                score[found["words"] == 0] = model.good
+                # a prior under one half must not reject what there is no evidence about
+                keep = (score > 1 - REJECT_AT) | (found["words"] == 0) | ((found["words"] < MIN_WORDS) & (voted > 1 - REJECT_AT))
+                columns = [pa.array(voted), pa.array(score), pa.array(keep)]
                 yield pa.RecordBatch.from_arrays([*part.columns, *columns], names=[*part.schema.names, "label_good", "score", "keep"])
 
     return df.mapInArrow(tidy(run), schema)

@@ -108,6 +108,44 @@ def test_edit_reencodes_little(frame):
     assert set(out) == {0, 1, 2}
 
 
+def test_stored_trees_encode_only_what_edits_touch(spark, reference, tmp_path):
+    """Three batches on a table that is stored in between, against encoding anew; a place that is edited again and again stays cheap."""
+    rows = [(0, "many words stand here, it's true " * 4000), (1, None), (2, ""), (2, "été 漢字 🙂 x"), (None, "last one"), (5, "again and " * 50)]
+    now = {i: t or "" for i, (_, t) in enumerate(rows)}
+    df = spark.createDataFrame([(k, i, t, "own") for i, (k, t) in enumerate(rows)], "doc_id long, row int, text string, tokens string").repartition(3)
+    token_counts.build_trees(df).write.parquet(str(tmp_path / "0"))
+    rng = random.Random(12)
+    for batch in range(3):
+        edits = {i: [(rng.randrange(len(t) + 2), rng.choice([0, 1, 5]), rng.choice([" and", "x", "", "''s 漢"])) for _ in range(4)] for i, t in now.items()}
+        edits[5] = [(20, 0, f" w{k}") for k in range(120)]
+        for i, own in edits.items():
+            for at, drop, put in own:
+                now[i] = now[i][:at] + put + now[i][at + drop :]
+        given = spark.createDataFrame(list(edits.items()), f"row int, edits array<{token_counts.EDIT}>")
+        stored = spark.read.parquet(str(tmp_path / str(batch)))
+        token_counts.edit_trees(stored.join(given, "row")).drop("edits").write.parquet(str(tmp_path / str(batch + 1)))
+        out = {r["row"]: r for r in spark.read.parquet(str(tmp_path / str(batch + 1))).collect()}
+        assert {i: (r["text"], r["n_tokens"], sum(r["tokens"]), sum(r["sizes"])) for i, r in out.items()} == {i: (t, n := len(reference.encode_ordinary(t)), n, len(t.encode())) for i, t in now.items()}
+        assert out[0]["pieces_encoded"] < 120 and out[5]["pieces_encoded"] < 120 * 30
+
+
+def test_trees_of_a_hot_place():
+    own = bpe.tokenizer(bpe.default_ranks())
+    (doc,) = token_counts.documents(own, strings(pa.array(["word " * 500])))
+    for k in range(1500):
+        token_counts.apply_edits(own, [(doc, 1000, 0, f"n{k} ")])
+    assert max(map(len, doc.tree.sizes)) <= token_counts.CROWDED and doc.tree.n_bytes == len(doc.data)
+    (fresh,) = token_counts.documents(own, strings(pa.array([doc.data.decode()])))
+    assert fresh.tree.n_tokens == doc.tree.n_tokens
+
+
+def test_edit_log_ties_and_nulls(spark):
+    df = spark.createDataFrame([(1, "abc"), (1, "abc"), (None, "x"), (3, "z")], "doc_id long, text string")
+    log = spark.createDataFrame([(1, 1, 0, 0, "q"), (1, 1, 0, 0, "p"), (None, 1, 0, 1, ""), (9, 1, 0, 0, "y")], "doc_id long, seq int, at int, drop int, put string")
+    out = token_counts.count_edited(token_counts.with_edit_log(df, log), edited="now").collect()
+    assert sorted(((r["doc_id"], r["now"]) for r in out), key=repr) == [(1, "qpabc"), (1, "qpabc"), (3, "z"), (None, "x")]
+
+
 def test_op1(spark, texts, reference):
     docs_ = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").withColumn("edits", token_counts.derived_edits())
     edited = {}
@@ -362,6 +400,72 @@ def test_label_model_finds_the_classes():
     assert ((model.posterior(quality._pattern(votes)) > 0.5) == truth).mean() > 0.95
 
 
+def test_label_model_and_scorer_equal_plain_versions():
+    rng = np.random.default_rng(2)
+    k = len(quality.LABELLERS)
+    patterns = np.unique(quality._pattern(rng.integers(0, 3, (60, k))))
+    counts = rng.integers(1, 50, len(patterns)).astype(float)
+    digits = [[p // 3**i % 3 for i in range(k)] for p in patterns.tolist()]
+    start = {quality.BAD: [0.88, 0.02, 0.10], quality.GOOD: [0.02, 0.88, 0.10]}
+    share, said = 0.8, {c: [list(v) for _ in range(k)] for c, v in start.items()}
+
+    def chances():
+        out = []
+        for d in digits:
+            good, bad = share, 1 - share
+            for i, v in enumerate(d):
+                if v != quality.NONE:
+                    good, bad = good * said[quality.GOOD][i][v], bad * said[quality.BAD][i][v]
+            out.append(good / (good + bad))
+        return out
+
+    for _ in range(5):
+        good = chances()
+        for c, own in ((quality.GOOD, good), (quality.BAD, [1 - g for g in good])):
+            for i in range(k):
+                sums = [start[c][v] + sum(w * n for w, n, d in zip(own, counts, digits) if d[i] == v) for v in range(3)]
+                said[c][i] = [x / sum(sums) for x in sums]
+        share = (sum(g * n for g, n in zip(good, counts)) + 4) / (counts.sum() + 5)
+    model = quality.fit_labels(patterns, counts, rounds=5)
+    assert abs(model.good - share) < 1e-9 and np.allclose(model.posterior(patterns), chances(), atol=1e-9)
+
+    scorer = quality.Scorer(rng.normal(size=quality.SIZE), 0.3)
+    all_texts = ["plain words here", "", "ab", "$$$ LOUD!! ||", "é" * 20, "one two " * 40]
+    data, offsets = flat(strings(pa.array(all_texts)))
+    found = quality._measure(data, offsets)
+    got = scorer.chance(data, offsets, found)
+    for i, t in enumerate(all_texts):
+        places = quality.hashed(*flat(strings(pa.array([t]))))
+        places = [p for p in places.tolist() if p >= 0]
+        assert len(places) == max(len(t.encode()) - 2, 0)
+        tenth = sum(scorer.weights[(1 << quality.HASH_BITS) + 11 * j + min(int(found[m][i] * 10), 10)] for j, m in enumerate(quality.MEASURES))
+        z = scorer.bias + sum(scorer.weights[p] for p in places) / max(len(places), 1) + quality.STRESS * tenth
+        assert abs(got[i] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+def test_quality_of_other_junk(spark):
+    """Texts of another make than the test tables': prose stays, markup soup, shouting, stutter and rows of signs go, short ones too."""
+    rng = random.Random(13)
+    words = ["".join(rng.choice("bdfklmnprstvz") + rng.choice("aeiou") for _ in range(rng.randrange(1, 5))) for _ in range(3000)]
+    weights = [1 / (5 + i) for i in range(len(words))]
+    prose = lambda n: " ".join(rng.choices(words, weights, k=n)).capitalize() + "."
+    junk = [
+        lambda n: " ".join(rng.choice(["<div>", "{x=1}", "&&nbsp;", "</p>", "word", "#tag#"]) for _ in range(n)),
+        lambda n: " ".join(w.upper() + "!!" for w in prose(n).split()),
+        lambda n: " ".join(w + " " + w for w in prose(n).split()),
+        lambda n: " | ".join(prose(2) for _ in range(n)),
+    ]
+    rows = [(i, " ".join(prose(rng.randrange(6, 15)) for _ in range(rng.randrange(1, 20)))) for i in range(400)]
+    rows += [(1000 + i, junk[i % 4](rng.randrange(25, 80))) for i in range(80)] + [(2000 + i, junk[i % 4](8)) for i in range(8)]
+    rows += [(3000, "Thank you!"), (3001, "OK"), (3002, "bye bye"), (3003, None), (3004, "NASA"), (None, "a b"), (3000, "Thank you!")]
+    df = spark.createDataFrame([(k, t, "own") for k, t in rows], "doc_id long, text string, label_good string")
+    out = quality.classify(df, *quality.train(df)).collect()
+    kept = [r["doc_id"] for r in out if r["keep"]]
+    assert len(out) == len(rows) and sum(k is not None and k < 400 for k in kept) >= 396
+    assert sum(k is not None and 1000 <= k < 2000 for k in kept) <= 4 and sum(k is not None and 2000 <= k < 3000 for k in kept) <= 3
+    assert sorted((k for k in kept if k is None or k >= 3000), key=repr) == [3000, 3000, 3001, 3002, 3003, 3004, None]
+
+
 # --- 6: secrets -----------------------------------------------------------------------------------------------------
 
 
