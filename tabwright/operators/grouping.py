@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tabwright.functions.cells import any_of, blank_of, col, num_of, require, strip, text_of, unique
+from tabwright.operators.quantile import group_quantiles
 
 NUMERIC = ("sum", "mean", "min", "max", "median")
 ORDERED = ("first", "last", "concat", "concatDistinct")
@@ -26,7 +27,7 @@ class Aggregate:
 
 @dataclass(frozen=True)
 class GroupBy:
-    """order: key, countDesc or firstSeen. order_by: columns that give rows an order, for first, last, concat and first-seen."""
+    """order: key, countDesc or firstSeen. order_by: columns that give rows an order, for first, last, concat and first-seen. ordered: False saves the sort of the result where a sink or another operator follows."""
 
     keys: tuple[str, ...]
     aggregates: tuple[Aggregate, ...]
@@ -35,6 +36,7 @@ class GroupBy:
     order: str = "key"
     order_by: tuple[str, ...] = ()
     approximate: bool = False
+    ordered: bool = True
 
 
 def _names(spec: GroupBy) -> list[str]:
@@ -78,7 +80,7 @@ def aggregate(df: DataFrame, a: Aggregate, row: Column | None, approximate: bool
     if a.function in ("min", "max"):
         return getattr(F, a.function)(x)
     if a.function == "median":
-        return F.percentile_approx(x, 0.5) if approximate else F.percentile(x, 0.5)
+        return F.percentile_approx(x, 0.5)
     if a.function in ("first", "last"):
         return (F.min_by if a.function == "first" else F.max_by)(col(a.column), row)
     raise AssertionError(f"{a.function} has a pass of its own")
@@ -113,19 +115,26 @@ def group_by(df: DataFrame, spec: GroupBy) -> DataFrame:
     names = _names(spec)
     keys = [f"_g{i}" for i in range(len(spec.keys))]
     rows = rows.withColumns({g: F.lower(strip(text_of(df, k))) if spec.normalise else col(k) for g, k in zip(keys, spec.keys)})
-    made = [aggregate(df, a, row, spec.approximate).alias(n) for a, n in zip(spec.aggregates, names) if not a.function.startswith("concat")]
+    apart = lambda a: a.function.startswith("concat") or (a.function == "median" and not spec.approximate)
+    made = [aggregate(df, a, row, spec.approximate).alias(n) for a, n in zip(spec.aggregates, names) if not apart(a)]
     shown = F.min_by(F.struct(*[text_of(df, k).alias(f"k{i}") for i, k in enumerate(spec.keys)]), row) if spec.normalise else F.first(F.struct(*[col(k).alias(f"k{i}") for i, k in enumerate(spec.keys)]))
     extra = [F.count(F.lit(1)).alias("_n"), shown.alias("_shown")] + ([F.min(row).alias("_seen")] if spec.order == "firstSeen" else [])
     out = rows.groupBy(*keys).agg(*made, *extra)
     for a, n in zip(spec.aggregates, names):
-        if a.function.startswith("concat"):
-            own = _concat(rows, keys, a, df, row, n).select(*[F.col(g).alias(f"{g}_of") for g in keys], col(n))
+        if apart(a):
+            if a.function == "median":
+                require(df, [a.column])
+                made_ = group_quantiles(rows, {g: F.col(g) for g in keys}, num_of(df, a.column), [0.5]).withColumnRenamed("q0", n)
+            else:
+                made_ = _concat(rows, keys, a, df, row, n)
+            own = made_.select(*[F.col(g).alias(f"{g}_of") for g in keys], col(n))
             on = [F.col(g).eqNullSafe(F.col(f"{g}_of")) for g in keys]
-            out = out.join(own, on, "left").drop(*[f"{g}_of" for g in keys]).withColumn(n, F.coalesce(col(n), F.lit("")))
+            out = out.join(own, on, "left").drop(*[f"{g}_of" for g in keys])
+            out = out if a.function == "median" else out.withColumn(n, F.coalesce(col(n), F.lit("")))
     out = out.select(*[F.col(f"_shown.k{i}").alias(k) for i, k in enumerate(spec.keys)], *[col(n) for n in names], *[c for c in ("_n", "_seen") if c in out.columns])
     by = [col(k) for k in spec.keys]
     order = {"key": by, "countDesc": [F.col("_n").desc(), *by], "firstSeen": [F.col("_seen")]}[spec.order]
-    return out.orderBy(*order).drop("_n", "_seen")
+    return (out.orderBy(*order) if spec.ordered else out).drop("_n", "_seen")
 
 
 def group_report(df: DataFrame, spec: GroupBy) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.cells import blank_of, col, java_regex, num_of, rendered, require, strip, text_of
+from tabwright.operators.quantile import group_quantiles
 
 NUMERIC = ("iqr", "mad", "zscore", "percentile")
 KINDS = (*NUMERIC, "rareCategory", "unexpectedCategory", "patternMismatch")
@@ -31,10 +32,6 @@ class Outlier:
     approximate: bool = False
 
 
-def _quantile(x: Column, share: float, approximate: bool) -> Column:
-    return F.percentile_approx(x, F.lit(share), 10_000) if approximate else F.percentile(x, F.lit(share))
-
-
 def _keyed(df: DataFrame, spec: Outlier) -> DataFrame:
     """Adds _g0.. (trimmed group keys), _x (number), _v (trimmed text, null if blank)."""
     if spec.kind not in KINDS:
@@ -53,18 +50,26 @@ def _join(rows: DataFrame, stats: DataFrame, names: list[str]) -> DataFrame:
     return rows.join(stats, names) if names else rows.crossJoin(F.broadcast(stats))
 
 
+def _quantiles(rows: DataFrame, names: list[str], x: str, shares: dict[str, float], approximate: bool) -> DataFrame:
+    """The group columns and the named quantiles of each group: exact ones by ranks, or of sketches of a fixed size."""
+    if approximate:
+        return rows.groupBy(*names).agg(*[F.percentile_approx(x, F.lit(s), 10_000).alias(n) for n, s in shares.items()])
+    found = group_quantiles(rows, {g: F.col(g) for g in names}, F.col(x), list(shares.values()))
+    if not names:  # one row, with nulls where there are no values
+        found = found.agg(*[F.max(f"q{i}").alias(f"q{i}") for i in range(len(shares))])
+    return found.select(*names, *[F.col(f"q{i}").alias(n) for i, n in enumerate(shares)])
+
+
 def outlier_bounds(df: DataFrame, spec: Outlier) -> DataFrame:
     """Per group (_g0..): n, mean, median, sd, q1, q3, mad, low, high."""
     rows, names = _keyed(df, spec), _groups(spec)
-    q = lambda s: _quantile(F.col("_x"), s, spec.approximate)
-    stats = rows.groupBy(*names).agg(
-        F.count("_x").alias("n"), F.avg("_x").alias("mean"), q(0.5).alias("median"), F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("sd"),
-        q(0.25).alias("q1"), q(0.75).alias("q3"), q(spec.low / 100).alias("_p_low"), q(spec.high / 100).alias("_p_high"),
-    )
+    stats = rows.groupBy(*names).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("sd"))
+    found = _quantiles(rows, names, "_x", {"median": 0.5, "q1": 0.25, "q3": 0.75, "_p_low": spec.low / 100, "_p_high": spec.high / 100}, spec.approximate)
+    stats = stats.join(found, names, "left") if names else stats.crossJoin(F.broadcast(found))
     if spec.kind == "mad":
-        off = _join(rows.select(*names, "_x"), stats.select(*names, "median"), names).withColumn("_d", F.abs(F.col("_x") - F.col("median")))
-        mad = off.groupBy(*names).agg(_quantile(F.col("_d"), 0.5, spec.approximate).alias("mad"))
-        stats = _join(stats, mad, names)
+        off = _join(rows.select(*names, "_x"), found.select(*names, "median"), names).withColumn("_d", F.abs(F.col("_x") - F.col("median")))
+        mad = _quantiles(off, names, "_d", {"mad": 0.5}, spec.approximate)
+        stats = stats.join(mad, names, "left") if names else stats.crossJoin(F.broadcast(mad))
     else:
         stats = stats.withColumn("mad", F.lit(None).cast("double"))
     span = F.col("q3") - F.col("q1")

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabwright.functions.cells import CLASSES, blank_of, class_of_column, date_of, num_of, require, strip, text_of
+from tabwright.operators.quantile import group_quantiles
 
 
 def _kind(counts: dict[str, Column]) -> Column:
@@ -19,11 +18,27 @@ def _kind(counts: dict[str, Column]) -> Column:
     return out.otherwise("text")
 
 
+#: Shares of q1, median and q3.
+QUARTILES = (0.25, 0.5, 0.75)
+
+
+def _exact(rows: DataFrame, n: int) -> DataFrame:
+    """One row with distinct0.. and q0..: columns become (number, value) rows, so that one group-by counts the distinct values of all and one pass over ranks finds all quartiles."""
+    values = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_value{i}").alias("v")) for i in range(n)]))).filter("v IS NOT NULL")
+    distinct = values.groupBy("i", "v").agg(F.lit(1).alias("_")).groupBy("i").agg(F.count(F.lit(1)).alias("d"))
+    numbers = rows.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"_x{i}").alias("x")) for i in range(n)])))
+    found = group_quantiles(numbers, {"i": F.col("i")}, F.col("x"), list(QUARTILES))
+    both = distinct.join(found, "i", "left")
+    quartiles = F.when(F.col("q0").isNotNull(), F.array("q0", "q1", "q2"))
+    return both.agg(*[x for i in range(n) for x in (F.coalesce(F.max(F.when(F.col("i") == i, F.col("d"))), F.lit(0)).alias(f"distinct{i}"), F.max(F.when(F.col("i") == i, quartiles)).alias(f"q{i}"))])
+
+
 def profile_columns(df: DataFrame, columns: list[str] | None = None, order_by: list[str] | None = None, approximate: bool = False, scope: Column | None = None) -> DataFrame:
     """One row per column: rows, blanks, the five classes' counts, kind, distinct, low, high, mean, q1, median, q3, earliest, latest, shortest, longest, mean_length.
 
-    ``earliest`` and ``latest`` are original texts (of ties, the first by order_by, else by text). Everything comes from
-    one pass; ``approximate`` trades exact distinct counts and quartiles for sketches of fixed size.
+    ``earliest`` and ``latest`` are original texts (of ties, the first by order_by, else by text). Distinct values and
+    quartiles are counted by value and by rank beside the pass for all the rest; with ``approximate`` they are sketches
+    of a fixed size in that pass.
     """
     columns = list(columns or df.columns)
     require(df, columns)
@@ -37,17 +52,19 @@ def profile_columns(df: DataFrame, columns: list[str] | None = None, order_by: l
         size = F.char_length(value)
         tie = F.col("_tie") if order_by else text
         shown = F.when(day.isNotNull(), text)
-        quartiles = F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 10_000) if approximate else F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
         made += [F.count(F.when(kind == k, 1)).alias(f"{k}{i}") for k in CLASSES]
         made += [
             F.count(F.lit(1)).alias(f"rows{i}"),
-            (F.approx_count_distinct(value, 0.016) if approximate else F.countDistinct(value)).alias(f"distinct{i}"),
-            F.min(x).alias(f"low{i}"), F.max(x).alias(f"high{i}"), F.avg(x).alias(f"mean{i}"), quartiles.alias(f"q{i}"),
+            F.min(x).alias(f"low{i}"), F.max(x).alias(f"high{i}"), F.avg(x).alias(f"mean{i}"),
             F.min_by(shown, F.when(day.isNotNull(), F.struct(day, tie))).alias(f"earliest{i}"),
             F.min_by(shown, F.when(day.isNotNull(), F.struct((-F.unix_micros(day)).alias("d"), tie))).alias(f"latest{i}"),
             F.min(size).alias(f"shortest{i}"), F.max(size).alias(f"longest{i}"), F.avg(size).alias(f"mean_length{i}"),
         ]
+        if approximate:
+            made += [F.approx_count_distinct(value, 0.016).alias(f"distinct{i}"), F.percentile_approx(x, F.array(*map(F.lit, QUARTILES)), 10_000).alias(f"q{i}")]
     flat = rows.agg(*made)
+    if not approximate:
+        flat = flat.crossJoin(F.broadcast(_exact(rows, len(columns))))
     out = []
     for i, c in enumerate(columns):
         counts = {k: F.col(f"{k}{i}") for k in CLASSES}
@@ -73,9 +90,5 @@ def top_values(df: DataFrame, column: str, k: int = 50, approximate: bool = Fals
 
 
 def column_summaries(df: DataFrame) -> DataFrame:
-    """column, kind, blanks, distinct, low, high, mean of every column, from one pass."""
+    """column, kind, blanks, distinct, low, high, mean of every column."""
     return profile_columns(df).select("column", "kind", "blanks", "distinct", "low", "high", "mean")
-
-
-def union_all(parts: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, parts)

@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 
 from tabwright.functions.cells import blank_of, col, num_of, rendered, require, strip, text_of
 from tabwright.operators.order import PART, PLACE, ordered_parts, running
+from tabwright.operators.quantile import group_quantiles
 
 KINDS = ("normalizeNullTokens", "fillConstant", "fillForward", "fillBackward", "fillMean", "fillMedian", "fillMode", "interpolate")
 
@@ -61,9 +62,12 @@ def repair(df: DataFrame, spec: Repair, order_by: list[str] | None = None, scope
 
 def fill_values(df: DataFrame, spec: Repair) -> DataFrame:
     """One row with _fill0.. : the mean, median or mode (of ties the smallest text) of each column's cells that aren't blank."""
-    if spec.kind != "fillMode":
-        made = F.avg if spec.kind == "fillMean" else lambda x: F.percentile(x, 0.5)
-        return df.agg(*[made(num_of(df, c)).alias(f"_fill{i}") for i, c in enumerate(spec.columns)])
+    if spec.kind == "fillMean":
+        return df.agg(*[F.avg(num_of(df, c)).alias(f"_fill{i}") for i, c in enumerate(spec.columns)])
+    if spec.kind == "fillMedian":
+        numbers = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("i"), num_of(df, c).alias("x")) for i, c in enumerate(spec.columns)])))
+        medians = group_quantiles(numbers, {"i": F.col("i")}, F.col("x"), [0.5])
+        return medians.agg(*[F.max(F.when(F.col("i") == i, F.col("q0"))).alias(f"_fill{i}") for i in range(len(spec.columns))])
     cells = F.array(*[F.struct(F.lit(i).alias("i"), F.when(~blank_of(df, c), text_of(df, c)).alias("v")) for i, c in enumerate(spec.columns)])
     counts = df.select(F.inline(cells)).filter("v IS NOT NULL").groupBy("i", "v").agg(F.count(F.lit(1)).alias("n"))
     best = counts.groupBy("i").agg(F.min_by("v", F.struct((-F.col("n")).alias("n"), "v")).alias("v"))
