@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -151,6 +151,11 @@ def group_report(df: DataFrame, spec: GroupBy) -> DataFrame:
     )
 
 
+def group_sample(df: DataFrame, spec: GroupBy, n: int = 20) -> DataFrame:
+    """The first ``n`` groups in the spec's order, to look at before a whole group-by."""
+    return group_by(df, replace(spec, ordered=True)).limit(n)
+
+
 def selection_stats(df: DataFrame, columns: list[str], scope: Column | None = None) -> DataFrame:
     """One row over all cells of a rectangle: cells, nonblank, numbers, total, mean, low, high."""
     require(df, columns)

@@ -84,6 +84,13 @@ def transform_report(df: DataFrame, spec: Transform, columns: list[str], scope:
     return counts.select(F.explode(rows).alias("x")).select("x.*")
 
 
+def transform_failures(df: DataFrame, spec: Transform, columns: list[str], key: str, n: int = 20, scope: Column | None = None) -> DataFrame:
+    """column, key, value of the first ``n`` cells, by column and key, that can't be transformed."""
+    found = _results(df, spec, columns, scope)
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), text_of(df, c).alias("value"), failed.alias("failed")) for c, (_, failed) in found.items()])
+    return df.select(col(key), F.inline(cells)).filter("failed").select("column", col(key), "value").orderBy("column", key).limit(n)
+
+
 def transform_examples(df: DataFrame, spec: Transform, column: str, key: str, n: int = 20, scope: Column | None = None) -> DataFrame:
     """The first changed cells: key, before, after."""
     new, _ = _results(df, spec, [column], scope)[column]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import os.path
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,6 +20,8 @@ from tabwright.sources.delimited import FILE, ROW, Dialect, read_delimited
 from tabwright.sources.export import Export, write_delimited
 
 STEPS = ("reparse", "validateProfile", "filter", "transform", "deduplicate", "selectColumns", "sort", "export")
+#: Inputs that are worked on at a time.
+WORKERS = 8
 REPORT = "input string, output string, status string, rows_in long, rows_out long, issues long, steps array<string>, message string"
 
 
@@ -86,52 +89,57 @@ def apply_step(df: DataFrame, step: dict) -> DataFrame:
     raise ValueError(f"step {kind!r} changes no rows")
 
 
-def run_recipe(spark: SparkSession, recipe: Recipe, paths: list[str], out_dir: str, profiles: dict[str, FileProfile] | None = None, dialect: Dialect = Dialect(), dry_run: bool = False, continue_on_error: bool = True, overwrite: bool = False) -> DataFrame:
-    """Runs a recipe on each input (a file or a folder of them, which Spark reads in parallel); the report has a row for every input.
+def run_recipe(spark: SparkSession, recipe: Recipe, paths: list[str], out_dir: str, profiles: dict[str, FileProfile] | None = None, dialect: Dialect = Dialect(), dry_run: bool = False, continue_on_error: bool = True, overwrite: bool = False, workers: int = WORKERS) -> DataFrame:
+    """Runs a recipe on each input (a file or a folder of them, which Spark reads in parallel); the report has a row for every input, in their order.
 
-    An output that is there already makes its input ``skipped`` unless ``overwrite``. After an error the inputs left are
-    ``skipped`` too, unless ``continue_on_error``.
+    Inputs are independent jobs, ``workers`` of which are on the cluster at a time. An output that is there already makes
+    its input ``skipped`` unless ``overwrite``. After an error the inputs left are ``skipped`` too, unless
+    ``continue_on_error``; to know which are left, inputs then go one by one.
     """
     profiles = profiles or {}
     validate_recipe(recipe, paths, profiles)
-    report: list[tuple] = []
-    stopped = False
-    for path in paths:
-        done: list[str] = []
-        rows_in = rows_out = issues = 0
-        output = ""
-        if stopped:
-            report.append((path, output, "skipped", 0, 0, 0, done, "an earlier input failed"))
-            continue
-        try:
-            status, message = "ok", ""
-            first = recipe.steps[0]
-            own = Dialect(**first["dialect"]) if first["kind"] == "reparse" else dialect
-            df = read_delimited(spark, path, own, keep_row=True).drop(FILE)
-            rows_in = df.count()
-            for step in recipe.steps:
-                if step["kind"] == "validateProfile":
-                    issues += validate_profile(df.drop(ROW), profiles[step["profile"]]).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
-                    if issues and step.get("fail_on_issues"):
-                        raise ValueError(f"{issues} issues against profile {step['profile']}")
-                elif step["kind"] == "export":
-                    output = f"{out_dir.rstrip('/')}/{output_name(step.get('name', '{name}'), path)}"
-                    rows_out = df.count()
-                    if not dry_run:
-                        if not overwrite and _exists(spark, output):
-                            status, message = "skipped", "the output is there already"
-                        else:
-                            write_delimited(df.drop(ROW), output, Export(**{**step.get("options", {}), "if_exists": "overwrite" if overwrite else "error"}))
-                elif step["kind"] != "reparse":
-                    df = apply_step(df, step)
-                done.append(step["kind"])
-            report.append((path, output, status, rows_in, rows_out, issues, done, message))
-        except Exception as e:  # an input's own trouble is part of the report
-            report.append((path, output, "failed", rows_in, rows_out, issues, done, f"{type(e).__name__}: {e}"[:500]))
-            stopped = not continue_on_error
+    one = lambda path: _run_one(spark, recipe, path, out_dir, profiles, dialect, dry_run, overwrite)
+    if continue_on_error:
+        with ThreadPoolExecutor(max(1, min(workers, len(paths)))) as pool:
+            report = list(pool.map(one, paths))
+    else:
+        report = []
+        for path in paths:
+            failed = any(r[2] == "failed" for r in report)
+            report.append((path, "", "skipped", 0, 0, 0, [], "an earlier input failed") if failed else one(path))
     return spark.createDataFrame(report, REPORT)
 
 
+def _run_one(spark: SparkSession, recipe: Recipe, path: str, out_dir: str, profiles: dict[str, FileProfile], dialect: Dialect, dry_run: bool, overwrite: bool) -> tuple:
+    """The report's row of one input."""
+    done: list[str] = []
+    rows_in = rows_out = issues = 0
+    output, status, message = "", "ok", ""
+    try:
+        first = recipe.steps[0]
+        own = Dialect(**first["dialect"]) if first["kind"] == "reparse" else dialect
+        df = read_delimited(spark, path, own, keep_row=True).drop(FILE)
+        rows_in = df.count()
+        for step in recipe.steps:
+            if step["kind"] == "validateProfile":
+                issues += validate_profile(df.drop(ROW), profiles[step["profile"]]).agg(F.coalesce(F.sum("count"), F.lit(0))).first()[0]
+                if issues and step.get("fail_on_issues"):
+                    raise ValueError(f"{issues} issues against profile {step['profile']}")
+            elif step["kind"] == "export":
+                output = f"{out_dir.rstrip('/')}/{output_name(step.get('name', '{name}'), path)}"
+                rows_out = df.count()
+                if not dry_run and not overwrite and _exists(spark, output):
+                    status, message = "skipped", "the output is there already"
+                elif not dry_run:
+                    write_delimited(df.drop(ROW), output, Export(**{**step.get("options", {}), "if_exists": "overwrite" if overwrite else "error"}))
+            elif step["kind"] != "reparse":
+                df = apply_step(df, step)
+            done.append(step["kind"])
+    except Exception as e:  # an input's own trouble is part of the report
+        status, message = "failed", f"{type(e).__name__}: {e}"[:500]
+    return path, output, status, rows_in, rows_out, issues, done, message
+
+
 def _exists(spark: SparkSession, path: str) -> bool:
     """Through Hadoop's file systems, so that any store that Spark writes to counts."""
     jvm = spark.sparkContext._jvm

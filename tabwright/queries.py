@@ -1106,3 +1106,19 @@ def recipe_over_files(spark, d):
     if report.filter("status <> 'ok' OR issues <> 0 OR rows_in <> rows_out").count():
         raise ValueError("a recipe failed")
     return delimited.read_delimited(spark, [r["output"] for r in report.select("output").collect()], width=2)
+
+
+@query(f"SELECT 'raggedRows' AS issue, '' AS \"column\", count(*) FILTER (n <> 3) AS count, '3' AS detail FROM {_RAGGED}")
+def file_issues(spark, d):
+    return delimited.file_issues(spark, _ragged(spark, d), delimited.Dialect(delimiter=";", multi_line=True, header_rows=0))
+
+
+@query("SELECT 'p_name' AS \"column\", p_partkey, p_name AS value FROM part ORDER BY p_partkey LIMIT 30")
+def transform_failures(spark, d):
+    """Sizes are numbers, names are none: the first of them."""
+    return transform.transform_failures(read(spark, d, "part"), transform.Transform("normalizeNumbers"), ["p_size", "p_name"], "p_partkey", 30)
+
+
+@query("SELECT user_id, count(*) AS n FROM events GROUP BY 1 ORDER BY n DESC, user_id LIMIT 7")
+def group_sample(spark, d):
+    return grouping.group_sample(read(spark, d, "events"), GroupBy(("user_id",), (Aggregate("count", name="n"),), order="countDesc"), 7)

@@ -15,6 +15,7 @@ from tabwright.operators.order import persisted, with_position
 DELIMITERS = (",", "\t", ";", "|")
 CP1252 = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›œ žŸ"
 SAMPLE_LINES = 50
+MOST_PROFILES = 10_000
 ROW, FILE, RECORD = "_row", "_file", "_record"
 #: A text that no file holds, so that no cell is taken for null.
 NO_NULL = "\x00\x01null\x01\x00"
@@ -212,6 +213,13 @@ def damaged_cells(df: DataFrame) -> DataFrame:
     return flat.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"n{i}").alias("damaged")) for i, c in enumerate(df.columns)])))
 
 
+def file_issues(spark: SparkSession, paths: str | list[str], dialect: Dialect = Dialect()) -> DataFrame:
+    """issue, column, count, detail, as ``diagnose`` gives them, of what only files have: raggedRows (detail: the expected number of fields) and, by column, decodeErrors."""
+    ragged = ragged_report(spark, paths, dialect).select(F.lit("raggedRows").alias("issue"), F.lit("").alias("column"), F.col("ragged").alias("count"), F.col("expected").cast("string").alias("detail"))
+    damaged = damaged_cells(read_delimited(spark, paths, dialect)).select(F.lit("decodeErrors").alias("issue"), "column", F.col("damaged").alias("count"), F.lit("").alias("detail"))
+    return ragged.unionByName(damaged).filter("count > 0")
+
+
 # --- sets of files --------------------------------------------------------------------------------------------------
 
 
@@ -238,7 +246,9 @@ def reading_differences(spark: SparkSession, paths: str | list[str], a: Dialect,
 
 
 def match_profiles(files: DataFrame, profiles: DataFrame) -> DataFrame:
-    """path, profile: the best of the profiles (profile, kind, pattern) that match each path; exactPath before directory, extension and glob. The table of profiles is small."""
+    """path, profile: the best of the profiles (profile, kind, pattern) that match each path; exactPath before directory, extension and glob. Every file meets every profile, so more than MOST_PROFILES are refused."""
+    if profiles.limit(MOST_PROFILES + 1).count() > MOST_PROFILES:
+        raise ValueError(f"more than {MOST_PROFILES} profiles")
     p = F.col("pattern")
     glob = F.concat(F.lit("^"), F.regexp_replace(F.replace(F.replace(F.regexp_replace(p, r"([.\\+^$(){}|\[\]])", r"\\$1"), F.lit("*"), F.lit("[^/]*")), F.lit("?"), F.lit("[^/]")), "a^", ""), F.lit("$"))
     name = F.regexp_extract("path", "[^/]*$", 0)
