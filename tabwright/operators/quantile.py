@@ -1,8 +1,9 @@
 """Exact quantiles of groups of any size.
 
-Values shrink to one row for each distinct one with its count, those are dealt by range of (group, value), and a
-quantile's neighbours are found by their ranks: running counts inside a part, one sum per part and group across parts.
-No task or aggregate holds a group's values.
+Groups of few distinct values, whose number is measured first, are the matter of one aggregate. Beyond that values shrink
+to one row for each distinct one with its count, those are dealt by range of (group, value), and a quantile's neighbours
+are found by their ranks: running counts inside a part, one sum per part and group across parts. No task or aggregate
+then holds a group's values. Both ways give the same results.
 """
 
 from __future__ import annotations
@@ -13,10 +14,18 @@ from pyspark.sql import functions as F
 from tabwright.operators.order import PART, PLACE, ordered_parts
 
 
-def group_quantiles(df: DataFrame, groups: dict[str, Column], value: Column, shares: list[float]) -> DataFrame:
+#: Distinct values of a group that an aggregate may hold.
+MOST_VALUES = 500_000
+
+
+def group_quantiles(df: DataFrame, groups: dict[str, Column], value: Column, shares: list[float], most_values: int = MOST_VALUES) -> DataFrame:
     """One row per group that has values: the groups' columns, then q0, q1...: the values at the shares (0..1) of each group, linear between ranks. Null groups are groups; null values don't count."""
     names = list(groups)
     cells = df.select(*[c.alias(n) for n, c in groups.items()], value.cast("double").alias("_x")).filter("_x IS NOT NULL")
+    values = cells.groupBy(*names).agg(F.approx_count_distinct("_x").alias("d")).agg(F.max("d")).first()[0] or 0
+    if values <= most_values:
+        found = cells.groupBy(*names).agg(F.percentile("_x", F.array(*[F.lit(float(s)) for s in shares])).alias("_q"))
+        return found.select(*names, *[F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(shares))])
     counts = cells.groupBy(*names, "_x").agg(F.count(F.lit(1)).alias("_c"))
     parts = ordered_parts(counts, [*names, "_x"])
     within = parts.withColumn("_to", F.sum("_c").over(Window.partitionBy(PART, *names).orderBy(PLACE)))

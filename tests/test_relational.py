@@ -186,13 +186,14 @@ def test_find_replace_sort_project(table, rows):
     assert project.lay_out(t, project.Layout(("a",), ("b",), ("gone",))).missing == ["gone"]
 
 
-def test_group_quantiles_over_many_parts(spark):
+@pytest.mark.parametrize("most", [0, quantile.MOST_VALUES])
+def test_group_quantiles(spark, most):
     """Against the plain rule: null groups, single values, ties over parts, nulls left out."""
     rng = random.Random(4)
     rows = [(rng.choice(["a", "b", None]), float(rng.randrange(40)) if rng.random() > 0.1 else None) for _ in range(3000)] + [("one", 5.0), ("none", None)]
     df = spark.createDataFrame(rows, "g string, x double").repartition(4)
     shares = [0.0, 0.01, 0.25, 0.5, 0.755, 1.0]
-    got = {r["g"]: [r[f"q{i}"] for i in range(len(shares))] for r in quantile.group_quantiles(df, {"g": F.col("g")}, F.col("x"), shares).collect()}
+    got = {r["g"]: [r[f"q{i}"] for i in range(len(shares))] for r in quantile.group_quantiles(df, {"g": F.col("g")}, F.col("x"), shares, most).collect()}
     by = {}
     for g, x in rows:
         if x is not None:
@@ -201,5 +202,5 @@ def test_group_quantiles_over_many_parts(spark):
         own.sort()
     plain = lambda v, s: v[int(s * (len(v) - 1))] + (v[min(int(s * (len(v) - 1)) + 1, len(v) - 1)] - v[int(s * (len(v) - 1))]) * (s * (len(v) - 1) % 1)
     assert set(got) == set(by) and all(abs(a - plain(by[g], s)) < 1e-9 for g in by for a, s in zip(got[g], shares))
-    whole = quantile.group_quantiles(df, {}, F.col("x"), [0.5]).collect()
-    assert len(whole) == 1 and quantile.group_quantiles(df.limit(0), {}, F.col("x"), [0.5]).count() <= 1
+    whole = quantile.group_quantiles(df, {}, F.col("x"), [0.5], most).collect()
+    assert len(whole) == 1 and quantile.group_quantiles(df.limit(0), {}, F.col("x"), [0.5], most).count() <= 1
