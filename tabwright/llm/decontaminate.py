@@ -23,7 +23,7 @@ from tabwright.llm.common import packed, read, saved, sized, unpacked
 
 WINDOW = 10
 #: The byte map has 16 places a window, between these sizes.
-LEAST_BITS, MOST_BITS = 18, 22
+LEAST_BITS, MOST_BITS = 18, 21
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: ASCII that is no part of a word. Case doesn't matter for where words end, so splitting needs no lower-casing.
 BREAK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -72,8 +72,8 @@ def _marked(grams: DataFrame, n: int) -> tuple[list[int], list[tuple[bytes, obje
     maps = []
     for name, own, hash_ in (("place", F.col("length") > 1, _place), ("lone", F.col("length") == 1, _lone)):
         marks = bytearray(1 << bits)
-        for r in grams.filter(own).select(_in_map(F.col(name), bits)).distinct().toLocalIterator():
-            marks[r[0]] = 1
+        for place in grams.filter(own).agg(F.collect_set(_in_map(F.col(name), bits))).first()[0]:
+            marks[place] = 1
         if any(marks):
             maps.append((bytes(marks), hash_, bits))
     return lengths, maps
