@@ -234,8 +234,9 @@ def _grouped(df: DataFrame, key: str, text: str, words: int, similarity: float)
         raise ValueError("words must be at least 1 and similarity in (0, 1]")
     signed = saved(signatures(df, key, text, words))
     classes = signed.filter("n_shingles > 0").groupBy("set_key").agg(F.min(_row_order()).alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("bands").alias("bands"))
-    # saved before it is used, so that the numbers stay
-    classes = saved(classes.withColumn("rep", F.monotonically_increasing_id()))
+    # numbered in the order of their first rows, so that the first text of a family, of which the others mostly are copies,
+    # leads its buckets; and saved before it is used, so that the numbers stay
+    classes = saved(classes.repartitionByRange("first").sortWithinPartitions("first").withColumn("rep", F.monotonically_increasing_id()))
 
     def sets_of(reps: DataFrame) -> DataFrame:
         wanted = saved(reps.join(classes.select("rep", "set_key", F.col("first.k").alias("_k"), F.col("first.t").alias("_t")), "rep"))
