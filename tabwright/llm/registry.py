@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabwright.llm import bpe, chat, decontaminate, exact, lines, near, quality, secrets, sharding, token_counts
+from tabwright.llm import audit, bpe, chat, decontaminate, exact, lines, near, quality, secrets, sharding, token_counts
 
 
 def op3_line_dedup(spark, sf_dir):
@@ -20,10 +20,12 @@ QUERIES = {
     "op8_chat_format": chat.op8_chat_format,
     "op9_sharding": sharding.op9_sharding,
     "op10_decontamination": decontaminate.op10_decontamination,
+    "op11_filter_audit": audit.op11_filter_audit,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": exact.OP4_SQL,
     "op7_minhash_near_dedup": near.OP7_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
+    "op11_filter_audit": audit.OP11_SQL,
 }
