@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabwright.llm import audit, bpe, chat, decontaminate, exact, lines, near, quality, secrets, sharding, token_counts
+from tabwright.llm import audit, bpe, chat, decontaminate, exact, lines, merkle, near, quality, secrets, sharding, token_counts
 
 
 def op3_line_dedup(spark, sf_dir):
@@ -21,6 +21,7 @@ QUERIES = {
     "op9_sharding": sharding.op9_sharding,
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_filter_audit": audit.op11_filter_audit,
+    "op12_merkle_manifest": merkle.op12_merkle_manifest,
 }
 
 ORACLE_SQL = {
@@ -28,4 +29,5 @@ ORACLE_SQL = {
     "op7_minhash_near_dedup": near.OP7_SQL,
     "op10_decontamination": decontaminate.OP10_SQL,
     "op11_filter_audit": audit.OP11_SQL,
+    "op12_merkle_manifest": merkle.OP12_SQL,
 }

@@ -1,14 +1,15 @@
 """Filter audit, Merkle manifest and license scans against plain versions."""
 
-import random
+import hashlib
 import re
+import zlib
 from itertools import permutations
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.llm import audit
+from tabwright.llm import audit, merkle
 
 WS = "\\x20\\x09-\\x0D"
 
@@ -27,6 +28,7 @@ def odd_documents():
     many = " ".join(f"w{i}" for i in range(150))
     texts = [None, "", many, many + " # end", many.upper(), "Same same same", "a" * 50, many, many, None, "x  y\x0bz", "É" * 200 + " A", many * 40, "Same same same", "under 100 | words", "\n\t "]
     rows = [(i if i % 7 != 6 else None, t, [None, "", "en", "de"][i % 4], ["a", None, "b"][i % 3], len(t or "") or None, "p", "f", "d", "g") for i, t in enumerate(texts)]
+    rows += [(i, f"Capital {i} LETTERS", "en", "a", None, "p", "f", "d", "g") for i in range(100, 120)]
     return [*rows, rows[3], rows[3], (3, "other", "en", "a", 5, "p", "f", "d", "g")]
 
 
@@ -98,3 +100,104 @@ def test_subset_survivors_of_many_parts(spark, monkeypatch):
         assert got[str(p), s] == (len(own), sum(i % 3 == 0 for i in own))
     with pytest.raises(ValueError):
         audit.subset_survivors(df, F.col("p"), [F.lit(True)] * 6)
+
+
+# --- 12: Merkle manifest --------------------------------------------------------------------------------------------
+
+
+def H(text):
+    return hashlib.sha256(text.encode()).hexdigest()
+
+
+def plain_levels(nodes):
+    levels = [nodes]
+    while len(levels[-1]) > 1:
+        levels.append([H("".join(levels[-1][i : i + 16])) for i in range(0, len(levels[-1]), 16)])
+    return levels
+
+
+def plain_path(levels, at):
+    out = []
+    for level in levels[:-1]:
+        run = level[at // 16 * 16 :][:16]
+        out.append((run[: at % 16], run[at % 16 + 1 :]))
+        at //= 16
+    return out
+
+
+def plain_leaf(values):
+    return H("".join("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+
+def plain_manifest(docs):
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    by = {}
+    for i, text, lang, source, n in [d[:5] for d in docs]:
+        own = plain_leaf((i, source, lang, n, text))
+        bad = i is not None and zlib.crc32(str(i).encode()) % 5 == 0
+        held = plain_leaf((i, source, lang, n, text and text.translate(lower))) if bad else own
+        by.setdefault(source, []).append((i, own, held))
+    order = sorted(by, key=lambda s: (s is not None, (s or "").encode()))
+    trees = {}
+    for s in order:
+        by[s].sort(key=lambda x: (x[0] is not None, x[0] or 0, x[1]))
+        trees[s] = plain_levels([x[1] for x in by[s]])
+    top = plain_levels([trees[s][-1][0] for s in order])
+    root = top[-1][0]
+    out = []
+    for k, s in enumerate(order):
+        for at, (i, own, held) in enumerate(by[s]):
+            path = plain_path(trees[s], at) + plain_path(top, k)
+            up = held
+            for left, right in path:
+                up = H("".join([*left, up, *right]))
+            out.append((i, own, trees[s][-1][0], root, H("".join("".join(a + b) for a, b in path)), up, up == root))
+    return out
+
+
+def by_text(rows):
+    return sorted(map(tuple, rows), key=str)
+
+
+def test_op12_on_odd_rows(spark, tmp_path):
+    docs = odd_documents()
+    sf = write(spark, tmp_path, documents=(docs, DOCUMENTS))
+    out = merkle.op12_merkle_manifest(spark, sf)
+    assert out.columns == ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
+    got = out.collect()
+    assert by_text(got) == by_text(plain_manifest(docs)) and not all(r["verified"] for r in got)
+
+
+def test_op12_empty_and_alone(spark, tmp_path):
+    sf = write(spark, tmp_path / "a", documents=([], DOCUMENTS))
+    assert merkle.op12_merkle_manifest(spark, sf).count() == 0
+    one = [(None, "Text", None, None, None, "p", "f", "d", "g")]
+    sf = write(spark, tmp_path / "b", documents=(one, DOCUMENTS))
+    (row,) = merkle.op12_merkle_manifest(spark, sf).collect()
+    assert row["leaf"] == row["root"] == row["folded_root"] and row["proof_sha256"] == H("") and row["verified"]
+
+
+def test_op12_parts_of_several_blocks_and_many_parts(spark, tmp_path):
+    docs = [(i, f"Text {i % 7}", "en", "hot" if i < 4500 else f"s{i}", i) for i in range(9000)]
+    sf = write(spark, tmp_path, documents=([(*d, "p", "f", "d", "g") for d in docs], DOCUMENTS))
+    assert by_text(merkle.op12_merkle_manifest(spark, sf).collect()) == by_text(plain_manifest(docs))
+
+
+def test_append_log_is_in_postorder(spark):
+    def postorder(level, index, n):
+        out = []
+        if level:
+            for child in range(index * 16, min(index * 16 + 16, -(-n // 16 ** (level - 1)))):
+                out += postorder(level - 1, child, n)
+        return [*out, (level, index)]
+
+    for n in (1, 2, 16, 17, 255, 256, 257, 4000):
+        top = merkle.levels_over(n)
+        assert [merkle.position(*node, n, top) for node in postorder(top, 0, n)] == list(range(merkle.subtree_size(n, top)))
+    n = 5000
+    rows = spark.range(n).select(F.col("id"), F.lit("one").alias("part"), F.sha2(F.encode(F.col("id").cast("string"), "UTF-8"), 256).alias("_leaf"))
+    made = merkle.manifest(rows, "id", "part", ["id"])
+    levels = plain_levels([H(str(i)) for i in range(n)])
+    want = [(level, index, levels[level][index]) for level, index in postorder(4, 0, n)]
+    assert [tuple(r) for r in made.log().orderBy("position").select("level", "index", "digest").collect()] == want
+    assert [r[0] for r in made.log().orderBy("position").select("position").collect()] == list(range(len(want)))
