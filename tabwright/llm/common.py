@@ -130,6 +130,20 @@ def flat(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def words_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+    """The words (runs of other bytes than 0x20) of texts that lie side by side, as one binary array, and the texts' offsets in it."""
+    solid = data != 32
+    before = np.zeros(len(data), bool)
+    before[1:] = solid[:-1]
+    inner = offsets[1:-1]
+    before[inner[inner < len(data)]] = False
+    starts = np.flatnonzero(solid & ~before)
+    at = np.append(0, np.cumsum(solid))
+    ends = np.append(at[starts], at[-1]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(data[solid]))])
+    return words, np.searchsorted(starts, offsets)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser (splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tabwright.llm import audit, bpe, chat, decontaminate, exact, lines, merkle, near, quality, secrets, sharding, token_counts
+from tabwright.llm import audit, bpe, chat, decontaminate, exact, licenses, lines, merkle, near, quality, secrets, sharding, token_counts
 
 
 def op3_line_dedup(spark, sf_dir):
@@ -22,6 +22,7 @@ QUERIES = {
     "op10_decontamination": decontaminate.op10_decontamination,
     "op11_filter_audit": audit.op11_filter_audit,
     "op12_merkle_manifest": merkle.op12_merkle_manifest,
+    "op13_license_scan": licenses.op13_license_scan,
 }
 
 ORACLE_SQL = {
@@ -30,4 +31,5 @@ ORACLE_SQL = {
     "op10_decontamination": decontaminate.OP10_SQL,
     "op11_filter_audit": audit.OP11_SQL,
     "op12_merkle_manifest": merkle.OP12_SQL,
+    "op13_license_scan": licenses.OP13_SQL,
 }

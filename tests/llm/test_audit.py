@@ -1,15 +1,17 @@
 """Filter audit, Merkle manifest and license scans against plain versions."""
 
 import hashlib
+import random
 import re
 import zlib
 from itertools import permutations
 
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
-from tabwright.llm import audit, merkle
+from tabwright.llm import audit, licenses, merkle
 
 WS = "\\x20\\x09-\\x0D"
 
@@ -201,3 +203,82 @@ def test_append_log_is_in_postorder(spark):
     want = [(level, index, levels[level][index]) for level, index in postorder(4, 0, n)]
     assert [tuple(r) for r in made.log().orderBy("position").select("level", "index", "digest").collect()] == want
     assert [r[0] for r in made.log().orderBy("position").select("position").collect()] == list(range(len(want)))
+
+
+# --- 13: license scans ----------------------------------------------------------------------------------------------
+
+
+def plain_scan(text, templates=licenses.TEMPLATES, phrases=licenses.PHRASES, percent=80):
+    w = re.findall("[0-9a-z\u0080-\U0010FFFF]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    places = [(i, p.label) for p in phrases for ws in [licenses.words(p.text)] for i in range(len(w)) if w[i : i + len(ws)] == ws]
+    found = set()
+    for t in templates:
+        own, size = set(licenses.words(t.text)), licenses.step(t)
+        for at in range(0, max(len(w), 1), size):
+            shared = len(own & set(w[at : at + 2 * size]))
+            if (at == 0 or at + size < len(w)) and 100 * shared >= percent * len(own):
+                found.add((t.label, at, 2 * size, shared / len(own)))
+    first, last = (min(places)[0], max(places)[0]) if places else (None, None)
+    base = sorted({x for _, x in places})
+    score = 1.0 if base else max([x[3] for x in found], default=0.0)
+    return len(w), len(places), first, last, base, sorted({*base, *(x[0] for x in found)}), score, sorted(found)
+
+
+def license_texts():
+    t = {x.label: x.text for x in licenses.TEMPLATES}
+    cut = " ".join(t["mit"].split()[:-6])
+    filler = " ".join(f"Wort{i}" for i in range(37))
+    return [
+        None,
+        "",
+        "...",
+        "Released under the MIT License.",
+        "UNDER  the\n* MIT-License, apache license (version 2) and Apache License, Version 2.0; CC BY-NC",
+        "under the mité license",
+        "under the mit",
+        "under the",
+        "license",
+        t["mit"],
+        f"{filler}\n# {cut}\n{filler}",
+        filler * 3 + t["bsd"].upper().replace(" ", "\n// "),
+        " ".join(t["mit"].split()[::-1]),
+        " ".join(t["mit"].split()[:40]),
+        t["gpl"] + filler + t["gpl"],
+        (filler + " cc by nc ") * 3000,
+        "cc by nc",
+        "cc by nc",
+    ]
+
+
+def test_op13_on_odd_rows(spark, tmp_path):
+    docs = [(i if i not in (3, 9) else None, x, None, None, None, "p", "f", "d", "g") for i, x in enumerate(license_texts())]
+    docs += [docs[4], (5, "another text under this id cc by nc", "en", "a", 1, "p", "f", "d", "g")]
+    sf = write(spark, tmp_path, documents=(docs, DOCUMENTS))
+    out = licenses.op13_license_scan(spark, sf)
+    assert out.columns == ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+    want = []
+    for d in docs:
+        n, k, first, last, base, labels, score, _ = plain_scan(d[1])
+        want.append((d[0], n, k, first, last, ",".join(base), ",".join(labels), score))
+    assert by_text(out.collect()) == by_text(want)
+    assert {"mit", "bsd", "gpl", "cc-by-nc"} <= {x for r in want for x in r[6].split(",")}
+    assert licenses.op13_license_scan(spark, write(spark, tmp_path / "none", documents=([], DOCUMENTS))).count() == 0
+
+
+def test_template_join_is_exact(spark):
+    """Random texts of few words around the thresholds, ties of frequencies, short and long templates, a phrase that overlaps itself."""
+    rng = random.Random(3)
+    some = [f"w{i}" for i in range(60)]
+    templates = [licenses.Template(f"t{k}", " ".join(rng.choice(some) for _ in range(rng.choice([1, 2, 5, 12, 16, 17, 30, 40])))) for k in range(25)]
+    phrases = [licenses.Template("again", "w1 w1"), licenses.Template("one", "w2")]
+    texts = [" ".join(rng.choice(some[: rng.choice([5, 30, 60])]) for _ in range(rng.choice([0, 1, 3, 15, 16, 17, 31, 32, 33, 48, 64, 65, 200]))) for _ in range(150)] + ["w1 w1 w1 w2", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    for percent in (50, 80, 100):
+        out = licenses.scan_licenses(df, templates=templates, phrases=phrases, percent=percent).collect()
+        assert len(out) == len(texts)
+        for r in out:
+            want = plain_scan(texts[r["doc_id"]], templates, phrases, percent)
+            assert tuple(r)[1:8] == want[:7]
+            assert [tuple(x) for x in r["found"]] == [Row(*x) for x in want[7]]
+    with pytest.raises(ValueError):
+        licenses.scan_licenses(df, templates=[licenses.Template("x", "...")])
