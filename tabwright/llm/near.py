@@ -10,7 +10,9 @@ members with one leader, and only members that are then still outside the bucket
 members of other components: all of them but those that a bound on shared shingles rules out, so no link between
 different sets is lost. Sets are built for classes in shared buckets alone.
 
-Sets are told apart by a 128-bit digest of their 64-bit shingle hashes, and a link is confirmed on those hashes.
+Words are known by 128-bit digests of their bytes and shingles by both halves of those: sets are told apart by all 128
+bits of their shingles, and a link is confirmed on 112 of them. Bands take the first 64, since what they bring together
+is confirmed.
 
 Null and empty texts have an empty set and are linked with nothing. Repeated rows are copies of each other. Classes
 have numbers of their own, so rows take part whatever their ids: an id that repeats, with equal or other texts, takes
@@ -29,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tabwright.llm.common import chunks, flat, mix, read, saved, sized, strings, tidy
+from tabwright.llm.common import chunks, flat, mix, read, saved, sized, strings, tidy, words_of
 from tabwright.operators.graph import components
 
 PERMUTATIONS, ROWS = 80, 5
@@ -40,59 +42,63 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _random = np.random.default_rng(20_240_601)
 _MULTIPLY = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = _random.integers(0, 1 << 63, PERMUTATIONS, np.uint64)
-_BYTE = _random.integers(0, 1 << 63, 256, np.uint64)
-_BYTE[65:91] = _BYTE[97:123]  # A-Z hash as a-z
-_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+#: Lower case of A-Z, and one space for all.
+_PLAIN = np.arange(256, dtype=np.uint8)
+_PLAIN[65:91], _PLAIN[9:14] = _PLAIN[97:123], 32
+#: Of the two halves of a shingle.
+_FACTORS = np.array([_ODD, 0xD6E8FEB86659FD93], np.uint64)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, _ODD, np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+def word_digests(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, 2) halves of the digests of the words of texts that lie side by side, and the texts' offsets in them."""
+    words, at = words_of(_PLAIN[data], offsets)
+    coded = words.dictionary_encode()
+    table = np.frombuffer(b"".join([hashlib.blake2b(w, digest_size=16).digest() for w in coded.dictionary.to_pylist()]), np.uint64).reshape(-1, 2)
+    return table[coded.indices.to_numpy()], at
 
 
 def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of the words of texts that lie side by side, and the texts' offsets in them."""
-    solid = ~_SPACE[data]
-    before = np.zeros(len(data), bool)
-    before[1:] = solid[:-1]
-    inner = offsets[1:-1]
-    before[inner[inner < len(data)]] = False
-    starts = np.flatnonzero(solid & ~before)
-    if not len(starts):
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    at = np.flatnonzero(solid)
-    first = np.searchsorted(at, starts)
-    sizes = np.diff(np.append(first, len(at)))
-    place = np.arange(len(at)) - np.repeat(first, sizes)
-    sums = np.add.reduceat(_BYTE[data[at]] * _powers(int(sizes.max()))[place], first)
-    return mix(sums + sizes.astype(np.uint64) * _ODD), np.searchsorted(starts, offsets)
+    """The first 64 bits of the words' digests, and the texts' offsets in them."""
+    digests, at = word_digests(data, offsets)
+    return digests[:, 0], at
+
+
+def _distinct(shingles: np.ndarray) -> np.ndarray:
+    """The distinct rows of (shingles, 2), in the order of the first half."""
+    rows = shingles[np.argsort(shingles[:, 0])]
+    same = rows[1:, 0] == rows[:-1, 0]
+    if (same & (rows[1:, 1] != rows[:-1, 1])).any():
+        rows = rows[np.lexsort((rows[:, 1], rows[:, 0]))]
+        same = (rows[1:] == rows[:-1]).all(1)
+    return rows[np.append(True, ~same)[: len(rows)]]
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    hashes, at = word_hashes(data, offsets)
+    """The distinct shingles of each text, as (n, 2) halves in the order of the first."""
+    hashes, at = word_digests(data, offsets)
     n_rolled = max(len(hashes) - words + 1, 0)
-    rolled = np.zeros(n_rolled, np.uint64)
+    rolled = np.zeros((n_rolled, 2), np.uint64)
     for i in range(words):
-        rolled = rolled * _ODD + hashes[i : i + n_rolled]
+        rolled = rolled * _FACTORS + hashes[i : i + n_rolled]
     rolled = mix(rolled + np.uint64(words))
     out = []
     for a, b in zip(at[:-1].tolist(), at[1:].tolist()):
         n = b - a
         if n >= words:
-            out.append(np.unique(rolled[a : b - words + 1]))
-        elif n:
-            whole = np.uint64(0)
-            with np.errstate(over="ignore"):
-                for h in hashes[a:b]:
-                    whole = whole * _ODD + h
-                out.append(mix(np.array([whole + np.uint64(n)], np.uint64)))
+            out.append(_distinct(rolled[a : b - words + 1]))
         else:
-            out.append(np.zeros(0, np.uint64))
+            whole = np.zeros((min(n, 1), 2), np.uint64)
+            for h in hashes[a:b]:
+                whole = whole * _FACTORS + h
+            out.append(mix(whole + np.uint64(n)))
     return out
 
 
+def as_text(shingles: np.ndarray) -> pa.Array:
+    """Shingles as strings of 16 ASCII characters, seven bits of each byte, which Spark compares in full."""
+    return pa.Array.from_buffers(pa.string(), len(shingles), [None, pa.py_buffer(np.arange(0, 16 * len(shingles) + 1, 16, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(shingles).view(np.uint8).ravel() & np.uint8(0x7F))])
+
+
 def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     """(sets, BANDS) keys; rows of empty sets hold zeros."""
     sizes = np.fromiter(map(len, sets), np.int64, len(sets))
@@ -100,7 +106,7 @@ def band_keys(sets: list[np.ndarray]) -> np.ndarray:
     full = sizes > 0
     if not full.any():
         return keys
-    x = np.concatenate(sets)
+    x = np.concatenate(sets)[:, 0]
     starts = np.append(0, sizes[full].cumsum()[:-1])
     values = np.empty((2 * PERMUTATIONS, int(full.sum())), np.uint64)
     for j in range(PERMUTATIONS):
@@ -146,9 +152,9 @@ def _full_sets(texts: DataFrame, words: int) -> DataFrame:
             for a, b in chunks(column):
                 sets = shingle_sets(*flat(column.slice(a, b - a)), words)
                 ends = np.append(0, np.fromiter(map(len, sets), np.int64, len(sets)).cumsum()).astype(np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets).view(np.int64)))], names=["set_key", "shingles"])
+                yield pa.RecordBatch.from_arrays([pa.array([_digest(s) for s in sets], pa.binary()), pa.ListArray.from_arrays(pa.array(ends), as_text(np.concatenate(sets)))], names=["set_key", "shingles"])
 
-    return texts.select("_text").mapInArrow(tidy(run), "set_key binary, shingles array<long>")
+    return texts.select("_text").mapInArrow(tidy(run), "set_key binary, shingles array<string>")
 
 
 def link_classes(classes: DataFrame, sets_of, similarity: float) -> DataFrame:

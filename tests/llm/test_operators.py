@@ -308,6 +308,21 @@ def test_op3_bands(spark, monkeypatch, block):
     assert got == want and sum(x[0] for x in want.values()) > 100
 
 
+def test_lines_of_swapped_characters_stay(spark):
+    texts = [w + tail for n in (1024, 2048, 4096) for w in hostile(n) for tail in ("", "\nthe same line", "x")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r["text"] for r in lines.dedup_lines(df, bands=lines.BANDS).collect()}
+    want, seen = {}, set()
+    for i, t in enumerate(texts):
+        kept = [x for x in t.split("\n") if x not in seen]
+        seen |= set(kept)
+        want[i] = "\n".join(kept)
+    # a word and the word with one more character are near
+    near_too = {i for i in want if texts[i].endswith("x")}
+    assert {i: t for i, t in out.items() if i not in near_too} == {i: t for i, t in want.items() if i not in near_too}
+    assert all(out[i] == "" for i in near_too)
+
+
 # --- 4: exact dedup -------------------------------------------------------------------------------------------------
 
 
@@ -565,8 +580,21 @@ def test_redact_secrets(frame):
 # --- 7: near duplicates ---------------------------------------------------------------------------------------------
 
 
+def plain_shingles(t, k):
+    w = re.findall(f"[^{WS}]+", "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in t or ""))
+    return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
+
+
+def hostile(n):
+    """A word of n characters (a power of two) and the one with its two characters swapped: sums of powers modulo 2 ** 64 can't tell them apart from 1,024 on."""
+    one = "a"
+    while len(one) < n:
+        one += one.translate(str.maketrans("ab", "ba"))
+    return one, one.translate(str.maketrans("ab", "ba"))
+
+
 def brute_near(docs_, words):
-    sets = near.shingle_sets(*flat(strings(pa.array([t for _, t in docs_]))), words)
+    sets = [plain_shingles(t, words) for _, t in docs_]
     holders, parent = collections.defaultdict(list), list(range(len(sets)))
 
     def root(i):
@@ -575,11 +603,11 @@ def brute_near(docs_, words):
         return i
 
     for i, s in enumerate(sets):
-        met = collections.Counter(j for x in s.tolist() for j in holders[x])
+        met = collections.Counter(j for x in s for j in holders[x])
         for j, k in met.items():
             if 100 * k >= 80 * (len(s) + len(sets[j]) - k):
                 parent[root(i)] = root(j)
-        for x in s.tolist():
+        for x in s:
             holders[x].append(i)
     low = {}
     for i, (d, _) in enumerate(docs_):
@@ -588,10 +616,7 @@ def brute_near(docs_, words):
 
 
 def test_shingles():
-    def plain(t, k):
-        w = re.findall(f"[^{WS}]+", "".join(c.lower() if c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else c for c in t))
-        return {tuple(w[i : i + k]) for i in range(max(len(w) - k + 1, 1))} if w else set()
-
+    plain = plain_shingles
     rng = random.Random(7)
     all_texts = [" ".join(rng.choice(["A", "a", "b", "É", "é", "cc", "\t", ""]) for _ in range(rng.randrange(12))) for _ in range(500)] + ["", " ", "x", "xy", "x y"]
     sets = near.shingle_sets(*flat(strings(pa.array(all_texts))), 4)
@@ -647,10 +672,29 @@ def test_near_duplicates_of_odd_ids(spark, kind):
     assert left == sorted([(1, a, "own"), (1, z, "own"), (None, None, "own"), (4, "", "own"), (4, "", "own"), (5, "one two", "own"), (None, "seul", "own"), (6, "x " * 150_000, "own")], key=repr)
 
 
+def test_words_of_swapped_characters_link_nothing(spark):
+    texts = [w + tail for n in (1024, 2048, 4096) for w in hostile(n) for tail in ("", " one two three", " one two three four five six seven")]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    out = {r["doc_id"]: r["component_id"] for r in near.near_duplicates(df, words=4).collect()}
+    assert out == {i: w[1] for i, w in brute_near(list(enumerate(texts)), 4).items()}
+    lone = df.filter("doc_id % 3 < 2")
+    assert near.keep_one(lone).count() == lone.count()
+    for n in (1024, 2048, 4096):
+        a, b = near.shingle_sets(*flat(strings(pa.array(hostile(n)))), 4)
+        assert (a != b).any()
+
+
+def test_distinct_shingles_by_both_halves():
+    rows = np.array([[5, 1], [3, 9], [5, 2], [5, 1], [3, 9]], np.uint64)
+    assert near._distinct(rows).tolist() == [[3, 9], [5, 1], [5, 2]]
+    assert len(set(near.as_text(rows).to_pylist())) == 3
+
+
 def test_min_max_signature_is_unbiased():
     rng = np.random.default_rng(9)
     common, a, b = (rng.integers(0, 1 << 63, n).astype(np.uint64) for n in (800, 100, 100))
-    keys = near.band_keys([np.unique(np.append(common, a)), np.unique(np.append(common, b)), np.zeros(0, np.uint64)])
+    both = lambda x: np.stack([np.unique(x)] * 2, axis=1)
+    keys = near.band_keys([both(np.append(common, a)), both(np.append(common, b)), np.zeros((0, 2), np.uint64)])
     assert 4 <= (keys[0] == keys[1]).sum() <= 28 and not keys[2].any()
 
 
