@@ -10,7 +10,8 @@ out by key and block; a pair counts at the first segment it shares, and a task g
 one per pair. Pairs are verified by a banded bit-parallel edit distance: one word per number of edits holds the
 diagonals that are alive, and all pairs of a batch step through their lines at once.
 
-A line is dropped if it, or a line near it, came earlier (by document id, then line number): a line near to several
+Lines are told apart by a 128-bit digest of their bytes; the hashes of segments only bring pairs together, which are then
+compared character by character. A line is dropped if it, or a line near it, came earlier (by document id, then line number): a line near to several
 is judged by the first places of all. Blank lines are never dropped, lines under the first band only as exact copies.
 A text that loses no line stays as it was, byte for byte.
 
@@ -51,6 +52,8 @@ _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _VALUES = mix(np.arange(1, 1 << 16, dtype=np.uint64))
 _SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 _STRIP = b" \t\n\x0b\x0c\r"
+#: What tells lines apart: the halves of their digests.
+IDS = ["hash", "hash2"]
 _powers_kept: list[np.ndarray] = []
 
 
@@ -83,6 +86,11 @@ class _Hashes:
         return mix((self.sums[end] - self.sums[start]) * self.inverse[start] + (end - start).astype(np.uint64) * _BASE)
 
 
+def _digests(lines: list[bytes]) -> np.ndarray:
+    """(lines, 2) halves of 128-bit digests."""
+    return np.frombuffer(b"".join([hashlib.blake2b(x, digest_size=16).digest() for x in lines]), np.int64).reshape(-1, 2)
+
+
 def _split(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Lines of texts that lie side by side: first and end byte of each stripped line, and the number of its text."""
     breaks = np.flatnonzero(data == 10)
@@ -141,7 +149,7 @@ def _place():
 
 
 def _line_rows(named: DataFrame) -> DataFrame:
-    """_k, _t, line (number from 0), hash (null for a blank line), size (code points)."""
+    """_k, _t, line (number from 0), hash and hash2 (null for a blank line), size (code points)."""
     kind = named.schema["_k"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -153,10 +161,12 @@ def _line_rows(named: DataFrame) -> DataFrame:
                 leads = _leads(data)
                 number = np.arange(len(owner)) - np.searchsorted(owner, owner)
                 take = lambda name: batch.column(name).slice(a, b - a).take(pa.array(owner))  # noqa: B023, E731
-                hashes = pa.array(_Hashes(data)(begin, stop).view(np.int64), mask=stop == begin)
-                yield pa.RecordBatch.from_arrays([take("_k"), take("_t"), pa.array(number, pa.int32()), hashes, pa.array(leads[stop] - leads[begin], pa.int32())], names=["_k", "_t", "line", "hash", "size"])
+                raw, blank = data.tobytes(), stop == begin
+                halves = _digests([raw[i:j] for i, j in zip(begin.tolist(), stop.tolist())])
+                hashes = [pa.array(halves[:, h], mask=blank) for h in (0, 1)]
+                yield pa.RecordBatch.from_arrays([take("_k"), take("_t"), pa.array(number, pa.int32()), *hashes, pa.array(leads[stop] - leads[begin], pa.int32())], names=["_k", "_t", "line", *IDS, "size"])
 
-    return named.filter("_text IS NOT NULL").mapInArrow(tidy(run), f"_k {kind}, _t long, line int, hash long, size int")
+    return named.filter("_text IS NOT NULL").mapInArrow(tidy(run), f"_k {kind}, _t long, line int, hash long, hash2 long, size int")
 
 
 def allowed(size, bands):
@@ -193,7 +203,7 @@ def _probes(hashes: _Hashes, begin: np.ndarray, stop: np.ndarray, first: np.ndar
 
 
 def _key_rows(named: DataFrame, places: DataFrame, bands) -> DataFrame:
-    """hash, n_own, spots (the keys of the line's n_own segments, in order, then the other keys at which it looks) of the lines at the places (_k, _t, line)."""
+    """hash, hash2, n_own, spots (the keys of the line's n_own segments, in order, then the other keys at which it looks) of the lines at the places (_k, _t, line)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,7 +216,7 @@ def _key_rows(named: DataFrame, places: DataFrame, bands) -> DataFrame:
                     raw += [parts[n].strip(_STRIP) for n in numbers]
                 data = np.frombuffer(b"".join(raw), np.uint8)
                 ends = np.append(0, np.cumsum([len(x) for x in raw])).astype(np.int64)
-                own = _Hashes(data)(ends[:-1], ends[1:])
+                own = _digests(raw)
                 at = _leads(data)[ends]
                 i, j = at[:-1], at[1:]
                 size, hashes = j - i, _Hashes(_points(data))
@@ -217,11 +227,11 @@ def _key_rows(named: DataFrame, places: DataFrame, bands) -> DataFrame:
                 other, end = _length_class(low)
                 across = np.flatnonzero(other < first)
                 keys += [(across[x], more) for x, more in _probes(hashes, i[across], j[across], other[across], end[across], bands, "all")]
-                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(allowed(last, bands) + 1, pa.int32()), _lists(keys, len(raw))], names=["hash", "n_own", "spots"])
+                yield pa.RecordBatch.from_arrays([pa.array(own[:, 0]), pa.array(own[:, 1]), pa.array(allowed(last, bands) + 1, pa.int32()), _lists(keys, len(raw))], names=[*IDS, "n_own", "spots"])
 
     asked = saved(_other(places.groupBy("_k", "_t").agg(F.sort_array(F.collect_list("line")).alias("_lines"))))
     chosen = named.join(sized(asked), _same(named, asked)).select("_text", "_lines")
-    return chosen.mapInArrow(tidy(run), "hash long, n_own int, spots array<long>")
+    return chosen.mapInArrow(tidy(run), "hash long, hash2 long, n_own int, spots array<long>")
 
 
 def _lists(parts: list[tuple[np.ndarray, np.ndarray]], n: int) -> pa.Array:
@@ -325,7 +335,7 @@ def _shares_before(short: str, long: str, segment: int, shape: tuple[int, int, i
 
 
 def _compare(bands):
-    """For mapInArrow over members that are sorted by spot, block, and the indexed ones first: hash, place of the earliest first place of lines near it, n of them met here."""
+    """For mapInArrow over members that are sorted by spot, block, and the indexed ones first: hash, hash2, place of the earliest first place of lines near it, n of them met here."""
 
     def pairs_of(rows: pa.Table, done: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of an indexed row and a later one of its spot and block; rows before ``done`` have met already."""
@@ -351,7 +361,10 @@ def _compare(bands):
             done = 0 if kept is None else kept.num_rows
             rows = rows if kept is None else pa.concat_tables([kept, rows])
             said = strings(rows["said"])
-            sizes, hashes = pc.utf8_length(said).to_numpy(), rows["hash"].to_numpy()
+            sizes, halves = pc.utf8_length(said).to_numpy(), [rows[c].to_numpy() for c in IDS]
+            order = np.lexsort(halves)
+            hashes = np.empty(rows.num_rows, np.int64)  # numbers of the lines, in the order of their digests
+            hashes[order] = np.cumsum(np.append(False, (np.diff(halves[0][order]) != 0) | (np.diff(halves[1][order]) != 0))[: len(order)])
             segment = rows["segment"].fill_null(-1).to_numpy()
             rank = np.empty(rows.num_rows, np.int64)
             rank[pc.sort_indices(rows, [("_k", "ascending"), ("_t", "ascending"), ("line", "ascending")], null_placement="at_end").to_numpy()] = np.arange(rows.num_rows)
@@ -380,8 +393,8 @@ def _compare(bands):
                     np.add.at(n, a, 1)
                 met = np.flatnonzero(n)
                 place = rows.take(pa.array(at_rank[near[met]])).combine_chunks()
-                columns = [pa.array(hashes[met]), *(place[c].combine_chunks() if isinstance(place[c], pa.ChunkedArray) else place[c] for c in ("_k", "_t", "line")), pa.array(n[met])]
-                yield pa.RecordBatch.from_arrays(columns, names=["hash", "_k", "_t", "line", "n"])
+                columns = [*(pa.array(h[met]) for h in halves), *(place[c].combine_chunks() if isinstance(place[c], pa.ChunkedArray) else place[c] for c in ("_k", "_t", "line")), pa.array(n[met])]
+                yield pa.RecordBatch.from_arrays(columns, names=[*IDS, "_k", "_t", "line", "n"])
             # the indexed rows of the last spot and block may meet rows of the next batch
             spot, block = rows["spot"].to_numpy(), rows["block"].to_numpy()
             open_ = np.flatnonzero((spot == spot[-1]) & (block == block[-1]) & (segment >= 0)) if len(spot) else np.zeros(0, np.int64)
@@ -391,44 +404,44 @@ def _compare(bands):
 
 
 def _texts(named: DataFrame, wanted: DataFrame) -> DataFrame:
-    """hash, said (the stripped line) and place of lines; wanted: hash, _k, _t, line."""
-    asked = saved(_other(wanted.groupBy("_k", "_t").agg(F.collect_list(F.struct("line", "hash")).alias("_lines"))))
+    """hash, hash2, said (the stripped line) and place of lines; wanted: hash, hash2, _k, _t, line."""
+    asked = saved(_other(wanted.groupBy("_k", "_t").agg(F.collect_list(F.struct("line", *IDS)).alias("_lines"))))
     texts = named.join(sized(asked), _same(named, asked)).select("_k", "_t", F.split("_text", "\n", -1).alias("_all"), F.explode("_lines").alias("_one"))
     said = F.btrim(F.get("_all", F.col("_one.line")), F.lit(" \t\n\x0b\x0c\r"))
-    return texts.select(F.col("_one.hash").alias("hash"), said.alias("said"), "_k", "_t", F.col("_one.line").alias("line")).dropDuplicates(["hash"])
+    return texts.select(*[F.col("_one").getField(c).alias(c) for c in IDS], said.alias("said"), "_k", "_t", F.col("_one.line").alias("line")).dropDuplicates(IDS)
 
 
 def near_lines(named: DataFrame, firsts: DataFrame, bands) -> DataFrame:
-    """hash, near_first (the earliest first place of lines near it), n_links (how many other lines are near it)."""
-    places = firsts.filter(F.col("size") >= bands[0][0]).select("hash", F.col("first.k").alias("_k"), F.col("first.t").alias("_t"), F.col("first.line").alias("line"))
+    """hash, hash2, near_first (the earliest first place of lines near it), n_links (how many other lines are near it)."""
+    places = firsts.filter(F.col("size") >= bands[0][0]).select(*IDS, F.col("first.k").alias("_k"), F.col("first.t").alias("_t"), F.col("first.line").alias("line"))
     # keys are many times the lines: they are made twice instead of stored, and the first time go out as bare counts (indexed ones in the upper half)
-    rows = _key_rows(named, places, bands).select("hash", "n_own", F.posexplode("spots").alias("at", "spot"))
+    rows = _key_rows(named, places, bands).select(*IDS, "n_own", F.posexplode("spots").alias("at", "spot"))
     met = rows.groupBy("spot").agg(F.sum(F.when(F.col("at") < F.col("n_own"), (1 << 32) + 1).otherwise(1)).alias("c")).select("spot", F.shiftright("c", 32).alias("n_own"), F.col("c").bitwiseAND((1 << 32) - 1).alias("n"))
     met = sized(saved(met.filter("n > 1 AND n_own > 0").select("spot", F.ceil(F.col("n_own") / BLOCK).cast("int").alias("blocks"))))
-    members = rows.join(met, "spot").groupBy("spot", "hash").agg(F.min(F.when(F.col("at") < F.col("n_own"), F.col("at"))).alias("segment"), F.first("blocks").alias("blocks"))
+    members = rows.join(met, "spot").groupBy("spot", *IDS).agg(F.min(F.when(F.col("at") < F.col("n_own"), F.col("at"))).alias("segment"), F.first("blocks").alias("blocks"))
     members = saved(members)
-    said = saved(_texts(named, places.join(sized(saved(members.select("hash").distinct())), "hash", "left_semi")))
+    said = saved(_texts(named, places.join(sized(saved(members.select(*IDS).distinct())), IDS, "left_semi")))
     home = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("segment", F.when(F.col("block") == home, F.col("segment")))
-    dealt = dealt.join(said, "hash").select("spot", "block", "segment", "hash", "said", "_k", "_t", "line")
+    dealt = dealt.join(said, IDS).select("spot", "block", "segment", *IDS, "said", "_k", "_t", "line")
     dealt = dealt.repartition("spot", "block").sortWithinPartitions("spot", "block", F.col("segment").asc_nulls_last())
     kind = named.schema["_k"].dataType.simpleString()
-    ways = saved(dealt.mapInArrow(_compare(bands), f"hash long, _k {kind}, _t long, line int, n long"))
-    return ways.groupBy("hash").agg(F.min(_place()).alias("near_first"), F.sum("n").alias("n_links"))
+    ways = saved(dealt.mapInArrow(_compare(bands), f"hash long, hash2 long, _k {kind}, _t long, line int, n long"))
+    return ways.groupBy(*IDS).agg(F.min(_place()).alias("near_first"), F.sum("n").alias("n_links"))
 
 
 def _decided(named: DataFrame, bands) -> DataFrame:
     """One row per document with lines: _k, _t, n_lines, n_exact and n_near (dropped as copies and as near lines), n_links, dropped (line numbers), firsts (by line: the key of the document with the earliest line that is equal or near, its own if it stays)."""
     rows = saved(_line_rows(named))
     solid = rows.filter(F.col("hash").isNotNull())
-    counted = saved(solid.groupBy("hash").agg(F.min(_place()).alias("first"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
+    counted = saved(solid.groupBy(*IDS).agg(F.min(_place()).alias("first"), F.first("size").alias("size"), F.count(F.lit(1)).alias("n")))
     # lines that come once and have no near ones, most of all, are judged by that alone
-    judged = counted.join(sized(saved(near_lines(named, counted, bands))), "hash", "left").filter("n > 1 OR near_first IS NOT NULL")
-    judged = saved(judged.select("hash", "n", "first", F.when(F.col("near_first") < F.col("first"), F.col("near_first")).alias("near_first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
+    judged = counted.join(sized(saved(near_lines(named, counted, bands))), IDS, "left").filter("n > 1 OR near_first IS NOT NULL")
+    judged = saved(judged.select(*IDS, "n", "first", F.when(F.col("near_first") < F.col("first"), F.col("near_first")).alias("near_first"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links")))
     # lines that are everywhere would crowd one task of a join by hash; there are few of them, and they go to the rows
     hot, others = sized(judged.filter(F.col("n") > HOT)), sized(judged.filter(F.col("n") <= HOT))
-    placed = rows.select("_k", "_t", "line", "hash")
-    each = placed.join(hot, "hash").unionByName(placed.join(hot.select("hash"), "hash", "left_anti").join(others, "hash", "left"))
+    placed = rows.select("_k", "_t", "line", *IDS)
+    each = placed.join(hot, IDS).unionByName(placed.join(hot.select(*IDS), IDS, "left_anti").join(others, IDS, "left"))
     exact = F.col("first").isNotNull() & (_place() != F.col("first"))
     gone = exact | F.col("near_first").isNotNull()
     near_only = ~exact & F.col("near_first").isNotNull()
