@@ -117,8 +117,18 @@ def build_filters(snapshot: DataFrame, buckets: int) -> DataFrame:
     return with_bucket(snapshot.select("digest"), buckets).groupBy("bucket").applyInPandas(build, "bucket int, seed int, length int, count int, fingerprints binary")
 
 
+def parts_of_bucket(incoming: int, buckets: int) -> int:
+    """Parts in which each bucket's incoming digests are dealt, so that a part has about as many as a filter holds."""
+    return max(1, -(-incoming // (buckets * KEYS_PER_FILTER)))
+
+
 def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
-    """The incoming (distinct) digests that the snapshot's filters don't rule out."""
+    """The incoming (distinct) digests that the snapshot's filters don't rule out.
+
+    Where they are more than the snapshot's buckets hold, a bucket is dealt in as many parts as its share of them asks
+    for, and each part gets a copy of the bucket's filter, so no task reads many times what a filter holds.
+    """
+    salts = parts_of_bucket(incoming.count(), buckets)
 
     def probe(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if right.empty or left.empty:
@@ -126,8 +136,9 @@ def screen(incoming: DataFrame, filters: DataFrame, buckets: int) -> DataFrame:
         row = right.iloc[0]
         return left[may_contain(_keys(left["digest"]), int(row["seed"]), int(row["length"]), int(row["count"]), row["fingerprints"])]
 
-    own = with_bucket(incoming, buckets)
-    return own.groupBy("bucket").cogroup(filters.groupBy("bucket")).applyInPandas(probe, own.schema)
+    own = with_bucket(incoming, buckets).withColumn("salt", F.pmod(F.xxhash64(F.substring("digest", 9, 8)), F.lit(salts)).cast("int"))
+    copies = filters.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return own.groupBy("bucket", "salt").cogroup(copies.groupBy("bucket", "salt")).applyInPandas(probe, own.schema).drop("salt")
 
 
 def _best() -> Column:

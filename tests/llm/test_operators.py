@@ -308,6 +308,19 @@ def test_op3_bands(spark, monkeypatch, block):
     assert got == want and sum(x[0] for x in want.values()) > 100
 
 
+def test_a_large_batch_against_a_tiny_or_empty_snapshot(spark, monkeypatch):
+    monkeypatch.setattr(exact, "KEYS_PER_FILTER", 500)
+    for n in (0, 10):
+        old = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+        new = spark.range(5, 20_005).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+        snapshot = exact.build_snapshot(old)
+        assert snapshot.buckets == 1 and exact.parts_of_bucket(20_000, 1) == 40
+        screened = exact.screen(exact.digests(new, "doc_id", "text").select("digest"), snapshot.filters, snapshot.buckets)
+        assert max(n - 5, 0) <= screened.count() <= (400 if n else 0)
+        out = exact.ingest_batch(new, snapshot)
+        assert out.count() == 20_000 and out.filter("met").count() == max(n - 5, 0) and out.filter("kept").count() == 20_000 - max(n - 5, 0)
+
+
 def test_lines_of_swapped_characters_stay(spark):
     texts = [w + tail for n in (1024, 2048, 4096) for w in hostile(n) for tail in ("", "\nthe same line", "x")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
