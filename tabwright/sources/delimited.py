@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -17,13 +20,17 @@ CP1252 = "€ ‚ƒ„…†‡ˆ‰Š‹Œ Ž  ‘’“”•–—˜™š›
 SAMPLE_LINES = 50
 MOST_PROFILES = 10_000
 ROW, FILE, RECORD = "_row", "_file", "_record"
-#: A text that no file holds, so that no cell is taken for null.
-NO_NULL = "\x00\x01null\x01\x00"
+#: Texts that no file holds: the first, so that no cell is taken for null; the second ends a record whose fields are counted.
+NO_NULL, END = "\x00\x01null\x01\x00", "\ue0f1end\ue0f2"
+#: Byte order marks and the encodings that they name.
+MARKS = {b"\xef\xbb\xbf": "utf-8", b"\xff\xfe": "utf-16le", b"\xfe\xff": "utf-16be"}
+#: Fields of a record that are counted at first; wider records are counted again with more.
+FIELDS = 32
 
 
 @dataclass(frozen=True)
 class Dialect:
-    """quote: None for no quoting. escape: '\"' for doubled quotes. header_rows: how many first records make up the header (0: none)."""
+    """quote: None for no quoting. escape: '\"' for doubled quotes. header_rows: how many first records make up the header (0: none). marks: whether a file's byte order mark overrules the encoding."""
 
     delimiter: str = ","
     quote: str | None = '"'
@@ -35,6 +42,7 @@ class Dialect:
     skip_first: int = 0
     skip_last: int = 0
     multi_line: bool = False
+    marks: bool = True
 
 
 def csv_options(d: Dialect) -> dict[str, str]:
@@ -56,67 +64,134 @@ def _decoded(c: Column, d: Dialect) -> Column:
     return F.translate(c, "".join(a for a, _ in used), "".join(b for _, b in used))
 
 
+def first_bytes(spark: SparkSession, paths: str | list[str], n: int = 3) -> DataFrame:
+    """_file, head: the first ``n`` bytes of each file that isn't empty, decompressed. A task for each file opens it as a stream of single bytes and leaves after ``n`` of them, so files of any size are barely read."""
+
+    def head(records: Iterable) -> Iterator[tuple[bytes]]:
+        yield (b"".join(bytes(value) for _, value in islice(records, n)),)
+
+    places = [paths] if isinstance(paths, str) else list(paths)
+    options = {
+        "mapreduce.input.fileinputformat.inputdir": ",".join(p.replace("\\", "\\\\").replace(",", "\\,") for p in places),
+        "mapreduce.input.fileinputformat.input.dir.recursive": "true",
+        "mapreduce.input.fileinputformat.split.minsize": str(1 << 62),
+        "fixedlengthinputformat.record.length": "1",
+    }
+    hadoop = "org.apache.hadoop."
+    rows = spark.sparkContext.newAPIHadoopRDD(f"{hadoop}mapreduce.lib.input.FixedLengthInputFormat", f"{hadoop}io.LongWritable", f"{hadoop}io.BytesWritable", conf=options, batchSize=n)
+    return spark.createDataFrame(rows.mapPartitions(head), "head binary").select(F.input_file_name().alias(FILE), "head")
+
+
+def byte_order_marks(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """_file, mark: the encoding that each file's byte order mark names, null without one. Empty files are left out."""
+    mark = reduce(lambda rest, m: F.when(F.startswith("head", F.lit(m)), MARKS[m]).otherwise(rest), reversed(MARKS), F.lit(None).cast("string"))
+    return first_bytes(spark, paths, max(map(len, MARKS))).select(FILE, mark.alias("mark"))
+
+
+class Files(list):
+    """(paths, dialect) of files that are read in the same way."""
+
+
+def in_encodings(spark: SparkSession, paths: str | list[str] | Files, d: Dialect) -> Files:
+    """The files by encoding: that of a file's byte order mark, if it has one, else the dialect's. Only where a folder mixes encodings are its files named one by one."""
+    if isinstance(paths, Files):
+        return paths
+    if not d.marks:
+        return Files([(paths, d)])
+    # a mark of the dialect's own encoding is left out by the reader
+    own = d.encoding.lower().replace("_", "-")
+    mark = F.when(F.col("mark") != own, F.col("mark"))
+    found = byte_order_marks(spark, paths).select(FILE, mark.alias("mark"))
+    kinds = [r["mark"] for r in found.select("mark").distinct().collect()]
+    if not any(kinds):
+        return Files([(paths, d)])
+    if len(kinds) == 1:
+        return Files([(paths, replace(d, encoding=kinds[0]))])
+    by: dict[str | None, list[str]] = {}
+    for r in found.collect():
+        by.setdefault(r["mark"], []).append(r[FILE])
+    return Files([(sorted(by[k]), replace(d, encoding=k) if k else d) for k in sorted(by, key=str)])
+
+
 def with_bom(spark: SparkSession, paths: str | list[str], d: Dialect) -> Dialect:
-    """The dialect with the encoding that the files' byte order mark names, if they have one; files of several encodings are refused. Only the first bytes of each file count."""
-    head = F.substring("content", 1, 3)
-    bom = F.when(F.startswith(head, F.lit(b"\xef\xbb\xbf")), "utf-8").when(F.startswith(head, F.lit(b"\xff\xfe")), "utf-16le").when(F.startswith(head, F.lit(b"\xfe\xff")), "utf-16be")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths).select(bom.alias("e")).distinct().limit(4).collect()
-    named = {r["e"] for r in found if r["e"]}
-    if len(named) > 1 or (named - {"utf-8"} and any(r["e"] is None for r in found)):
+    """The dialect with the encoding that the files' byte order mark names, if they have one; files of several encodings are refused."""
+    files = in_encodings(spark, paths, d)
+    if len(files) > 1:
         raise ValueError("the files have byte order marks of several encodings")
-    return replace(d, encoding=named.pop()) if named else d
+    return files[0][1]
+
+
+def _united(parts: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, parts)
 
 
-def raw_records(spark: SparkSession, paths: str | list[str], dialect: Dialect, width: int) -> DataFrame:
+def raw_records(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect, width: int) -> DataFrame:
     """c0.. (null where a record is short), _file, and _row: an order key that follows the files' own order."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    read = spark.read.options(**csv_options(dialect)).schema(schema).csv(paths)
     row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
-    return read.select(*[_decoded(F.col(f"c{i}"), dialect).alias(f"c{i}") for i in range(width)], F.col("_metadata.file_path").alias(FILE), row.alias(ROW))
 
+    def one(where, d: Dialect) -> DataFrame:
+        read = spark.read.options(**csv_options(d)).schema(schema).csv(where)
+        return read.select(*[_decoded(F.col(f"c{i}"), d).alias(f"c{i}") for i in range(width)], F.col("_metadata.file_path").alias(FILE), row.alias(ROW))
 
-def _texts_of_records(spark: SparkSession, paths: str | list[str], d: Dialect) -> DataFrame:
-    """value (the record as it stands, null for one of a single field), _file, _at (an order key). Records are the reader's own: a quoted line end is none of theirs, empty lines and comments are left out."""
+    return _united([one(*x) for x in in_encodings(spark, paths, dialect)])
+
+
+def _texts_of_records(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect) -> DataFrame:
+    """c0, value (the record as it stands, null for one of a single field), _file, _at (an order key). Records are the reader's own: a quoted line end is none of theirs, empty lines and comments are left out."""
     schema = T.StructType([T.StructField("c0", T.StringType()), T.StructField("_whole", T.StringType())])
-    # a record wider than the schema is kept whole in the column for corrupt records
-    read = spark.read.options(**csv_options(d)).option("columnNameOfCorruptRecord", "_whole").option("enforceSchema", "true").schema(schema).csv(paths)
     at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
-    return read.select("c0", _decoded(F.col("_whole"), d).alias("value"), F.col("_metadata.file_path").alias(FILE), at.alias("_at"))
-
 
-def _record_widths(spark: SparkSession, paths: str | list[str], d: Dialect) -> DataFrame:
-    """_file, _at, fields of every record."""
-    # the reader gives the column of whole records only beside another, which is why c0 is asked
-    fields = F.coalesce(_fields(F.col("value"), d), F.when(F.col("c0") == NO_NULL, F.lit(0)), F.lit(1))
-    return _texts_of_records(spark, paths, d).select(FILE, "_at", fields.alias("fields"))
+    def one(where, d: Dialect) -> DataFrame:
+        # a record wider than the schema is kept whole in the column for corrupt records
+        read = spark.read.options(**csv_options(d)).option("columnNameOfCorruptRecord", "_whole").option("enforceSchema", "true").schema(schema).csv(where)
+        return read.select("c0", _decoded(F.col("_whole"), d).alias("value"), F.col("_metadata.file_path").alias(FILE), at.alias("_at"))
 
+    return _united([one(*x) for x in in_encodings(spark, paths, dialect)])
 
-def field_counts(spark: SparkSession, paths: str | list[str], dialect: Dialect) -> DataFrame:
-    """fields, records: how many records have how many fields. Quoted delimiters and line ends don't count."""
-    return _record_widths(spark, paths, dialect).groupBy("fields").agg(F.count(F.lit(1)).alias("records"))
 
+def _record_widths(spark: SparkSession, paths: str | list[str] | Files, d: Dialect, most: int) -> DataFrame:
+    """_file, _at, fields of every record (null: more than ``most``).
 
-def _fields(line: Column, d: Dialect) -> Column:
-    bare = F.regexp_replace(line, f"{_q(d.quote)}[^{_q(d.quote)}]*{_q(d.quote)}", "") if d.quote else line
-    return F.char_length(bare) - F.char_length(F.replace(bare, F.lit(d.delimiter), F.lit(""))) + 1
+    The reader itself counts: a last cell of a text that no file holds is put behind each record, and where it comes out
+    when the record is read on its own tells the fields before it, empty ones too. Behind a quote that isn't closed it
+    becomes the end of the last cell.
+    """
+    ended = F.concat(F.regexp_replace("value", "[\r\n]+$", ""), F.lit(d.delimiter + END))
+    options = {k: v for k, v in csv_options(d).items() if k not in ("encoding", "header", "multiLine")}
+    # as JSON, which leaves out nulls, the last cell that there is comes last; as single fields they would be parsed one by one
+    cells = F.to_json(F.from_csv(ended, ", ".join(f"c{i} string" for i in range(most + 1)), options))
+    place = F.regexp_extract(cells, '(?s)^.*[{,]"c(\\d+)":".*' + END + '"\\}$', 1)
+    fields = F.when(place == "", None).otherwise(place.cast("int") + F.when(F.endswith(cells, F.lit(f':"{END}"}}')), 0).otherwise(1))
+    # the reader gives the column of whole records only beside another, which is why c0 is asked
+    return _texts_of_records(spark, paths, d).select(FILE, "_at", F.when(F.col("value").isNull(), F.least(F.lit(1), F.length(F.coalesce("c0", F.lit(""))) + 1)).otherwise(fields).alias("fields"))
 
 
-def _q(c: str) -> str:
-    return f"\\x{{{ord(c):x}}}"
+def field_counts(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect) -> DataFrame:
+    """fields, records: how many records have how many fields. Quoted delimiters and line ends don't count; quotes inside plain cells are characters like others."""
+    files = in_encodings(spark, paths, dialect)
+    return _record_widths(spark, files, dialect, widest(spark, files, dialect)).groupBy("fields").agg(F.count(F.lit(1)).alias("records"))
 
 
-def widest(spark: SparkSession, paths: str | list[str], dialect: Dialect) -> int:
-    return field_counts(spark, paths, dialect).agg(F.max("fields")).first()[0] or 1
+def widest(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect) -> int:
+    """The most fields of a record; one pass unless records are wider than FIELDS."""
+    files, most = in_encodings(spark, paths, dialect), FIELDS
+    while True:
+        found = _record_widths(spark, files, dialect, most).agg(F.max("fields").alias("most"), F.max(F.col("fields").isNull()).alias("wider")).first()
+        if not found["wider"]:
+            return found["most"] or 1
+        most *= 4
 
 
-def read_delimited(spark: SparkSession, paths: str | list[str], dialect: Dialect = Dialect(), width: int | None = None, keep_row: bool = False, record_numbers: bool = False) -> DataFrame:
+def read_delimited(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect = Dialect(), width: int | None = None, keep_row: bool = False, record_numbers: bool = False) -> DataFrame:
     """All cells as text; short records are padded with empty cells, up to the widest record. Fully empty lines don't count.
 
     Headers come from the first file's header rows (joined, blanks skipped, made unique); without any they are
     ``Column 1..n``. ``keep_row`` keeps _file and _row; ``record_numbers`` adds
-    _record, the number of each record in its file (from 1, counted before any are skipped). Only header rows reach the
-    driver.
+    _record, the number of each record in its file (from 1, counted before any are skipped). A file's byte order mark
+    overrules the dialect's encoding, file by file. Only header rows reach the driver.
     """
+    paths = in_encodings(spark, paths, dialect)
     width = width or widest(spark, paths, dialect)
     rows = raw_records(spark, paths, dialect, width)
     if record_numbers:
@@ -164,6 +239,7 @@ def header_names(records: list[list[str | None]], joiner: str = " ") -> list[str
 
 def has_header(spark: SparkSession, paths: str | list[str], dialect: Dialect = Dialect()) -> DataFrame:
     """_file, header: whether no cell of the file's first record that isn't blank is a number."""
+    paths = in_encodings(spark, paths, dialect)
     width = widest(spark, paths, dialect)
     rows = raw_records(spark, paths, dialect, width)
     cells = F.array(*[F.col(f"c{i}") for i in range(width)])
@@ -179,7 +255,8 @@ def ragged_report(spark: SparkSession, paths: str | list[str], dialect: Dialect
 
 def ragged_sample(spark: SparkSession, paths: str | list[str], dialect: Dialect = Dialect(), n: int = 100) -> DataFrame:
     """_file, record (its number in the file, from 1), fields, expected: the first ``n`` records that have another number of fields than most."""
-    widths = persisted(_record_widths(spark, paths, dialect))
+    files = in_encodings(spark, paths, dialect)
+    widths = persisted(_record_widths(spark, files, dialect, widest(spark, files, dialect)))
     expected = widths.groupBy("fields").agg(F.count(F.lit(1)).alias("c")).agg(F.max_by("fields", F.struct("c", "fields"))).first()[0]
     odd = with_position(widths, ["_at"], "_pos")
     starts = odd.groupBy(FILE).agg(F.min("_pos").alias("_from"))
@@ -215,6 +292,7 @@ def damaged_cells(df: DataFrame) -> DataFrame:
 
 def file_issues(spark: SparkSession, paths: str | list[str], dialect: Dialect = Dialect()) -> DataFrame:
     """issue, column, count, detail, as ``diagnose`` gives them, of what only files have: raggedRows (detail: the expected number of fields) and, by column, decodeErrors."""
+    paths = in_encodings(spark, paths, dialect)
     ragged = ragged_report(spark, paths, dialect).select(F.lit("raggedRows").alias("issue"), F.lit("").alias("column"), F.col("ragged").alias("count"), F.col("expected").cast("string").alias("detail"))
     damaged = damaged_cells(read_delimited(spark, paths, dialect)).select(F.lit("decodeErrors").alias("issue"), "column", F.col("damaged").alias("count"), F.lit("").alias("detail"))
     return ragged.unionByName(damaged).filter("count > 0")
@@ -235,12 +313,43 @@ def changed_files(before: DataFrame, now: DataFrame) -> DataFrame:
     return b.join(n, "path", "full").select("path", F.when(F.col("_b").isNull(), "added").when(F.col("_n").isNull(), "removed").when(F.col("_b") == F.col("_n"), "same").otherwise("changed").alias("status"))
 
 
-def reading_differences(spark: SparkSession, paths: str | list[str], a: Dialect, b: Dialect) -> DataFrame:
-    """what, a, b: where two ways to read the same files differ (delimiter, encoding, header, columns, rows)."""
+def line_ends(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """_file, crlf, lf, cr: how many line ends of each kind every file has, by one pass over its bytes that splits files as usual.
+
+    Lines are cut at LF alone; whether a file's last line ends with one is told by the file's size. In UTF-16 LF is that
+    byte too, and CR the byte before and a zero. Compressed files count as ending with one.
+    """
+    read = spark.read.option("lineSep", "\n").text(paths)
+    raw = F.col("value").cast("binary")
+    size = F.octet_length("value")
+    wide = (F.substring(raw, -2, 2) == F.lit(b"\r\x00")) | (F.substring(raw, -3, 3) == F.lit(b"\x00\r\x00"))
+    rows = read.select(
+        F.col("_metadata.file_path").alias(FILE),
+        F.col("_metadata.file_size").alias("all"),
+        F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"),
+        size.alias("size"),
+        ((F.substring(raw, -1, 1) == F.lit(b"\r")) | wide).alias("after"),
+        (size - F.octet_length(F.replace("value", F.lit("\r"), F.lit("")))).alias("crs"),
+    )
+    each = rows.groupBy(FILE).agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("bytes"), F.max("all").alias("all"), F.count(F.when(F.col("after"), 1)).alias("after"), F.sum("crs").alias("crs"), F.max_by("after", "at").alias("last"))
+    # the reader leaves out a mark of three bytes
+    packed = F.rlike(FILE, F.lit("[.](gz|bz2|zst|lz4|snappy|deflate)$"))
+    open_ = ~packed & ~(F.col("all") - F.col("bytes") - F.col("n")).isin(0, 3)
+    lone = (open_ & F.col("last")).cast("long")
+    crlf = F.col("after") - lone
+    return each.select(FILE, crlf.alias("crlf"), (F.col("n") - open_.cast("long") - crlf).alias("lf"), (F.col("crs") - crlf).alias("cr"))
+
+
+def reading_differences(spark: SparkSession, paths: str | list[str], a: Dialect, b: Dialect, paths_b: str | list[str] | None = None) -> DataFrame:
+    """what, a, b: where two ways to read files differ (delimiter, encoding, bom, lineEnd, header, columns, rows). The same files, or with ``paths_b`` what has become of them."""
     seen = []
-    for d in (a, b):
-        df = read_delimited(spark, paths, d)
-        seen.append({"delimiter": d.delimiter, "encoding": d.encoding, "header": "\x1f".join(df.columns), "columns": str(len(df.columns)), "rows": str(df.count())})
+    for where, d in ((paths, a), (paths if paths_b is None else paths_b, b)):
+        files = in_encodings(spark, where, d)
+        df = read_delimited(spark, files, d)
+        bom = d.marks and bool(byte_order_marks(spark, where).filter("mark IS NOT NULL").limit(1).count())
+        crlf = bool(line_ends(spark, where).filter("crlf > 0").limit(1).count())
+        encodings = ",".join(sorted({x.encoding.lower() for _, x in files}))
+        seen.append({"delimiter": d.delimiter, "encoding": encodings, "bom": str(bom).lower(), "lineEnd": "crlf" if crlf else "lf", "header": "\x1f".join(df.columns), "columns": str(len(df.columns)), "rows": str(df.count())})
     rows = [(k, seen[0][k], seen[1][k]) for k in seen[0] if seen[0][k] != seen[1][k]]
     return spark.createDataFrame(rows, "what string, a string, b string")
 

@@ -183,3 +183,70 @@ def test_follow(spark, tmp_path):
     assert [r["id"] for r in follow.new_rows(spark, where[0], 0).collect()] == ["3"]
     alerts = spark.read.json(where[3]).collect()
     assert [(r["alert"], r["records"]) for r in alerts] == [("widthChanged", 1)]
+
+
+def counted(spark, path, **options):
+    d = Dialect(header_rows=0, **options)
+    return {r["fields"]: r["records"] for r in src.field_counts(spark, path, d).collect()}, [tuple(r) for r in src.read_delimited(spark, path, d).collect()]
+
+
+def test_fields_are_counted_as_the_reader_reads(spark, tmp_path):
+    p = put(tmp_path / "inches.csv", '5" pipe,a,6" hose\n')
+    assert counted(spark, p) == ({3: 1}, [('5" pipe', "a", '6" hose')])
+    p = put(tmp_path / "slash.csv", '1,"x\\"y,z",3\n')
+    assert counted(spark, p, escape="\\") == ({3: 1}, [("1", 'x"y,z', "3")])
+    p = put(tmp_path / "empty.csv", 'a,b,,\n\n"x,y"\n1,"x ""q"", y",z,\nsolo\n""\n,\n')
+    assert counted(spark, p)[0] == {4: 2, 1: 3, 2: 1}
+    p = put(tmp_path / "open.csv", 'a,"not closed,b\nc,d\n')
+    assert counted(spark, p) == ({2: 2}, [("a", "not closed,b"), ("c", "d")])
+    p = put(tmp_path / "lines.csv", '# c\na,"l1\nl2,x",b\n\n\n# d\n1,2\n"p\n"\n')
+    assert counted(spark, p, multi_line=True, comment="#") == ({3: 1, 2: 1, 1: 1}, [("a", "l1\nl2,x", "b"), ("1", "2", ""), ("p\n", "", "")])
+    p = put(tmp_path / "wide.csv", ",".join("x" * 300) + "\n1,2\n")
+    assert counted(spark, p)[0] == {300: 1, 2: 1}
+    p = put(tmp_path / "none.csv", "")
+    assert counted(spark, p) == ({}, [])
+
+
+def test_field_counts_equal_a_plain_reader(spark, tmp_path):
+    import csv
+    import io
+    import random
+
+    rng = random.Random(5)
+    cells = ["", "", "a", "b c", '5" x', '"x,y"', '"q ""z"", "', '""', "é", "1"]
+    records = [",".join(rng.choice(cells) for _ in range(rng.randrange(1, 9))) for _ in range(400)]
+    p = put(tmp_path / "random.csv", "\n".join(records) + "\n")
+    want = {}
+    for r in csv.reader(io.StringIO("\n".join(records))):
+        if r:
+            want[len(r)] = want.get(len(r), 0) + 1
+    assert counted(spark, p)[0] == want and len(want) > 4
+
+
+def test_marks_overrule_the_encoding(spark, tmp_path):
+    folder = tmp_path / "m, n"
+    folder.mkdir()
+    for i, (kind, mark) in enumerate((("utf-16-le", b"\xff\xfe"), ("utf-16-be", b"\xfe\xff"), ("utf-8", b"\xef\xbb\xbf"), ("utf-8", b""))):
+        (folder / f"{i} x.csv").write_bytes(mark + f"a,b\n{i},é漢\n".encode(kind))
+    (folder / "empty.csv").write_bytes(b"")
+    marks = {r["_file"].rpartition("/")[2]: r["mark"] for r in src.byte_order_marks(spark, str(folder)).collect()}
+    assert marks == {"0 x.csv": "utf-16le", "1 x.csv": "utf-16be", "2 x.csv": "utf-8", "3 x.csv": None}
+    got = src.read_delimited(spark, str(folder), keep_row=True)
+    assert got.columns[:2] == ["a", "b"] and [tuple(r)[:2] for r in got.orderBy("_row").collect()] == [(str(i), "é漢") for i in range(4)]
+    with pytest.raises(ValueError):
+        src.with_bom(spark, str(folder), Dialect())
+    assert src.with_bom(spark, str(folder / "0 x.csv"), Dialect()).encoding == "utf-16le"
+    assert src.read_delimited(spark, str(folder / "2 x.csv"), Dialect(encoding="windows-1252")).collect()[0][1] == "é漢"
+    assert src.read_delimited(spark, str(folder / "3 x.csv"), Dialect(encoding="windows-1252", marks=False)).collect()[0][1] == "Ã©æ¼¢"
+
+
+def test_line_ends(spark, tmp_path):
+    texts = {"a": b"a,b\r\n4,x\ry\n1,2\r", "b": b"a\r\n", "c": b"a\nb", "d": b"\xef\xbb\xbfa\r\nb\r\n", "e": b"\xef\xbb\xbfa\r\nb", "f": "a\r\nb\n".encode("utf-16-le"), "g": "\ufeffa\r\nb\r\n".encode("utf-16-be")}
+    for name, data in texts.items():
+        (tmp_path / name).write_bytes(data)
+    got = {r["_file"].rpartition("/")[2]: (r["crlf"], r["lf"], r["cr"]) for r in src.line_ends(spark, str(tmp_path)).collect()}
+    assert got == {"a": (1, 1, 2), "b": (1, 0, 0), "c": (0, 1, 0), "d": (2, 0, 0), "e": (1, 0, 0), "f": (1, 1, 0), "g": (2, 0, 0)}
+    (tmp_path / "only").mkdir()
+    (tmp_path / "only" / "x").write_bytes(b"a,b\n1,2\n")
+    differing = {r["what"]: (r["a"], r["b"]) for r in src.reading_differences(spark, str(tmp_path / "only"), Dialect(), Dialect(), str(tmp_path / "d")).collect()}
+    assert differing["bom"] == ("false", "true") and differing["lineEnd"] == ("lf", "crlf")
