@@ -1217,3 +1217,32 @@ def headers_and_none(spark, d):
     customers.select(F.concat_ws(",", *customers.columns)).repartition(3).write.text(f"{top}/without")
     found = delimited.has_header(spark, [f"{top}/with", f"{top}/without"])
     return found.groupBy(F.regexp_extract("_file", "/(with|without)/", 1).alias("kind")).agg(F.every("header").alias("header"))
+
+
+@query("SELECT 'rewritten' AS alert, count(*) AS files FROM nation WHERE n_nationkey % 5 = 1 UNION ALL SELECT 'missing', count(*) FROM nation WHERE n_nationkey % 5 IN (2, 3)")
+def follow_file_alerts(spark, d):
+    """Customers in a file for each nation; between two triggers some files are rewritten and some go, and the stream tells which."""
+    rows = read(spark, d, "customer").join(read(spark, d, "nation").select("n_nationkey"), F.col("n_nationkey") == F.col("c_nationkey"), "right")
+    top = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows.select("n_nationkey", F.coalesce("c_name", F.lit("none")).alias("value")).repartition("n_nationkey").write.partitionBy("n_nationkey").text(f"{top}/made")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(top).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place = lambda k: hadoop.Path(f"{top}/in/{k}.txt")
+    store.mkdirs(hadoop.Path(f"{top}/in"))
+    for k in range(25):
+        store.rename(store.globStatus(hadoop.Path(f"{top}/made/n_nationkey={k}/part-*"))[0].getPath(), place(k))
+
+    def trigger():
+        follow.note_listing(spark, f"{top}/in", f"{top}/listings")
+        follow.start_alerts(follow.file_alerts(spark, f"{top}/listings"), f"{top}/alerts", f"{top}/state", available_now=True).awaitTermination()
+
+    trigger()
+    for k in range(25):
+        if k % 5 in (2, 3):
+            store.delete(place(k), False)
+        elif k % 5 == 1:
+            again = store.create(place(k), True)
+            again.write(65)
+            again.close()
+    trigger()
+    return spark.read.schema(follow.ALERT).parquet(f"{top}/alerts").groupBy("alert").agg(F.count(F.lit(1)).alias("files"))

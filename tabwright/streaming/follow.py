@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import datetime
+import uuid
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tabwright.operators.filters import Condition, Group, compile_filter
-from tabwright.sources.delimited import Dialect, csv_options, changed_files
+from tabwright.sources.delimited import Dialect, changed_files, csv_options, file_listing
 
 CORRUPT, BATCH = "_corrupt", "_batch_id"
 
@@ -71,3 +75,75 @@ def changed_files_alerts(before: DataFrame, now: DataFrame) -> DataFrame:
     """path, alert: files that were rewritten (rotated, truncated) or are missing between two listings; a stream never reads those again."""
     found = changed_files(before, now)
     return found.filter(F.col("status").isin("removed", "changed")).select("path", F.when(F.col("status") == "removed", "missing").otherwise("rewritten").alias("alert"))
+
+
+# --- rewritten and missing files, inside the stream ------------------------------------------------------------------
+
+SNAPSHOT = "path string, length long, modified timestamp, listed timestamp"
+#: Listings are at least so far apart; nearer ones count as one.
+GAP = "100 milliseconds"
+ALERT = "file string, alert string, listed timestamp, length_before long, length_now long"
+_STATE = "length long, modified double, listed double"
+
+
+def note_listing(spark: SparkSession, folder: str, listings: str, number: int | None = None) -> None:
+    """Adds what files a folder has now to the snapshots in ``listings``; a snapshot appears there as a whole, by one rename. ``number`` names it, so that a repeated one replaces itself.
+
+    A row without a path tells that a listing was made even where no file is left. Only names, sizes and times are read;
+    files without a byte are not listed, so one that is emptied counts as missing.
+    """
+    now = F.lit(datetime.datetime.now(datetime.timezone.utc))
+    files = file_listing(spark, folder).select("path", "length", F.col("modificationTime").alias("modified"), now.alias("listed"))
+    mark = spark.range(1).select(F.lit("").alias("path"), F.lit(0).cast("long").alias("length"), now.alias("modified"), now.alias("listed"))
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    made = hadoop.Path(f"{listings}/_{uuid.uuid4().hex}")
+    files.unionByName(mark).write.parquet(made.toString())
+    place = hadoop.Path(f"{listings}/snapshot={uuid.uuid4().hex if number is None else number}")
+    store = made.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.delete(place, True)
+    if not store.rename(made, place):
+        raise OSError(f"{place} could not be written")
+
+
+def watch(spark: SparkSession, folder: str, listings: str, checkpoint: str, every: str = "10 seconds") -> StreamingQuery:
+    """Notes the folder's files again and again; the clock is a stream of its own, so a stopped one goes on from its checkpoint."""
+    ticks = spark.readStream.format("rate").load()
+    return ticks.writeStream.foreachBatch(lambda _, number: note_listing(spark, folder, listings, number)).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
+def file_alerts(spark: SparkSession, listings: str) -> DataFrame:
+    """A stream over snapshots: file, alert (rewritten: its size or time has changed; missing: a later listing is without it), listed, length_before, length_now.
+
+    Every file is a key whose state is what was last seen of it; a listing sets the file's timer, and as listings move
+    the watermark on, the timer of a file that none of them has seen again runs out. A file that comes back is new.
+    """
+
+    def check(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        out = []
+        if state.hasTimedOut:
+            length, _, listed = state.get
+            if key[0]:
+                out.append((key[0], "missing", str(listed), str(length), None))
+            state.remove()
+        else:
+            seen = sorted({(row.listed.timestamp(), row.modified.timestamp(), int(row.length)) for frame in frames for row in frame.itertuples()})
+            before = state.get if state.exists else None
+            for listed, modified, length in seen:
+                if before and key[0] and (length, modified) != (before[0], before[1]):
+                    out.append((key[0], "rewritten", str(listed), str(before[0]), str(length)))
+                before = (length, modified, listed)
+            state.update(before)
+            state.setTimeoutTimestamp(int(before[2] * 1000) + 1)
+        if out:
+            yield pd.DataFrame(out, columns=names)
+
+    names = [f.split(" ")[0] for f in ALERT.split(", ")]
+    rows = spark.readStream.schema(SNAPSHOT).parquet(listings).withWatermark("listed", GAP)
+    found = rows.groupBy("path").applyInPandasWithState(check, ", ".join(f"{n} string" for n in names), _STATE, "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("file", "alert", F.col("listed").cast("double").cast("timestamp").alias("listed"), *[F.col(c).cast("long").alias(c) for c in names[3:]])
+
+
+def start_alerts(stream: DataFrame, alerts: str, checkpoint: str, available_now: bool = False, every: str = "10 seconds") -> StreamingQuery:
+    """Appends ``file_alerts`` to ``alerts`` (Parquet), each once; stop and start again on the same checkpoint to pause."""
+    writer = stream.writeStream.format("parquet").option("path", alerts).option("checkpointLocation", checkpoint).outputMode("append")
+    return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()

@@ -250,3 +250,50 @@ def test_line_ends(spark, tmp_path):
     (tmp_path / "only" / "x").write_bytes(b"a,b\n1,2\n")
     differing = {r["what"]: (r["a"], r["b"]) for r in src.reading_differences(spark, str(tmp_path / "only"), Dialect(), Dialect(), str(tmp_path / "d")).collect()}
     assert differing["bom"] == ("false", "true") and differing["lineEnd"] == ("lf", "crlf")
+
+
+def test_alerts_of_rewritten_and_missing_files(spark, tmp_path):
+    import os
+    import time
+
+    folder, where = tmp_path / "in", [str(tmp_path / k) for k in ("listings", "alerts", "state")]
+    folder.mkdir()
+    for name in ("same", "grown", "touched", "gone", "back"):
+        (folder / f"{name} 1.csv").write_text("a,b\n1,2\n")
+
+    def look():
+        time.sleep(0.3)
+        follow.note_listing(spark, str(folder), where[0])
+        follow.start_alerts(follow.file_alerts(spark, where[0]), where[1], where[2], available_now=True).awaitTermination(120)
+        found = spark.read.schema(follow.ALERT).parquet(where[1]).collect() if os.path.exists(where[1]) else []
+        return sorted((r["file"].rpartition("/")[2].split(" ")[0].split("%")[0], r["alert"], r["length_before"], r["length_now"]) for r in found)
+
+    assert look() == []
+    (folder / "grown 1.csv").write_text("a,b\n1,2\n3,4\n")
+    os.utime(folder / "touched 1.csv", (1, 1))
+    (folder / "gone 1.csv").unlink()
+    (folder / "back 1.csv").unlink()
+    (folder / "new 1.csv").write_text("a\n")
+    want = [("back", "missing", 8, None), ("gone", "missing", 8, None), ("grown", "rewritten", 8, 12), ("touched", "rewritten", 8, 8)]
+    assert look() == want
+    (folder / "back 1.csv").write_text("a,b\n9,9\n9,9\n")
+    assert look() == want
+    for f in folder.iterdir():
+        f.unlink()
+    assert look() == sorted([*want, ("back", "missing", 12, None), *((n, "missing", k, None) for n, k in (("grown", 12), ("new", 2), ("same", 8), ("touched", 8)))])
+
+
+def test_watch_notes_listings(spark, tmp_path):
+    import time
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "x.csv").write_text("a\n")
+    query = follow.watch(spark, str(tmp_path / "in"), str(tmp_path / "listings"), str(tmp_path / "state"), every="1 second")
+    try:
+        for _ in range(60):
+            if len(list((tmp_path / "listings").glob("snapshot=*"))) > 1:
+                break
+            time.sleep(1)
+    finally:
+        query.stop()
+    assert spark.read.schema(follow.SNAPSHOT).parquet(str(tmp_path / "listings" / "snapshot=0")).count() == 2
