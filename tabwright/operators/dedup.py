@@ -20,6 +20,7 @@ class Dedup:
     case_insensitive: bool = False
     blank_keys_equal: bool = True
     exclude_blank_keys: bool = False
+    within: tuple[str, ...] = ()
 
 
 def _columns(df: DataFrame, spec: Dedup, order_by: list[str]) -> list[str]:
@@ -43,6 +44,8 @@ def _keyed(df: DataFrame, spec: Dedup, order_by: list[str], scope: Column | None
     if not spec.blank_keys_equal:
         key = F.when(empty, F.concat(key, F.array(*[F.col(c).cast("string") for c in order_by]))).otherwise(key)
     considered = F.lit(True) if scope is None else F.coalesce(scope, F.lit(False))
+    if spec.within:
+        key = F.concat(F.array(*[F.col(c).cast("string") for c in spec.within]), key)
     if spec.exclude_blank_keys:
         considered = considered & ~empty
     return df.withColumn("_key", F.when(considered, key))

@@ -131,16 +131,21 @@ def rule_breaks(df: DataFrame, rule: ColumnRule) -> dict[str, Column]:
     return out
 
 
-def validate_profile(df: DataFrame, profile: FileProfile) -> DataFrame:
-    """issue, column, count: what the table breaks. All cell rules are counted in one pass."""
+def column_issues(columns: list[str], profile: FileProfile) -> list[tuple[str, str, int]]:
+    """(issue, column, 1) of what the columns' names break."""
     wanted = list(profile.columns) or [r.column for r in profile.rules]
-    names: list[tuple[str, str, int]] = [("missingColumn", c, 1) for c in wanted if c not in df.columns]
+    names: list[tuple[str, str, int]] = [("missingColumn", c, 1) for c in wanted if c not in columns]
     if not profile.allow_extra:
-        names += [("extraColumn", c, 1) for c in df.columns if c not in wanted]
+        names += [("extraColumn", c, 1) for c in columns if c not in wanted]
     if profile.check_order:
-        there = [c for c in wanted if c in df.columns]
-        if [c for c in df.columns if c in there] != there:
+        there = [c for c in wanted if c in columns]
+        if [c for c in columns if c in there] != there:
             names.append(("columnOrder", "", 1))
+    return names
+
+
+def _cell_counts(df: DataFrame, profile: FileProfile) -> tuple[list[Column], list[tuple[str, str]]]:
+    """Aggregates that count what cells break, and (issue, column) of each."""
     made, labels = [], []
     for r in profile.rules:
         if r.column not in df.columns:
@@ -151,6 +156,19 @@ def validate_profile(df: DataFrame, profile: FileProfile) -> DataFrame:
         if r.unique:
             made.append(F.count(F.lit(1)) - F.countDistinct(text_of(df, r.column)))
             labels.append(("nonUnique", r.column))
+    return made, labels
+
+
+def cell_issues_by(df: DataFrame, profile: FileProfile, by: str) -> DataFrame:
+    """by, issues: how many cells of each group break the profile, all groups in one pass."""
+    made, _ = _cell_counts(df, profile)
+    return df.groupBy(by).agg(sum(made, F.lit(0)).cast("long").alias("issues"))
+
+
+def validate_profile(df: DataFrame, profile: FileProfile) -> DataFrame:
+    """issue, column, count: what the table breaks. All cell rules are counted in one pass."""
+    names = column_issues(df.columns, profile)
+    made, labels = _cell_counts(df, profile)
     out = df.sparkSession.createDataFrame(names, "issue string, column string, count long") if names else None
     if made:
         flat = df.agg(*[m.alias(f"n{i}") for i, m in enumerate(made)])

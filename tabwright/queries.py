@@ -1246,3 +1246,16 @@ def follow_file_alerts(spark, d):
             again.close()
     trigger()
     return spark.read.schema(follow.ALERT).parquet(f"{top}/alerts").groupBy("alert").agg(F.count(F.lit(1)).alias("files"))
+
+
+@query("SELECT p_brand, CASE WHEN count(*) FILTER (p_size > 49) > 0 THEN 'failed' ELSE 'ok' END AS status, count(*) AS rows_in, CASE WHEN count(*) FILTER (p_size > 49) > 0 THEN 0 ELSE count(*) FILTER (p_size > 25) END AS rows_out, count(*) FILTER (p_size > 49) AS issues FROM part GROUP BY 1")
+def recipe_dry_run(spark, d):
+    """A trial run over a folder for each brand: inputs with sizes that the profile refuses fail, and nothing is written."""
+    part, top = read(spark, d, "part").select("p_partkey", "p_brand", "p_size"), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    brand = F.replace("p_brand", F.lit("#"), F.lit(""))
+    export.write_delimited(part.withColumn("brand", brand), top, split=export.Split("column", column="brand"))
+    inputs = [f"{top}/part={r[0]}" for r in part.select(brand).distinct().collect()]
+    steps = ({"kind": "validateProfile", "profile": "p", "fail_on_issues": True}, {"kind": "filter", "filter": {"column": "p_size", "operator": "gt", "value": "25"}}, {"kind": "export", "name": "{name}-done"})
+    profiles = {"p": diagnose.FileProfile((diagnose.ColumnRule("p_size", kind="number", high=49.0),))}
+    report = recipe.run_recipe(spark, recipe.Recipe("sizes", steps), inputs, f"{top}-out", profiles, dry_run=True)
+    return report.select(F.replace(F.regexp_extract("input", "part=(.*)$", 1), F.lit("Brand"), F.lit("Brand#")).alias("p_brand"), "status", "rows_in", "rows_out", "issues")

@@ -151,20 +151,39 @@ def _texts_of_records(spark: SparkSession, paths: str | list[str] | Files, diale
 
 
 def _record_widths(spark: SparkSession, paths: str | list[str] | Files, d: Dialect, most: int) -> DataFrame:
-    """_file, _at, fields of every record (null: more than ``most``).
+    """_file, _at, c0, value, fields of every record (null: more than ``most``).
 
     The reader itself counts: a last cell of a text that no file holds is put behind each record, and where it comes out
     when the record is read on its own tells the fields before it, empty ones too. Behind a quote that isn't closed it
     becomes the end of the last cell.
     """
-    ended = F.concat(F.regexp_replace("value", "[\r\n]+$", ""), F.lit(d.delimiter + END))
-    options = {k: v for k, v in csv_options(d).items() if k not in ("encoding", "header", "multiLine")}
     # as JSON, which leaves out nulls, the last cell that there is comes last; as single fields they would be parsed one by one
-    cells = F.to_json(F.from_csv(ended, ", ".join(f"c{i} string" for i in range(most + 1)), options))
+    cells = F.to_json(_cells(F.col("value"), d, most + 1))
     place = F.regexp_extract(cells, '(?s)^.*[{,]"c(\\d+)":".*' + END + '"\\}$', 1)
     fields = F.when(place == "", None).otherwise(place.cast("int") + F.when(F.endswith(cells, F.lit(f':"{END}"}}')), 0).otherwise(1))
     # the reader gives the column of whole records only beside another, which is why c0 is asked
-    return _texts_of_records(spark, paths, d).select(FILE, "_at", F.when(F.col("value").isNull(), F.least(F.lit(1), F.length(F.coalesce("c0", F.lit(""))) + 1)).otherwise(fields).alias("fields"))
+    one = F.when(F.col("value").isNull(), F.least(F.lit(1), F.length(F.coalesce("c0", F.lit(""))) + 1))
+    return _texts_of_records(spark, paths, d).select(FILE, "_at", "c0", "value", one.otherwise(fields).alias("fields"))
+
+
+def _cells(value: Column, d: Dialect, n: int) -> Column:
+    """The first ``n`` cells of a record's text, and END behind its last one, as a struct."""
+    options = {k: v for k, v in csv_options(d).items() if k not in ("encoding", "header", "multiLine")}
+    ended = F.concat(F.regexp_replace(value, "[\r\n]+$", ""), F.lit(d.delimiter + END))
+    return F.from_csv(ended, ", ".join(f"c{i} string" for i in range(n)), options)
+
+
+def shapes(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect) -> DataFrame:
+    """_file, records, fields (of its widest record), first (the cells of its first record) of every file that has records."""
+    files = in_encodings(spark, paths, dialect)
+    most = widest(spark, files, dialect)
+    first = F.min_by(F.struct("c0", "value", "fields"), "_at").alias("_first")
+    each = _record_widths(spark, files, dialect, most).groupBy(FILE).agg(F.count(F.lit(1)).alias("records"), F.max("fields").alias("fields"), first)
+    named = F.from_json(F.to_json(_cells(F.col("_first.value"), dialect, most + 1)), "map<string,string>")
+    cell = lambda i: F.regexp_replace(F.coalesce(F.try_element_at("_named", F.concat(F.lit("c"), i)), F.lit("")), f"{END}$", "")
+    several = F.transform(F.sequence(F.lit(0), F.col("_first.fields") - 1), cell)
+    alone = F.array(F.coalesce("_first.c0", F.lit("")))
+    return each.withColumn("_named", named).select(FILE, "records", "fields", F.when(F.col("_first.value").isNull(), alone).otherwise(several).alias("first"))
 
 
 def field_counts(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect) -> DataFrame:
@@ -256,7 +275,7 @@ def ragged_report(spark: SparkSession, paths: str | list[str], dialect: Dialect
 def ragged_sample(spark: SparkSession, paths: str | list[str], dialect: Dialect = Dialect(), n: int = 100) -> DataFrame:
     """_file, record (its number in the file, from 1), fields, expected: the first ``n`` records that have another number of fields than most."""
     files = in_encodings(spark, paths, dialect)
-    widths = persisted(_record_widths(spark, files, dialect, widest(spark, files, dialect)))
+    widths = persisted(_record_widths(spark, files, dialect, widest(spark, files, dialect)).drop("c0", "value"))
     expected = widths.groupBy("fields").agg(F.count(F.lit(1)).alias("c")).agg(F.max_by("fields", F.struct("c", "fields"))).first()[0]
     odd = with_position(widths, ["_at"], "_pos")
     starts = odd.groupBy(FILE).agg(F.min("_pos").alias("_from"))

@@ -76,6 +76,29 @@ def write_delimited(df: DataFrame, path: str, options: Export = Export(), split:
     _written(dealt, options).partitionBy("part").csv(path)
 
 
+def write_folders(df: DataFrame, number: str, folders: dict[int, str], work: str, options: Export) -> None:
+    """Writes the rows of each ``number`` to a folder of its own, all in one job that keeps their order inside a task; rows of other numbers are left out.
+
+    The job writes to ``work``, and when it is done the folders are renamed, so a failed one leaves nothing behind them.
+    """
+    spark = df.sparkSession
+    texts = df.filter(F.col(number).isin(list(folders))).select(*[text_of(df, c).alias(c) for c in df.columns if c != number], F.col(number))
+    names = [c for c in texts.columns if c != number]
+    _written(texts, Export(**{**options.__dict__, "if_exists": "error"})).partitionBy(number).csv(work)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    top = hadoop.Path(work)
+    store = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for i, folder in folders.items():
+        made, place = hadoop.Path(f"{work}/{number}={i}"), hadoop.Path(folder)
+        if options.if_exists == "overwrite":
+            store.delete(place, True)
+        if not store.exists(made):
+            _written(spark.createDataFrame([], ", ".join(f"`{c}` string" for c in names)), options).csv(folder)
+        elif store.exists(place) or not store.rename(made, place):
+            raise FileExistsError(folder)
+    store.delete(top, True)
+
+
 def split_labels(df: DataFrame, split: Split, order_by: list[str] | None = None) -> DataFrame:
     """Adds ``part``: 001, 002... (as wide as the last part's number needs) for splits by rows or bytes, a safe unique file label for splits by a column's value."""
     if split.kind == "column":

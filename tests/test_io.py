@@ -1,11 +1,13 @@
 """Readers, writers, views, recipes, streams."""
 
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tabwright.operators.filters import Condition
+from tabwright.operators import diagnose
 from tabwright.operators import order as order_module
 from tabwright.operators.order import with_position
 from tabwright.plans import recipe, views
@@ -165,6 +167,42 @@ def test_recipe(spark, tmp_path):
             recipe.run_recipe(spark, recipe.load_recipe(json.dumps(bad)), paths, out)
 
 
+def test_recipe_on_many_inputs_is_one_plan(spark, tmp_path):
+    """Like inputs share plans; unlike and broken ones run alone; results are those of single runs."""
+    rng = random.Random(2)
+    paths = []
+    for i in range(9):
+        rows = [f"{rng.randrange(5)},{rng.choice('abcB')}" for _ in range(rng.choice([0, 1, 5, 20]))]
+        paths.append(put(tmp_path / f"f {i}.csv", "n,v\n" + "".join(f"{r}\n" for r in rows)))
+    (tmp_path / "folder").mkdir()
+    put(tmp_path / "folder" / "a.csv", "n,v\n3,z\n")
+    put(tmp_path / "folder" / "b.csv", "n,v\n4,y\n4,Y\n")
+    paths += [str(tmp_path / "folder"), put(tmp_path / "wider.csv", "n,v,w\n7,q,1\n"), put(tmp_path / "bad.csv", "v\nb\n")]
+    steps = [{"kind": "validateProfile", "profile": "p"}, *RECIPE["steps"]]
+    profiles = {"p": diagnose.FileProfile((diagnose.ColumnRule("n", kind="number", high=3.0), diagnose.ColumnRule("v", unique=True)))}
+    own = recipe.load_recipe(json.dumps({**RECIPE, "steps": steps}))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("together", "")
+    report = recipe.run_recipe(spark, own, paths, str(tmp_path / "out"), profiles).collect()
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    alone = recipe.run_recipe(spark, own, paths, str(tmp_path / "alone"), profiles, continue_on_error=False).collect()
+    cut = lambda r: (r["input"], r["status"], r["rows_in"], r["rows_out"], r["issues"], r["steps"])
+    assert [cut(r) for r in report[:-1]] == [cut(r) for r in alone[:-1]] and report[-1]["status"] == alone[-1]["status"] == "failed"
+    assert len(tracker.getJobIdsForGroup("together")) < 60
+    for r, a in zip(report[:-1], alone):
+        if r["rows_out"]:
+            x, y = ([tuple(v) for v in src.read_delimited(spark, k["output"], keep_row=True).orderBy("_row").drop("_row", "_file").collect()] for k in (r, a))
+            assert x == y and len(x) == r["rows_out"]
+    assert not [p for p in (tmp_path / "out").iterdir() if p.name.startswith("_")]
+    again = recipe.run_recipe(spark, own, paths[:4], str(tmp_path / "out"), profiles).collect()
+    assert {r["status"] for r in again} == {"skipped"}
+    strict = recipe.load_recipe(json.dumps({**RECIPE, "steps": [{**steps[0], "fail_on_issues": True}, *steps[1:]]}))
+    failing = recipe.run_recipe(spark, strict, paths[:6], str(tmp_path / "strict"), profiles, dry_run=True).collect()
+    assert [r["status"] for r in failing] == ["failed" if r["issues"] else "ok" for r in report[:6]]
+    more = recipe.run_recipe(spark, own, paths[:4], str(tmp_path / "out"), profiles, overwrite=True).collect()
+    assert [cut(r) for r in more] == [cut(r) for r in report[:4]]
+
+
 def test_follow(spark, tmp_path):
     folder = tmp_path / "in"
     folder.mkdir()
@@ -210,7 +248,6 @@ def test_fields_are_counted_as_the_reader_reads(spark, tmp_path):
 def test_field_counts_equal_a_plain_reader(spark, tmp_path):
     import csv
     import io
-    import random
 
     rng = random.Random(5)
     cells = ["", "", "a", "b c", '5" x', '"x,y"', '"q ""z"", "', '""', "é", "1"]
