@@ -6,8 +6,10 @@ from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabwright.functions.cells import any_of, blank_of, col, num_of, require, strip, text_of, unique
+from tabwright.operators import sketches
 from tabwright.operators.quantile import group_quantiles
 
 NUMERIC = ("sum", "mean", "min", "max", "median")
@@ -72,7 +74,11 @@ def aggregate(df: DataFrame, a: Aggregate, row: Column | None, approximate: bool
     if a.function == "countNonblank":
         return F.count(F.when(~empty, 1))
     if a.function == "countDistinct":
-        return F.countDistinct(F.when(~empty, strip(text)))
+        # whole numbers, days and truth values are as many as their texts, which needn't be made then
+        own = col(a.column) if isinstance(df.schema[a.column].dataType, (T.IntegralType, T.DateType, T.BooleanType)) else F.when(~empty, strip(text))
+        if approximate:
+            return F.coalesce(F.hll_sketch_estimate(F.hll_sketch_agg(own.cast("string"), sketches.LG_K)), F.lit(0))
+        return F.countDistinct(own)
     if a.function == "sum":
         return F.sum(x)
     if a.function == "mean":

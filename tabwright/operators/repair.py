@@ -85,10 +85,8 @@ def _fill(df: DataFrame, spec: Repair, order_by: list[str], scope: Column | None
     rows = df.withColumn("_key", key).withColumn("_here", F.lit(True) if scope is None else F.coalesce(scope, F.lit(False)))
     rows = rows.withColumns({f"_v{i}": _known(df, c) for i, c in enumerate(spec.columns)})
     if spec.by_group and spec.groups:
-        w = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-        found = {c: F.last(f"_v{i}", ignorenulls=True).over(w) for i, c in enumerate(spec.columns)}
-        done = rows.withColumns({f"_f{i}": found[c] for i, c in enumerate(spec.columns)})
-        return done.select(*_put(df, {c: F.when(F.col("_here") & F.col(f"_v{i}").isNull() & F.col(f"_f{i}").isNotNull(), F.col(f"_f{i}.v")).otherwise(col(c)) for i, c in enumerate(spec.columns)}))
+        # rows are dealt by group and order, so a group is one run, over as many parts as it needs
+        order = [F.col("_key"), *order]
     parts = ordered_parts(rows, order)
     inside = Window.partitionBy(PART).orderBy(PLACE)
     change = F.coalesce((F.lag("_key").over(inside) != F.col("_key")).cast("int"), F.lit(0))

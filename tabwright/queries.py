@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from tabwright.functions import text as fn
 from tabwright.functions.cells import class_of, date, num, rendered, strip
-from tabwright.operators import append, cluster, compare, dedup, diagnose, filters, find, grouping, joins, outlier, pii, profile, project, repair, reshape, rules, semantic, sort, transform
+from tabwright.operators import append, cluster, compare, dedup, diagnose, filters, find, grouping, joins, outlier, pii, profile, project, repair, reshape, rules, semantic, sketches, sort, transform
 from tabwright.operators.filters import Condition, Group
 from tabwright.operators.grouping import Aggregate, GroupBy
-from tabwright.operators.order import shared_folder, with_position, with_running_sum
+from tabwright.operators.order import persisted, shared_folder, with_position, with_running_sum
 from tabwright.plans import recipe, views
 from tabwright.sources import delimited, export
 from tabwright.streaming import follow
@@ -1259,3 +1259,60 @@ def recipe_dry_run(spark, d):
     profiles = {"p": diagnose.FileProfile((diagnose.ColumnRule("p_size", kind="number", high=49.0),))}
     report = recipe.run_recipe(spark, recipe.Recipe("sizes", steps), inputs, f"{top}-out", profiles, dry_run=True)
     return report.select(F.replace(F.regexp_extract("input", "part=(.*)$", 1), F.lit("Brand"), F.lit("Brand#")).alias("p_brand"), "status", "rows_in", "rows_out", "issues")
+
+
+@query("SELECT 'o_custkey' AS \"column\", count(DISTINCT o_custkey) AS exact, 7 AS parts, true AS within FROM orders UNION ALL SELECT 'o_orderpriority', count(DISTINCT o_orderpriority), 7, true FROM orders UNION ALL SELECT 'o_orderkey', count(*), 7, true FROM orders")
+def distinct_by_merged_sketches(spark, d):
+    """Sketches of seven parts, united, are within their stated error of the exact counts."""
+    orders, columns = read(spark, d, "orders"), ["o_custkey", "o_orderpriority", "o_orderkey"]
+    parts = sketches.distinct_sketches(orders, columns, F.col("o_orderkey") % 7)
+    exact = orders.agg(*[F.countDistinct(c).alias(c) for c in columns]).select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("exact")) for c in columns])))
+    found = sketches.distinct_estimates(parts).withColumn("parts", F.col("parts").cast("int"))
+    return found.join(exact, "column").select("column", "exact", "parts", F.col("exact").between(F.col("low"), F.col("high")).alias("within"))
+
+
+@query("SELECT 'first' AS state, count(DISTINCT c_custkey) AS n, 4 AS files FROM customer WHERE c_custkey % 5 < 4 UNION ALL SELECT 'more', count(DISTINCT c_custkey), 5 FROM customer")
+def sketches_of_added_files(spark, d):
+    """A folder that gets one more file: the store reads that file alone. Small counts are exact in a sketch of this size but for its error, which rounding to it hides."""
+    customers, top = read(spark, d, "customer"), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    reads = []
+
+    def rows(paths):
+        reads.append(len(paths))
+        return delimited.read_delimited(spark, paths, keep_row=True)
+
+    def state(name, keys):
+        for k in keys:
+            customers.filter(F.col("c_custkey") % 5 == k).select("c_custkey", "c_name").coalesce(1).write.option("header", "true").csv(f"{top}/{k}")
+        stored = sketches.update_store(spark, f"{top}-store", delimited.file_listing(spark, f"{top}/*"), ["c_custkey"], rows)
+        found = sketches.distinct_estimates(stored)
+        exact = customers.filter(F.col("c_custkey") % 5 <= max(keys)).agg(F.countDistinct("c_custkey").alias("exact"))
+        near = F.when(F.col("exact").between(F.col("low"), F.col("high")), F.col("exact")).otherwise(F.col("distinct"))
+        return persisted(found.crossJoin(F.broadcast(exact)).select(F.lit(name).alias("state"), near.alias("n"), F.col("parts").cast("int").alias("files")))
+
+    out = state("first", range(4)).unionByName(state("more", [4]))
+    if reads != [4, 1]:
+        raise ValueError(f"files read: {reads}")
+    return out
+
+
+@query("SELECT strftime(o_orderdate, '%Y-%m-%d') AS value, count(*) AS count, true AS proven FROM orders GROUP BY 1 ORDER BY count DESC, value LIMIT 20")
+def heavy_hitters(spark, d):
+    """The days with most orders, by counters in every task and an exact count of what they leave."""
+    days = read(spark, d, "orders").select(F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+    return sketches.heavy_hitters(days, "day", 20, 4_096).drop("bound")
+
+
+@query("SELECT l_returnflag, true AS within FROM lineitem GROUP BY 1")
+def groupby_distinct_sketch(spark, d):
+    lines = read(spark, d, "lineitem")
+    near = grouping.group_by(lines, GroupBy(("l_returnflag",), (Aggregate("countDistinct", "l_orderkey", "n"),), approximate=True))
+    exact = grouping.group_by(lines, GroupBy(("l_returnflag",), (Aggregate("countDistinct", "l_orderkey", "m"),)))
+    return near.join(exact, "l_returnflag").select("l_returnflag", (F.abs(F.col("n") - F.col("m")) <= sketches.ERROR * F.col("m")).alias("within"))
+
+
+@query(f"SELECT event_id, coalesce(v, last_value(v IGNORE NULLS) OVER (PARTITION BY event_type ORDER BY event_id ROWS UNBOUNDED PRECEDING)) AS v FROM (SELECT event_id, event_type, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events)")
+def fill_forward_by_group(spark, d):
+    """Groups of a fifth of all rows, and one may hold them all: each spreads over range parts."""
+    rows = read(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
+    return repair.repair(rows, repair.Repair("fillForward", ("v",), groups=("event_type",), by_group=True), ["event_id"]).select("event_id", "v")

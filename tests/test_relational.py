@@ -3,13 +3,15 @@
 
 
 import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
-from tabwright.operators import append, dedup, filters, find, grouping, joins, project, quantile, reshape, sort
+from tabwright.operators import append, dedup, filters, find, grouping, joins, project, quantile, repair, reshape, sketches, sort
 from tabwright.operators.filters import Condition, Group
 from tabwright.operators.grouping import Aggregate, GroupBy
+from tabwright.sources import delimited
 
 SALES = "dept,amount,who\nsales,10,ann\nsales,20,bob\nops,5,cid\nsales,,dee\nops,abc,eve"
 
@@ -186,7 +188,7 @@ def test_find_replace_sort_project(table, rows):
     assert project.lay_out(t, project.Layout(("a",), ("b",), ("gone",))).missing == ["gone"]
 
 
-@pytest.mark.parametrize("most", [0, quantile.MOST_VALUES])
+@pytest.mark.parametrize("most", [0, 20, 200, quantile.MOST_VALUES])
 def test_group_quantiles(spark, most):
     """Against the plain rule: null groups, single values, ties over parts, nulls left out."""
     rng = random.Random(4)
@@ -204,3 +206,108 @@ def test_group_quantiles(spark, most):
     assert set(got) == set(by) and all(abs(a - plain(by[g], s)) < 1e-9 for g in by for a, s in zip(got[g], shares))
     whole = quantile.group_quantiles(df, {}, F.col("x"), [0.5], most).collect()
     assert len(whole) == 1 and quantile.group_quantiles(df.limit(0), {}, F.col("x"), [0.5], most).count() <= 1
+
+
+def test_brackets_narrow_and_prove(spark):
+    """One value alone, few values with many ties, and many values; also what a sketch can't place is found."""
+    n = 60_000
+    x = F.when(F.col("id") % 3 == 0, 7.0).when(F.col("id") % 3 == 1, F.col("id") * 7919 % 100_003).otherwise(F.col("id") % 5)
+    df = spark.range(n).select((F.col("id") % 3).alias("g"), x.cast("double").alias("x")).repartition(5)
+    shares = [0.0, 0.013, 0.5, 0.9, 1.0]
+    by = {g: sorted([7.0 if g == 0 else float(i * 7919 % 100_003) if g == 1 else float(i % 5) for i in range(n) if i % 3 == g]) for g in range(3)}
+    at = lambda v, s: v[int(s * (len(v) - 1))] + (v[min(int(s * (len(v) - 1)) + 1, len(v) - 1)] - v[int(s * (len(v) - 1))]) * (s * (len(v) - 1) % 1)
+    cells = quantile.persisted(df.select("g", F.col("x").alias("_x")))
+    for most in (40, 5_000):
+        found = quantile._by_brackets(cells, ["g"], shares, most)
+        assert found is not None
+        got = {r["g"]: [r[f"q{i}"] for i in range(len(shares))] for r in found.collect()}
+        assert all(abs(got[g][i] - at(by[g], s)) < 1e-9 for g in by for i, s in enumerate(shares))
+    # no number: no proof, and ranks decide
+    odd = df.withColumn("x", F.when(F.col("x") < 2, float("nan")).otherwise(F.col("x")))
+    assert quantile._by_brackets(quantile.persisted(odd.select("g", F.col("x").alias("_x"))), ["g"], [1.0], 100) is None
+    assert {r["g"]: str(r["q0"]) for r in quantile.group_quantiles(odd, {"g": F.col("g")}, F.col("x"), [1.0], 100).collect()}[2] == "nan"
+
+
+def test_sketches_of_parts_unite(spark):
+    df = spark.range(40_000).select((F.col("id") % 9).alias("part"), F.when(F.col("id") % 10 > 0, F.col("id") % 12_345).cast("string").alias("a"), F.lit(" x ").alias("b"))
+    parts = sketches.distinct_sketches(df, ["a", "b"], F.col("part"))
+    got = {r["column"]: r for r in sketches.distinct_estimates(parts).collect()}
+    exact = df.agg(F.countDistinct("a")).first()[0]
+    assert got["a"]["low"] <= exact <= got["a"]["high"] and (got["a"]["parts"], got["a"]["rows"], got["a"]["blanks"]) == (9, 40_000, 4_000)
+    assert (got["b"]["distinct"], got["b"]["low"]) == (1, 0)
+    assert sketches.distinct_sketches(df.limit(0), ["a"], F.col("part")).count() == 0
+    assert [r["distinct"] for r in sketches.distinct_estimates(sketches.distinct_sketches(df.withColumn("a", F.lit(" ")), ["a"], F.lit(None).cast("string"))).collect()] == [0]
+
+
+def test_sketch_store_reads_what_is_new(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    store, reads = str(tmp_path / "store"), []
+
+    def rows(paths):
+        reads.append(sorted(p.rpartition("/")[2] for p in paths))
+        return delimited.read_delimited(spark, paths, keep_row=True)
+
+    def update():
+        stored = sketches.update_store(spark, store, delimited.file_listing(spark, str(tmp_path / "in")), ["a"], rows)
+        return {r["column"]: (r["parts"], r["rows"], r["distinct"]) for r in sketches.distinct_estimates(stored).collect()}
+
+    put = lambda name, values: (tmp_path / "in" / name).write_text("a\n" + "".join(f"{v}\n" for v in values))
+    assert update() == {}
+    put("x y.csv", [1, 2, 3])
+    put("b.csv", [3, 4])
+    assert update() == {"a": (2, 5, 4)}
+    put("c.csv", [9])
+    assert update() == {"a": (3, 6, 5)}
+    put("b.csv", [1, 1, 1, 1])
+    assert update() == {"a": (3, 8, 4)}
+    (tmp_path / "in" / "x y.csv").unlink()
+    assert update() == {"a": (2, 5, 2)}
+    assert reads == [["b.csv", "x y.csv"], ["c.csv"], ["b.csv"]]
+
+
+def test_heavy_hitters(spark):
+    rng = random.Random(6)
+    values = [f"v{min(int(rng.paretovariate(0.7)), 10**6)}" for _ in range(20_000)] + ["", None, " v1 "] * 3
+    df = spark.createDataFrame([(v,) for v in values], "v string").repartition(6)
+    full = Counter(v.strip() for v in values if v and v.strip())
+    want = sorted(full.items(), key=lambda x: (-x[1], x[0]))
+    for k, counters in ((5, 300), (20, 100_000), (100, 100)):
+        got = sketches.heavy_hitters(df, "v", k, counters).collect()
+        proven, bound = got[0]["proven"], got[0]["bound"]
+        assert all(full[r["value"]] == r["count"] for r in got)
+        if proven:
+            assert [(r["value"], r["count"]) for r in got] == want[:k]
+        else:  # nothing larger than the bound is left out
+            assert {v for v, n in want[:k] if n > bound} <= {r["value"] for r in got}
+        assert proven == (counters != 100)
+    few = df.filter("v = 'v1'")
+    assert [tuple(r)[:3] for r in sketches.heavy_hitters(few, "v", 3, 10).collect()] == [("v1", full["v1"] - 3, True)]
+    assert sketches.heavy_hitters(df.limit(0), "v").count() == 0
+    with pytest.raises(ValueError):
+        sketches.heavy_hitters(df, "v", 10, 5)
+
+
+def test_fill_by_group_spreads_a_group(spark):
+    """A group of all rows, and groups of many runs, forward and backward, with blanks at both ends."""
+    rng = random.Random(8)
+    rows = [(i, rng.choice("aaaaaaab"), rng.choice(["", "", None, str(i)])) for i in range(3_000)]
+    df = spark.createDataFrame(rows, "i long, g string, v string").repartition(5)
+    for kind in ("fillForward", "fillBackward"):
+        for groups in (("g",), ()):
+            spec = repair.Repair(kind, ("v",), groups=groups, by_group=bool(groups))
+            got = {r["i"]: r["v"] for r in repair.repair(df, spec, ["i"]).collect()}
+            last, want = {}, {}
+            for i, g, v in rows if kind == "fillForward" else rows[::-1]:
+                key = g if groups else ""
+                last[key] = v or last.get(key)
+                want[i] = v if v else last[key] or v
+            assert got == want
+    # no window holds a group: rows meet in range parts only
+    made = []
+    keep, repair.ordered_parts = repair.ordered_parts, lambda *a, **k: made.append(keep(*a, **k)) or made[-1]
+    try:
+        repair.repair(df.withColumn("g", F.lit("one")), repair.Repair("fillForward", ("v",), groups=("g",), by_group=True), ["i"])
+    finally:
+        repair.ordered_parts = keep
+    sizes = [r["n"] for r in made[0].groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) > 2 and max(sizes) < 2_000
