@@ -2,29 +2,36 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tabwright.functions import pairs as pair_functions
 from tabwright.functions import text as fn
 from tabwright.functions.cells import blank_of, col, require, text_of
 from tabwright.operators.graph import components
 from tabwright.operators.order import persisted
 
+#: Values of a key that one block compares with the others, and pairs that are compared at a time.
+BLOCK, PAIRS = 512, 1 << 16
 METHODS = ("fingerprint", "ngram", "levenshtein", "jaroWinkler")
 
 
 @dataclass(frozen=True)
 class Cluster:
-    """threshold: most edits, or least similarity. max_pairs: a job whose blocks hold more pairs is refused before it runs."""
+    """threshold: most edits, or least similarity. max_pairs: a job whose blocks hold more pairs is refused before it runs (None: none is)."""
 
     column: str
     method: str = "fingerprint"
     n: int = 2
     threshold: float = 2
     normalise: dict = field(default_factory=dict)
-    max_pairs: int = 200_000_000
+    max_pairs: int | None = None
 
 
 def _values(df: DataFrame, spec: Cluster) -> DataFrame:
@@ -69,16 +76,66 @@ def _links(values: DataFrame, spec: Cluster) -> DataFrame:
     else:
         keys = _first_characters(spec.threshold)
     blocked = persisted(values.select("value", "norm", F.explode(keys).alias("key")).distinct())
-    pairs = blocked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()[0]
-    if pairs > spec.max_pairs:
-        raise ValueError(f"the blocks hold {int(pairs)} pairs; the limit is {spec.max_pairs}")
-    x, y = blocked.select("key", F.col("value").alias("a"), F.col("norm").alias("x")), blocked.select("key", F.col("value").alias("b"), F.col("norm").alias("y"))
-    la, lb = F.char_length("x"), F.char_length("y")
-    close = F.abs(la - lb) <= F.floor(F.greatest(la, lb) / 4) + 3
-    both = x.join(y, "key").filter((F.col("a") < F.col("b")) & close).select("a", "b", "x", "y").distinct()
+    if spec.max_pairs is not None:
+        pairs = blocked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).agg(F.coalesce(F.sum(F.col("n") * (F.col("n") - 1) / 2), F.lit(0))).first()[0]
+        if pairs > spec.max_pairs:
+            raise ValueError(f"the blocks hold {int(pairs)} pairs; the limit is {spec.max_pairs}")
     if spec.method == "levenshtein":
-        return both.filter(F.levenshtein("x", "y", int(spec.threshold)) >= 0).select("a", "b")
-    return both.withColumn("s", fn.jaro_winkler(F.col("x"), F.col("y"))).filter(F.col("s") >= spec.threshold).select("a", "b")
+        return _compared(blocked, lambda x, y: pair_functions.within_edits(x, y, int(spec.threshold)))
+    return _compared(blocked, lambda x, y: pair_functions.jaro_winkler(x, y) >= spec.threshold)
+
+
+def _compared(blocked: DataFrame, linked: Callable[[list[str], list[str]], np.ndarray]) -> DataFrame:
+    """a, b of the pairs that share a key, are close in length and pass the test, each once.
+
+    The values of a key are dealt into blocks: each is at home in one and goes to the others as a guest, so a key that
+    many values share is many tasks, each of which compares those at home with each other and with the guests that come
+    after them. Only linked pairs leave a task.
+    """
+    sizes = blocked.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    home = F.pmod(F.xxhash64("value"), F.col("blocks"))
+    dealt = blocked.join(sizes, "key").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("key", "block", (F.col("block") == home).alias("own"), "value", "norm").repartition("key", "block").sortWithinPartitions("key", "block", F.desc("own"))
+
+    def met(rows: pa.Table, done: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """A row at home and a later row of its key and block; rows before ``done`` have met already."""
+        key, block, own = rows["key"].combine_chunks().dictionary_encode().indices.to_numpy(), rows["block"].to_numpy(), rows["own"].to_numpy()
+        n = np.arange(rows.num_rows)
+        fresh = np.append(True, (key[1:] != key[:-1]) | (block[1:] != block[:-1]))
+        start = np.maximum.accumulate(np.where(fresh, n, 0))
+        at_home = np.append(0, np.cumsum(own))
+        count = np.where(n >= done, at_home[n] - at_home[start], 0)
+        ends = np.cumsum(count)
+        low = 0
+        while low < len(n):
+            high = max(low + 1, int(np.searchsorted(ends, (ends[low - 1] if low else 0) + PAIRS, side="right")))
+            some = count[low:high]
+            yield np.repeat(start[low:high], some) + np.arange(some.sum()) - np.repeat(np.cumsum(some) - some, some), np.repeat(n[low:high], some)
+            low = high
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([batch] if kept is None else [kept, batch])
+            own, size = rows["own"].to_numpy(), pc.utf8_length(rows["norm"]).to_numpy().astype(np.int64)
+            order = pc.rank(rows["value"].combine_chunks(), tiebreaker="dense").to_numpy().astype(np.int64)
+            norm = rows["norm"].to_pylist()
+            for i, j in met(rows, 0 if kept is None else kept.num_rows):
+                close = np.abs(size[i] - size[j]) <= np.maximum(size[i], size[j]) // 4 + 3
+                some = np.flatnonzero(close & (own[j] | (order[i] < order[j])))
+                i, j = i[some], j[some]
+                found = np.flatnonzero(linked([norm[k] for k in i.tolist()], [norm[k] for k in j.tolist()]))
+                i, j = i[found], j[found]
+                swap = order[i] > order[j]
+                columns = [rows["value"].take(pa.array(np.where(swap, x, y))).combine_chunks() for x, y in ((j, i), (i, j))]
+                yield pa.RecordBatch.from_arrays(columns, names=["a", "b"])
+            last = np.flatnonzero(own & (rows["block"].to_numpy() == batch["block"][-1].as_py()) & pc.equal(rows["key"], batch["key"][-1]).to_numpy())
+            kept = rows.take(pa.array(last)).combine_chunks().to_batches()
+            kept = kept[0] if kept else None
+
+    return dealt.mapInArrow(run, "a string, b string").distinct()
 
 
 def _first_characters(threshold: float) -> Column:

@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tabwright.functions import cells
+from tabwright.functions import pairs
 from tabwright.functions import text as fn
 from tabwright.operators import cluster, compare, diagnose, graph, order, outlier, pii, profile, repair, rules, semantic, transform
 
@@ -292,3 +293,41 @@ def test_transforms(table, rows, spark):
     s = transform.split_column(t, "a", "-").orderBy("_row")
     assert s.columns == ["_row", "a 1", "a 2"] and rows(s, "a 1", "a 2") == [("10", "20"), ("x", "")]
     assert rows(transform.merge_columns(table("a,b,c\n1,,3"), ["c", "a", "b"], "-"), "c+a+b") == [("3-1-",)]
+
+
+def test_kernels_equal_the_plain_functions():
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcé漢🙂") for _ in range(n))
+    x = [word(rng.randrange(12)) for _ in range(3_000)]
+    y = [word(rng.randrange(12)) if rng.random() < 0.5 else "".join(c if rng.random() < 0.8 else rng.choice("abc") for c in v) + word(rng.randrange(3)) for v in x]
+    x, y = [*x, "", "a", "", "x" * 200, word(90)], [*y, "", "", "b", "x" * 201, word(150)]
+    assert pairs.jaro_winkler(x, y).tolist() == [fn.jaro_winkler_of(a, b) for a, b in zip(x, y)]
+
+    def edits(a, b):
+        row = list(range(len(b) + 1))
+        for i, c in enumerate(a, 1):
+            before, row[0] = row[0], i
+            for j, e in enumerate(b, 1):
+                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (c != e))
+        return row[-1]
+
+    far = [edits(a, b) for a, b in zip(x, y)]
+    for most in (0, 1, 2, 4):
+        assert pairs.within_edits(x, y, most).tolist() == [d <= most for d in far]
+    assert pairs.jaro_winkler([], []).tolist() == [] and pairs.within_edits([], [], 1).tolist() == []
+
+
+@pytest.mark.parametrize("block", [1, 3, 1_000])
+def test_pairs_of_a_key_meet_once_over_blocks(spark, monkeypatch, block):
+    """One key for all values: whatever the blocks, batches and homes, each linked pair comes out once."""
+    monkeypatch.setattr(cluster, "BLOCK", block)
+    rng = random.Random(block)
+    values = sorted({"".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(60)})
+    df = spark.createDataFrame([(v, v, "k") for v in values], "value string, norm string, key string").repartition(3)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = sorted(map(tuple, cluster._compared(df, lambda x, y: pairs.within_edits(x, y, 1)).collect()))
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    lev = lambda a, b: bool(pairs.within_edits([a], [b], 1)[0])
+    assert got == [(a, b) for a in values for b in values if a < b and lev(a, b)]
