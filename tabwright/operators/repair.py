@@ -166,3 +166,34 @@ def repair_report(before: DataFrame, after: DataFrame, columns: list[str], key:
     flat = both.agg(*[x for i in range(len(columns)) for x in (
         F.count(F.when(F.col(f"_a{i}.e") & ~F.col(f"_b{i}.e"), 1)).alias(f"f{i}"), F.count(F.when(F.col(f"_b{i}.e"), 1)).alias(f"s{i}"), F.count(F.when(~F.col(f"_a{i}.e") & F.col(f"_a{i}.x").isNull(), 1)).alias(f"w{i}"))])
     return flat.select(F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"f{i}").alias("filled"), F.col(f"s{i}").alias("still_blank"), F.col(f"w{i}").alias("invalid_numeric")) for i, c in enumerate(columns)])))
+
+
+def _changes(before: DataFrame, after: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """_k, column, was, now of the cells whose texts differ."""
+    require(before, columns)
+    a = before.select(col(key).alias("_k"), F.array(*[F.coalesce(text_of(before, c), F.lit("")) for c in columns]).alias("_a"))
+    b = after.select(col(key).alias("_k2"), F.array(*[F.coalesce(text_of(after, c), F.lit("")) for c in columns]).alias("_b"))
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.get("_a", F.lit(i)).alias("was"), F.get("_b", F.lit(i)).alias("now")) for i, c in enumerate(columns)])
+    return a.join(b, F.col("_k") == F.col("_k2")).select("_k", F.inline(F.filter(cells, lambda x: x["was"] != x["now"])))
+
+
+def repair_totals(before: DataFrame, after: DataFrame, columns: list[str], key: str) -> DataFrame:
+    """One row: cells and rows that were changed, and in how many columns. A row counts once, whatever of it was changed."""
+    changed = _changes(before, after, columns, key).groupBy("_k").agg(F.count(F.lit(1)).alias("n"), F.collect_set("column").alias("own"))
+    columns_ = F.size(F.array_distinct(F.flatten(F.collect_set("own"))))
+    return changed.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("cells"), F.count(F.lit(1)).alias("rows"), columns_.cast("long").alias("columns"))
+
+
+def repair_fills(before: DataFrame, after: DataFrame, columns: list[str], key: str, n: int = 20) -> DataFrame:
+    """column, value, cells: what blank cells of each column became, the ``n`` most frequent values; of ties the smallest."""
+    became = _changes(before, after, columns, key).filter((strip(F.col("was")) == "") & (strip(F.col("now")) != ""))
+    counts = became.groupBy("column", F.col("now").alias("value")).agg(F.count(F.lit(1)).alias("cells"))
+    ranked = counts.withColumn("_k", F.row_number().over(Window.partitionBy("column").orderBy(F.desc("cells"), "value")))
+    return ranked.filter(F.col("_k") <= n).select("column", "value", "cells")
+
+
+def repair_examples(before: DataFrame, after: DataFrame, columns: list[str], key: str, n: int = 20) -> DataFrame:
+    """column, key, was, now of the first ``n`` changed cells of each column, to look at; a task gives at most ``n`` for each."""
+    changed = _changes(before, after, columns, key)
+    ranked = changed.withColumn("_n", F.row_number().over(Window.partitionBy("column").orderBy("_k"))).filter(F.col("_n") <= n)
+    return ranked.select("column", F.col("_k").alias("key"), "was", "now")

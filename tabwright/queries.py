@@ -1316,3 +1316,144 @@ def fill_forward_by_group(spark, d):
     """Groups of a fifth of all rows, and one may hold them all: each spreads over range parts."""
     rows = read(spark, d, "events").select("event_id", "event_type", F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("v"))
     return repair.repair(rows, repair.Repair("fillForward", ("v",), groups=("event_type",), by_group=True), ["event_id"]).select("event_id", "v")
+
+
+def _gaps(spark, d):
+    """Orders with a fifth of the prices and a third of the priorities blank, before and after fills."""
+    k = F.col("o_orderkey")
+    before = read(spark, d, "orders").select("o_orderkey", F.when(k % 5 > 0, F.col("o_orderstatus")).alias("o_orderstatus"), F.when(k % 3 > 0, F.col("o_orderpriority")).alias("o_orderpriority"))
+    filled = repair.repair(before, repair.Repair("fillConstant", ("o_orderpriority",), value="none"))
+    return before, repair.repair(filled, repair.Repair("fillMode", ("o_orderstatus",)))
+
+
+@query("SELECT CAST(count(*) FILTER (o_orderkey % 5 = 0) + count(*) FILTER (o_orderkey % 3 = 0) AS BIGINT) AS cells, count(*) FILTER (o_orderkey % 5 = 0 OR o_orderkey % 3 = 0) AS rows, 2 AS columns FROM orders")
+def repair_totals(spark, d):
+    return repair.repair_totals(*_gaps(spark, d), ["o_orderstatus", "o_orderpriority"], "o_orderkey")
+
+
+@query("SELECT 'o_orderpriority' AS \"column\", 'none' AS value, count(*) AS cells FROM orders WHERE o_orderkey % 3 = 0 UNION ALL SELECT 'o_orderstatus', (SELECT o_orderstatus FROM orders WHERE o_orderkey % 5 > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1), count(*) FROM orders WHERE o_orderkey % 5 = 0")
+def repair_fills(spark, d):
+    """Which value the blanks of a column got."""
+    return repair.repair_fills(*_gaps(spark, d), ["o_orderstatus", "o_orderpriority"], "o_orderkey")
+
+
+@query("(SELECT 'o_orderpriority' AS \"column\", o_orderkey AS key, '' AS was, 'none' AS now FROM orders WHERE o_orderkey % 3 = 0 ORDER BY 2 LIMIT 7) UNION ALL (SELECT 'o_orderstatus', o_orderkey, '', (SELECT o_orderstatus FROM orders WHERE o_orderkey % 5 > 0 GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) FROM orders WHERE o_orderkey % 5 = 0 ORDER BY 2 LIMIT 7)")
+def repair_examples(spark, d):
+    return repair.repair_examples(*_gaps(spark, d), ["o_orderstatus", "o_orderpriority"], "o_orderkey", 7)
+
+
+def _refused(act) -> bool:
+    try:
+        act()
+    except (ValueError, FileExistsError):
+        return True
+    except Exception as e:  # noqa: BLE001  Spark's own refusal to write over a path
+        return "ALREADY_EXISTS" in str(e)
+    return False
+
+
+@query("""SELECT 'join output' AS what, count(*) > 10 AS refused FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+UNION ALL SELECT 'pivot columns', count(DISTINCT o_custkey) > 5 FROM orders
+UNION ALL SELECT 'pivot without aggregation', max(n) > 1 FROM (SELECT count(*) AS n FROM orders GROUP BY o_custkey, o_orderstatus)
+UNION ALL SELECT 'lookup with repeated keys', max(n) > 1 FROM (SELECT count(*) AS n FROM lineitem GROUP BY l_orderkey)
+UNION ALL SELECT 'writing over files', true UNION ALL SELECT 'recipe without export', true UNION ALL SELECT 'recipe of a newer version', true UNION ALL SELECT 'outputs of one name', true UNION ALL SELECT 'duplicate headers', true""")
+def refusals(spark, d):
+    """Jobs that would do harm or can't be right are refused, after a look at the tables."""
+    orders, lines, path = read(spark, d, "orders"), read(spark, d, "lineitem"), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    export.write_delimited(orders.select("o_orderkey"), path)
+    on, write = (("o_orderkey", "l_orderkey"),), {"kind": "export", "name": "same"}
+    tried = {
+        "join output": lambda: joins.join_tables(orders, lines, joins.JoinSpec("inner", on, max_output_rows=10)),
+        "pivot columns": lambda: reshape.pivot(orders, reshape.Pivot(("o_orderstatus",), "o_custkey", "o_totalprice", "sum", max_columns=5)),
+        "pivot without aggregation": lambda: reshape.pivot(orders, reshape.Pivot(("o_custkey",), "o_orderstatus", "o_totalprice")),
+        "lookup with repeated keys": lambda: joins.join_tables(orders, lines, joins.JoinSpec("left", on, lookup=True)),
+        "writing over files": lambda: export.write_delimited(orders.select("o_orderkey"), path),
+        "recipe without export": lambda: recipe.validate_recipe(recipe.Recipe("r", ({"kind": "filter"},)), [path], {}),
+        "recipe of a newer version": lambda: recipe.validate_recipe(recipe.Recipe("r", (write,), 2), [path], {}),
+        "outputs of one name": lambda: recipe.validate_recipe(recipe.Recipe("r", (write,)), [f"{path}/a", f"{path}/b"], {}),
+        "duplicate headers": lambda: append.append_tables({"a": orders.select(F.col("o_orderkey").alias("k"), F.col("o_custkey").alias("K "))}, append.Append("nameInsensitive")),
+    }
+    return spark.createDataFrame([(what, _refused(act)) for what, act in tried.items()], "what string, refused boolean")
+
+
+@query("SELECT o_orderpriority AS value, count(*) AS count FROM orders WHERE o_totalprice > 200000 AND o_orderkey % 2 = 0 GROUP BY 1 ORDER BY count DESC, value LIMIT 3")
+def top_values_in_scope(spark, d):
+    return profile.top_values(read(spark, d, "orders"), "o_orderpriority", 3, scope=(F.col("o_totalprice") > 200_000) & (F.col("o_orderkey") % 2 == 0))
+
+
+@query("SELECT 'o_custkey' AS \"column\", count(*) AS rows, count(DISTINCT o_custkey) AS distinct, min(o_custkey) * 1.0::DOUBLE AS low FROM orders WHERE o_orderstatus = 'F'")
+def profile_in_scope(spark, d):
+    return profile.profile_columns(read(spark, d, "orders"), ["o_custkey"], scope=F.col("o_orderstatus") == "F").select("column", "rows", "distinct", F.col("low").cast("double").alias("low"))
+
+
+@query("SELECT input, status, mapped, missing, rows FROM (SELECT 'customers' AS input, 'ok' AS status, ['key', 'segment'] AS mapped, [] :: VARCHAR[] AS missing, count(*) AS rows FROM customer UNION ALL SELECT 'suppliers', 'ok', ['key'], ['segment'], count(*) FROM supplier UNION ALL SELECT 'twice', 'failed', [], [], 0)")
+def append_report_with_failures(spark, d):
+    """An input with a header twice fails, the others go on; the report shows what each column maps to."""
+    c = read(spark, d, "customer").select(F.col("c_custkey").alias("key"), F.col("c_mktsegment").alias("segment"))
+    s = read(spark, d, "supplier").select(F.col("s_suppkey").alias("KEY"))
+    twice = read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias(" Key"))
+    return append.append_report({"customers": c, "suppliers": s, "twice": twice}, append.Append("nameInsensitive", continue_on_error=True))
+
+
+@query("SELECT p_partkey AS key FROM part UNION ALL SELECT s_suppkey FROM supplier")
+def append_first_of_duplicate_headers(spark, d):
+    twice = read(spark, d, "part").select(F.col("p_partkey").alias("key"), F.col("p_size").alias(" key"))
+    return append.append_tables({"parts": twice, "suppliers": read(spark, d, "supplier").select(F.col("s_suppkey").alias("key"))}, append.Append(duplicate_headers="first"))
+
+
+_HEADS = "(SELECT n_nationkey AS i, CASE WHEN n_nationkey % 10 = 0 THEN '' WHEN n_nationkey % 2 = 0 THEN lower(r_name) ELSE r_name END AS h FROM nation JOIN region ON n_regionkey = r_regionkey)"
+
+
+@query(f"""WITH h AS (SELECT i, h, count(*) OVER (PARTITION BY h) AS same, count(*) OVER (PARTITION BY lower(h)) AS alike FROM {_HEADS})
+SELECT 'duplicateHeaders' AS issue, count(*) AS count, string_agg(i, ',' ORDER BY i) AS detail FROM h WHERE same > 1 AND h <> ''
+UNION ALL SELECT 'duplicateHeadersCaseInsensitive', count(*), string_agg(i, ',' ORDER BY i) FROM h WHERE alike > 1 AND h <> ''
+UNION ALL SELECT 'blankHeaders', count(*), string_agg(i, ',' ORDER BY i) FROM h WHERE h = ''""")
+def header_issues_of_files(spark, d):
+    """Headers as they stand in a file: a nation's column is named by its region, so names repeat, some in another case, and some are blank."""
+    k = F.col("n_nationkey")
+    named = read(spark, d, "nation").join(read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    cell = F.when(k % 10 == 0, "").when(k % 2 == 0, F.lower("r_name")).otherwise(F.col("r_name"))
+    head = named.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(k.alias("i"), cell.alias("h")))), lambda x: x["h"]), ",").alias("value"))
+    first = delimited.shapes(spark, _as_lines(spark, head, 1), delimited.Dialect(header_rows=0)).first()["first"]
+    return spark.createDataFrame([(i, n, t) for i, _, n, t in diagnose.header_issues(first)], "issue string, count long, detail string")
+
+
+@query("SELECT count(*) AS customers, count(*) AS differing, count(DISTINCT c_name) AS pseudonyms FROM customer")
+def pseudonyms_by_salt(spark, d):
+    """Another salt gives every value another pseudonym, the same salt the same; equal values share theirs."""
+    a, b = pii.new_salt(), pii.new_salt()
+    names = read(spark, d, "customer").select("c_name", *[fn.pseudonym(F.col("c_name"), "secret", s).alias(n) for s, n in ((a, "x"), (a, "y"), (b, "z"))])
+    return names.agg(F.count(F.when(F.col("x") == F.col("y"), 1)).alias("customers"), F.count(F.when(F.col("x") != F.col("z"), 1)).alias("differing"), F.countDistinct("x").alias("pseudonyms"))
+
+
+@query("SELECT CAST(event_id AS VARCHAR) AS id FROM events WHERE event_id % 2 = 1")
+def follow_new_rows(spark, d):
+    """Rows of the batches after the first one: what came since someone looked."""
+    ids, top = read(spark, d, "events").select("event_id"), f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    where = [f"{top}/{kind}" for kind in ("out", "state", "aside", "alerts")]
+    for k in (0, 1):
+        ids.filter(F.col("event_id") % 2 == k).select(F.col("event_id").cast("string")).coalesce(2).write.mode("append").text(f"{top}/in")
+        stream = follow.follow(spark, f"{top}/in", ["id"], delimited.Dialect(header_rows=0))
+        follow.start(stream, *where, available_now=True).awaitTermination()
+    return follow.new_rows(spark, where[0], 0).select("id")
+
+
+@query("SELECT status, count(*) AS files FROM (SELECT CASE WHEN n_nationkey = 0 THEN 'removed' WHEN n_nationkey % 4 = 1 THEN 'changed' ELSE 'same' END AS status FROM nation UNION ALL SELECT 'added') GROUP BY 1")
+def changed_files(spark, d):
+    """Two listings of a folder: one file for each nation, some rewritten, one gone, one new."""
+    rows = read(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("value"))
+    top = f"{shared_folder(spark)}/files-{uuid.uuid4().hex}"
+    rows.repartition("n_nationkey").write.partitionBy("n_nationkey").text(f"{top}/made")
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    store = hadoop.Path(top).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    place = lambda k: hadoop.Path(f"{top}/in/{k}.txt")
+    store.mkdirs(hadoop.Path(f"{top}/in"))
+    for k in range(25):
+        store.rename(store.globStatus(hadoop.Path(f"{top}/made/n_nationkey={k}/part-*"))[0].getPath(), place(k))
+    before = persisted(delimited.file_listing(spark, f"{top}/in"))
+    store.delete(place(0), False)
+    for k in [25, *range(1, 25, 4)]:
+        again = store.create(place(k), True)
+        again.write(65)
+        again.close()
+    return delimited.changed_files(before, delimited.file_listing(spark, f"{top}/in")).groupBy("status").agg(F.count(F.lit(1)).alias("files"))
