@@ -26,6 +26,8 @@ NO_NULL, END = "\x00\x01null\x01\x00", "\ue0f1end\ue0f2"
 MARKS = {b"\xef\xbb\xbf": "utf-8", b"\xff\xfe": "utf-16le", b"\xfe\xff": "utf-16be"}
 #: Fields of a record that are counted at first; wider records are counted again with more.
 FIELDS = 32
+#: Rows of a table with one for each file that may be sent to all tasks.
+MOST_FILES = 200_000
 
 
 @dataclass(frozen=True)
@@ -222,18 +224,20 @@ def read_delimited(spark: SparkSession, paths: str | list[str] | Files, dialect:
     names = [f"Column {i + 1}" for i in range(width)]
     lead = first + dialect.header_rows
     if lead or last:
+        # one row for each file: sent to all tasks where the files are few
+        each = F.broadcast if len(rows.inputFiles()) <= MOST_FILES else lambda table: table
         # the few first and last records of each file, by partial aggregates of order keys
         found = rows
         if lead:
             head = _ends(found, lead, True)
-            found = found.join(F.broadcast(head), FILE).filter(F.col(ROW) > F.col("_edge"))
+            found = found.join(each(head), FILE).filter(F.col(ROW) > F.col("_edge"))
             if dialect.header_rows:
-                top = rows.join(F.broadcast(head), FILE).filter(F.col(ROW) <= F.col("_edge")).orderBy(ROW).limit(lead).collect()
+                top = rows.join(each(head), FILE).filter(F.col(ROW) <= F.col("_edge")).orderBy(ROW).limit(lead).collect()
                 names = header_names([[r[c] for c in cells] for r in top[first:]], dialect.header_joiner)
             found = found.drop("_edge")
         if last:
             tail = _ends(rows, last, False)
-            found = found.join(F.broadcast(tail), FILE).filter(F.col(ROW) < F.col("_edge")).drop("_edge")
+            found = found.join(each(tail), FILE).filter(F.col(ROW) < F.col("_edge")).drop("_edge")
         rows = found
     out = [F.coalesce(F.col(c), F.lit("")).alias(n) for c, n in zip(cells, names)]
     return rows.select(*out, *([FILE, ROW] if keep_row else []), *([RECORD] if record_numbers else []))

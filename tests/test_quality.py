@@ -1,6 +1,8 @@
 """Profiles, diagnostics, rules, outliers, repair, comparison, clusters, personal data, scalars."""
 # The small tables and results of FIXTURES.md, each of which pins a rule that has to be met exactly.
 
+# Small tables whose expected values pin a surveyed rule (FIXTURES.md names the rules). Other data are the tests' own.
+
 
 import hashlib
 import hmac
