@@ -6,7 +6,9 @@ associatively, the state before each code point comes from a blocked scan over i
 boundaries are dictionary-encoded by Arrow, so pair merging runs once per distinct slice and is cached.
 
 Nulls count as empty texts and encode to no ids. Texts of any length are worked on whole. Rows keep their other
-columns; an output takes the place of a column of its name.
+columns; an output takes the place of a column of its name. Rows are encoded one by one, whatever their ids, so repeated
+rows come out as often as they went in; an empty table gives an empty one. Of pairs of one rank the leftmost is merged
+first, as the library does.
 """
 
 from __future__ import annotations

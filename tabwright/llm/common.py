@@ -5,7 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import sys
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tabwright.operators.order import shared_folder
+
 #: A side table is broadcast if its values come to at most so many bytes, which is measured; else the join is shuffled.
 BROADCAST_BYTES = 48 << 20
 #: UTF-8 bytes that a Python task works on at a time; one longer text makes a chunk of its own.
@@ -26,17 +27,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder: the session's ``spark.checkpoint.dir``; where none is set a local one is made, which serves a local master alone."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        own = context.getConf().get("spark.checkpoint.dir")
-        if own is None and not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(own or tempfile.mkdtemp(prefix="spark-"))
-    return context.getCheckpointDir()
-
-
 def saved(df: DataFrame) -> DataFrame:
     """Cut the lineage through the shared folder, so that lost executors cost no recomputation."""
     shared_folder(df.sparkSession)

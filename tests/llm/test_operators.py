@@ -55,7 +55,7 @@ def test_bpe_equals_the_library(reference):
     rng = random.Random(1)
     alphabet = "ab'sdtrevlm  \n\t1２é　!?.漢🙂ⅷ'"
     all_texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(40))) for _ in range(4000)] + ["", " ", "'", "''s", "  's", "a" * 3000, "ab" * 2000 + "  ", "\ufeff\x00x"]
-    all_texts += ["a" + chr(i) + "1" + chr(i) + " b" for i in range(0x3100) if not 0xD800 <= i < 0xE000]
+    all_texts += ["a" + chr(i) + "1" + chr(i) + " b" for i in [*range(0x3100), *range(0x3100, 0x110000, 97)] if not 0xD800 <= i < 0xE000]
     own = bpe.tokenizer(bpe.default_ranks())
     ids, at, _, _ = own.encode(*flat(strings(pa.array(all_texts))))
     ids = ids.to_numpy()
@@ -70,6 +70,8 @@ def test_bpe_encode_decode(frame, reference):
         assert out[i]["ids"] == reference.encode_ordinary(t) and bytes(out[i]["decoded"]) == t.encode()
         assert (out[i]["offsets"] or [0])[-1] == len(t.encode()) and len(out[i]["offsets"]) == len(out[i]["ids"])
     assert bpe.encode(frame("x").limit(0)).count() == 0
+    twice = frame("It's 12", "It's 12", "It's 12").withColumn("doc_id", F.lit(1))
+    assert [r["ids"] for r in bpe.encode(twice).collect()] == [reference.encode_ordinary("It's 12")] * 3
 
 
 def test_op2(spark, texts, reference):
