@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabwright.functions.cells import blank_of, col, java_regex, num_of, rendered, require, strip, text_of
-from tabwright.operators.order import persisted
 from tabwright.operators.quantile import group_quantiles
 
 NUMERIC = ("iqr", "mad", "zscore", "percentile")
@@ -64,8 +63,6 @@ def _quantiles(rows: DataFrame, names: list[str], x: str, shares: dict[str, floa
 def outlier_bounds(df: DataFrame, spec: Outlier) -> DataFrame:
     """Per group (_g0..): n, mean, median, sd, q1, q3, mad, low, high."""
     rows, names = _keyed(df, spec), _groups(spec)
-    if spec.kind == "mad":  # read again for the deviations
-        rows = persisted(rows.select(*names, "_x"))
     stats = rows.groupBy(*names).agg(F.count("_x").alias("n"), F.avg("_x").alias("mean"), F.coalesce(F.stddev_samp("_x"), F.lit(0.0)).alias("sd"))
     found = _quantiles(rows, names, "_x", {"median": 0.5, "q1": 0.25, "q3": 0.75, "_p_low": spec.low / 100, "_p_high": spec.high / 100}, spec.approximate)
     stats = stats.join(found, names, "left") if names else stats.crossJoin(F.broadcast(found))
