@@ -7,7 +7,10 @@ its segment i, for some i, is whole and no more than i places off in a line that
 are indexed by (length class, segment, hash), and every line probes the places at which it may hold the segments of
 lines up to k shorter. Lines that meet are compared where they meet, those of crowded keys in blocks that are dealt
 out by key and block; a pair counts at the first segment it shares, and a task gives one row per line and block, never
-one per pair. Pairs are verified by a banded bit-parallel edit distance: one word per number of edits holds the
+one per pair. A key that is crowded by a passage which lines share, while they differ elsewhere, is refined: an edit
+changes at most q of a line's substrings of q code points, so lines at most k edits apart share one of the k * q + 1
+that come first in any common order. The order is by how rare substrings are among the lines of crowded keys, and lines
+meet by key and substring where that halves the pairs at least. Pairs are verified by a banded bit-parallel edit distance: one word per number of edits holds the
 diagonals that are alive, and all pairs of a batch step through their lines at once.
 
 Lines are told apart by a 128-bit digest of their bytes; the hashes of segments only bring pairs together, which are then
@@ -43,6 +46,8 @@ ONE_EDIT = ((MIN_CHARS, 1),)
 BANDS = ((MIN_CHARS, 1), (40, 2), (60, 3), (80, 4), (100, 5))
 #: Lines indexed by a crowded key that one block compares with the others.
 BLOCK = 256
+#: Code points of the substrings that refine crowded keys, at most, and buckets in which they are counted.
+GRAM, GRAM_BUCKETS = 4, 1 << 16
 #: Places of a line beyond which it is looked up apart from the others.
 HOT = 1_000
 #: Pairs, and code points of their lines, that are verified at a time.
@@ -334,14 +339,87 @@ def _shares_before(short: str, long: str, segment: int, shape: tuple[int, int, i
     return False
 
 
+def _gram(bands) -> int:
+    """Code points of the substrings that refine crowded keys: few enough that every line has one more than edits may change."""
+    return max(1, min(GRAM, *(start // (k + 1) for start, k in bands)))
+
+
+def _grams(said: pa.Array, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all substrings of q code points: the number of their line, their hash, and how often the line has had it before; by line and hash. And the sizes of the lines."""
+    data, offsets = flat(said)
+    ends = _leads(data)[offsets]
+    sizes = np.diff(ends)
+    many = np.maximum(sizes - q + 1, 0)
+    line = np.repeat(np.arange(len(many)), many)
+    at = np.arange(len(line)) - np.repeat(np.cumsum(many) - many - ends[:-1], many)
+    gram = _Hashes(_points(data))(at, at + q)
+    order = np.lexsort((gram, line))
+    line, gram = line[order], gram[order]
+    n = np.arange(len(line))
+    fresh = np.append(True, (line[1:] != line[:-1]) | (gram[1:] != gram[:-1]))[: len(n)]
+    return line, gram, n - np.maximum.accumulate(np.where(fresh, n, 0)), sizes
+
+
+def _gram_counts(said: DataFrame, q: int) -> np.ndarray:
+    """How many substrings of the lines fall into each bucket: a table of GRAM_BUCKETS numbers, whatever the lines."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(GRAM_BUCKETS, np.int64)
+        for batch in batches:
+            column = strings(batch.column("said"))
+            for a, b in chunks(column):
+                total += np.bincount((_grams(column.slice(a, b - a), q)[1] % np.uint64(GRAM_BUCKETS)).astype(np.int64), minlength=GRAM_BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(total[some])], names=["bucket", "n"])
+
+    out = np.zeros(GRAM_BUCKETS, np.int64)
+    for bucket, n in said.select("said").mapInArrow(tidy(run), "bucket int, n long").groupBy("bucket").agg(F.sum("n")).collect():
+        out[bucket] = n
+    return out
+
+
+def _mark_rows(said: DataFrame, bands) -> DataFrame:
+    """hash, hash2, marks (ascending): the rarest substrings of each line, one more than the edits it is allowed can change; those that repeat in a line are told apart."""
+    q = _gram(bands)
+    rare = _gram_counts(said, q)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = strings(batch.column("said"))
+            for a, b in chunks(column):
+                line, gram, again, sizes = _grams(column.slice(a, b - a), q)
+                order = np.lexsort((again, gram, rare[(gram % np.uint64(GRAM_BUCKETS)).astype(np.int64)], line))
+                rank = np.arange(len(line)) - np.searchsorted(line, line)
+                order = order[rank < allowed(sizes, bands)[line] * q + 1]
+                marks = _fold(gram[order], again[order]).view(np.int64)
+                order = line[order]
+                ascending = np.lexsort((marks, order))
+                ends = np.append(0, np.bincount(order, minlength=b - a).cumsum())
+                lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(marks[ascending]))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(a, b - a) for c in IDS), lists], names=[*IDS, "marks"])
+
+    return said.select(*IDS, "said").mapInArrow(tidy(run), "hash long, hash2 long, marks array<long>")
+
+
+def _first_met(marks: np.ndarray, mark: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether each pair of rows shares no mark before the one it meets at."""
+    out = np.ones(len(i), bool)
+    for column in marks.T:
+        open_ = np.flatnonzero(out & (column[i] < mark[i]))
+        if not len(open_):
+            break  # marks ascend
+        out[open_] = ~(marks[j[open_]] == column[i[open_], None]).any(1)
+    return out
+
+
 def _compare(bands):
-    """For mapInArrow over members that are sorted by spot, block, and the indexed ones first: hash, hash2, place of the earliest first place of lines near it, n of them met here."""
+    """For mapInArrow over members that are sorted by spot, mark (null where the key isn't refined), block, and the indexed ones first: hash, hash2, place of the earliest first place of lines near it, n of them met here."""
 
     def pairs_of(rows: pa.Table, done: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of an indexed row and a later one of its spot and block; rows before ``done`` have met already."""
-        spot, block, segment = (rows[c].fill_null(-1).to_numpy() for c in ("spot", "block", "segment"))
+        spot, mark, block, segment = (rows[c].fill_null(-1).to_numpy() for c in ("spot", "mark", "block", "segment"))
         n = np.arange(len(spot))
-        fresh = np.append(True, (spot[1:] != spot[:-1]) | (block[1:] != block[:-1]))
+        fresh = np.append(True, (spot[1:] != spot[:-1]) | (mark[1:] != mark[:-1]) | (block[1:] != block[:-1]))
         start = np.maximum.accumulate(np.where(fresh, n, 0))
         indexed = np.append(0, np.cumsum(segment >= 0))
         count = np.where(n >= done, indexed[n] - indexed[start], 0)
@@ -369,6 +447,10 @@ def _compare(bands):
             rank = np.empty(rows.num_rows, np.int64)
             rank[pc.sort_indices(rows, [("_k", "ascending"), ("_t", "ascending"), ("line", "ascending")], null_placement="at_end").to_numpy()] = np.arange(rows.num_rows)
             at_rank = np.argsort(rank)
+            mark, lists = rows["mark"].fill_null(0).to_numpy(), rows["marks"].combine_chunks()
+            counts = pc.list_value_length(lists).fill_null(0).to_numpy(zero_copy_only=False)
+            marks = np.full((rows.num_rows, int(counts.max(initial=0))), np.iinfo(np.int64).max)
+            marks[np.arange(marks.shape[1]) < counts[:, None]] = lists.flatten().to_numpy()
             for i, j in pairs_of(rows, done):
                 swap = (sizes[i] > sizes[j]) | ((sizes[i] == sizes[j]) & (hashes[i] > hashes[j]))
                 # a longer line that only looks here is indexed in a block of its own, where the pair counts
@@ -377,6 +459,8 @@ def _compare(bands):
                 short, long = np.where(swap, j, i), np.where(swap, i, j)
                 edits = allowed(sizes[short], bands)
                 some = sizes[long] - sizes[short] <= edits
+                i, j, short, long, edits = i[some], j[some], short[some], long[some], edits[some]
+                some = _first_met(marks, mark, i, j)
                 i, short, long, edits = i[some], short[some], long[some], edits[some]
                 if not len(i):
                     continue
@@ -395,9 +479,9 @@ def _compare(bands):
                 place = rows.take(pa.array(at_rank[near[met]])).combine_chunks()
                 columns = [*(pa.array(h[met]) for h in halves), *(place[c].combine_chunks() if isinstance(place[c], pa.ChunkedArray) else place[c] for c in ("_k", "_t", "line")), pa.array(n[met])]
                 yield pa.RecordBatch.from_arrays(columns, names=[*IDS, "_k", "_t", "line", "n"])
-            # the indexed rows of the last spot and block may meet rows of the next batch
+            # the indexed rows of the last spot, mark and block may meet rows of the next batch
             spot, block = rows["spot"].to_numpy(), rows["block"].to_numpy()
-            open_ = np.flatnonzero((spot == spot[-1]) & (block == block[-1]) & (segment >= 0)) if len(spot) else np.zeros(0, np.int64)
+            open_ = np.flatnonzero((spot == spot[-1]) & (mark == mark[-1]) & (block == block[-1]) & (segment >= 0)) if len(spot) else np.zeros(0, np.int64)
             kept = rows.take(pa.array(open_)).combine_chunks()
 
     return tidy(run)
@@ -411,6 +495,24 @@ def _texts(named: DataFrame, wanted: DataFrame) -> DataFrame:
     return texts.select(*[F.col("_one").getField(c).alias(c) for c in IDS], said.alias("said"), "_k", "_t", F.col("_one.line").alias("line")).dropDuplicates(IDS)
 
 
+def _refined(members: DataFrame, said: DataFrame, bands) -> DataFrame:
+    """Members with mark and marks, and as many blocks as their spot, or their spot and mark, needs: null where the spot stays as it is, else a row for each mark at which the line may meet another."""
+    plain = members.withColumn("mark", F.lit(None).cast("long")).withColumn("marks", F.lit(None).cast("array<long>"))
+    crowded = saved(members.filter("blocks > 1").drop("blocks"))
+    if crowded.isEmpty():
+        return plain
+    marks = saved(_mark_rows(said.join(sized(saved(crowded.select(*IDS).distinct())), IDS, "left_semi"), bands))
+    at_marks = crowded.join(sized(marks), IDS).withColumn("mark", F.explode("marks"))
+    tally = [F.count(F.lit(1)).alias("n"), F.count("segment").alias("n_own")]
+    cells = saved(at_marks.groupBy("spot", "mark").agg(*tally).filter("n > 1 AND n_own > 0"))
+    fine = cells.groupBy("spot").agg(F.sum(F.col("n").cast("double") * F.col("n_own")).alias("fine"))
+    spots = crowded.groupBy("spot").agg(*tally).join(fine, "spot", "left").filter("coalesce(fine, 0) * 2 <= cast(n AS double) * n_own")
+    spots = sized(saved(spots.select("spot")))
+    cells = cells.join(spots, "spot", "left_semi").select("spot", "mark", F.ceil(F.col("n_own") / BLOCK).cast("int").alias("blocks"))
+    chosen = at_marks.join(spots, "spot", "left_semi").join(cells, ["spot", "mark"])
+    return plain.join(spots, "spot", "left_anti").unionByName(chosen)
+
+
 def near_lines(named: DataFrame, firsts: DataFrame, bands) -> DataFrame:
     """hash, hash2, near_first (the earliest first place of lines near it), n_links (how many other lines are near it)."""
     places = firsts.filter(F.col("size") >= bands[0][0]).select(*IDS, F.col("first.k").alias("_k"), F.col("first.t").alias("_t"), F.col("first.line").alias("line"))
@@ -421,10 +523,11 @@ def near_lines(named: DataFrame, firsts: DataFrame, bands) -> DataFrame:
     members = rows.join(met, "spot").groupBy("spot", *IDS).agg(F.min(F.when(F.col("at") < F.col("n_own"), F.col("at"))).alias("segment"), F.first("blocks").alias("blocks"))
     members = saved(members)
     said = saved(_texts(named, places.join(sized(saved(members.select(*IDS).distinct())), IDS, "left_semi")))
+    members = _refined(members, said, bands)
     home = F.pmod(F.xxhash64("hash"), F.col("blocks")).cast("int")
     dealt = members.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("segment", F.when(F.col("block") == home, F.col("segment")))
-    dealt = dealt.join(said, IDS).select("spot", "block", "segment", *IDS, "said", "_k", "_t", "line")
-    dealt = dealt.repartition("spot", "block").sortWithinPartitions("spot", "block", F.col("segment").asc_nulls_last())
+    dealt = dealt.join(said, IDS).select("spot", "mark", "marks", "block", "segment", *IDS, "said", "_k", "_t", "line")
+    dealt = dealt.repartition("spot", "mark", "block").sortWithinPartitions("spot", "mark", "block", F.col("segment").asc_nulls_last())
     kind = named.schema["_k"].dataType.simpleString()
     ways = saved(dealt.mapInArrow(_compare(bands), f"hash long, hash2 long, _k {kind}, _t long, line int, n long"))
     return ways.groupBy(*IDS).agg(F.min(_place()).alias("near_first"), F.sum("n").alias("n_links"))

@@ -323,6 +323,75 @@ def test_a_large_batch_against_a_tiny_or_empty_snapshot(spark, monkeypatch):
         assert out.count() == 20_000 and out.filter("met").count() == max(n - 5, 0) and out.filter("kept").count() == 20_000 - max(n - 5, 0)
 
 
+def test_lines_that_share_a_long_passage(spark, monkeypatch):
+    """Keys crowded by one passage are refined by rare substrings: the same links as by brute force, and few pairs."""
+    monkeypatch.setattr(lines, "BLOCK", 8)
+    rng = random.Random(11)
+    word = lambda n: "".join(rng.choice("abcdefghé ") for _ in range(n))
+    shared = [(0, word(60)), (1, word(70))]
+    said = [x + word(45).strip() + "." if side == 0 else word(45).strip() + x for side, x in shared for _ in range(45)]
+    for x in rng.sample(said, 30):
+        b = list(x)
+        for _ in range(rng.randrange(1, 8)):
+            k, kind = rng.randrange(len(b)), rng.random()
+            b[k : k + (kind > 0.3)] = [rng.choice("xyab")] * (kind < 0.7)
+        said.append("".join(b).strip(WS))
+    said = list(dict.fromkeys(x.strip(WS) for x in said))
+    edits = lambda n: max((k for start, k in lines.BANDS if n >= start), default=0)
+
+    def apart(a, b):
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        a, b = a[n:][::-1], b[n:][::-1]
+        n = 0
+        while n < min(len(a), len(b)) and a[n] == b[n]:
+            n += 1
+        return lev(a[n:], b[n:])
+
+    want = collections.Counter()
+    for i, a in enumerate(said):
+        for j, b in enumerate(said[:i]):
+            if abs(len(a) - len(b)) <= 5 and apart(a, b) <= edits(min(len(a), len(b))):
+                want.update((i, j))
+    df = spark.createDataFrame(list(enumerate(said)), "doc_id long, text string").repartition(3)
+    refined, own = [], lines._refined
+
+    def spied(members, *more):
+        out = own(members, *more)
+        refined.append((members.filter("blocks > 1").select("spot").distinct().count(), out.filter("mark IS NOT NULL").select("spot").distinct().count(), out.filter("mark IS NULL AND blocks > 1").count()))
+        return out
+
+    monkeypatch.setattr(lines, "_refined", spied)
+    got = {r["doc_id"]: r["n_links"] for r in lines.line_decisions(df, bands=lines.BANDS).collect()}
+    assert got == {i: want[i] for i in range(len(said))} and sum(want.values()) > 30
+    assert refined[0][0] > 3 and refined[0][1] > 3 and refined[0][2] == 0
+
+
+@pytest.mark.parametrize("bands", [((4, 1),), ((2, 1), (6, 2)), lines.BANDS])
+def test_rare_substrings_of_near_lines_meet(bands):
+    rng = random.Random(12)
+    q, starts = lines._gram(bands), [start for start, _ in bands]
+    assert all(start - q + 1 >= k * q + 1 for start, k in bands)
+    rare = np.array([rng.randrange(50) for _ in range(lines.GRAM_BUCKETS)])
+    for _ in range(300):
+        a = "".join(rng.choice("ab") for _ in range(rng.choice(starts) + rng.randrange(6)))
+        b = list(a)
+        for _ in range(int(lines.allowed(np.array(len(a)), bands))):
+            k, kind = rng.randrange(len(b)), rng.random()
+            b[k : k + (kind > 0.3)] = [rng.choice("abx")] * (kind < 0.7)
+        pair = pa.array([a, "".join(b)])
+        line, gram, again, sizes = lines._grams(pair, q)
+        if sizes.min() < starts[0] or lev(a, "".join(b)) > lines.allowed(sizes.min(), bands):
+            continue
+        assert len(set(zip(line, gram, again))) == len(line) == (sizes - q + 1).sum()
+        kept = []
+        for n in (0, 1):
+            all_ = sorted((rare[int(g) % lines.GRAM_BUCKETS], int(g), int(x)) for m, g, x in zip(line, gram, again) if m == n)
+            kept.append(set(all_[: int(lines.allowed(sizes[n], bands)) * q + 1]))
+        assert kept[0] & kept[1]
+
+
 def test_lines_of_swapped_characters_stay(spark):
     texts = [w + tail for n in (1024, 2048, 4096) for w in hostile(n) for tail in ("", "\nthe same line", "x")]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
