@@ -28,7 +28,7 @@ from tabwright.llm.common import chunks, flat, read, replacing, saved, strings,
 from tabwright.llm.near import word_hashes
 
 #: Rows of each class (by posterior) that train the scorer, and its hash space. They bound what reaches the driver:
-#: at most 2 * SAMPLE sparse vectors of up to 2 ** HASH_BITS counts.
+#: at most 2 * SAMPLE sparse vectors of up to 2 ** HASH_BITS counts, packed (PLACE and SHARE, six bytes a count).
 SAMPLE, HASH_BITS = 1_500, 14
 EPOCHS, RATE, DECAY = 400, 2.0, 1e-5
 #: A document is rejected if it is bad with at least this chance.
@@ -197,6 +197,9 @@ MEASURES = ("mark_share", "symbol_share", "upper_share", "bang_share", "pipe_sha
 SIZE, STRESS = (1 << HASH_BITS) + 11 * len(MEASURES), 0.2
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[48:58] = 48
+#: How places and shares of the sample are packed into bytes. As arrays they would be objects, one by one, in the driver's JVM and Python.
+PLACE, SHARE = np.dtype("<u2"), np.dtype("<f4")
+assert SIZE <= 1 << 16
 
 
 @dataclass
@@ -215,30 +218,33 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(self.bias + sums / np.maximum(n, 1) + more, -50, 50)))
 
 
-def fit_scorer(rows: list[tuple[list[int], list[float]]], good: np.ndarray, prior: float) -> Scorer:
+def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], good: np.ndarray, prior: float) -> Scorer:
     """Logistic regression on trigram shares (scaled by the root of how rare they are) with soft targets; classes weigh alike."""
     size = SIZE
-    index = np.concatenate([np.asarray(i, np.int64) for i, _ in rows]) if rows else np.zeros(0, np.int64)
-    value = np.concatenate([np.asarray(v, np.float64) for _, v in rows]) if rows else np.zeros(0)
+    index = np.concatenate([i for i, _ in rows]).astype(np.int64) if rows else np.zeros(0, np.int64)
+    value = np.concatenate([v for _, v in rows]).astype(np.float64) if rows else np.zeros(0)
     row = np.repeat(np.arange(len(rows)), [len(i) for i, _ in rows])
     scale = 1 / np.sqrt(np.bincount(index, value, size) / max(len(rows), 1) + 1e-4)
     scale[1 << HASH_BITS :] = 1.0
-    value = value * scale[index]
+    work = np.empty(len(index))  # one array for all products
+    value *= np.take(scale, index, out=work, mode="clip")
     weights, bias = np.zeros(size), float(np.log(prior / (1 - prior)))
     if not len(rows) or good.min() > REJECT_AT or good.max() < REJECT_AT:
         return Scorer(weights, bias)  # one class alone: nothing to tell apart
     each = np.where(good >= 0.5, 0.5 / max((good >= 0.5).sum(), 1), 0.5 / max((good < 0.5).sum(), 1))
     bias, speed, speed_b = 0.0, np.zeros(size), 0.0
     for _ in range(EPOCHS):
-        chance = 1 / (1 + np.exp(-np.clip(np.bincount(row, value * weights[index], len(rows)) + bias, -50, 50)))
+        np.multiply(value, np.take(weights, index, out=work, mode="clip"), out=work)
+        chance = 1 / (1 + np.exp(-np.clip(np.bincount(row, work, len(rows)) + bias, -50, 50)))
         error = (chance - good) * each
-        speed = 0.9 * speed + np.bincount(index, value * error[row], size) + DECAY * weights
+        np.multiply(value, np.take(error, row, out=work, mode="clip"), out=work)
+        speed = 0.9 * speed + np.bincount(index, work, size) + DECAY * weights
         speed_b = 0.9 * speed_b + error.sum()
         weights, bias = weights - RATE * speed, bias - RATE * speed_b
     return Scorer(weights * scale, bias)
 
 
-def _sample(df: DataFrame, voted: DataFrame, patterns: np.ndarray, key: str, text: str, model: LabelModel, size: int) -> tuple[list, np.ndarray]:
+def _sample(df: DataFrame, voted: DataFrame, patterns: np.ndarray, key: str, text: str, model: LabelModel, size: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """The features and posteriors of at most ``size`` documents of each class that the votes are sure of, by the smallest hash of the key."""
     kind = df.schema[key].dataType.simpleString()
 
@@ -252,17 +258,17 @@ def _sample(df: DataFrame, voted: DataFrame, patterns: np.ndarray, key: str, tex
                 for x, y, more in zip(offsets[:-1], offsets[1:], tenths(found)):
                     own = places[x:y]
                     i, n = np.unique(own[own >= 0], return_counts=True)
-                    index.append(np.append(i, more).astype(np.int32))
-                    value.append(np.append(n / max(n.sum(), 1), np.full(len(more), STRESS)).astype(np.float32))
+                    index.append(np.append(i, more).astype(PLACE).tobytes())
+                    value.append(np.append(n / max(n.sum(), 1), np.full(len(more), STRESS)).astype(SHARE).tobytes())
                 good = model.posterior(_pattern(_votes(found)))
-                yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), pa.array(good), pa.array(index, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float32()))], names=[key, "good", "index", "value"])
+                yield pa.RecordBatch.from_arrays([batch.column(key).slice(a, b - a), pa.array(good), pa.array(index, pa.binary()), pa.array(value, pa.binary())], names=[key, "good", "index", "value"])
 
     texts, chance, picked = df.select(key, text), model.posterior(patterns), None
     for sure in (patterns[chance > 0.9], patterns[chance < 0.1]):
         own = voted.filter(F.col("pattern").isin(sure.tolist())).orderBy(F.xxhash64(key), key).limit(size).select(F.col(key).alias("_key"))
         picked = own if picked is None else picked.unionByName(own)
-    rows = texts.join(F.broadcast(picked.distinct()), texts[key] == F.col("_key"), "left_semi").mapInArrow(tidy(run), f"`{key}` {kind}, good double, index array<int>, value array<float>").orderBy(F.xxhash64(key), key).limit(4 * size).collect()
-    return [(r["index"], r["value"]) for r in rows], np.array([r["good"] for r in rows])
+    rows = texts.join(F.broadcast(picked.distinct()), texts[key] == F.col("_key"), "left_semi").mapInArrow(tidy(run), f"`{key}` {kind}, good double, index binary, value binary").orderBy(F.xxhash64(key), key).limit(4 * size).collect()
+    return [(np.frombuffer(r["index"], PLACE), np.frombuffer(r["value"], SHARE)) for r in rows], np.array([r["good"] for r in rows])
 
 
 def train(df: DataFrame, key: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> tuple[LabelModel, Scorer]:

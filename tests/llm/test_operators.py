@@ -565,6 +565,35 @@ def test_quality_of_other_junk(spark):
     assert sorted((k for k in kept if k is None or k >= 3000), key=repr) == [3000, 3000, 3001, 3002, 3003, 3004, None]
 
 
+def test_quality_sample_stays_small_on_the_driver(spark, monkeypatch):
+    """The features of the sample come as packed bytes: no object for each of them in the driver, which has to hold them all."""
+    import tracemalloc
+
+    rng = random.Random(14)
+    texts = ["".join(rng.choices("abcdefghij klmnop\u00e9", k=4000)) for _ in range(150)] + ["<{#&" * 300] * 50 + [None, ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen, own = [], quality._sample
+
+    def traced(*args):
+        tracemalloc.start()
+        try:
+            seen.append(own(*args))
+            seen.append(tracemalloc.get_traced_memory()[1])
+        finally:
+            tracemalloc.stop()
+        return seen[0]
+
+    monkeypatch.setattr(quality, "_sample", traced)
+    quality.train(df)
+    (rows, good), most = seen
+    assert len(rows) == len(good) > 100
+    for places, shares in rows:  # as they were: places of trigrams and tenths, shares that sum up to one and the tenths' weight
+        assert len(places) == len(shares) and max(places) < quality.SIZE
+        assert abs(sum(shares) - 1 - quality.STRESS * len(quality.MEASURES)) < 1e-3
+    n = sum(len(places) for places, _ in rows)
+    assert n > 100_000 and most < 20 * n
+
+
 # --- 6: secrets -----------------------------------------------------------------------------------------------------
 
 
