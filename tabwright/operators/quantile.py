@@ -32,15 +32,19 @@ NARROWED = 6
 
 def group_quantiles(df: DataFrame, groups: dict[str, Column], value: Column, shares: list[float], most_values: int = MOST_VALUES) -> DataFrame:
     """One row per group that has values: the groups' columns, then q0, q1...: the values at the shares (0..1) of each group, linear between ranks. Null groups are groups; null values don't count."""
-    names = list(groups)
-    cells = df.select(*[c.alias(n) for n, c in groups.items()], value.cast("double").alias("_x")).filter("_x IS NOT NULL")
+    # groups go by names of our own inside, so that none of theirs meets a column made here
+    names = [f"_g{i}" for i in range(len(groups))]
+    cells = df.select(*[c.alias(n) for n, c in zip(names, groups.values())], value.cast("double").alias("_x")).filter("_x IS NOT NULL")
+    given = [F.col(n).alias(g) for n, g in zip(names, groups)]
     largest = cells.groupBy(*names).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
     if largest <= most_values:
         found = cells.groupBy(*names).agg(F.percentile("_x", F.array(*[F.lit(float(s)) for s in shares])).alias("_q"))
-        return found.select(*names, *[F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(shares))])
+        return found.select(*given, *[F.get("_q", F.lit(i)).alias(f"q{i}") for i in range(len(shares))])
     cells = persisted(cells)
     found = _by_brackets(cells, names, shares, most_values)
-    return _by_ranks(cells, names, shares) if found is None else found
+    if found is None:
+        found = _by_ranks(cells, names, shares)
+    return found.select(*given, *[f"q{i}" for i in range(len(shares))])
 
 
 def _beside(cells: DataFrame, table: DataFrame, names: list[str]) -> DataFrame:

@@ -7,6 +7,7 @@
 import hashlib
 import hmac
 import random
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 from tabwright.functions import cells
 from tabwright.functions import pairs
 from tabwright.functions import text as fn
-from tabwright.operators import cluster, compare, diagnose, graph, order, outlier, pii, profile, repair, rules, semantic, transform
+from tabwright.operators import cluster, compare, diagnose, graph, order, outlier, pii, profile, quantile, repair, rules, semantic, transform
 
 
 def values(spark, f, *inputs):
@@ -40,6 +41,15 @@ def test_profile(table, rows):
     assert (d["earliest"], d["latest"], d["kind"]) == ("2023-12-25", "2024-03-01", "date")
 
 
+def test_profile_of_large_columns(spark, monkeypatch):
+    """Columns with more values than one aggregate may hold, side by side, one of them without any."""
+    monkeypatch.setattr(profile, "group_quantiles", partial(quantile.group_quantiles, most_values=50))
+    n = 1_003
+    df = spark.range(n).select(F.when(F.col("id") > 0, F.col("id") * 7 % n).alias("a"), (F.col("id") % 5).cast("string").alias("b"), F.lit("x").alias("c"))
+    got = {r["column"]: (r["rows"], r["blanks"], r["distinct"], r["q1"], r["median"], r["q3"]) for r in profile.profile_columns(df).collect()}
+    assert got == {"a": (n, 1, n - 1, 251.25, 501.5, 751.75), "b": (n, 0, 5, 1.0, 2.0, 3.0), "c": (n, 0, 1, None, None, None)}
+
+
 def test_diagnostics(table, rows):
     heads = {(i, n): d for i, _, n, d in diagnose.header_issues(["id", "id", "ID", "", "name"])}
     assert heads == {("duplicateHeaders", 2): "0,1", ("duplicateHeadersCaseInsensitive", 3): "0,1,2", ("blankHeaders", 1): "3"}

@@ -210,6 +210,18 @@ def test_group_quantiles(spark, most):
     assert len(whole) == 1 and quantile.group_quantiles(df.limit(0), {}, F.col("x"), [0.5], most).count() <= 1
 
 
+@pytest.mark.parametrize("most", [0, 100, quantile.MOST_VALUES])
+def test_groups_of_quantiles_have_any_name(spark, most):
+    """Names that the steps use, too; brackets, ranks and the plain aggregate give the same."""
+    names = ["i", "n", "low", "_x", "_n", "_lo0", "_of"]
+    df = spark.range(4_000).select((F.col("id") % 2).alias("g"), (F.col("id") * 37 % 4_001).cast("double").alias("x"))
+    got = quantile.group_quantiles(df, {n: F.col("g") for n in names}, F.col("x"), [0.25, 0.5], most)
+    assert got.columns == [*names, "q0", "q1"]
+    by = {g: sorted(float(i * 37 % 4_001) for i in range(g, 4_000, 2)) for g in (0, 1)}
+    at = lambda v, s: v[int(s * 1_999)] + (v[int(s * 1_999) + 1] - v[int(s * 1_999)]) * (s * 1_999 % 1)
+    assert sorted(map(tuple, got.collect())) == [(*[g] * len(names), at(by[g], 0.25), at(by[g], 0.5)) for g in (0, 1)]
+
+
 def test_brackets_narrow_and_prove(spark):
     """One value alone, few values with many ties, and many values; also what a sketch can't place is found."""
     n = 60_000
