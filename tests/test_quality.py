@@ -50,6 +50,13 @@ def test_profile_of_large_columns(spark, monkeypatch):
     assert got == {"a": (n, 1, n - 1, 251.25, 501.5, 751.75), "b": (n, 0, 5, 1.0, 2.0, 3.0), "c": (n, 0, 1, None, None, None)}
 
 
+def test_summaries_of_large_columns(spark, monkeypatch):
+    monkeypatch.setattr(profile, "group_quantiles", partial(quantile.group_quantiles, most_values=100))
+    df = spark.range(1_200).select(F.concat(F.lit("Brand#"), F.col("id") % 25).alias("brand"), (F.col("id") % 30 + 1).cast("int").alias("size"))
+    got = [tuple(r) for r in profile.column_summaries(df).drop("mean").collect()]
+    assert got == [("brand", "text", 0, 25, None, None), ("size", "number", 0, 30, 1.0, 30.0)]
+
+
 def test_diagnostics(table, rows):
     heads = {(i, n): d for i, _, n, d in diagnose.header_issues(["id", "id", "ID", "", "name"])}
     assert heads == {("duplicateHeaders", 2): "0,1", ("duplicateHeadersCaseInsensitive", 3): "0,1,2", ("blankHeaders", 1): "3"}
