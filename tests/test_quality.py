@@ -138,6 +138,15 @@ def test_repair(table, rows):
     assert repair.remove_blank_columns(h, ["a", "b", "c"], 0.6).columns == ["_row", "a"]
 
 
+def test_fill_median_of_large_columns(spark, monkeypatch):
+    """Two columns at once, each with more values than one aggregate may hold."""
+    monkeypatch.setattr(repair, "group_quantiles", partial(quantile.group_quantiles, most_values=50))
+    k = F.col("id")
+    df = spark.range(1_200).select("id", F.when(k % 3 > 0, k.cast("double")).alias("v"), F.when(k % 4 > 0, k * 10).alias("w"))
+    got = {r["id"]: (r["v"], r["w"]) for r in repair.repair(df, repair.Repair("fillMedian", ("v", "w"))).collect()}
+    assert got == {i: (float(i) if i % 3 else 600.0, i * 10 if i % 4 else 6_000) for i in range(1_200)}
+
+
 @pytest.mark.parametrize("runs", [1, 9, 400])
 def test_fill_forward_across_parts(spark, runs):
     """Against a loop, over many range parts; a run ends where the key changes, wherever the parts are cut."""
