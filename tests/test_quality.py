@@ -57,6 +57,14 @@ def test_summaries_of_large_columns(spark, monkeypatch):
     assert got == [("brand", "text", 0, 25, None, None), ("size", "number", 0, 30, 1.0, 30.0)]
 
 
+def test_profile_of_a_large_scope(spark, monkeypatch):
+    """More values in scope than one aggregate may hold; those out of scope don't count."""
+    monkeypatch.setattr(profile, "group_quantiles", partial(quantile.group_quantiles, most_values=50))
+    df = spark.range(2_001).select(F.when(F.col("id") % 2 == 0, F.col("id")).otherwise(-1).alias("k"), (F.col("id") % 2).alias("odd"))
+    got = profile.profile_columns(df, ["k"], scope=F.col("odd") == 0).first()
+    assert (got["rows"], got["distinct"], got["low"], got["q1"], got["median"], got["q3"]) == (1_001, 1_001, 0.0, 500.0, 1_000.0, 1_500.0)
+
+
 def test_diagnostics(table, rows):
     heads = {(i, n): d for i, _, n, d in diagnose.header_issues(["id", "id", "ID", "", "name"])}
     assert heads == {("duplicateHeaders", 2): "0,1", ("duplicateHeadersCaseInsensitive", 3): "0,1,2", ("blankHeaders", 1): "3"}
