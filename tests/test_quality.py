@@ -155,6 +155,13 @@ def test_fill_median_of_large_columns(spark, monkeypatch):
     assert got == {i: (float(i) if i % 3 else 600.0, i * 10 if i % 4 else 6_000) for i in range(1_200)}
 
 
+def test_report_of_a_large_repair(spark, monkeypatch):
+    monkeypatch.setattr(repair, "group_quantiles", partial(quantile.group_quantiles, most_values=50))
+    df = spark.range(1_200).select("id", F.when(F.col("id") % 3 > 0, F.col("id").cast("double")).alias("v"))
+    after = repair.repair(df, repair.Repair("fillMedian", ("v",)))
+    assert [tuple(r) for r in repair.repair_report(df, after, ["v"], "id").collect()] == [("v", 400, 0, 0)]
+
+
 @pytest.mark.parametrize("runs", [1, 9, 400])
 def test_fill_forward_across_parts(spark, runs):
     """Against a loop, over many range parts; a run ends where the key changes, wherever the parts are cut."""
