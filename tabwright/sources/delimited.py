@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, replace
 from functools import reduce
-from itertools import islice
+from itertools import takewhile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -28,6 +28,8 @@ MARKS = {b"\xef\xbb\xbf": "utf-8", b"\xff\xfe": "utf-16le", b"\xfe\xff": "utf-16
 FIELDS = 32
 #: Rows of a table with one for each file that may be sent to all tasks.
 MOST_FILES = 200_000
+#: Files that the driver holds open at once for their first bytes.
+OPENED = 16
 
 
 @dataclass(frozen=True)
@@ -67,21 +69,28 @@ def _decoded(c: Column, d: Dialect) -> Column:
 
 
 def first_bytes(spark: SparkSession, paths: str | list[str], n: int = 3) -> DataFrame:
-    """_file, head: the first ``n`` bytes of each file that isn't empty, decompressed. A task for each file opens it as a stream of single bytes and leaves after ``n`` of them, so files of any size are barely read."""
-
-    def head(records: Iterable) -> Iterator[tuple[bytes]]:
-        yield (b"".join(bytes(value) for _, value in islice(records, n)),)
-
-    places = [paths] if isinstance(paths, str) else list(paths)
-    options = {
-        "mapreduce.input.fileinputformat.inputdir": ",".join(p.replace("\\", "\\\\").replace(",", "\\,") for p in places),
-        "mapreduce.input.fileinputformat.input.dir.recursive": "true",
-        "mapreduce.input.fileinputformat.split.minsize": str(1 << 62),
-        "fixedlengthinputformat.record.length": "1",
-    }
-    hadoop = "org.apache.hadoop."
-    rows = spark.sparkContext.newAPIHadoopRDD(f"{hadoop}mapreduce.lib.input.FixedLengthInputFormat", f"{hadoop}io.LongWritable", f"{hadoop}io.BytesWritable", conf=options, batchSize=n)
-    return spark.createDataFrame(rows.mapPartitions(head), "head binary").select(F.input_file_name().alias(FILE), "head")
+    """_file, head: the first ``n`` bytes of each file that isn't empty, decompressed.
+
+    Every file is opened for these bytes alone, so files of any size cost the same. A task that hands a file's bytes to
+    Python can't do that: it reads on to the end after Python has left. So the driver, which has the list of the files
+    for every read of them, opens them, some at a time.
+    """
+    hadoop, conf = spark.sparkContext._jvm.org.apache.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    codecs = hadoop.io.compress.CompressionCodecFactory(conf)
+
+    def head(file: str) -> tuple[str, bytearray]:
+        path = hadoop.fs.Path(file)
+        codec, stream = codecs.getCodec(path), path.getFileSystem(conf).open(path)
+        try:
+            # with the outer stream the inner one is closed, too
+            stream = codec.createInputStream(stream) if codec else stream
+            return file, bytearray(takewhile(lambda byte: byte >= 0, (stream.read() for _ in range(n))))
+        finally:
+            stream.close()
+
+    files = [r["path"] for r in file_listing(spark, paths).filter("length > 0").select("path").collect()]
+    with ThreadPoolExecutor(OPENED) as pool:
+        return spark.createDataFrame([x for x in pool.map(head, files) if x[1]], f"{FILE} string, head binary")
 
 
 def byte_order_marks(spark: SparkSession, paths: str | list[str]) -> DataFrame:

@@ -277,6 +277,21 @@ def test_marks_overrule_the_encoding(spark, tmp_path):
     assert src.read_delimited(spark, str(folder / "3 x.csv"), Dialect(encoding="windows-1252", marks=False)).collect()[0][1] == "Ã©æ¼¢"
 
 
+def test_first_bytes_leave_the_rest_alone(spark, tmp_path):
+    """Whatever follows isn't read: here bytes that can't be unpacked."""
+    import gzip
+
+    packed = gzip.compress(b"\xef\xbb\xbf" + random.Random(6).randbytes(1 << 20))
+    (tmp_path / "damaged.csv.gz").write_bytes(packed[:300_000] + b"\xff" * 300_000)
+    (tmp_path / "empty.csv.gz").write_bytes(gzip.compress(b""))
+    (tmp_path / "short.csv").write_bytes(b"a")
+    (tmp_path / "below").mkdir()
+    (tmp_path / "below" / "plain.csv").write_bytes(b"\xff\xfeabc")
+    (tmp_path / "_hidden.csv").write_bytes(b"xyz")
+    got = {r["_file"].rpartition("/")[2]: bytes(r["head"]) for r in src.first_bytes(spark, str(tmp_path)).collect()}
+    assert got == {"damaged.csv.gz": b"\xef\xbb\xbf", "short.csv": b"a", "plain.csv": b"\xff\xfea"}
+
+
 def test_line_ends(spark, tmp_path):
     texts = {"a": b"a,b\r\n4,x\ry\n1,2\r", "b": b"a\r\n", "c": b"a\nb", "d": b"\xef\xbb\xbfa\r\nb\r\n", "e": b"\xef\xbb\xbfa\r\nb", "f": "a\r\nb\n".encode("utf-16-le"), "g": "\ufeffa\r\nb\r\n".encode("utf-16-be")}
     for name, data in texts.items():
