@@ -136,13 +136,13 @@ def _united(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
-def raw_records(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect, width: int) -> DataFrame:
-    """c0.. (null where a record is short), _file, and _row: an order key that follows the files' own order."""
+def raw_records(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect, width: int, header: bool = False) -> DataFrame:
+    """c0.. (null where a record is short), _file, and _row: an order key that follows the files' own order. ``header``: without the first record of each file."""
     schema = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
     row = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("id"))
 
     def one(where, d: Dialect) -> DataFrame:
-        read = spark.read.options(**csv_options(d)).schema(schema).csv(where)
+        read = spark.read.options(**csv_options(d)).option("header", header).schema(schema).csv(where)
         return read.select(*[_decoded(F.col(f"c{i}"), d).alias(f"c{i}") for i in range(width)], F.col("_metadata.file_path").alias(FILE), row.alias(ROW))
 
     return _united([one(*x) for x in in_encodings(spark, paths, dialect)])
@@ -213,6 +213,15 @@ def widest(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect
         most *= 4
 
 
+def _first_record(spark: SparkSession, files: Files, dialect: Dialect, width: int) -> list[str | None] | None:
+    """The cells of the first record of the first file that isn't empty, which is left after it; None if that file has no record."""
+    listed = [spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(where).filter("length > 0").agg(F.min("_metadata.file_path").alias("first")) for where, _ in files]
+    name = _united(listed).agg(F.min("first")).first()[0]
+    # a file that isn't split is read in its order
+    found = raw_records(spark, files, dialect, width).filter(F.col(FILE) == name).drop(FILE, ROW).limit(1).collect()
+    return list(found[0]) if found else None
+
+
 def read_delimited(spark: SparkSession, paths: str | list[str] | Files, dialect: Dialect = Dialect(), width: int | None = None, keep_row: bool = False, record_numbers: bool = False) -> DataFrame:
     """All cells as text; short records are padded with empty cells, up to the widest record. Fully empty lines don't count.
 
@@ -223,7 +232,11 @@ def read_delimited(spark: SparkSession, paths: str | list[str] | Files, dialect:
     """
     paths = in_encodings(spark, paths, dialect)
     width = width or widest(spark, paths, dialect)
-    rows = raw_records(spark, paths, dialect, width)
+    lead = dialect.skip_first + dialect.header_rows
+    # where files aren't split and one record makes up the header, the reader itself leaves it out
+    alone = lead == dialect.header_rows == 1 and not record_numbers and all("multiLine" in csv_options(d) for _, d in paths)
+    top = _first_record(spark, paths, dialect, width) if alone else None
+    rows = raw_records(spark, paths, dialect, width, header=top is not None)
     if record_numbers:
         placed = with_position(rows, [ROW], "_at")
         starts = placed.groupBy(FILE).agg(F.min("_at").alias("_from"))
@@ -231,7 +244,8 @@ def read_delimited(spark: SparkSession, paths: str | list[str] | Files, dialect:
     first, last = dialect.skip_first, dialect.skip_last
     cells = [f"c{i}" for i in range(width)]
     names = [f"Column {i + 1}" for i in range(width)]
-    lead = first + dialect.header_rows
+    if top is not None:
+        lead, names = 0, header_names([top])
     if lead or last:
         # one row for each file: sent to all tasks where the files are few
         each = F.broadcast if len(rows.inputFiles()) <= MOST_FILES else lambda table: table

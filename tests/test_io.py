@@ -292,6 +292,24 @@ def test_first_bytes_leave_the_rest_alone(spark, tmp_path):
     assert got == {"damaged.csv.gz": b"\xef\xbb\xbf", "short.csv": b"a", "plain.csv": b"\xff\xfea"}
 
 
+@pytest.mark.parametrize("blank", [False, True])
+def test_one_pass_over_records_with_line_ends(spark, tmp_path, blank):
+    """One header record is left out by the reader itself, with the results of the way for any number of records; also if the first file has no record."""
+    if blank:
+        put(tmp_path / "0.csv", "\n\n")
+    put(tmp_path / "1 x.csv", '# c\n\n"a\nb",,c\n1,"x\n\ny",2\n\n"",,\n3\n')
+    put(tmp_path / "2.csv", "other,head\n4,5,6\n7,8,9\n")
+    put(tmp_path / "3.csv", "only,a,header\n")
+    put(tmp_path / "4.csv", "")
+    for last in (0, 1, 2):
+        d = Dialect(multi_line=True, comment="#", skip_last=last)
+        got, want = src.read_delimited(spark, str(tmp_path), d, width=3), src.read_delimited(spark, str(tmp_path), d, width=3, record_numbers=True).drop("_record")
+        assert got.columns == want.columns == ["a\nb", "Column 2", "c"]
+        assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and got.count() == (5, 3, 1)[last]
+        if not last and not blank:
+            assert got._jdf.queryExecution().executedPlan().toString().count("FileScan csv") == 1
+
+
 def test_line_ends(spark, tmp_path):
     texts = {"a": b"a,b\r\n4,x\ry\n1,2\r", "b": b"a\r\n", "c": b"a\nb", "d": b"\xef\xbb\xbfa\r\nb\r\n", "e": b"\xef\xbb\xbfa\r\nb", "f": "a\r\nb\n".encode("utf-16-le"), "g": "\ufeffa\r\nb\r\n".encode("utf-16-be")}
     for name, data in texts.items():
